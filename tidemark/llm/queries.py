@@ -6,8 +6,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, mixing, quality_rules, token_counts
-from .common import table
+from . import chat, decontaminate, html_extract, language_id, licenses, mixing, quality_model, quality_rules, simhash, token_counts
+from .common import remainder, table
 
 
 def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -15,6 +15,64 @@ def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_counts(docs, public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.licenses(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+def _quoted(x: str) -> str:
+    return "'" + x.replace("'", "''") + "'"
+
+
+def _canonical_sql(text: str) -> str:
+    spelt = f"lower({text})"
+    for a, b in licenses.SPELLINGS:
+        spelt = f"replace({spelt}, {_quoted(a)}, {_quoted(b)})"
+    for pattern, to in ((licenses.COPYRIGHT_LINE, ""), (licenses.RIGHTS_LINE, ""), (licenses.NOT_WORD, " ")):
+        spelt = f"regexp_replace({spelt}, {_quoted(pattern)}, {_quoted(to)}, 'g')"
+    return f"trim({spelt})"
+
+
+OP2_SQL = f"""
+WITH known AS (SELECT DISTINCT license_id, sha256({_canonical_sql("entire")}) AS digest
+               FROM (VALUES {", ".join(f"({_quoted(a)}, {_quoted(b)})" for a, b in licenses.KNOWN)}) AS v(license_id, entire)),
+lines AS (SELECT doc_id, 'line' AS scope, unnest(range(1, len(string_split(text, chr(10))) + 1)) AS line_no, unnest(string_split(text, chr(10))) AS entire FROM documents),
+entire AS (SELECT doc_id, 'text' AS scope, NULL::BIGINT AS line_no, text AS entire FROM documents UNION ALL SELECT * FROM lines)
+SELECT doc_id, scope, line_no, license_id FROM (SELECT *, sha256({_canonical_sql("entire")}) AS digest FROM entire) JOIN known USING (digest)
+"""
+
+
+def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    held_out = F.coalesce(remainder(F.col("doc_id"), 4) == 2, F.lit(False))
+    net = language_id.fit(docs.where(~held_out).select("doc_id", "lang", "text"))
+    found = language_id.identify(docs.select("doc_id", "text"), net)
+    return found.select("doc_id", held_out.alias("held_out"), "lang_pred", F.col("lang_score").alias("score"))
+
+
+def op4_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.render(table(spark, sf_dir, "conversations"))
+
+
+OP4_SQL = r"""
+WITH t AS (SELECT DISTINCT conv_id, turn, role, text FROM conversations),
+p AS (SELECT conv_id, count(*) OVER w AS k, count(*) OVER (PARTITION BY conv_id) AS n,
+             string_agg(concat_ws(chr(1), coalesce(turn::VARCHAR, chr(2)), coalesce(role, chr(2)), coalesce(text, chr(2))), chr(3)) OVER w AS prefix
+      FROM t WINDOW w AS (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role NULLS FIRST, text NULLS FIRST ROWS UNBOUNDED PRECEDING)),
+kept AS (SELECT min(conv_id) AS conv_id FROM p WHERE k = n AND prefix NOT IN (SELECT prefix FROM p WHERE k < n) GROUP BY prefix),
+shown AS (SELECT conv_id, coalesce(turn // 64, -1)::BIGINT AS part, turn, coalesce(role, 'unknown') AS role, coalesce(text, '') AS text
+          FROM t WHERE conv_id IN (SELECT conv_id FROM kept))
+SELECT conv_id, part, count(*)::BIGINT AS n_turns,
+       string_agg('<|im_start|>' || replace(role, '<|', '< |') || chr(10) || replace(text, '<|', '< |') || '<|im_end|>' || chr(10), ''
+                  ORDER BY turn NULLS FIRST, role, text) AS text
+FROM shown GROUP BY conv_id, part
+"""
+
+
+def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = simhash.near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return found.select("doc_id", simhash.as_hex(F.col("fp")).alias("fingerprint"), "component_id")
+
+
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     ledger = quality_rules.rule_ledger(table(spark, sf_dir, "documents").select("doc_id", "text"))
     bits = F.col("ledger.fail_bits")
@@ -80,14 +138,36 @@ SELECT doc_id, len(words)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hi
 FROM d LEFT JOIN hits USING (row) LEFT JOIN items USING (row)
 """
 
+def op8_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages").select("page_id", "url", "html")
+    found = html_extract.main_text(pages, html_extract.fit(pages))
+    return found.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
+
+
+def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    held_out = F.coalesce(remainder(F.col("doc_id"), 3) == 1, F.lit(False))
+    labels = table(spark, sf_dir, "labels").select("doc_id", "quality").where(~held_out)
+    found = quality_model.score(docs, quality_model.fit(docs, labels))
+    return found.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
 QUERIES = {
     "op1_token_counts": op1_token_counts,
+    "op2_license_scan": op2_license_scan,
+    "op3_language_id": op3_language_id,
+    "op4_chat_format": op4_chat_format,
+    "op5_simhash": op5_simhash,
     "op6_quality_rules": op6_quality_rules,
     "op7_mixing": op7_mixing,
+    "op8_html_extraction": op8_html_extraction,
     "op9_decontamination": op9_decontamination,
+    "op10_quality_classifier": op10_quality_classifier,
 }
 
 ORACLE_SQL = {
+    "op2_license_scan": OP2_SQL,
+    "op4_chat_format": OP4_SQL,
     "op6_quality_rules": OP6_SQL,
     "op9_decontamination": OP9_SQL,
 }
