@@ -33,7 +33,8 @@ HITS = (
     .add("n_words", "long").add("n_hit", "long").add("n_items", "long").add("items_sha256", "string").add("contaminated", "boolean")
     .add("spans", T.ArrayType(T.ArrayType(T.IntegerType())))
 )
-ITEM_WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+#: A word before it is lower-cased.
+ITEM_WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 
 
 def normal_words(text: str | None) -> list[bytes]:
