@@ -11,6 +11,10 @@ share the cell of one of the 70 choices of four blocks.  Every distinct fingerpr
 70 cells.  Cells are read as sorted runs: within a run the Manhattan bound is tested first and
 the Hamming distance then settles the pair.  Only a spanning forest of each cell's links is
 returned, never all its pairs; a run too long for one task is dealt out again in pairs of chunks.
+
+The cells are read in two passes.  The first takes six of the 70 choices and joins what they link;
+the second takes the rest, carries each fingerprint's component along, and returns a link only
+where it joins two components.  So a large group of near copies isn't linked again in every cell.
 """
 
 from __future__ import annotations
@@ -86,11 +90,13 @@ def _embedding(fps: np.ndarray) -> np.ndarray:
     return ((fps | (fps >> one)) & even) | ((fps & (fps >> one) & even) << one)
 
 
-def cell_masks() -> list[int]:
-    """The bits of each choice of BLOCKS - DISTANCE blocks."""
+def cell_masks() -> tuple[list[int], list[int]]:
+    """The bits of each choice of BLOCKS - DISTANCE blocks: those of whole pairs of blocks, and the others."""
     width = 64 // BLOCKS
     block = [((1 << width) - 1) << (k * width) for k in range(BLOCKS)]
-    return [sum(block[k] for k in chosen) for chosen in combinations(range(BLOCKS), BLOCKS - DISTANCE)]
+    paired = lambda chosen: all(k ^ 1 in chosen for k in chosen)
+    choices = list(combinations(range(BLOCKS), BLOCKS - DISTANCE))
+    return tuple([sum(block[k] for k in c) for c in choices if paired(c) == first] for first in (True, False))
 
 
 def _linked(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -123,81 +129,98 @@ def _forest(fps: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
     return edges
 
 
-def _links_of_runs(cells: np.ndarray, fps: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
-    """Links within runs of equal cells; the arrays are sorted by cell."""
+def _links_of_runs(cells: np.ndarray, fps: np.ndarray, labels: np.ndarray) -> np.ndarray:
+    """Distinct pairs of labels that links within runs of equal cells join; the arrays are sorted by cell."""
     starts = np.flatnonzero(np.concatenate([[True], cells[1:] != cells[:-1]]))
     sizes = np.diff(np.append(starts, len(cells)))
-    edges: list[tuple[np.ndarray, np.ndarray]] = []
-    for start, size in zip(starts[sizes > SHORT_RUN], sizes[sizes > SHORT_RUN], strict=True):
-        edges += _forest(fps[start : start + size])
+    pairs: list[np.ndarray] = [_label_links(fps[a : a + n], labels[a : a + n]) for a, n in zip(starts[sizes > SHORT_RUN], sizes[sizes > SHORT_RUN], strict=True)]
     ends = np.repeat(np.where(sizes > SHORT_RUN, 0, starts + sizes), sizes)  # long runs are done
     at = np.flatnonzero(np.arange(len(cells)) + 1 < ends)
     for shift in range(1, SHORT_RUN):
         at = at[at + shift < ends[at]]
         if not len(at):
             break
-        a, b = fps[at], fps[at + shift]
-        near = _linked(a, b)
-        edges.append((a[near], b[near]))
-    return edges
+        apart = at[labels[at] != labels[at + shift]]
+        near = apart[_linked(fps[apart], fps[apart + shift])]
+        pairs.append(np.stack([labels[near], labels[near + shift]], axis=1))
+    return _distinct(pairs)
+
+
+def _label_links(fps: np.ndarray, labels: np.ndarray) -> np.ndarray:
+    """Distinct pairs of different labels along a spanning forest of distinct fingerprints."""
+    order = np.argsort(fps)
+    fps, labels = fps[order], labels[order]
+    of = lambda x: labels[np.searchsorted(fps, x)]
+    return _distinct([np.stack([of(a), of(b)], axis=1) for a, b in _forest(fps)])
+
 
+def _distinct(pairs: list[np.ndarray]) -> np.ndarray:
+    if not pairs:
+        return np.zeros((0, 2), np.int64)
+    found = np.concatenate(pairs)
+    return np.unique(np.sort(found[found[:, 0] != found[:, 1]], axis=1), axis=0)
 
-LINKS = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("at", pa.int64())])
 
+#: A pair of labels (a, b), or of a long run a member: a its cell, b its fingerprint, its label and place.
+LINKS = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("label", pa.int64()), ("at", pa.int64())])
 
-def _batch(edges: list[tuple[np.ndarray, np.ndarray]]) -> pa.RecordBatch:
-    pairs = np.unique(np.concatenate([np.stack(e, axis=1) for e in edges]), axis=0).view(np.int64) if edges else np.zeros((0, 2), np.int64)
-    return pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1]), pa.nulls(len(pairs), pa.int64())], schema=LINKS)
+
+def _batch(pairs: np.ndarray) -> pa.RecordBatch:
+    none = pa.nulls(len(pairs), pa.int64())
+    return pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1]), none, none], schema=LINKS)
 
 
 def _read_cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Links (a, b, null) of sorted cells; of a long run its members (cell, fingerprint, place) instead."""
-    cells, fps = np.zeros(0, np.int64), np.zeros(0, np.uint64)
+    """Pairs of labels from sorted cells (cell, fingerprint, label); of a long run its members instead."""
+    cells, fps, labels = np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, np.int64)
     long_cell, passed = None, 0
 
     def members(n: int) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(cells[:n]), pa.array(fps[:n].view(np.int64)), pa.array(np.arange(passed, passed + n))], schema=LINKS)
+        return pa.RecordBatch.from_arrays([pa.array(cells[:n]), pa.array(fps[:n].view(np.int64)), pa.array(labels[:n]), pa.array(np.arange(passed, passed + n))], schema=LINKS)
 
     for batch in batches:
-        cells = np.concatenate([cells, batch.column(0).to_numpy(zero_copy_only=False)])
-        fps = np.concatenate([fps, batch.column(1).to_numpy(zero_copy_only=False).view(np.uint64)])
+        new = [c.to_numpy(zero_copy_only=False) for c in batch.columns]
+        cells, fps, labels = np.concatenate([cells, new[0]]), np.concatenate([fps, new[1].view(np.uint64)]), np.concatenate([labels, new[2]])
         if long_cell is not None:
             n = int(np.searchsorted(cells, long_cell, "right"))
             yield members(n)
-            passed, cells, fps = passed + n, cells[n:], fps[n:]
+            passed, cells, fps, labels = passed + n, cells[n:], fps[n:], labels[n:]
             if not len(cells):
                 continue
             long_cell, passed = None, 0
         if not len(cells):
             continue
         last = int(np.searchsorted(cells, cells[-1]))
-        yield _batch(_links_of_runs(cells[:last], fps[:last]) if last else [])
-        cells, fps = cells[last:], fps[last:]
+        if last:
+            yield _batch(_links_of_runs(cells[:last], fps[:last], labels[:last]))
+        cells, fps, labels = cells[last:], fps[last:], labels[last:]
         if len(cells) > LONG_RUN:
             long_cell = cells[0]
             yield members(len(cells))
-            passed, cells, fps = len(cells), cells[:0], fps[:0]
+            passed, cells, fps, labels = len(cells), cells[:0], fps[:0], labels[:0]
     if len(cells):
-        yield _batch(_links_of_runs(cells, fps))
+        yield _batch(_links_of_runs(cells, fps, labels))
 
 
 def _pair_links(rows: pd.DataFrame) -> pd.DataFrame:
-    """Links of two chunks of a long run, at most 2 * CHUNK fingerprints."""
-    edges = _forest(np.unique(rows["fp"].to_numpy().view(np.uint64)))
-    pairs = np.concatenate([np.stack(e, axis=1) for e in edges]).view(np.int64) if edges else np.zeros((0, 2), np.int64)
-    return pd.DataFrame(pairs, columns=["a", "b"])
-
-
-def fingerprint_links(fps: DataFrame, name: str = "fp") -> DataFrame:
-    """Links (a, b) that connect all fingerprints within ``DISTANCE`` bits, of distinct longs ``name``."""
-    emb = fps.select(F.col(name).alias("fp"), embedding(F.col(name)).alias("emb"))
-    cell = F.explode(F.array(*(F.xxhash64(F.lit(k), F.col("emb").bitwiseAND(F.lit(_signed(m)))) for k, m in enumerate(cell_masks()))))
-    cells = emb.select(cell.alias("cell"), "fp").repartition("cell").sortWithinPartitions("cell", "fp")
-    found = checkpointed(cells.mapInArrow(_read_cells, "a long, b long, at long"))
+    """Pairs of labels from two chunks of a long run, at most 2 * CHUNK fingerprints."""
+    rows = rows.drop_duplicates("fp")
+    return pd.DataFrame(_label_links(rows["fp"].to_numpy().view(np.uint64), rows["label"].to_numpy()), columns=["a", "b"])
+
+
+def label_links(labelled: DataFrame, masks: list[int]) -> DataFrame:
+    """Distinct pairs (a, b) of labels that fingerprints within ``DISTANCE`` bits join, over the cells of ``masks``.
+
+    ``labelled`` has distinct longs ``fp`` and their long ``label``; pairs within a label don't show.
+    """
+    emb = labelled.select("fp", "label", embedding(F.col("fp")).alias("emb"))
+    cell = F.explode(F.array(*(F.xxhash64(F.lit(m), F.col("emb").bitwiseAND(F.lit(m))) for m in map(_signed, masks))))
+    cells = emb.select(cell.alias("cell"), "fp", "label").repartition("cell").sortWithinPartitions("cell", "fp")
+    found = checkpointed(cells.mapInArrow(_read_cells, "a long, b long, label long, at long"))
     links = found.where(F.col("at").isNull()).select("a", "b")
-    long_runs = found.where(F.col("at").isNotNull()).select(F.col("a").alias("cell"), F.col("b").alias("fp"), F.floor(F.col("at") / CHUNK).alias("chunk"))
+    long_runs = found.where(F.col("at").isNotNull()).select(F.col("a").alias("cell"), F.col("b").alias("fp"), "label", F.floor(F.col("at") / CHUNK).alias("chunk"))
     chunks = long_runs.groupBy("cell").agg((F.max("chunk") + 1).alias("n"))
-    dealt = long_runs.join(chunks, "cell").select("cell", "fp", "chunk", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1)).alias("other"))
+    dealt = long_runs.join(chunks, "cell").select("cell", "fp", "label", "chunk", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1)).alias("other"))
     pairs = dealt.groupBy("cell", F.least("chunk", "other").alias("low"), F.greatest("chunk", "other").alias("high"))
     return links.union(pairs.applyInPandas(_pair_links, "a long, b long")).distinct()
 
@@ -206,9 +229,13 @@ def near_duplicate_classes(fingerprints: DataFrame, key: str = "doc_id", name: s
     """For each distinct fingerprint: ``fp``, ``root`` (its component), ``component_id`` (the
     component's smallest non-null key), of a table that is cheap to read twice."""
     classes = fingerprints.groupBy(F.col(name).alias("fp")).agg(F.min(key).alias("smallest"))
-    classes = checkpointed(classes)
-    roots = connected_components(fingerprint_links(classes))
-    rooted = classes.join(roots, classes["fp"] == roots["node"], "left").select("fp", "smallest", F.coalesce("root", "fp").alias("root"))
+    first, rest = cell_masks()
+    classes = checkpointed(classes.withColumn("label", F.col("fp")))
+    for masks in (first, rest):
+        roots = connected_components(label_links(classes, masks))
+        joined = classes.join(roots, classes["label"] == roots["node"], "left")
+        classes = checkpointed(joined.select("fp", "smallest", F.coalesce("root", "label").alias("label")))
+    rooted = classes.withColumnRenamed("label", "root")
     smallest = rooted.groupBy("root").agg(F.min("smallest").alias("component_id"))
     return rooted.join(smallest, "root").select("fp", "root", "component_id")
 
@@ -229,12 +256,14 @@ def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id") ->
 def one_of_each(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
     """The rows of ``docs`` less near duplicates: of each component the row with the smallest key.
 
-    A row repeated whole stays once.  Of a component whose rows all have null keys, one row stays.
+    Rows that share their key are taken for one document: one of them stays.  Of a component whose
+    rows all have null keys, one row stays.
     """
     marked = checkpointed(with_fingerprint(docs.select(F.col(key), F.col(text)), text).select(key, "fp"))
     classes = checkpointed(near_duplicate_classes(marked, key))
     chosen = classes.where(F.col("component_id").isNotNull()).select(F.col("component_id").alias(key)).distinct()
-    kept = docs.join(chosen, key, "left_semi").dropDuplicates([key])
+    of_key = docs.join(chosen, key, "left_semi").groupBy(key)
+    kept = of_key.agg(F.min_by(F.struct(*docs.columns), F.xxhash64(*docs.columns)).alias("__row")).select("__row.*")
     without = with_fingerprint(docs.where(F.col(key).isNull()), text, "__fp")
     nameless = classes.where(F.col("component_id").isNull()).select(F.col("fp").alias("__fp"), F.col("root").alias("__root"))
     return kept.unionByName(without.join(nameless, "__fp").dropDuplicates(["__root"]).select(docs.columns))
