@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 import zipfile
 from pathlib import Path
 
@@ -24,3 +25,13 @@ def ship(spark: SparkSession) -> None:
             out.write(p, p.relative_to(root.parent))
     spark.sparkContext.addPyFile(made)
     _shipped.add(app)
+
+
+def scratch(spark: SparkSession) -> str:
+    """A new folder that driver and executors share: under ``spark.checkpoint.dir``, or a local one in a local session."""
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if named is not None:
+        return f"{named.rstrip('/')}/scratch-{uuid.uuid4().hex}"
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+    return tempfile.mkdtemp(prefix="spark-")
