@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -32,12 +33,11 @@ def scan_prices(prices: DataFrame, tickers: DataFrame, start, columns: Sequence[
 
 def csv_to_parquet(spark: SparkSession, source: str, target: str, schema: T.StructType) -> DataFrame:
     """CSV with a header as ZSTD parquet, typed; all strings if a value doesn't fit its type."""
-    bad = T.StructType([*schema.fields, T.StructField("_corrupt", T.StringType())])
-    typed = spark.read.schema(bad).option("columnNameOfCorruptRecord", "_corrupt").csv(source, header=True, mode="PERMISSIVE")
-    ok = typed.agg(F.count("_corrupt").alias("n")).first()["n"] == 0
-    plain = T.StructType([T.StructField(f.name, T.StringType()) for f in schema.fields])
-    out = typed.drop("_corrupt") if ok else spark.read.schema(plain).csv(source, header=True)
-    out.write.mode("overwrite").option("compression", "zstd").parquet(target)
+    plain = spark.read.schema(T.StructType([T.StructField(f.name, T.StringType()) for f in schema.fields])).csv(source, header=True)
+    cast = {f.name: F.col(f"`{f.name}`").try_cast(f.dataType) for f in schema.fields}
+    misfit = reduce(lambda a, b: a | b, (F.col(f"`{n}`").isNotNull() & c.isNull() for n, c in cast.items()))
+    typed = plain.select(*(c.alias(n) for n, c in cast.items()))
+    (plain if plain.where(misfit).head(1) else typed).write.mode("overwrite").option("compression", "zstd").parquet(target)
     return spark.read.parquet(target)
 
 
