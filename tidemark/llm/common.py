@@ -43,6 +43,11 @@ def shared_folder(spark: SparkSession) -> str:
     return tempfile.mkdtemp(prefix="spark-")
 
 
+def whole_row(df: DataFrame) -> Column:
+    """All columns of ``df`` as one struct, so that no other name can clash with theirs."""
+    return F.struct(*(F.col(f"`{c}`") for c in df.columns))
+
+
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
     """``body(value)`` with ``value`` computed once, however often ``body`` names it."""
     return F.get(F.transform(F.array(value), body), F.lit(0))

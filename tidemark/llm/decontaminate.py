@@ -115,8 +115,9 @@ def contamination(docs: DataFrame, items: DataFrame, text: str = "text", item_ke
     Null and empty texts have no words and are clean.  Items without words match nothing; a null
     item id reads as the empty string.  Rows are judged one by one (repeated rows alike), an empty
     table of documents or items gives an empty or all-clean result, other columns stay as they
-    are.  No shuffle of documents.
+    are; a column ``hits`` is replaced.  No shuffle of documents.
     """
+    docs = docs.drop("hits")
     shards = _shards(items, item_key, item_text, shard_windows)
     find = regex.compile(ITEM_WORD).finditer
     schema = T.StructType([*docs.schema.fields, T.StructField("hits", HITS)])

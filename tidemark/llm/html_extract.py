@@ -322,8 +322,10 @@ def main_text(pages: DataFrame, net: BiLSTM | None, source: str = "html", name:
 
     Null and empty pages, and pages of which no block is kept, give the empty string.  Without a
     labeller every block is kept.  Pages are read whole and one by one: repeated rows alike, an
-    empty table gives an empty table, other columns stay as they are.  No shuffle.
+    empty table gives an empty table, other columns stay as they are; a column ``name`` is
+    replaced.  No shuffle.
     """
+    pages = pages.drop(name)
     place, shared = pages.columns.index(source), pages.sparkSession.sparkContext.broadcast(net)
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -149,8 +149,10 @@ def identify(docs: DataFrame, net: ByteCNN | None, text: str = "text") -> DataFr
 
     Null texts and texts without a letter are ``und`` with score 0, and so is everything if the
     network had nothing to learn from.  Rows are judged one by one: repeated rows alike, an empty
-    table gives an empty table, other columns stay as they are.  No shuffle.
+    table gives an empty table, other columns stay as they are; columns of the two names are
+    replaced.  No shuffle.
     """
+    docs = docs.drop("lang_pred", "lang_score")
     place, model = docs.columns.index(text), docs.sparkSession.sparkContext.broadcast(net)
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

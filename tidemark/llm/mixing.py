@@ -20,7 +20,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import n_words
+from .common import n_words, whole_row
 
 #: Relative weights of the sources in code point order, null last, repeating.
 WEIGHTS = (3.0, 1.0, 2.0)
@@ -107,7 +107,7 @@ def mix(docs: DataFrame, text: str = "text", source: str = "source", key: str =
     Reruns agree, whatever the partitioning.
     """
     keep = list(docs.columns if columns is None else columns)
-    base = docs.select(F.struct(*(F.col(f"`{c}`") for c in keep)).alias("row"), F.col(source).alias("source"), F.col(key).cast("string").alias("key"), n_words(F.col(text)).alias("size"))
+    base = docs.select(whole_row(docs.select(*(f"`{c}`" for c in keep))).alias("row"), F.col(source).alias("source"), F.col(key).cast("string").alias("key"), n_words(F.col(text)).alias("size"))
     totals = docs.select(F.col(source).alias("source"), n_words(F.col(text)).alias("size")).groupBy("source").agg(F.sum("size").alias("words"), F.count("*").alias("n"))
     found = totals.limit(MOST_SOURCES + 1).collect()
     if len(found) > MOST_SOURCES:

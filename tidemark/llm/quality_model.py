@@ -139,8 +139,9 @@ def score(docs: DataFrame, model: AttentionMIL | None, text: str = "text", name:
 
     Null texts count as empty; an empty text is one empty passage.  Without a model every score is
     0.5.  Rows are scored one by one: repeated rows alike, an empty table gives an empty table,
-    other columns stay as they are.  No shuffle.
+    other columns stay as they are; a column ``name`` is replaced.  No shuffle.
     """
+    docs = docs.drop(name)
     place, shared = docs.columns.index(text), docs.sparkSession.sparkContext.broadcast(model)
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -90,7 +90,8 @@ def rule_ledger(docs: DataFrame, text: str = "text") -> DataFrame:
     """The rows of ``docs`` with a struct ``ledger`` of the measurements and ``fail_bits``.
 
     A null text counts as empty: no words, so it fails ``few_words``.  Repeated rows are judged
-    alike, columns of ``docs`` stay as they are, and an empty table gives an empty table.
+    alike, other columns stay as they are (a column ``ledger`` is replaced), and an empty table gives
+    an empty table.
     """
     whole = F.coalesce(F.col(text), F.lit(""))
     measured = let(whole, _measures)

@@ -30,7 +30,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import checkpointed
+from .common import checkpointed, whole_row
 from .components import connected_components
 
 SHINGLE, SEED = 4, 42
@@ -60,6 +60,7 @@ def fingerprint(text: str | None) -> int:
 
 def with_fingerprint(docs: DataFrame, text: str = "text", name: str = "fp") -> DataFrame:
     """The rows of ``docs`` with a long column ``name`` (the fingerprint's 64 bits)."""
+    docs = docs.drop(name)
     place = docs.columns.index(text)
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -262,8 +263,9 @@ def one_of_each(docs: DataFrame, text: str = "text", key: str = "doc_id") -> Dat
     marked = checkpointed(with_fingerprint(docs.select(F.col(key), F.col(text)), text).select(key, "fp"))
     classes = checkpointed(near_duplicate_classes(marked, key))
     chosen = classes.where(F.col("component_id").isNotNull()).select(F.col("component_id").alias(key)).distinct()
-    of_key = docs.join(chosen, key, "left_semi").groupBy(key)
-    kept = of_key.agg(F.min_by(F.struct(*docs.columns), F.xxhash64(*docs.columns)).alias("__row")).select("__row.*")
-    without = with_fingerprint(docs.where(F.col(key).isNull()), text, "__fp")
-    nameless = classes.where(F.col("component_id").isNull()).select(F.col("fp").alias("__fp"), F.col("root").alias("__root"))
-    return kept.unionByName(without.join(nameless, "__fp").dropDuplicates(["__root"]).select(docs.columns))
+    rows = docs.select(F.col(key).alias("key"), whole_row(docs).alias("row"), F.xxhash64(text).alias("h"), F.to_json(whole_row(docs.drop(text))).alias("rest"))
+    of_key = rows.join(chosen.withColumnRenamed(key, "key"), "key", "left_semi").groupBy("key")
+    kept = of_key.agg(F.min_by("row", F.struct("h", "rest")).alias("row"))
+    without = with_fingerprint(docs.where(F.col(key).isNull()).select(F.col(text).alias("text"), whole_row(docs).alias("row")))
+    nameless = classes.where(F.col("component_id").isNull()).select("fp", "root")
+    return kept.select("row.*").union(without.join(nameless, "fp").groupBy("root").agg(F.min_by("row", F.xxhash64("text")).alias("row")).select("row.*"))
