@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.llm import decontaminate, language_id, mixing, quality_rules, simhash
-from tidemark.llm.common import remainder, shared_folder, table
+from tidemark.llm.common import remainder, shared_folder, table, whole_row
 
 #: Languages whose score is below this are too uncertain to keep.
 LEAST_SCORE = 0.3
@@ -22,7 +22,7 @@ LEAST_SCORE = 0.3
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that pass the rules of policy v1."""
-    kept = quality_rules.rule_ledger(docs.select(F.struct(*docs.columns).alias("row"), "text"))
+    kept = quality_rules.rule_ledger(docs.select(whole_row(docs).alias("row"), "text"))
     return kept.where(quality_rules.passes(F.col("ledger.fail_bits"))).select("row.*")
 
 
@@ -30,7 +30,7 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in a language the network knows; it learns from three quarters of those it gets."""
     learn = F.coalesce(remainder(F.col("doc_id"), 4) != 2, F.lit(False))
     net = language_id.fit(docs.where(learn).select("doc_id", "lang", "text"))
-    found = language_id.identify(docs.select(F.struct(*docs.columns).alias("row"), "text"), net)
+    found = language_id.identify(docs.select(whole_row(docs).alias("row"), "text"), net)
     if net is None:  # nothing to judge by
         return docs
     return found.where(language_id.accepted(F.col("lang_pred"), F.col("lang_score"), LEAST_SCORE)).select("row.*")
@@ -43,7 +43,7 @@ def deduplicate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def clean_of_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the benchmark doesn't contaminate."""
-    judged = decontaminate.contamination(docs.select(F.struct(*docs.columns).alias("row"), "text"), table(spark, sf_dir, "benchmark"))
+    judged = decontaminate.contamination(docs.select(whole_row(docs).alias("row"), "text"), table(spark, sf_dir, "benchmark"))
     return judged.where(~F.col("hits.contaminated")).select("row.*")
 
 
