@@ -2,9 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
-
-from pyspark.sql import Column, Window
+from pyspark.sql import Column, Window, WindowSpec
 from pyspark.sql import functions as F
 
 
@@ -52,12 +50,12 @@ def top_size(n: Column, fraction: float) -> Column:
     return F.greatest(F.lit(1), F.bround(n * F.lit(fraction)).cast("int"))
 
 
-def trailing(rows: int, *partition: str, order: str = "date") -> "Window":
+def trailing(rows: int, *partition: str, order: str = "date") -> WindowSpec:
     """The window of the last ``rows`` rows, the current one included."""
     return Window.partitionBy(*partition).orderBy(order).rowsBetween(1 - rows, 0)
 
 
-def full(value: Column, counted: Column, rows: int, window) -> Column:
+def full(value: Column, counted: Column, rows: int, window: WindowSpec) -> Column:
     """``value`` over ``window`` where ``counted`` has at least ``rows`` non-null values."""
     return F.when(F.count(counted).over(window) >= rows, value)
 
@@ -89,6 +87,3 @@ def zscore(x: Column, *group: str) -> Column:
 def median_of(x: Column, *group: str) -> Column:
     return F.median(x).over(Window.partitionBy(*group))
 
-
-def columns(*names: str) -> Sequence[Column]:
-    return [F.col(n) for n in names]
