@@ -14,6 +14,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import let
+
 # Spellings that mean the same in a licence, in their order of application.
 SPELLINGS = (
     ("licence", "license"), ("sub-license", "sublicense"), ("sub license", "sublicense"), ("non-infringement", "noninfringement"),
@@ -24,6 +26,7 @@ SPELLINGS = (
 COPYRIGHT_LINE = r"(?m)^[^\p{L}\p{N}(\n]*(?:copyright|\(c\))[^\n]*(?:\(c\)|[0-9]{4})[^\n]*$"
 RIGHTS_LINE = r"(?m)^[^\p{L}\p{N}\n]*all rights reserved[^\p{L}\p{N}\n]*$"
 NOT_WORD = r"[^\p{L}\p{N}]+"
+NOT_WORD_OR_BREAK = r"[^\p{L}\p{N}\n]+"
 
 _AS_IS = (
     'THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, '
@@ -80,15 +83,20 @@ KNOWN = (
 )
 
 
-def canonical(text: Column) -> Column:
-    """The words of a text in lower case and common spelling, without copyright lines."""
+def _words(text: Column) -> Column:
+    """The words of every line in lower case and common spelling, without copyright lines."""
     spelt = reduce(lambda t, pair: F.replace(t, F.lit(pair[0]), F.lit(pair[1])), SPELLINGS, F.lower(text))
     plain = F.regexp_replace(F.regexp_replace(spelt, COPYRIGHT_LINE, ""), RIGHTS_LINE, "")
-    return F.trim(F.regexp_replace(plain, NOT_WORD, " "))
+    return F.regexp_replace(plain, NOT_WORD_OR_BREAK, " ")
 
 
-def digest(text: Column) -> Column:
-    return F.sha2(canonical(text), 256)
+def _joined(words: Column) -> Column:
+    return F.trim(F.regexp_replace(words, "[ \n]+", " "))
+
+
+def canonical(text: Column) -> Column:
+    """The words of a text in lower case and common spelling, without copyright lines."""
+    return _joined(_words(text))
 
 
 def licenses(docs: DataFrame, text: str = "text", key: str = "doc_id", known: tuple[tuple[str, str], ...] = KNOWN) -> DataFrame:
@@ -101,10 +109,14 @@ def licenses(docs: DataFrame, text: str = "text", key: str = "doc_id", known: tu
     """
     spark = docs.sparkSession
     table = spark.createDataFrame(list(known), "license_id string, known string")
-    table = table.select("license_id", digest(F.col("known")).alias("digest")).dropDuplicates(["digest"])
-    lines = F.transform(F.split(F.col(text), "\n"), lambda x, i: F.struct((i + 1).alias("line_no"), x.alias("entire")))
-    whole = F.array(F.struct(F.lit(None).cast("int").alias("line_no"), F.col(text).alias("entire")))
-    each = docs.where(F.col(text).isNotNull()).select(F.col(key), F.explode(F.concat(whole, lines)).alias("e"))
-    each = each.select(key, F.col("e.line_no").cast("long").alias("line_no"), digest(F.col("e.entire")).alias("digest"))
+    table = table.select("license_id", F.sha2(canonical(F.col("known")), 256).alias("digest")).dropDuplicates(["digest"])
+
+    def entire(words: Column) -> Column:
+        """The canonical whole text and lines: what is done to every character is done once."""
+        lines = F.transform(F.split(words, "\n"), lambda x, i: F.struct((i + 1).alias("line_no"), F.trim(x).alias("entire")))
+        return F.concat(F.array(F.struct(F.lit(None).cast("int").alias("line_no"), _joined(words).alias("entire"))), lines)
+
+    each = docs.where(F.col(text).isNotNull()).select(F.col(key), F.explode(let(_words(F.col(text)), entire)).alias("e"))
+    each = each.select(key, F.col("e.line_no").cast("long").alias("line_no"), F.sha2("e.entire", 256).alias("digest"))
     scope = F.when(F.col("line_no").isNull(), "text").otherwise("line")
     return each.join(F.broadcast(table), "digest").select(key, scope.alias("scope"), "line_no", "license_id")

@@ -7,11 +7,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import chat, decontaminate, html_extract, language_id, licenses, mixing, quality_model, quality_rules, simhash, token_counts
-from .common import remainder, table
+from .common import remainder, spread, table
 
 
 def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    docs = spread(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return token_counts.token_counts(docs, public_tokenizers.path("byte_bpe_50k.json"))
 
 
@@ -42,7 +42,7 @@ SELECT doc_id, scope, line_no, license_id FROM (SELECT *, sha256({_canonical_sql
 
 
 def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    docs = spread(table(spark, sf_dir, "documents").select("doc_id", "lang", "text"))
     held_out = F.coalesce(remainder(F.col("doc_id"), 4) == 2, F.lit(False))
     net = language_id.fit(docs.where(~held_out).select("doc_id", "lang", "text"))
     found = language_id.identify(docs.select("doc_id", "text"), net)
@@ -69,7 +69,7 @@ FROM shown GROUP BY conv_id, part
 
 
 def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = simhash.near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    found = simhash.near_duplicates(spread(table(spark, sf_dir, "documents").select("doc_id", "text")))
     return found.select("doc_id", simhash.as_hex(F.col("fp")).alias("fingerprint"), "component_id")
 
 
@@ -118,7 +118,7 @@ def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
-    judged = decontaminate.contamination(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark"))
+    judged = decontaminate.contamination(spread(table(spark, sf_dir, "documents").select("doc_id", "text")), table(spark, sf_dir, "benchmark"))
     return judged.select("doc_id", "hits.n_words", "hits.n_hit", "hits.n_items", "hits.items_sha256", "hits.contaminated")
 
 
@@ -139,13 +139,13 @@ FROM d LEFT JOIN hits USING (row) LEFT JOIN items USING (row)
 """
 
 def op8_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pages = table(spark, sf_dir, "pages").select("page_id", "url", "html")
+    pages = spread(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
     found = html_extract.main_text(pages, html_extract.fit(pages))
     return found.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
 
 
 def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    docs = spread(table(spark, sf_dir, "documents").select("doc_id", "text"))
     held_out = F.coalesce(remainder(F.col("doc_id"), 3) == 1, F.lit(False))
     labels = table(spark, sf_dir, "labels").select("doc_id", "quality").where(~held_out)
     found = quality_model.score(docs, quality_model.fit(docs, labels))
