@@ -13,7 +13,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import calendar, crosssec, intervals, returns
-from ..sources import contracts
+from ..session import scratch
+from ..sources import contracts, io
 
 HORIZON, YEAR, QUARTER, MONTH = 13, 52, 13, 4
 MIN_PRICE, MIN_DOLLAR_VOLUME, WINDOW = 1_000.0, 75_000.0, 20
@@ -33,8 +34,16 @@ def rounded(df: DataFrame) -> DataFrame:
     return df.select(*(r(F.col(f"`{n}`")).alias(n) if t == "double" else F.col(f"`{n}`") for n, t in df.dtypes))
 
 
+#: (application, folder, contract) -> where its table is staged.
+_staged: dict[tuple[str, str, str], str] = {}
+
+
 class Data:
-    """The contracts over one folder of tables."""
+    """The contracts over one folder of tables.
+
+    Prices, the calendar and facts are read many times by most queries, so each is built once a
+    session, as a table in the shared folder, and read from there.
+    """
 
     def __init__(self, spark: SparkSession, sf_dir: str):
         self.spark, self.dir = spark, sf_dir
@@ -42,9 +51,15 @@ class Data:
     def table(self, name: str) -> DataFrame:
         return contracts.table(self.spark, self.dir, name)
 
+    def _table(self, name: str, build: Callable[[], DataFrame]) -> DataFrame:
+        key = (self.spark.sparkContext.applicationId, self.dir, name)
+        if key not in _staged or not io.exists(self.spark, _staged[key]):
+            _staged[key] = io.put(build(), scratch(self.spark), "contracts", name)
+        return self.spark.read.parquet(_staged[key])
+
     @cached_property
     def weekly(self) -> DataFrame:
-        return contracts.prices(self.spark, self.dir)
+        return self._table("weekly", lambda: contracts.prices(self.spark, self.dir).sortWithinPartitions("ticker", "date"))
 
     @cached_property
     def daily(self) -> DataFrame:
@@ -52,15 +67,15 @@ class Data:
 
     @cached_property
     def market(self) -> DataFrame:
-        return contracts.benchmark(self.spark, self.dir)
+        return self._table("market", lambda: contracts.benchmark(self.spark, self.dir))
 
     @cached_property
     def calendar(self) -> DataFrame:
-        return calendar.sessions(self.weekly)
+        return self._table("calendar", lambda: calendar.sessions(self.weekly))
 
     @cached_property
     def rebalances(self) -> DataFrame:
-        return calendar.month_ends(self.calendar)
+        return self._table("rebalances", lambda: calendar.month_ends(self.calendar))
 
     @cached_property
     def sectors(self) -> DataFrame:
@@ -68,7 +83,7 @@ class Data:
 
     @cached_property
     def facts(self) -> DataFrame:
-        return contracts.facts(self.spark, self.dir)
+        return self._table("facts", lambda: contracts.facts(self.spark, self.dir).sortWithinPartitions("ticker", "filed"))
 
     @cached_property
     def log(self) -> DataFrame:

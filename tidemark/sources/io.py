@@ -20,10 +20,13 @@ def get(spark: SparkSession, root: str, namespace: str, key: str) -> DataFrame:
     return spark.read.parquet(f"{root}/{namespace}/{key}.parquet")
 
 
+def exists(spark: SparkSession, path: str) -> bool:
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return bool(at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(at))
+
+
 def has(spark: SparkSession, root: str, namespace: str, key: str) -> bool:
-    jvm = spark.sparkContext._jvm
-    path = jvm.org.apache.hadoop.fs.Path(f"{root}/{namespace}/{key}.parquet")
-    return bool(path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(path))
+    return exists(spark, f"{root}/{namespace}/{key}.parquet")
 
 
 def scan_prices(prices: DataFrame, tickers: DataFrame, start, columns: Sequence[str]) -> DataFrame:
