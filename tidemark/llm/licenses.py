@@ -102,7 +102,7 @@ def canonical(text: Column) -> Column:
 def licenses(docs: DataFrame, text: str = "text", key: str = "doc_id", known: tuple[tuple[str, str], ...] = KNOWN) -> DataFrame:
     """One row of ``key``, ``scope``, ``line_no`` and ``license_id`` for each entire text found.
 
-    ``scope`` is ``text`` for a whole document (``line_no`` null) or ``line`` for a line of one,
+    ``scope`` is ``text`` for a whole document (``line_no`` 0) or ``line`` for a line of one,
     numbered from 1.  Null, empty and merely punctuated texts match nothing.  Repeated rows are
     found once each; a licence listed in two spellings counts once.  Other columns are not read,
     and an empty table gives an empty table.
@@ -114,9 +114,9 @@ def licenses(docs: DataFrame, text: str = "text", key: str = "doc_id", known: tu
     def entire(words: Column) -> Column:
         """The canonical whole text and lines: what is done to every character is done once."""
         lines = F.transform(F.split(words, "\n"), lambda x, i: F.struct((i + 1).alias("line_no"), F.trim(x).alias("entire")))
-        return F.concat(F.array(F.struct(F.lit(None).cast("int").alias("line_no"), _joined(words).alias("entire"))), lines)
+        return F.concat(F.array(F.struct(F.lit(0).alias("line_no"), _joined(words).alias("entire"))), lines)
 
     each = docs.where(F.col(text).isNotNull()).select(F.col(key), F.explode(let(_words(F.col(text)), entire)).alias("e"))
     each = each.select(key, F.col("e.line_no").cast("long").alias("line_no"), F.sha2("e.entire", 256).alias("digest"))
-    scope = F.when(F.col("line_no").isNull(), "text").otherwise("line")
+    scope = F.when(F.col("line_no") == 0, "text").otherwise("line")
     return each.join(F.broadcast(table), "digest").select(key, scope.alias("scope"), "line_no", "license_id")

@@ -36,8 +36,8 @@ OP2_SQL = f"""
 WITH known AS (SELECT DISTINCT license_id, sha256({_canonical_sql("entire")}) AS digest
                FROM (VALUES {", ".join(f"({_quoted(a)}, {_quoted(b)})" for a, b in licenses.KNOWN)}) AS v(license_id, entire)),
 lines AS (SELECT doc_id, 'line' AS scope, unnest(range(1, len(string_split(text, chr(10))) + 1)) AS line_no, unnest(string_split(text, chr(10))) AS entire FROM documents),
-entire AS (SELECT doc_id, 'text' AS scope, NULL::BIGINT AS line_no, text AS entire FROM documents UNION ALL SELECT * FROM lines)
-SELECT doc_id, scope, line_no, license_id FROM (SELECT *, sha256({_canonical_sql("entire")}) AS digest FROM entire) JOIN known USING (digest)
+entire AS (SELECT doc_id, 'text' AS scope, 0::BIGINT AS line_no, text AS entire FROM documents WHERE text IS NOT NULL UNION ALL SELECT * FROM lines)
+SELECT doc_id, scope, line_no::BIGINT AS line_no, license_id FROM (SELECT *, sha256({_canonical_sql("entire")}) AS digest FROM entire) JOIN known USING (digest)
 """
 
 
