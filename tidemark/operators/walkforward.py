@@ -143,7 +143,7 @@ def boosted_trees(panel: DataFrame, features: Sequence[str], target: str, train:
 
 
 def fold_report(predictions: DataFrame, target: str) -> DataFrame:
-    """fold (null: pooled over all dates) and the IC summary."""
+    """fold (0: pooled over all dates) and the IC summary."""
     ics = information_coefficients(predictions, "pred", target, ("fold", "date"))
-    pooled = ic_summary(ics).select(F.lit(None).cast("int").alias("fold"), "*")
+    pooled = ic_summary(ics).select(F.lit(0).alias("fold"), "*")
     return ic_summary(ics, "fold").unionByName(pooled)

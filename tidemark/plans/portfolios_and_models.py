@@ -296,7 +296,7 @@ def m4(d: Data):
     return walkforward.boosted_trees(rows, MODEL_FEATURES, "excess_median", own.where("role = 'train'"), own.where("role = 'test'"))
 
 
-@query("M5", f"""SELECT fold::INTEGER AS fold, {SUMMARY} FROM gics GROUP BY fold UNION ALL SELECT NULL::INTEGER, {SUMMARY} FROM gics""", RIDGE | ic_sql("preds", "fold, date", "pred", "y"))
+@query("M5", f"""SELECT fold::INTEGER AS fold, {SUMMARY} FROM gics GROUP BY fold UNION ALL SELECT 0::INTEGER, {SUMMARY} FROM gics""", RIDGE | ic_sql("preds", "fold, date", "pred", "y"))
 def m5(d: Data):
     return walkforward.fold_report(m3(d), "excess_median")
 
