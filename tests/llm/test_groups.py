@@ -4,6 +4,9 @@ import re
 from collections import defaultdict
 
 import numpy as np
+import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 import pytest
 import xxhash
 
@@ -57,23 +60,56 @@ def test_near_duplicates_equal_brute_force(spark):
     assert sorted(r["doc_id"] for r in kept.collect()) == sorted(set(want))
 
 
-@pytest.mark.parametrize("long_run", [None, 24])
-def test_links_of_dense_groups(spark, monkeypatch, long_run):
-    if long_run:
-        monkeypatch.setattr(simhash, "CHUNK", 8)
-        # tasks fork before the patch reaches their module: read the cells here instead
+def dense_fingerprints():
     rng = np.random.default_rng(5)
     fps = [np.uint64(x) for x in rng.integers(0, 2**63, 60)]
     for weak in (rng.choice(64, 9, replace=False), rng.choice(64, 5, replace=False)):
         for mask in range(1 << len(weak)):
             fps.append(np.uint64(int(fps[0]) ^ sum(1 << int(b) for k, b in enumerate(weak) if mask >> k & 1)))
-    fps = np.unique(np.array(fps, np.uint64))
+    return np.unique(np.array(fps, np.uint64))
+
+
+def test_links_of_dense_groups(spark):
+    fps = dense_fingerprints()
     rows = spark.createDataFrame([(k, int(x)) for k, x in enumerate(fps.view(np.int64))], "doc_id long, fp long")
     want = brute_components(fps)
     place = {int(x): k for k, x in enumerate(fps.view(np.int64))}
     assert all(want[place[r["fp"]]] == r["component_id"] for r in simhash.near_duplicate_classes(rows).collect())
 
 
+@pytest.mark.parametrize(("long_run", "chunk", "batch"), [(16_384, 8_192, 10_000), (30, 24, 60)])
+def test_long_runs_are_dealt_out(monkeypatch, long_run, chunk, batch):
+    """Cells read in this process, with runs that count as long: members go out and meet again in pairs of chunks."""
+    monkeypatch.setattr(simhash, "LONG_RUN", long_run)
+    fps = dense_fingerprints()
+    masks = sum(simhash.cell_masks(), [])
+    rows = sorted((hash((m, int(e) & m)), int(f)) for m in masks for e, f in zip(simhash._embedding(fps), fps.view(np.int64), strict=True))
+    columns = [np.array(c, np.int64) for c in zip(*((c, f, f) for c, f in rows), strict=True)]
+    batches = [pa.RecordBatch.from_arrays([pa.array(c[k : k + batch]) for c in columns], ["cell", "fp", "label"]) for k in range(0, len(rows), batch)]
+    found = pa.Table.from_batches(list(simhash._read_cells(iter(batches))))
+    pairs = found.filter(pc.is_null(found["at"])).select(["a", "b"]).to_pandas()
+    members = found.filter(pc.is_valid(found["at"])).to_pandas()
+    assert bool(len(members)) == (long_run < 16_384)
+    for _, run in members.groupby("a"):
+        assert sorted(run["at"]) == list(range(len(run)))
+        of = (run["at"] // chunk).astype(int)
+        for low in range(of.max() + 1):
+            for high in range(low, of.max() + 1):
+                pairs = pd.concat([pairs, simhash._pair_links(run[of.isin([low, high])].rename(columns={"b": "fp"})[["fp", "label"]].reset_index(drop=True))])
+    roots = list(range(len(fps)))
+    place = {int(x): k for k, x in enumerate(fps.view(np.int64))}
+
+    def root(x):
+        while roots[x] != x:
+            x = roots[x]
+        return x
+
+    for a, b in pairs.drop_duplicates().itertuples(index=False):
+        x, y = root(place[int(a)]), root(place[int(b)])
+        roots[max(x, y)] = min(x, y)
+    assert [root(k) for k in range(len(fps))] == brute_components(fps)
+
+
 def test_manhattan_bound_and_cells():
     rng = np.random.default_rng(1)
     a = rng.integers(0, 2**63, 500, dtype=np.uint64)
