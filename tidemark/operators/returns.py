@@ -74,7 +74,7 @@ def event_returns(events: DataFrame, prices: DataFrame, calendar: DataFrame, hor
 
     Null if entry or horizon lie outside the calendar, or the name has no price by the entry or
     has stopped trading before it.  Of a name that stops within the horizon, before the calendar's
-    last session, the terminal price counts.
+    last session, the terminal price counts.  Events of names without any price are left out.
     """
     last_session = calendar.agg(F.max("session").alias("last_session"))
     rows = cal.offset(cal.offset(events, calendar, lag, on=on, to="entry"), calendar, horizon, on="entry", to="__target")
