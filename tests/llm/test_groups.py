@@ -178,6 +178,31 @@ def test_mixing(spark):
     assert mixing.mix(docs.limit(0), columns=["doc_id"]).count() == 0
 
 
+def test_mixing_through_bundles_of_shards(spark):
+    rng = np.random.default_rng(4)
+    rows = [(k, "w " * int(rng.integers(1, 200)), "hot" if rng.random() < 0.6 else "other") for k in range(4000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    found = mixing.mix(docs, columns=["doc_id", "source"], shard_rows=20, bundle=4).select("doc_id", "source", "mixed.*").collect()
+    assert len(found) == len(rows) and len({r["doc_id"] for r in found}) == len(rows)
+    for source in ("hot", "other"):
+        own = [r for r in found if r["source"] == source]
+        assert all(0 <= r["taken"] <= 2 * r["size"] for r in own)
+        assert sum(r["taken"] for r in own) == pytest.approx(own[0]["target"], rel=0.01)
+
+
+def test_quotas_of_shards_add_up_to_those_of_sources(spark):
+    shards = [(0, k, 16 * (k % 7) + k % 3, 500) for k in range(50)] + [(1, k, 160, 3) for k in range(3)] + [(2, 0, 0, 0)]
+    table = spark.createDataFrame(shards, "rank int, shard long, words long, seats long")
+    one, several = ({(r["rank"], r["shard"]): r for r in mixing._shard_quotas(table, bundle).collect()} for bundle in (1000, 8))
+    for found in (one, several):
+        assert set(found) == {(rank, shard) for rank, shard, _, _ in shards}
+        for rank, seats in ((0, min(500, 2 * sum(-(-w // 16) for r, _, w, _ in shards if r == 0))), (1, 3), (2, 0)):
+            assert sum(r["quota"] for (k, _), r in found.items() if k == rank) == seats
+        assert all(r["quota"] <= 2 * r["blocks"] for r in found.values())
+    direct = mixing.sainte_lague([w for r, _, w, _ in shards if r == 0], 500, [2 * -(-w // 16) for r, _, w, _ in shards if r == 0])
+    assert [one[0, k]["quota"] for k in range(50)] == direct
+
+
 def test_sainte_lague_gives_the_highest_quotients():
     rng = np.random.default_rng(9)
     for _ in range(200):

@@ -8,7 +8,8 @@ start, every block once or twice at most evenly.  Which blocks are taken has a c
 table of blocks is ever made.
 
 Shards hold about ``SHARD_ROWS`` documents, however many a source has, so a source with a third
-of all rows is spread over as many tasks as it needs.
+of all rows is spread over as many tasks as it needs.  A source's blocks go to bundles of
+``BUNDLE`` shards first and from there to shards, so no task holds the totals of all its shards.
 """
 
 from __future__ import annotations
@@ -20,7 +21,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import n_words, whole_row
+from .common import checkpointed, n_words, whole_row
 
 #: Relative weights of the sources in code point order, null last, repeating.
 WEIGHTS = (3.0, 1.0, 2.0)
@@ -30,6 +31,8 @@ TOTAL, MOST = 1.5, 2.0
 BLOCK = 16
 #: Documents in a shard, about.
 SHARD_ROWS = 2_000
+#: Shards in a bundle: a task apportions among so many, or among a source's bundles.
+BUNDLE = 2_048
 #: Distinct sources, whose totals the driver holds (a few dozen bytes each).
 MOST_SOURCES = 1_000_000
 
@@ -77,12 +80,23 @@ def targets(sizes: Sequence[int], weights: Sequence[float] = WEIGHTS, total: flo
     return found
 
 
-def _quotas(shards: pd.DataFrame) -> pd.DataFrame:
-    """One source's shards with their quotas; one row for about ``SHARD_ROWS`` documents."""
-    shards = shards.sort_values("shard", ignore_index=True)
-    blocks = -(-shards["words"] // BLOCK)
-    quota = sainte_lague(shards["words"].tolist(), int(shards["seats"].iloc[0]), (2 * blocks).tolist())
-    return shards.assign(blocks=blocks, quota=quota)[["rank", "shard", "blocks", "quota"]]
+def _quotas(parts: pd.DataFrame) -> pd.DataFrame:
+    """Parts (rank, part, words, most) with their share ``quota`` of the ``seats`` they have together."""
+    parts = parts.sort_values("part", ignore_index=True)
+    quota = sainte_lague(parts["words"].tolist(), int(parts["seats"].iloc[0]), parts["most"].tolist())
+    return parts.assign(quota=quota)[["rank", "part", "quota"]]
+
+
+def _shard_quotas(shards: DataFrame, bundle: int) -> DataFrame:
+    """Shards (rank, shard, words, seats of their source) with their ``blocks`` and ``quota``."""
+    blocks = F.ceil(F.col("words") / BLOCK)
+    shards = shards.withColumn("blocks", blocks).withColumn("bundle", F.floor(F.col("shard") / bundle))
+    bundles = shards.groupBy("rank", "bundle").agg(F.sum("words").alias("words"), F.sum(2 * F.col("blocks")).alias("most"), F.first("seats").alias("seats"))
+    shape = "rank int, part long, quota long"
+    of_bundle = bundles.withColumnRenamed("bundle", "part").groupBy("rank").applyInPandas(_quotas, shape).select("rank", F.col("part").alias("bundle"), F.col("quota").alias("given"))
+    parts = shards.join(of_bundle, ["rank", "bundle"]).select("rank", "bundle", F.col("shard").alias("part"), "words", (2 * F.col("blocks")).alias("most"), F.col("given").alias("seats"))
+    of_shard = parts.groupBy("rank", "bundle").applyInPandas(_quotas, shape)
+    return shards.select("rank", "shard", "blocks").join(of_shard.withColumnRenamed("part", "shard"), ["rank", "shard"])
 
 
 def _taken_before(words: Column, blocks: Column, quota: Column, start: Column) -> Column:
@@ -97,7 +111,7 @@ def _taken_before(words: Column, blocks: Column, quota: Column, start: Column) -
     return chosen(whole) * BLOCK + F.pmod(words, F.lit(BLOCK)) * (chosen(whole + 1) - chosen(whole))
 
 
-def mix(docs: DataFrame, text: str = "text", source: str = "source", key: str = "doc_id", seed: int = 7, columns: Sequence[str] | None = None) -> DataFrame:
+def mix(docs: DataFrame, text: str = "text", source: str = "source", key: str = "doc_id", seed: int = 7, columns: Sequence[str] | None = None, shard_rows: int = SHARD_ROWS, bundle: int = BUNDLE) -> DataFrame:
     """``columns`` of ``docs`` (default: all) with a struct ``mixed`` of size, source_size, target and taken.
 
     ``size`` is the row's words, ``taken`` the words the mix takes of it, repeats counted: from 0
@@ -117,14 +131,14 @@ def mix(docs: DataFrame, text: str = "text", source: str = "source", key: str =
     want = targets(sizes)
     seats = sainte_lague(want, round(sum(want) / BLOCK), [2 * -(-w // BLOCK) for w in sizes])
     table = docs.sparkSession.createDataFrame(
-        [(r.source, k, r.words, want[k], seats[k], max(1, -(-r.n // SHARD_ROWS))) for k, r in enumerate(found)],
+        [(r.source, k, r.words, want[k], seats[k], max(1, -(-r.n // shard_rows))) for k, r in enumerate(found)],
         "source string, rank int, source_size long, target double, seats long, n_shards long",
     )
     at = base.join(F.broadcast(table), base["source"].eqNullSafe(table["source"])).drop("source")
     order = F.xxhash64(F.lit(seed), F.coalesce(F.col("key"), F.lit("")))
     at = at.withColumn("order", order).withColumn("shard", F.pmod(F.xxhash64(F.lit(seed + 1), "order"), "n_shards"))
-    shards = at.groupBy("rank", "shard").agg(F.sum("size").alias("words"), F.first("seats").alias("seats"))
-    quotas = shards.groupBy("rank").applyInPandas(_quotas, "rank int, shard long, blocks long, quota long")
+    shards = checkpointed(at.groupBy("rank", "shard").agg(F.sum("size").alias("words"), F.first("seats").alias("seats")))  # read three times
+    quotas = _shard_quotas(shards, bundle)
     line = Window.partitionBy("rank", "shard").orderBy("order", "key", "size")
     placed = at.withColumn("end", F.sum("size").over(line.rowsBetween(Window.unboundedPreceding, 0)))
     placed = placed.join(quotas, ["rank", "shard"])
