@@ -122,7 +122,9 @@ def mix(docs: DataFrame, text: str = "text", source: str = "source", key: str =
     """
     keep = list(docs.columns if columns is None else columns)
     base = docs.select(whole_row(docs.select(*(f"`{c}`" for c in keep))).alias("row"), F.col(source).alias("source"), F.col(key).cast("string").alias("key"), n_words(F.col(text)).alias("size"))
-    totals = docs.select(F.col(source).alias("source"), n_words(F.col(text)).alias("size")).groupBy("source").agg(F.sum("size").alias("words"), F.count("*").alias("n"))
+    if text not in keep:  # narrow rows: texts are read once
+        base = checkpointed(base)
+    totals = base.groupBy("source").agg(F.sum("size").alias("words"), F.count("*").alias("n"))
     found = totals.limit(MOST_SOURCES + 1).collect()
     if len(found) > MOST_SOURCES:
         raise ValueError(f"over {MOST_SOURCES} sources")
