@@ -139,10 +139,10 @@ def features(page: list[Block]) -> np.ndarray:
         for n in names:
             x[k, crc32(n.encode()) % PATHS] = 1
         words = text.split(" ")
-        for w in words[:64]:  # a bag of words; the text itself is kept whole
+        for w in words:
             x[k, PATHS + crc32(w.encode()) % WORDS] += 1
-        if len(words) > 1:
-            x[k, PATHS : PATHS + WORDS] /= np.sqrt(min(len(words), 64))
+        if len(words) > 1:  # a long block's bag is the mean of bags of 64 words
+            x[k, PATHS : PATHS + WORDS] /= np.sqrt(min(len(words), 64)) * max(1, len(words) / 64)
         stops = sum(text.count(c) for c in ".,;:!?")
         x[k, PATHS + WORDS :] = (np.log1p(len(words)) / 4, linked, min(1.0, stops / len(words)), k / len(page), "li" in names, names[-1:] == ("p",))
     return x
