@@ -96,6 +96,28 @@ def test_blocks():
     assert len(html_extract.blocks("<div>" * 3000 + "x")) == 1
 
 
+@pytest.mark.parametrize(
+    ("page", "want"),
+    [
+        ('<p>one <svg class="i"/> two</p><p>three</p>', ["one two", "three"]),
+        ("<p>one <svg/>two</p><p>three <svg><path/></svg>four</p>", ["one two", "three four"]),
+        ("<p>one <svg class=i/>two<p>three", ["one two", "three"]),
+        ("<p>where <math><mi>x</mi></math> is five</p>", ["where x is five"]),
+        ("<p><math><mi>x</mi><annotation>\\x</annotation></math> y <math/>z</p><p>w", ["x y z", "w"]),
+        ("<p>a <svg><title>t</title><desc>d</desc><text>b</text><text>c</text></svg> e <svg><title/><desc/></svg>f", ["a b c e f"]),
+        ("<p>a<p><template-item>b</template-item><p><title-x>c</title-x><p><object-card>d<p>e<p><title_x>f", ["a", "b", "c", "d", "e", "f"]),
+        ("<p>a<!-->b<!--->c<!-- x --!>d<!---->e", ["abcde"]),
+        ("<p>a <object data=x><b>b</b></object> <noscript>c</noscript>", ["a b c"]),
+        ("<p>a<template>b<template>c</template>d</template>e<p>f<template>g<p>h", ["ae", "f"]),
+        ("<p>a <select><option>b</select>c<p>d <select>e<p>f", ["a c", "d e", "f"]),
+        ("<TITLE\n>a</p></TITLE ><p>b<script>'</p>'</script\n>c<style>d", ["bc"]),
+        ("<svg><p>a</p><title>b</title><p>c", ["a", "c"]),
+    ],
+)
+def test_blocks_of_elements_that_hide_text(page, want):
+    assert [b[1] for b in html_extract.blocks(page)] == want
+
+
 @data
 def test_main_text(spark):
     pages = spark.read.parquet(f"{SF}/pages.parquet").select("page_id", "url", "html")

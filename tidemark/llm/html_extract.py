@@ -28,13 +28,19 @@ from pyspark.sql import types as T
 from .training import Adam, sigmoid
 
 TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)|<[!?][^>]*+>"
-    r"|<(?P<raw>script|style|noscript|template|title|textarea|select|svg|iframe|object|math)\b(?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+>.*?(?:</(?P=raw)\s*+>|\Z)"
-    r"|<(?P<end>/?)(?P<tag>[a-zA-Z][a-zA-Z0-9:-]*+)(?P<attrs>(?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>"
-    r"|<(?P<end2>/?)(?P<tag2>[a-zA-Z][a-zA-Z0-9:-]*+)(?P<attrs2>[^>]*+)>"
+    r"<!--(?:-?>|.*?(?:--!?>|\Z))|<[!?][^>]*+>"
+    r"|<(?P<end>/?)(?P<tag>[a-zA-Z][^\s/>]*+)(?P<attrs>(?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>"
+    r"|<(?P<end2>/?)(?P<tag2>[a-zA-Z][^\s/>]*+)(?P<attrs2>[^>]*+)>"
     r"|(?P<text>[^<]++|<)",
-    re.S | re.I,
+    re.S,
 )
+#: Elements whose content isn't markup: it ends at the end tag only, or with the page.
+RAW = {tag: re.compile(rf"</{tag}(?=[\s/>])[^>]*+>|\Z", re.I) for tag in ("script", "style", "title", "textarea", "iframe")}
+#: Elements whose content isn't shown as text; those of svg and math only inside these.
+UNSHOWN, FOREIGN_UNSHOWN = frozenset(("template", "select")), frozenset(("desc", "metadata", "defs", "symbol", "annotation", "annotation-xml"))
+#: Elements of other vocabularies, in which a tag may close itself, and those of theirs that stand apart from their neighbours.
+FOREIGN, APART = frozenset(("svg", "math")), frozenset(("text", "mtd"))
+UNQUOTED_END = re.compile(r"=\s*[^\s\"']+/\Z")
 ATTR = re.compile(r"\b(class|id|role|itemprop)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 NAME = re.compile(r"[a-z]+")
 #: Elements that open a block of their own.
@@ -57,7 +63,14 @@ Block = tuple[tuple[str, ...], str, float]
 
 
 def blocks(page: str | None) -> list[Block]:
-    """(path names, text, share of its characters in links) of each leaf block with text, in order."""
+    """(path names, text, share of its characters in links) of each leaf block with text, in order.
+
+    Text of svg, math, object and noscript counts as the inline text that it is.  Not read are
+    scripts, styles, titles, form fields, frames and templates (to the end of the page where they
+    have no end tag, as browsers do), closed lists of options, and descriptions and annotations
+    inside svg and math.
+    """
+    page = page or ""
     stack: list[tuple[str, tuple[str, ...]]] = []
     found: list[Block] = []
     parts: list[str] = []
@@ -73,9 +86,20 @@ def blocks(page: str | None) -> list[Block]:
             parts.clear()
         linked = 0
 
-    for m in TOKEN.finditer(page or ""):
+    ends: dict[str, int] = {}
+
+    def closed(tag: str, at: int) -> bool:
+        """Whether an end tag of ``tag`` follows."""
+        if tag not in ends:
+            ends[tag] = max((x.start() for x in re.finditer(rf"</{tag}(?=[\s/>])", page, re.I)), default=-1)
+        return ends[tag] >= at
+
+    foreign, unshown, depth, tokens = 0, "", 0, TOKEN.finditer(page)
+    while (m := next(tokens, None)) is not None:
         text = m["text"]
         if text is not None:
+            if unshown:
+                continue
             text = html.unescape(text)
             parts.append(text)
             if in_link:
@@ -85,6 +109,25 @@ def blocks(page: str | None) -> list[Block]:
         if not tag:
             continue
         ending, attrs = m["end"] or m["end2"], m["attrs"] or m["attrs2"] or ""
+        empty = attrs.endswith("/") and not UNQUOTED_END.search(attrs) and bool(foreign or tag in FOREIGN)
+        if tag in RAW and not ending and not empty:
+            tokens = TOKEN.finditer(page, RAW[tag].search(page, m.end()).end())
+            continue
+        if tag in FOREIGN and not empty:
+            foreign = max(0, foreign + (-1 if ending else 1))
+        if unshown:
+            if tag == unshown and not empty:
+                depth += -1 if ending else 1
+            if not depth or unshown in FOREIGN_UNSHOWN and not foreign:
+                unshown, depth = "", 0
+            continue
+        if not ending and not empty and (tag in UNSHOWN or foreign and tag in FOREIGN_UNSHOWN) and (tag == "template" or closed(tag, m.end())):
+            unshown, depth = tag, 1
+            continue
+        if tag in BLOCK:
+            foreign = 0
+        elif foreign and tag in APART:
+            parts.append(" ")
         if tag == "a":
             in_link = not ending
         elif tag in BREAKS:
