@@ -4,10 +4,11 @@ import hashlib
 import re
 from collections import Counter
 
+import duckdb
 import public_tokenizers
 import pytest
 
-from tidemark.llm import decontaminate, licenses, quality_rules, token_counts
+from tidemark.llm import decontaminate, licenses, quality_rules, queries, token_counts
 from tidemark.session import ship
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, ledger string, hits string"
@@ -91,6 +92,31 @@ def test_licences(spark):
     assert "Python" not in plan and "Arrow" not in plan
 
 
+def test_licences_of_whole_files(spark):
+    gpl = next(text for name, text in licenses.KNOWN if name == "GPL-3.0-only" and len(text) > 30_000)
+    standard = {name: text for name, text in licenses._standard() if len(text) > 300}
+    owner = "Copyright (c) 2020, Some Body\nAll rights reserved.\n\n"
+    body = {name: text for name, text in licenses.LISTED if len(text) > 500}
+    apache = standard["Apache-2.0"]
+    rows = [
+        (gpl, {"GPL-3.0-only", "GPL-3.0-or-later"}), (apache, {"Apache-2.0"}), (apache[: apache.index("APPENDIX")].strip(), {"Apache-2.0"}),
+        (apache.replace("[yyyy] [name of copyright owner]", "2020 Some Body"), {"Apache-2.0"}),
+        ("BSD 3-Clause License\n\n" + owner + body["BSD-3-Clause"], {"BSD-3-Clause"}), ("BSD 2-Clause License\n\n" + owner + body["BSD-2-Clause"].replace("1. ", "* ").replace("2. ", "* "), {"BSD-2-Clause"}),
+        ("ISC License\n\n" + owner + body["ISC"], {"ISC"}), ("The MIT License (MIT)\n\n" + owner + body["MIT"].removeprefix("MIT License "), {"MIT"}),
+        ("zlib License\n\n(C) 2020 Some Body\n\n" + standard["Zlib"].partition("\n")[2], {"Zlib"}),
+        *((standard[n], {n}) for n in ("Unlicense", "BSL-1.0", "MPL-2.0", "CC0-1.0", "CC-BY-SA-4.0")), (standard["LGPL-2.1-only"], {"LGPL-2.1-only", "LGPL-2.1-or-later"}),
+        ("/*\n * " + next(t for n, t in licenses._standard() if n == "GPL-3.0-or-later" and t.lstrip().startswith("This program")).replace("\n", "\n * ") + "/", {"GPL-3.0-or-later"}),
+    ]
+    docs = spark.createDataFrame([(k, text) for k, (text, _) in enumerate(rows)], "doc_id long, text string")
+    found = [tuple(r) for r in licenses.licenses(docs).collect()]
+    for k, (text, want) in enumerate(rows):
+        assert {r[3] for r in found if r[:2] == (k, "text")} == want, text[:60]
+    con = duckdb.connect()
+    con.register("given", docs.toPandas())
+    con.execute("CREATE TABLE documents AS SELECT * FROM given")
+    assert sorted(con.execute(queries.OP2_SQL).fetchall()) == sorted(found)
+
+
 ITEM_WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 
 

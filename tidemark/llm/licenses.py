@@ -3,13 +3,16 @@
 A text is made canonical (case, copyright lines, equivalent spellings, punctuation and white
 space), digested, and hash-joined to the digests of known licence texts and notices, which go
 through the same expression.  Looked up are whole documents and every line of them, each as an
-entire text.  The known table is a fixed list of a few dozen rows, so it is broadcast and no
-document is shuffled.
+entire text.  The known table is a fixed list of some two hundred rows, so its digests are broadcast and
+no document is shuffled.
 """
 
 from __future__ import annotations
 
+import re
+from collections.abc import Iterator
 from functools import reduce
+from importlib.resources import files
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -49,8 +52,8 @@ _BSD_BODY = (
     "EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND "
     "ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE."
 )
-# Public licence texts and customary notices, by SPDX identifier.
-KNOWN = (
+# Short licence texts and customary notices, by SPDX identifier.
+LISTED = (
     ("MIT", "Released under the MIT License."),
     ("MIT", "Licensed under the MIT License."),
     ("MIT", "This project is licensed under the MIT License."),
@@ -82,6 +85,50 @@ KNOWN = (
     ("CC0-1.0", "To the extent possible under law, the author has waived all copyright and related or neighboring rights to this work."),
 )
 
+#: Customary title lines of texts that have none of their own.
+TITLES = {
+    "MIT": ("MIT License", "The MIT License", "The MIT License (MIT)", "MIT License (MIT)", "MIT"),
+    "ISC": ("ISC License", "The ISC License", "ISC License (ISC)", "The ISC License (ISC)", "ISC"),
+    "0BSD": ("BSD Zero Clause License", "Zero-Clause BSD", "Zero-Clause BSD License", "BSD 0-Clause License", "0BSD"),
+    "BSD-2-Clause": ("BSD 2-Clause License", "The BSD 2-Clause License", "The 2-Clause BSD License", 'BSD 2-Clause "Simplified" License', "Simplified BSD License", "The BSD License", "BSD License", "BSD-2-Clause"),
+    "BSD-3-Clause": ("BSD 3-Clause License", "The BSD 3-Clause License", "The 3-Clause BSD License", 'BSD 3-Clause "New" or "Revised" License', "New BSD License", "Revised BSD License", "Modified BSD License", "The BSD License", "BSD License", "BSD-3-Clause"),
+    "Unlicense": ("The Unlicense", "Unlicense"),
+    "Zlib": ("zlib License", "The zlib License", "zlib/libpng License", "The zlib/libpng License"),
+    "BSL-1.0": (),
+}
+APPENDIX = re.compile(r"^[ ]*(?:APPENDIX: How to apply|(?:Appendix: )?How to Apply These Terms)", re.M | re.I)
+BLANK_OWNER = re.compile(r"^[ ]*Copyright [\[{<]yyyy.*$", re.M)
+NUMBERED = re.compile(r"\b[1-4]\. (?=Redistributions|Neither)")
+
+
+def _standard() -> Iterator[tuple[str, str]]:
+    """(license_id, text) of the files in ``license_texts``: a file is named for all ids that its text stands for, joined by ``+``; what follows ``@`` tells versions apart."""
+    for file in sorted(files(__package__).joinpath("license_texts").iterdir(), key=lambda f: f.name):
+        text = file.read_text(encoding="utf-8")
+        for name in file.name.removesuffix(".txt").partition("@")[0].split("+"):
+            yield name, text
+
+
+def _variants(name: str, text: str) -> Iterator[tuple[str, str]]:
+    """A text as it is, and in the other forms in which it is customarily given."""
+    appendix = APPENDIX.search(text)
+    bodies = [text, BLANK_OWNER.sub("", text), *([text[: appendix.start()]] if appendix else [])]
+    bodies += [re.sub(r"\s*END OF TERMS AND CONDITIONS\s*\Z", "\n", b) for b in bodies]
+    if name in ("BSD-2-Clause", "BSD-3-Clause"):
+        bodies.append(NUMBERED.sub("", text))
+    elif name in ("ISC", "0BSD"):
+        bodies.append(text.replace("and/or distribute", "and distribute"))
+    elif name == "BSL-1.0":
+        bodies.append(text.partition("\n")[2])
+    for body in dict.fromkeys(bodies):
+        yield name, body
+        if len(text) > 300:
+            yield from ((name, f"{title}\n\n{body}") for title in TITLES.get(name, ()))
+
+
+#: (license_id, text) of all that is looked for; another table of this form can be given.
+KNOWN = tuple(dict.fromkeys(v for name, text in (*LISTED, *_standard()) for v in _variants(name, text)))
+
 
 def _words(text: Column) -> Column:
     """The words of every line in lower case and common spelling, without copyright lines."""
@@ -104,12 +151,13 @@ def licenses(docs: DataFrame, text: str = "text", key: str = "doc_id", known: tu
 
     ``scope`` is ``text`` for a whole document (``line_no`` 0) or ``line`` for a line of one,
     numbered from 1.  Null, empty and merely punctuated texts match nothing.  Repeated rows are
-    found once each; a licence listed in two spellings counts once.  Other columns are not read,
+    found once each; a licence listed in two spellings counts once, and a text that stands for
+    several licences (the GPL alone or with later versions) gives a row for each.  Other columns are not read,
     and an empty table gives an empty table.
     """
     spark = docs.sparkSession
     table = spark.createDataFrame(list(known), "license_id string, known string")
-    table = table.select("license_id", F.sha2(canonical(F.col("known")), 256).alias("digest")).dropDuplicates(["digest"])
+    table = table.select("license_id", F.sha2(canonical(F.col("known")), 256).alias("digest")).distinct()
 
     def entire(words: Column) -> Column:
         """The canonical whole text and lines: what is done to every character is done once."""
