@@ -139,3 +139,25 @@ def test_nested_ridge_and_trees(spark, folds_data):
     train, test = (plan.where(F.col("fold") == 4).where(F.col("role") == role) for role in ("train", "test"))
     predicted = walkforward.boosted_trees(panel, ["f_signal"], "target", train, test, trees=5)
     assert evalstats.ic_summary(evalstats.information_coefficients(predicted, "pred", "target")).first()["mean_ic"] > 0.3
+
+
+def test_grids_cover_every_fold_and_setting(spark, folds_data):
+    panel, _, plan = folds_data
+    features, alphas = ["f_signal", "f_noise"], (1.0, 1000.0)
+    given, roles = panel.fillna(0.0, subset=features).toPandas(), plan.toPandas()
+    ridges = walkforward.ridge_grid(panel, features, "target", plan, alphas).toPandas()
+    trees = walkforward.boosted_grid(panel, features, "target", plan, (2, 3), (1, 50), trees=2).toPandas()
+    folds = sorted(roles["fold"].unique())
+    assert len(folds) > 1
+    for fold in folds:
+        train, test = (given[given["date"].isin(roles[(roles["fold"] == fold) & (roles["role"] == role)]["date"])] for role in ("train", "test"))
+        train = train[train["target"].notna()]
+        x, y = train[features].to_numpy(), train["target"].to_numpy()
+        for alpha in alphas:
+            w = np.linalg.solve((x - x.mean(0)).T @ (x - x.mean(0)) + alpha * np.eye(2), (x - x.mean(0)).T @ (y - y.mean()))
+            want = {(r.date, r.ticker): y.mean() + (np.array([getattr(r, f) for f in features]) - x.mean(0)) @ w for r in test.itertuples()}
+            own = ridges[(ridges["fold"] == fold) & (ridges["alpha"] == alpha)]
+            assert len(own) == len(want) and np.allclose(own["pred"], [want[r.date, r.ticker] for r in own.itertuples()])
+        for depth, least in ((2, 1), (2, 50), (3, 1), (3, 50)):
+            own = trees[(trees["fold"] == fold) & (trees["depth"] == depth) & (trees["least"] == least)]
+            assert set(zip(own["date"], own["ticker"], strict=True)) == set(zip(test["date"], test["ticker"], strict=True)) and own["pred"].notna().all()

@@ -7,6 +7,7 @@ in Spark, and every fold and penalty is a sum of dates and a small driver-side s
 from __future__ import annotations
 
 from collections.abc import Iterable, Sequence
+from functools import reduce
 
 import numpy as np
 from pyspark.ml.feature import VectorAssembler
@@ -96,6 +97,17 @@ def evaluate_ridge(panel: DataFrame, features: Sequence[str], target: str, plan:
     return _predict(panel, models, plan, features, target)
 
 
+def ridge_grid(panel: DataFrame, features: Sequence[str], target: str, plan: DataFrame, alphas: Sequence[float]) -> DataFrame:
+    """fold, date, ticker, target, pred, alpha: out-of-sample predictions of one ridge for each fold and penalty."""
+    rows, by_date = plan.collect(), _by_date(panel, features, target)
+    sums = {fold: sum(by_date[d] for d in _members(rows, fold, "train") if d in by_date) for fold in {r["fold"] for r in rows}}
+    each = [
+        _predict(panel, {fold: Ridge(own, len(features), a) for fold, own in sums.items() if np.ndim(own)}, plan, features, target).withColumn("alpha", F.lit(float(a)))
+        for a in alphas
+    ]
+    return reduce(DataFrame.unionByName, each)
+
+
 def nested_ridge(panel: DataFrame, features: Sequence[str], target: str, plan: DataFrame, calendar: DataFrame, alphas: Sequence[float], horizon: int, embargo: int, inner_folds: int = 3, inner_months: int = 24) -> tuple[DataFrame, DataFrame]:
     """Predictions and the chosen (fold, alpha, inner_ic): alpha is picked in inner folds of each outer training set.
 
@@ -134,16 +146,34 @@ def nested_ridge(panel: DataFrame, features: Sequence[str], target: str, plan: D
     return _predict(panel, models, plan, features, target), chosen
 
 
-def boosted_trees(panel: DataFrame, features: Sequence[str], target: str, train: DataFrame, test: DataFrame, depth: int = 3, trees: int = 20, rate: float = 0.1, seed: int = 7) -> DataFrame:
-    """date, ticker, target, pred of gradient-boosted trees fitted on ``train`` dates, for ``test`` dates."""
+def boosted_trees(panel: DataFrame, features: Sequence[str], target: str, train: DataFrame, test: DataFrame, depth: int = 3, trees: int = 20, rate: float = 0.1, seed: int = 7, least: int = 1, subset: str = "all") -> DataFrame:
+    """date, ticker, target, pred of gradient-boosted trees fitted on ``train`` dates, for ``test`` dates.
+
+    ``least`` rows stand in each leaf; ``subset`` is the share of features tried at a node.
+    """
     rows = VectorAssembler(inputCols=list(features), outputCol="__x").transform(imputed(panel.where(F.col(target).isNotNull()), features))
-    model = GBTRegressor(featuresCol="__x", labelCol=target, predictionCol="pred", maxDepth=depth, maxIter=trees, stepSize=rate, subsamplingRate=0.8, seed=seed)
+    model = GBTRegressor(featuresCol="__x", labelCol=target, predictionCol="pred", maxDepth=depth, maxIter=trees, stepSize=rate, subsamplingRate=0.8, seed=seed, minInstancesPerNode=least, featureSubsetStrategy=subset)
     fitted = model.fit(rows.join(train.select("date"), "date", "left_semi"))
     return fitted.transform(rows.join(test.select("date"), "date", "left_semi")).select("date", "ticker", target, "pred")
 
 
-def fold_report(predictions: DataFrame, target: str) -> DataFrame:
-    """fold (0: pooled over all dates) and the IC summary."""
-    ics = information_coefficients(predictions, "pred", target, ("fold", "date"))
-    pooled = ic_summary(ics).select(F.lit(0).alias("fold"), "*")
-    return ic_summary(ics, "fold").unionByName(pooled)
+def boosted_grid(panel: DataFrame, features: Sequence[str], target: str, plan: DataFrame, depths: Sequence[int], leasts: Sequence[int], trees: int = 20) -> DataFrame:
+    """fold, depth, least, date, ticker, target, pred: boosted trees of each fold and setting; one fit each."""
+    names = sorted(r["fold"] for r in plan.where("role = 'train'").select("fold").distinct().collect())
+    each = []
+    for fold in names:
+        train, test = (plan.where((F.col("fold") == fold) & (F.col("role") == role)) for role in ("train", "test"))
+        for depth in depths:
+            for least in leasts:
+                found = boosted_trees(panel, features, target, train, test, depth, trees, least=least, subset="0.7")
+                each.append(found.select(F.lit(fold).alias("fold"), F.lit(depth).alias("depth"), F.lit(least).alias("least"), "*"))
+    if not each:
+        raise ValueError("no folds: too few training dates")
+    return reduce(DataFrame.unionByName, each)
+
+
+def fold_report(predictions: DataFrame, target: str, *setting: str) -> DataFrame:
+    """fold (0: pooled over all dates) and the IC summary, of each setting."""
+    ics = information_coefficients(predictions, "pred", target, (*setting, "fold", "date"))
+    pooled = ic_summary(ics, *setting).select(F.lit(0).alias("fold"), "*")
+    return ic_summary(ics, *setting, "fold").unionByName(pooled)
