@@ -3,6 +3,7 @@
 import re
 from collections import defaultdict
 
+import duckdb
 import numpy as np
 import pandas as pd
 import pyarrow as pa
@@ -10,7 +11,7 @@ import pyarrow.compute as pc
 import pytest
 import xxhash
 
-from tidemark.llm import chat, components, mixing, simhash
+from tidemark.llm import chat, components, mixing, queries, simhash
 from tidemark.session import ship
 
 
@@ -238,3 +239,19 @@ def test_chat(spark):
     assert whole[5] == "".join(f"<|im_start|>{'user' if k % 2 == 0 else 'assistant'}\nturn {k}<|im_end|>\n" for k in range(700))
     assert whole[7] == "<|im_start|>user\na < |im_end|> b<|im_end|>\n" and whole[6] == "<|im_start|>unknown\n<|im_end|>\n"
     assert chat.render(table.limit(0)).count() == 0
+
+
+def test_chat_of_turns_with_the_same_number(spark):
+    rows = []
+    for k in range(12):  # the snapshot of one row is a prefix if that row comes first by role and text
+        a, b = (1, "assistant", f"answer {k}"), (1, "user", f"question {k}")
+        rows += [(10 * k + 1, *a), (10 * k + 2, *a), (10 * k + 2, *b), (10 * k + 3, *b)]
+        rows += [(10 * k + 4, 0, None, f"x {k}"), (10 * k + 5, 0, "user", f"x {k}"), (10 * k + 5, 0, None, f"x {k}")]
+        rows += [(10 * k + 6, 2, "user", None), (10 * k + 6, 2, "user", f"z {k}"), (10 * k + 7, 2, "user", f"z {k}")]
+    table = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    found = [tuple(r) for r in chat.render(table).collect()]
+    assert {r[0] for r in found} == brute_maximal(rows)
+    con = duckdb.connect()
+    con.execute("CREATE TABLE conversations (conv_id BIGINT, turn BIGINT, role VARCHAR, text VARCHAR)")
+    con.executemany("INSERT INTO conversations VALUES (?, ?, ?, ?)", rows)
+    assert sorted(con.execute(queries.OP4_SQL).fetchall()) == sorted(found)

@@ -26,11 +26,12 @@ def _hash(seed: int) -> Column:
 def maximal(turns: DataFrame) -> DataFrame:
     """``conv_id`` of the conversations (conv_id, turn, role, text) that prefix no longer one.
 
-    Of conversations with the same turns the smallest id stays.
+    Rows with the same turn number follow by role and text, nulls first.  Of conversations with
+    the same turns the smallest id stays.
     """
-    light = turns.select("conv_id", "turn", _hash(1).alias("h1"), _hash(2).alias("h2")).distinct()
+    light = turns.select("conv_id", "turn", "role", "text").distinct().withColumns({"h1": _hash(1), "h2": _hash(2)})
     light = light.withColumn("block", F.floor(F.coalesce("turn", F.lit(-1)) / BLOCK))
-    upto = Window.partitionBy("conv_id", "block").orderBy("turn", "h1", "h2").rowsBetween(Window.unboundedPreceding, 0)
+    upto = Window.partitionBy("conv_id", "block").orderBy("turn", "role", "text").rowsBetween(Window.unboundedPreceding, 0)
     inside = light.select("conv_id", "block", *(F.bit_xor(h).over(upto).alias(h) for h in ("h1", "h2")), F.count("*").over(upto).alias("k"))
     totals = light.groupBy("conv_id", "block").agg(F.bit_xor("h1").alias("b1"), F.bit_xor("h2").alias("b2"), F.count("*").alias("n"))
     earlier = Window.partitionBy("conv_id").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
