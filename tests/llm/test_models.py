@@ -118,6 +118,21 @@ def test_blocks_of_elements_that_hide_text(page, want):
     assert [b[1] for b in html_extract.blocks(page)] == want
 
 
+def test_pages_are_learned_whole(spark, monkeypatch):
+    path = html_extract.blocks('<div class="md:flex lg:px-8 text-gray-500 bg-white sidebar">x')[0][0]
+    assert ".sidebar" in path and html_extract.named_label(path) == 0
+    text = "word " * 300 + "tail, tail. " * 300
+    page = "<article>" + f"<p>{text}</p>" * 900 + "</article><footer>end</footer>"
+    given = []
+    monkeypatch.setattr(html_extract.BiLSTM, "train", lambda self, pages, labels: given.extend(zip(pages, labels, strict=True)))
+    html_extract.fit(spark.createDataFrame([(1, page)], "page_id long, html string"))
+    first = [(own, start, label) for (own, start), label in given if own is given[0][0][0]]
+    assert [(start, len(label)) for _, start, label in first] == [(0, 400), (400, 400), (800, 101)]
+    assert [x for _, _, label in first for x in label] == [1] * 900 + [0]
+    whole = html_extract.features([(n, html_extract.measures(t), link) for n, t, link in html_extract.blocks(page)])
+    assert np.array_equal(np.concatenate([html_extract.features(own, start, start + len(label)) for own, start, label in first]), whole)
+
+
 @data
 def test_main_text(spark):
     pages = spark.read.parquet(f"{SF}/pages.parquet").select("page_id", "url", "html")

@@ -56,10 +56,16 @@ PATHS, WORDS, MEASURES = 192, 32, 6
 INPUTS, HIDDEN = PATHS + WORDS + MEASURES, 16
 #: Pages to learn from (about), and varied copies of each.
 TRAIN_PAGES, COPIES = 240, 3
+#: Blocks that are learned from in one run; longer pages are dealt to several runs.
+RUN = 400
+#: Words at the start of a block, and of all pages, that blocks put into varied pages are made of.
+HEAD, VOCABULARY = 20, 50_000
 #: Blocks (with padding) that go through the network at once.
 GROUP_BLOCKS = 1 << 14
 
 Block = tuple[tuple[str, ...], str, float]
+#: A block with its measures in place of its text.
+Measured = tuple[tuple[str, ...], np.ndarray, float]
 
 
 def blocks(page: str | None) -> list[Block]:
@@ -146,7 +152,7 @@ def blocks(page: str | None) -> list[Block]:
                 names = [tag]
                 for kind, *values in ATTR.findall(attrs):
                     prefix = "#" if kind.lower() == "id" else "."
-                    names += [prefix + n for n in NAME.findall(next(filter(None, values), "").lower())[:8]]
+                    names += [prefix + n for n in NAME.findall(next(filter(None, values), "").lower())]
                 stack.append((tag, tuple(names)))
     close()
     return found
@@ -176,18 +182,26 @@ def named_label(names: tuple[str, ...]) -> int | None:
     return 1 if own & MAIN_NAMES else None
 
 
-def features(page: list[Block]) -> np.ndarray:
-    x = np.zeros((len(page), INPUTS), np.float32)
-    for k, (names, text, linked) in enumerate(page):
+def measures(text: str) -> np.ndarray:
+    """What the whole text of a block says: its bag of hashed words, their number (as a logarithm) and its share of stops."""
+    x, words = np.zeros(WORDS + 2, np.float32), text.split(" ")
+    for w in words:
+        x[crc32(w.encode()) % WORDS] += 1
+    if len(words) > 1:  # a long block's bag is the mean of bags of 64 words
+        x[:WORDS] /= np.sqrt(min(len(words), 64)) * max(1, len(words) / 64)
+    x[WORDS:] = np.log1p(len(words)) / 4, min(1.0, sum(text.count(c) for c in ".,;:!?") / len(words))
+    return x
+
+
+def features(page: list[Measured], start: int = 0, stop: int | None = None) -> np.ndarray:
+    """Inputs of a page's blocks, or of those from ``start`` to ``stop``; positions are those in the whole page."""
+    own = page[start:stop]
+    x = np.zeros((len(own), INPUTS), np.float32)
+    for k, (names, measured, linked) in enumerate(own):
         for n in names:
             x[k, crc32(n.encode()) % PATHS] = 1
-        words = text.split(" ")
-        for w in words:
-            x[k, PATHS + crc32(w.encode()) % WORDS] += 1
-        if len(words) > 1:  # a long block's bag is the mean of bags of 64 words
-            x[k, PATHS : PATHS + WORDS] /= np.sqrt(min(len(words), 64)) * max(1, len(words) / 64)
-        stops = sum(text.count(c) for c in ".,;:!?")
-        x[k, PATHS + WORDS :] = (np.log1p(len(words)) / 4, linked, min(1.0, stops / len(words)), k / len(page), "li" in names, names[-1:] == ("p",))
+        x[k, PATHS : PATHS + WORDS] = measured[:WORDS]
+        x[k, PATHS + WORDS :] = (measured[WORDS], linked, measured[WORDS + 1], (start + k) / len(page), "li" in names, names[-1:] == ("p",))
     return x
 
 
@@ -263,14 +277,14 @@ class BiLSTM:
                 group = []
         return found
 
-    def train(self, pages: list[np.ndarray], labels: list[np.ndarray], epochs: int = 6, batch: int = 24, rate: float = 5e-3, seed: int = 19) -> None:
-        """``labels``: 1, 0, or NaN where unknown."""
+    def train(self, pages: list[tuple[list[Measured], int]], labels: list[np.ndarray], epochs: int = 6, batch: int = 24, rate: float = 5e-3, seed: int = 19) -> None:
+        """``pages``: a page and the block at which a run of it begins; ``labels`` of the run: 1, 0, or NaN where unknown."""
         rng, p, adam = np.random.default_rng(seed), self.params, Adam(self.params, rate)
         for _ in range(epochs):
             order = rng.permutation(len(pages))
             for k in range(0, len(order), batch):
                 at = order[k : k + batch]
-                x, mask = self._pad([pages[d] for d in at])
+                x, mask = self._pad([features(pages[d][0], pages[d][1], pages[d][1] + len(labels[d])) for d in at])
                 y = np.full(mask.shape, np.nan, np.float32)
                 for place, d in enumerate(at):
                     y[: len(labels[d]), place] = labels[d]
@@ -293,18 +307,18 @@ INSIDE = ("div .ad", "aside .related ul li", "div .share", "div .advert p", "for
 AFTER = ("footer", "footer p", "section .comments p", "div .comments div .comment p", "div #comments p", "ul .comments li", "aside .sidebar p", "div .sidebar ul li", "div .sidebar p", "section #comments article .comment p", "form .comment label", "div .footer p", "div #footer", "div .related ul li", "div .comment .reply p", "aside h3", "section .comments h2")
 
 
-def vary(page: list[tuple[Block, int]], words: list[str], rng: Random) -> list[tuple[Block, int]]:
+def vary(page: list[tuple[Measured, int]], words: list[str], rng: Random) -> list[tuple[Measured, int]]:
     """A labelled page with its content container renamed and other parts put in."""
     to = tuple(rng.choice(CONTENT).split())
     base = ("html", "body")
 
-    def other(kinds: tuple[str, ...], inside: tuple[str, ...] = ()) -> list[tuple[Block, int]]:
+    def other(kinds: tuple[str, ...], inside: tuple[str, ...] = ()) -> list[tuple[Measured, int]]:
         names, n = tuple(rng.choice(kinds).split()), rng.choice((1, 1, 2, 3, 5))
         long = rng.random() < 0.5
         made = []
         for _ in range(n):
             text = " ".join(rng.choice(words) for _ in range(rng.randint(6, 60) if long else rng.randint(1, 6)))
-            made.append(((base + inside + names, text, 1.0 if "li" in names and rng.random() < 0.7 else 0.0), 0))
+            made.append(((base + inside + names, measures(text), 1.0 if "li" in names and rng.random() < 0.7 else 0.0), 0))
         return made
 
     kept = [(((base + to + (b[0][-1:] if b[0][-1:] in (("p",), ("h1",), ("h2",), ("li",), ("blockquote",)) else ()), b[1], b[2]), 1) if label else (b, 0)) for b, label in page]
@@ -325,36 +339,45 @@ def vary(page: list[tuple[Block, int]], words: list[str], rng: Random) -> list[t
 
 
 def _training_pages(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    kind = pa.schema([("order", pa.int64()), ("names", pa.list_(pa.string())), ("texts", pa.list_(pa.string())), ("links", pa.list_(pa.float32()))])
+    kind = pa.schema([("order", pa.int64()), ("names", pa.list_(pa.string())), ("heads", pa.list_(pa.string())), ("measured", pa.list_(pa.float32())), ("links", pa.list_(pa.float32()))])
     for batch in batches:
         rows = []
         for order, page in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-            found = blocks(page)[:400]  # of a page to learn from
-            rows.append({"order": order, "names": [" ".join(b[0]) for b in found], "texts": [b[1][:600] for b in found], "links": [b[2] for b in found]})
+            found = blocks(page)
+            heads = [" ".join(b[1].split(" ", HEAD)[:HEAD]) for b in found]
+            measured = np.concatenate([measures(b[1]) for b in found] or [np.zeros(0, np.float32)])
+            rows.append({"order": order, "names": [" ".join(b[0]) for b in found], "heads": heads, "measured": measured, "links": [b[2] for b in found]})
         yield pa.RecordBatch.from_pylist(rows, kind)
 
 
 def fit(pages: DataFrame, key: str = "page_id", source: str = "html", train_pages: int = TRAIN_PAGES) -> BiLSTM | None:
-    """A labeller learned from about ``train_pages`` pages; None if no page names its parts."""
+    """A labeller learned from about ``train_pages`` pages, read whole; None if no page names its parts.
+
+    Executors measure the blocks; of their text only the first ``HEAD`` words reach the driver.
+    """
     n = pages.count()
     order = F.pmod(F.xxhash64(F.lit(23), F.col(key)), F.lit(1_000_000))
     sample = pages.where(F.col(source).isNotNull() & (order < int(2 * train_pages / max(n, 1) * 1_000_000) + 1))
-    rows = sample.select(order.cast("long").alias("order"), F.col(source)).mapInArrow(_training_pages, "order long, names array<string>, texts array<string>, links array<float>")
-    found = sorted(rows.limit(8 * train_pages).collect(), key=lambda r: (r["order"], r["texts"]))[:train_pages]
-    labelled = []
+    rows = sample.select(order.cast("long").alias("order"), F.col(source)).mapInArrow(_training_pages, "order long, names array<string>, heads array<string>, measured array<float>, links array<float>")
+    found = sorted(rows.limit(8 * train_pages).collect(), key=lambda r: (r["order"], r["heads"], r["measured"]))[:train_pages]
+    labelled, heads = [], []
     for r in found:
-        page = [((tuple(n.split(" ")) if n else (), t, link), named_label(tuple(n.split(" ")))) for n, t, link in zip(r["names"], r["texts"], r["links"], strict=True)]
+        measured = np.array(r["measured"], np.float32).reshape(-1, WORDS + 2)
+        page = [((tuple(n.split(" ")) if n else (), t, link), named_label(tuple(n.split(" ")))) for n, t, link in zip(r["names"], measured, r["links"], strict=True)]
         if {x[1] for x in page} >= {0, 1}:
             labelled.append(page)
+            heads += r["heads"]
     if not labelled:
         return None
     rng, xs, ys = Random(29), [], []
-    words = [w for page in labelled for (b, label) in page for w in b[1].split(" ")[:20]][:50_000]
+    words = [w for head in heads for w in head.split(" ")][:VOCABULARY]
     for page in labelled:
         sure = [x for x in page if x[1] is not None]
         for made in [page, *(vary(sure, words, rng) for _ in range(COPIES))]:
-            xs.append(features([b for b, _ in made]))
-            ys.append(np.array([np.nan if label is None else label for _, label in made], np.float32))
+            whole, labels = [b for b, _ in made], np.array([np.nan if label is None else label for _, label in made], np.float32)
+            for start in range(0, len(whole), RUN):
+                xs.append((whole, start))
+                ys.append(labels[start : start + RUN])
     net = BiLSTM()
     net.train(xs, ys)
     return net
@@ -378,7 +401,7 @@ def main_text(pages: DataFrame, net: BiLSTM | None, source: str = "html", name:
             whole = batch.column(place).to_pylist()
             for k in range(0, len(whole), 128):
                 read = [blocks(p) for p in whole[k : k + 128]]
-                kept = own.probabilities([features(b) for b in read]) if own is not None else [np.ones(len(b)) for b in read]
+                kept = own.probabilities([features([(n, measures(t), link) for n, t, link in page]) for page in read]) if own is not None else [np.ones(len(b)) for b in read]
                 texts += ["\n".join(b[1] for b, p in zip(page, prob, strict=True) if p >= 0.5) for page, prob in zip(read, kept, strict=True)]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.string())], [*batch.schema.names, name])
 
