@@ -1,6 +1,6 @@
 """Mixing sources to target weights by Sainte-Laguë apportionment of equal-token blocks.
 
-A source's documents are dealt to shards by a hash of their id and laid end to end in each shard,
+A source's documents are dealt to shards by a hash of id and text and laid end to end in each shard,
 in a seeded order; every ``BLOCK`` words of that line are a block.  The blocks of the whole mix
 are allocated to sources, and each source's blocks to its shards, by highest quotients, so quotas
 are whole numbers.  Each shard then takes its quota of blocks, spread over the line from a seeded
@@ -17,6 +17,7 @@ from __future__ import annotations
 import heapq
 from collections.abc import Sequence
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -40,25 +41,61 @@ MOST_SOURCES = 1_000_000
 def sainte_lague(weights: Sequence[float], seats: int, most: Sequence[int]) -> list[int]:
     """Seats by highest quotients ``weight / (2 * seats + 1)``, none beyond its ``most``.
 
-    Ties go to the earlier party.  Seats that all quotients agree on are given at once by the
-    divisor that the rule is equivalent to; only the last few go one by one.
+    Ties go to the earlier party.  Highest quotients give every party the seats whose quotients
+    lie above some divisor; bisection finds one a few seats from the end, and those go one by one.
     """
-    given, total = [0] * len(weights), float(sum(weights))
-    if total <= 0 or seats <= 0:
-        return given
-    given = [min(m, max(0, int(w / total * seats) - 1)) for w, m in zip(weights, most, strict=True)]
-    # each party's next quotient; those given so far have larger ones than any that is left to give
-    worth = lambda k: weights[k] / (2 * given[k] + 1)
+    w, cap = np.asarray(weights, np.float64), np.asarray(most, np.int64)
+    cap = np.where(w > 0, cap, 0)
+    seats = min(seats, int(cap.sum()))
+    if seats <= 0:
+        return [0] * len(w)
+
+    def above(quotient: float) -> np.ndarray:
+        """Seats of each party whose quotients exceed ``quotient``: w / (2k + 1) > q."""
+        return np.minimum(cap, np.maximum(0, np.ceil(np.minimum((w / quotient - 1) / 2, 2.0**62))).astype(np.int64))
+
+    low, high = 0.0, float(w.max())  # no seat lies above the largest weight, all of them above nothing
+    for _ in range(200):
+        middle = (low + high) / 2
+        if middle in (low, high):
+            break
+        n = above(middle).sum(dtype=np.float64)
+        low, high = (low, middle) if n <= seats else (middle, high)
+        if seats - len(w) <= n <= seats:
+            break
+    given = above(high).tolist()
+    worth = lambda k, n: weights[k] / (2 * n + 1)
+    # rounding in ``above`` can be a seat off; nothing given is worth less than what is taken next
+    takes = [(-worth(k, given[k]), k) for k in range(len(w)) if given[k] < cap[k]]
+    gives = [(worth(k, given[k] - 1), -k) for k in range(len(w)) if given[k]]
+    heapq.heapify(takes)
+    heapq.heapify(gives)
     left = seats - sum(given)
-    heap = [(-worth(k), k) for k in range(len(weights)) if weights[k] > 0 and given[k] < most[k]]
-    heapq.heapify(heap)
-    while left > 0 and heap:
-        _, k = heapq.heappop(heap)
-        given[k] += 1
-        left -= 1
-        if given[k] < most[k]:
-            heapq.heappush(heap, (-worth(k), k))
-    return given
+
+    def step(k: int, by: int) -> None:
+        given[k] += by
+        if given[k] < cap[k]:
+            heapq.heappush(takes, (-worth(k, given[k]), k))
+        if given[k]:
+            heapq.heappush(gives, (worth(k, given[k] - 1), -k))
+
+    while True:
+        while takes and (given[k := takes[0][1]] >= cap[k] or -takes[0][0] != worth(k, given[k])):
+            heapq.heappop(takes)  # no longer what that party would take next
+        while gives and (not given[k := -gives[0][1]] or gives[0][0] != worth(k, given[k] - 1)):
+            heapq.heappop(gives)
+        if left > 0:
+            step(heapq.heappop(takes)[1], 1)
+            left -= 1
+        elif left < 0:
+            step(-heapq.heappop(gives)[1], -1)
+            left += 1
+        elif takes and gives and (-takes[0][0], -takes[0][1]) > (gives[0][0], gives[0][1]):
+            (_, to), (_, of) = heapq.heappop(takes), heapq.heappop(gives)
+            step(-of, -1)
+            step(to, 1)
+        else:
+            return given
 
 
 def targets(sizes: Sequence[int], weights: Sequence[float] = WEIGHTS, total: float = TOTAL, most: float = MOST) -> list[float]:
@@ -116,12 +153,13 @@ def mix(docs: DataFrame, text: str = "text", source: str = "source", key: str =
 
     ``size`` is the row's words, ``taken`` the words the mix takes of it, repeats counted: from 0
     to twice its size.  Rows without words take part with size 0.  A null source is a source of its
-    own, a null key hashes like any other.  Repeated rows are documents of their own that share a
-    place in the seeded order; which of them comes first makes no difference to the rows returned.
+    own.  The seeded order is that of a hash of key and text, so null or repeated keys are no hot
+    shard.  Repeated rows are documents of their own that share a place in it; which of them comes
+    first makes no difference to the rows returned.
     Reruns agree, whatever the partitioning.
     """
     keep = list(docs.columns if columns is None else columns)
-    base = docs.select(whole_row(docs.select(*(f"`{c}`" for c in keep))).alias("row"), F.col(source).alias("source"), F.col(key).cast("string").alias("key"), n_words(F.col(text)).alias("size"))
+    base = docs.select(whole_row(docs.select(*(f"`{c}`" for c in keep))).alias("row"), F.col(source).alias("source"), F.col(key).cast("string").alias("key"), F.xxhash64(text).alias("body"), n_words(F.col(text)).alias("size"))
     if text not in keep:  # narrow rows: texts are read once
         base = checkpointed(base)
     totals = base.groupBy("source").agg(F.sum("size").alias("words"), F.count("*").alias("n"))
@@ -137,7 +175,7 @@ def mix(docs: DataFrame, text: str = "text", source: str = "source", key: str =
         "source string, rank int, source_size long, target double, seats long, n_shards long",
     )
     at = base.join(F.broadcast(table), base["source"].eqNullSafe(table["source"])).drop("source")
-    order = F.xxhash64(F.lit(seed), F.coalesce(F.col("key"), F.lit("")))
+    order = F.xxhash64(F.lit(seed), F.coalesce(F.col("key"), F.lit("")), "body")
     at = at.withColumn("order", order).withColumn("shard", F.pmod(F.xxhash64(F.lit(seed + 1), "order"), "n_shards"))
     shards = checkpointed(at.groupBy("rank", "shard").agg(F.sum("size").alias("words"), F.first("seats").alias("seats")))  # read three times
     quotas = _shard_quotas(shards, bundle)
