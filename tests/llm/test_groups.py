@@ -1,5 +1,6 @@
 """Operators over groups: SimHash components, mixing, chat formatting."""
 
+import heapq
 import re
 from collections import defaultdict
 
@@ -10,6 +11,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 
 from tidemark.llm import chat, components, mixing, queries, simhash
 from tidemark.session import ship
@@ -138,6 +140,47 @@ def test_rows_without_ids(spark):
     assert simhash.one_of_each(docs.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("seed", range(3))
+def test_one_row_of_each_component(spark, seed):
+    """Shared ids, nameless rows, ties in everything but one column, repeated rows, clashing names: against brute force."""
+    rng = np.random.default_rng(seed)
+    texts = [None, "", "T t t t t", "T t t t t", *(" ".join(f"w{k}{j}" for j in range(12)) for k in range(6))]
+    texts += [texts[4] + " ", texts[5].upper()]
+    rows = [(int(i) if (i := rng.integers(-1, 6)) >= 0 else None, texts[rng.integers(0, len(texts))], [None, "a", "b"][rng.integers(0, 3)], [None, "a", "b"][rng.integers(0, 3)]) for _ in range(80)]
+    rows += [(4, "T unique words", "x", None), (5, "T unique words", None, "x"), (5, "U other words", None, None), rows[0], rows[0]]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, h1 string, key string")
+    roots = brute_components(np.array([brute_fingerprint(r[1]) for r in rows], np.uint64))
+    kept = [tuple(r) for r in simhash.one_of_each(docs.repartition(3)).collect()]
+    assert len(kept) == len(set(roots))
+    by_root = defaultdict(list)
+    for root, row in zip(roots, rows, strict=True):
+        by_root[root].append(row)
+    for own in by_root.values():
+        mine = [r for r in kept if r in own]
+        ids = [r[0] for r in own if r[0] is not None]
+        assert len(mine) == 1 and mine[0][0] == (min(ids) if ids else None)
+    assert sorted(map(str, kept)) == sorted(str(tuple(r)) for r in simhash.one_of_each(docs.repartition(5)).collect())
+
+
+def test_rows_of_a_hot_value_look_it_up_in_many_tasks(spark):
+    rows = spark.createDataFrame([(k, 7 if k % 3 else k) for k in range(3000)], "node long, low long")
+    table = spark.createDataFrame([(7, 70), *((k, 10 * k) for k in range(0, 3000, 6) if k != 7)], "low long, root long")
+    found = components.looked_up(rows, "low", "node", table, "left").collect()
+    want = {(k, 7 if k % 3 else k): 70 if k % 3 else 10 * k if k % 6 == 0 else None for k in range(3000)}
+    assert len(found) == 3000 and {(r["node"], r["low"]): r["root"] for r in found} == want
+    assert components.looked_up(rows, "low", "node", table).count() == sum(v is not None for v in want.values())
+
+
+def test_fingerprint_of_a_long_text_is_read_in_pieces(monkeypatch):
+    words = [f"W{k * k % 977}" for k in range(4000)]
+    text = " ".join(words[:2000]) + "\n\t " + "\x0b".join(words[2000:]) + " " + "x" * 3000
+    want = brute_fingerprint(text)
+    for piece in (1, 10, 997, 1 << 20):
+        monkeypatch.setattr(simhash, "PIECE", piece)
+        assert simhash.fingerprint(text) == want
+        assert [simhash.fingerprint(t) for t in ("", " \n", "One", "a b c", "a b c d", "a b c d e")] == [brute_fingerprint(t) for t in ("", " \n", "One", "a b c", "a b c d", "a b c d e")]
+
+
 def brute_targets(sizes, weights=(3, 1, 2)):
     own, left, found = [weights[k % 3] for k in range(len(sizes))], set(range(len(sizes))), {}
     rest = 1.5 * sum(sizes)
@@ -204,15 +247,38 @@ def test_quotas_of_shards_add_up_to_those_of_sources(spark):
     assert [one[0, k]["quota"] for k in range(50)] == direct
 
 
+def highest_quotients(weights, seats, most):
+    given = [0] * len(weights)
+    heap = [(-w, k) for k, w in enumerate(weights) if w > 0 and most[k]]
+    heapq.heapify(heap)
+    while seats and heap:
+        _, k = heapq.heappop(heap)
+        given[k] += 1
+        seats -= 1
+        if given[k] < most[k]:
+            heapq.heappush(heap, (-weights[k] / (2 * given[k] + 1), k))
+    return given
+
+
 def test_sainte_lague_gives_the_highest_quotients():
     rng = np.random.default_rng(9)
-    for _ in range(200):
-        weights, seats = rng.integers(1, 1000, int(rng.integers(1, 9))).tolist(), int(rng.integers(0, 60))
-        given = [0] * len(weights)
-        for _ in range(seats):
-            best = max(range(len(weights)), key=lambda k: (weights[k] / (2 * given[k] + 1), -k))
-            given[best] += 1
-        assert mixing.sainte_lague(weights, seats, [10**9] * len(weights)) == given
+    for t in range(400):
+        n = int(rng.integers(1, 500 if t % 4 == 0 else 9))
+        weights = rng.integers(0, 1000, n).tolist() if t % 3 else (rng.random(n) * rng.choice([0.1, 1, 100], n)).tolist()
+        seats, most = int(rng.integers(0, 60 + 2 * n)), rng.integers(0, 50, n).tolist() if t % 2 else [10**9] * n
+        assert mixing.sainte_lague(weights, seats, most) == highest_quotients(weights, seats, most)
+    assert mixing.sainte_lague([40] + [0.6] * 100, 100, [10**9] * 101)[0] == 33
+    assert mixing.sainte_lague([400] + [0.6] * 1000, 1000, [10**9] * 1001)[0] == 333
+
+
+def test_null_and_repeated_ids_are_dealt_to_all_shards(spark):
+    rows = [(None if k % 2 else 7, f"w{k} " * (k % 60 + 1), "one") for k in range(4000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    found = mixing.mix(docs, columns=["doc_id", "text"], shard_rows=20)
+    taken = sum(r["taken"] for r in found.select("mixed.taken").collect())
+    assert taken == pytest.approx(1.5 * sum(k % 60 + 1 for k in range(4000)), rel=0.02)  # shards end in blocks that aren't full
+    copies = [r["mixed"]["taken"] / r["mixed"]["size"] for r in found.where(F.length("text") > 150).collect()]
+    assert min(copies) > 0.5 and max(copies) <= 2
 
 
 def brute_maximal(rows):

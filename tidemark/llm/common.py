@@ -7,6 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..session import ship
 
@@ -54,6 +55,14 @@ def whole_row(df: DataFrame) -> Column:
     return F.struct(*(F.col(f"`{c}`") for c in df.columns))
 
 
+def row_hashes(df: DataFrame) -> list[Column]:
+    """Two longs, ``h1`` and ``h2``, that tell rows apart in any column, nulls included (128 bits of hash)."""
+    simple = lambda f: isinstance(f.dataType, T.AtomicType)
+    of = lambda f: F.col(f"`{f.name}`") if simple(f) else F.to_json(F.struct(F.col(f"`{f.name}`")))
+    parts = [x for f in df.schema for x in (F.col(f"`{f.name}`").isNull(), of(f))]
+    return [F.xxhash64(F.lit(seed), *parts).alias(f"h{seed}") for seed in (1, 2)]
+
+
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
     """``body(value)`` with ``value`` computed once, however often ``body`` names it."""
     return F.get(F.transform(F.array(value), body), F.lit(0))

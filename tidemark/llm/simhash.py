@@ -19,7 +19,8 @@ where it joins two components.  So a large group of near copies isn't linked aga
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import re
+from collections.abc import Iterable, Iterator
 from itertools import combinations
 
 import numpy as np
@@ -30,8 +31,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import checkpointed, whole_row
-from .components import connected_components
+from .common import checkpointed, row_hashes, whole_row
+from .components import connected_components, looked_up
 
 SHINGLE, SEED = 4, 42
 #: Fingerprints link at this many differing bits or fewer.
@@ -44,18 +45,41 @@ LONG_RUN, CHUNK = 16_384, 8_192
 SHORT_RUN = 32
 
 LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
+#: Bytes of text whose words are hashed at a time, and what ends a word.
+PIECE, SPACE = 1 << 20, re.compile(rb"[\x20\x09-\x0D]")
 EVEN = 0x5555555555555555
 
 
+def _pieces(raw: bytes) -> Iterator[list[bytes]]:
+    """The words of a text, about ``PIECE`` bytes of it at a time."""
+    at = 0
+    while at < len(raw):
+        m = SPACE.search(raw, at + PIECE)
+        end = m.start() if m else len(raw)
+        yield raw[at:end].split()
+        at = end
+
+
 def fingerprint(text: str | None) -> int:
-    """The SimHash of a text's word shingles, as an unsigned number; 0 without words."""
-    words = text.encode().translate(LOWER).split() if text else []
-    if not words:
-        return 0
-    shingles = map(b" ".join, zip(*(words[k:] for k in range(SHINGLE)), strict=False)) if len(words) > SHINGLE else [b" ".join(words)]
+    """The SimHash of a text's word shingles, as an unsigned number; 0 without words.
+
+    A long text is hashed in pieces, so beside its bytes memory holds the words of one piece only.
+    """
+    ones, n, words = np.zeros(64, np.int64), 0, []
+    for piece in _pieces(text.encode().translate(LOWER) if text else b""):
+        words += piece
+        if len(words) >= SHINGLE:
+            more, words = _ones(map(b" ".join, zip(*(words[k:] for k in range(SHINGLE)), strict=False))), words[1 - SHINGLE :]
+            ones, n = ones + more[0], n + more[1]
+    if not n and words:
+        ones, n = _ones([b" ".join(words)])
+    return int(np.packbits(2 * ones > n, bitorder="little").view("<u8")[0]) if n else 0
+
+
+def _ones(shingles: Iterable[bytes]) -> tuple[np.ndarray, int]:
+    """How often each bit is set among the hashes, and their number."""
     h = np.array([xxhash.xxh64_intdigest(s, SEED) for s in shingles], "<u8")
-    ones = np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    return int(np.packbits(2 * ones > len(h), bitorder="little").view("<u8")[0])
+    return np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64), len(h)
 
 
 def with_fingerprint(docs: DataFrame, text: str = "text", name: str = "fp") -> DataFrame:
@@ -226,19 +250,24 @@ def label_links(labelled: DataFrame, masks: list[int]) -> DataFrame:
     return links.union(pairs.applyInPandas(_pair_links, "a long, b long")).distinct()
 
 
-def near_duplicate_classes(fingerprints: DataFrame, key: str = "doc_id", name: str = "fp") -> DataFrame:
-    """For each distinct fingerprint: ``fp``, ``root`` (its component), ``component_id`` (the
-    component's smallest non-null key), of a table that is cheap to read twice."""
+def _rooted(fingerprints: DataFrame, key: str, name: str) -> DataFrame:
+    """For each distinct fingerprint: ``fp``, its smallest non-null key, and ``root``, a fingerprint that names its component."""
     classes = fingerprints.groupBy(F.col(name).alias("fp")).agg(F.min(key).alias("smallest"))
     first, rest = cell_masks()
     classes = checkpointed(classes.withColumn("label", F.col("fp")))
     for masks in (first, rest):
-        roots = connected_components(label_links(classes, masks))
-        joined = classes.join(roots, classes["label"] == roots["node"], "left")
-        classes = checkpointed(joined.select("fp", "smallest", F.coalesce("root", "label").alias("label")))
-    rooted = classes.withColumnRenamed("label", "root")
+        roots = connected_components(label_links(classes, masks)).withColumnRenamed("node", "label")
+        classes = looked_up(classes, "label", "fp", roots, "left").select("fp", "smallest", F.coalesce("root", "label").alias("label"))
+        classes = checkpointed(classes)
+    return classes.withColumnRenamed("label", "root")
+
+
+def near_duplicate_classes(fingerprints: DataFrame, key: str = "doc_id", name: str = "fp") -> DataFrame:
+    """For each distinct fingerprint: ``fp``, ``root`` (its component), ``component_id`` (the
+    component's smallest non-null key), of a table that is cheap to read twice."""
+    rooted = _rooted(fingerprints, key, name)
     smallest = rooted.groupBy("root").agg(F.min("smallest").alias("component_id"))
-    return rooted.join(smallest, "root").select("fp", "root", "component_id")
+    return looked_up(rooted, "root", "fp", smallest).select("fp", "root", "component_id")
 
 
 def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
@@ -257,15 +286,19 @@ def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id") ->
 def one_of_each(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
     """The rows of ``docs`` less near duplicates: of each component the row with the smallest key.
 
-    Rows that share their key are taken for one document: one of them stays.  Of a component whose
-    rows all have null keys, one row stays.
+    Exactly one row of each component stays.  Rows are told apart by all their columns: of several
+    with the smallest key (repeated ids), or of rows without any key, the one with the smallest
+    hash of the row stays; of repeated rows, one.  Keys sort before null.  Winners are chosen among
+    narrow rows, and whole rows are moved once.
     """
-    marked = checkpointed(with_fingerprint(docs.select(F.col(key), F.col(text)), text).select(key, "fp"))
-    classes = checkpointed(near_duplicate_classes(marked, key))
-    chosen = classes.where(F.col("component_id").isNotNull()).select(F.col("component_id").alias(key)).distinct()
-    rows = docs.select(F.col(key).alias("key"), whole_row(docs).alias("row"), F.xxhash64(text).alias("h"), F.to_json(whole_row(docs.drop(text))).alias("rest"))
-    of_key = rows.join(chosen.withColumnRenamed(key, "key"), "key", "left_semi").groupBy("key")
-    kept = of_key.agg(F.min_by("row", F.struct("h", "rest")).alias("row"))
-    without = with_fingerprint(docs.where(F.col(key).isNull()).select(F.col(text).alias("text"), whole_row(docs).alias("row")))
-    nameless = classes.where(F.col("component_id").isNull()).select("fp", "root")
-    return kept.select("row.*").union(without.join(nameless, "fp").groupBy("root").agg(F.min_by("row", F.xxhash64("text")).alias("row")).select("row.*"))
+    marked = docs.select(F.col(f"`{key}`").alias("key"), *row_hashes(docs), F.col(f"`{text}`").alias("text"))
+    marked = checkpointed(with_fingerprint(marked).drop("text"))
+    counted = marked.groupBy("fp", "key", "h1", "h2").agg(F.count("*").alias("n"))
+    best = F.min(F.struct(F.col("key").isNull().alias("nameless"), "key", "h1", "h2", "n")).alias("best")
+    roots = _rooted(marked, "key", "fp").select("fp", "root")
+    chosen = counted.groupBy("fp").agg(best).join(roots, "fp").select("root", "best.*").groupBy("root").agg(best)
+    chosen = checkpointed(chosen.select(F.col("best.h1").alias("h1"), F.col("best.h2").alias("h2"), F.col("best.n").alias("n")))
+    rows = docs.select(whole_row(docs).alias("row"), *row_hashes(docs)).join(chosen, ["h1", "h2"])
+    once = rows.where("n = 1").select("row.*")
+    repeated = rows.where("n > 1").groupBy(F.concat_ws(" ", "h1", "h2").alias("which")).agg(F.first("row").alias("row"))
+    return once.unionByName(repeated.select("row.*"))
