@@ -1,6 +1,7 @@
 """Row-wise operators: token counts, licences, quality rules, decontamination."""
 
 import hashlib
+import random
 import re
 from collections import Counter
 
@@ -154,3 +155,37 @@ def test_decontamination_equals_brute_force(spark, shard_windows):
     clean = decontaminate.contamination(docs, table.limit(0)).collect()
     assert len(clean) == len(texts) and not any(r["hits"]["contaminated"] for r in clean)
     assert decontaminate.contamination(docs.limit(0), table).count() == 0
+
+
+def test_scanner_reads_long_texts_in_pieces(monkeypatch):
+    """Random words over a small alphabet, so that windows overlap, touch and cross the pieces' edges; offsets as well."""
+    rng = random.Random(4)
+    names = ["a", "B", "é", "ü2", "x9", "Long-Word"]
+    of = lambda n: rng.choice([" ", ", ", "\n"]).join(rng.choice(names) for _ in range(n))
+    items = [(str(k), of(rng.choice((1, 3, 13, 14, 30)) if k else 14)) for k in range(12)]
+    cut = lambda t: [w for w in ITEM_WORD.findall(lower(t))]
+    rows = set()
+    for item, text in items:
+        own = cut(text)
+        size = min(13, len(own))
+        rows |= {(" ".join(own[i : i + size]), item) for i in range(len(own) - size + 1)}
+    scanner = decontaminate.Scanner(decontaminate.Shard(sorted(rows)))
+    texts = [of(rng.choice((0, 5, 60, 400))) + " zz " + rng.choice(items)[1] + "; " + of(20) for _ in range(40)]
+    for piece in (1, 7, 100, 1 << 20):
+        monkeypatch.setattr(decontaminate, "PIECE", piece)
+        for text in texts:
+            found = decontaminate._verdict(text, *scanner.scan(text))
+            want = brute_hits(text, items)
+            assert (found["n_words"], found["n_hit"], found["n_items"], found["items_sha256"]) == want
+            assert [w for a, b in found["spans"] for w in cut(text[a:b])] and sum(len(cut(text[a:b])) for a, b in found["spans"]) == want[1]
+    nothing = decontaminate.Scanner(decontaminate.Shard([]))
+    assert nothing.scan("a b c") == (3, [], set()) and nothing.scan(None) == (0, [], set())
+
+
+def test_shards_hold_a_bounded_number_of_rows(spark):
+    """A window that all items share is dealt to all shards; every document keeps all its items."""
+    ship(spark)
+    items = [(k, "one shared window") for k in range(40)]
+    docs = spark.createDataFrame([(1, "here is one shared window"), (1, "here is one shared window"), (2, "nothing")], "doc_id long, text string")
+    found = decontaminate.contamination(docs, spark.createDataFrame(items, "item_id long, text string"), shard_windows=9).collect()
+    assert sorted((r["doc_id"], r["hits"]["n_items"]) for r in found) == [(1, 40), (1, 40), (2, 0)]
