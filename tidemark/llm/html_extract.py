@@ -1,21 +1,27 @@
 """Main text of web pages by a recurrent block labeller.
 
-A page is read into leaf blocks: runs of text between block-level tags, each with the path of its
-containers.  A bidirectional LSTM reads the page's blocks in order (hashed path names, hashed
-words, a few measures) and labels each one as article text or not, so a block is judged by the
-whole page around it.
+A page is read into leaf blocks: runs of text between block-level tags, each in a tree of
+containers.  A bidirectional LSTM reads the page's blocks in order (hashed names of the tag path,
+hashed words, a few measures of the block and of its container within the page) and labels each
+one as article text or not, so a block is judged by the whole page around it.
 
 The labeller is trained in numpy on the driver, on a bounded sample of the pages themselves: where
 a page names its parts (article, main, nav, footer, advert classes ...), those names are the
-labels.  Sampled pages are also varied: containers renamed, and headers, notices, sidebars, forms
-and reader comments put in with words from other pages, so that no single name or word decides.
+labels.  Every sampled page is also learned from in disguise (its parts renamed) and as the article
+of invented layouts (``layouts.py``), whose containers mostly have invented names, so that no single
+name or word decides.  Where no page names its parts, invented layouts alone are learned from.
 """
 
 from __future__ import annotations
 
 import html
 import re
-from collections.abc import Iterator
+from collections import Counter
+from collections.abc import Iterable, Iterator, Mapping, Sequence
+from dataclasses import dataclass, field
+from functools import lru_cache, reduce
+from itertools import chain
+from operator import or_
 from random import Random
 from zlib import crc32
 
@@ -25,6 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from . import layouts
 from .training import Adam, sigmoid
 
 TOKEN = re.compile(
@@ -50,35 +57,52 @@ BLOCK = frozenset(
 )
 #: Elements that an opening tag of the same name, or of any block for p, closes.
 CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
-BREAKS = frozenset(("br", "wbr", "img", "input", "embed"))
+#: A tag that begins in a text without another end of one.
+LONE = re.compile(r"<(?!!--)")
+#: Elements that make a part of a page.
+SCOPES = frozenset("address article aside body blockquote details dialog div fieldset figure footer form header html main menu nav ol section table td ul".split())
 
-PATHS, WORDS, MEASURES = 192, 32, 6
+PATHS, WORDS, MEASURES = 192, 32, 6 + 13
 INPUTS, HIDDEN = PATHS + WORDS + MEASURES, 16
-#: Pages to learn from (about), and varied copies of each.
-TRAIN_PAGES, COPIES = 240, 3
+#: A sigmoid is half a tanh of half its argument: three gates, then the value.
+GATES = np.repeat(np.array([0.5, 0.5, 0.5, 1.0], np.float32), HIDDEN)
+#: Pages to learn from (about), the most blocks that one of them may have, and invented layouts (half as many at least).
+TRAIN_PAGES, MOST_BLOCKS, LAYOUTS, EPOCHS = 240, 4_000, 1_500, 10
 #: Blocks that are learned from in one run; longer pages are dealt to several runs.
 RUN = 400
-#: Words at the start of a block, and of all pages, that blocks put into varied pages are made of.
+#: Words at the start of a block, and of all pages, that invented blocks are made of.
 HEAD, VOCABULARY = 20, 50_000
-#: Blocks (with padding) that go through the network at once.
-GROUP_BLOCKS = 1 << 14
+#: Blocks (with padding) that go through the network at once, rows of inputs made at once, characters of pages read at once.
+GROUP_BLOCKS, PART, GROUP_CHARS = 1 << 14, 1 << 12, 1 << 22
 
 Block = tuple[tuple[str, ...], str, float]
-#: A block with its measures in place of its text.
-Measured = tuple[tuple[str, ...], np.ndarray, float]
 
 
-def blocks(page: str | None) -> list[Block]:
-    """(path names, text, share of its characters in links) of each leaf block with text, in order.
+@dataclass(slots=True)
+class Page:
+    """The containers of a page (an element's parent comes before it) and its leaf blocks, in order."""
+
+    parents: list[int] = field(default_factory=list)
+    names: list[tuple[str, ...]] = field(default_factory=list)
+    #: Of each block: its container (-1: none), its text, the share of its characters in links.
+    at: list[int] = field(default_factory=list)
+    texts: list[str] = field(default_factory=list)
+    links: list[float] = field(default_factory=list)
+
+
+def read(html_text: str | None) -> Page:
+    """The containers and leaf blocks of a page, in time proportional to its length.
 
     Text of svg, math, object and noscript counts as the inline text that it is.  Not read are
     scripts, styles, titles, form fields, frames and templates (to the end of the page where they
     have no end tag, as browsers do), closed lists of options, and descriptions and annotations
     inside svg and math.
     """
-    page = page or ""
-    stack: list[tuple[str, tuple[str, ...]]] = []
-    found: list[Block] = []
+    page, found = html_text or "", Page()
+    last = page.rfind(">") + 1
+    page = page[:last] + LONE.sub("&lt;", page[last:])  # no tag begins where none can end
+    stack: list[int] = []
+    open_tags: Counter[str] = Counter()
     parts: list[str] = []
     linked, in_link = 0, False
 
@@ -87,8 +111,9 @@ def blocks(page: str | None) -> list[Block]:
         if parts:
             text = " ".join("".join(parts).split())
             if text:
-                names = tuple(n for _, own in stack for n in own)
-                found.append((names, text, min(1.0, linked / len(text))))
+                found.at.append(stack[-1] if stack else -1)
+                found.texts.append(text)
+                found.links.append(min(1.0, linked / len(text)))
             parts.clear()
         linked = 0
 
@@ -136,28 +161,43 @@ def blocks(page: str | None) -> list[Block]:
             parts.append(" ")
         if tag == "a":
             in_link = not ending
-        elif tag in BREAKS:
+        elif tag == "br":
             parts.append(" ")
         elif tag in BLOCK:
             close()
             in_link = False
             if ending:
-                at = next((k for k in range(len(stack) - 1, -1, -1) if stack[k][0] == tag), None)
-                if at is not None:
-                    del stack[at:]
+                while open_tags[tag]:
+                    top = found.names[stack.pop()][0]
+                    open_tags[top] -= 1
+                    if top == tag:
+                        break
                 continue
-            while stack and (stack[-1][0] == "p" or stack[-1][0] in CLOSES.get(tag, ())):
+            while stack and ((top := found.names[stack[-1]][0]) == "p" or top in CLOSES.get(tag, ())):
+                open_tags[top] -= 1
                 stack.pop()
             if tag != "hr":
                 names = [tag]
                 for kind, *values in ATTR.findall(attrs):
                     prefix = "#" if kind.lower() == "id" else "."
                     names += [prefix + n for n in NAME.findall(next(filter(None, values), "").lower())]
-                stack.append((tag, tuple(names)))
+                found.parents.append(stack[-1] if stack else -1)
+                found.names.append(tuple(names))
+                stack.append(len(found.names) - 1)
+                open_tags[tag] += 1
     close()
     return found
 
 
+def blocks(html_text: str | None) -> list[Block]:
+    """(names of the whole tag path, text, share of its characters in links) of each leaf block, in order."""
+    page = read(html_text)
+    paths: list[tuple[str, ...]] = []
+    for parent, own in zip(page.parents, page.names, strict=True):
+        paths.append((paths[parent] if parent >= 0 else ()) + own)
+    return [(paths[at] if at >= 0 else (), text, link) for at, text, link in zip(page.at, page.texts, page.links, strict=True)]
+
+
 #: Names (tags, or words of class, id and role) that say what a part of a page is.
 MAIN_NAMES = frozenset(("article", "main", ".articlebody"))
 OTHER_NAMES = frozenset(
@@ -174,7 +214,7 @@ OTHER_NAMES = frozenset(
 )
 
 
-def named_label(names: tuple[str, ...]) -> int | None:
+def named_label(names: Iterable[str]) -> int | None:
     """1 or 0 where the path names say what the block is, else None."""
     own = set(names)
     if own & OTHER_NAMES or ("header" in own or ".header" in own or "#header" in own) and not own & MAIN_NAMES:
@@ -182,86 +222,173 @@ def named_label(names: tuple[str, ...]) -> int | None:
     return 1 if own & MAIN_NAMES else None
 
 
-def measures(text: str) -> np.ndarray:
-    """What the whole text of a block says: its bag of hashed words, their number (as a logarithm) and its share of stops."""
-    x, words = np.zeros(WORDS + 2, np.float32), text.split(" ")
-    for w in words:
-        x[crc32(w.encode()) % WORDS] += 1
-    if len(words) > 1:  # a long block's bag is the mean of bags of 64 words
-        x[:WORDS] /= np.sqrt(min(len(words), 64)) * max(1, len(words) / 64)
-    x[WORDS:] = np.log1p(len(words)) / 4, min(1.0, sum(text.count(c) for c in ".,;:!?") / len(words))
-    return x
+#: The names that :func:`named_label` reads.
+TELLING = MAIN_NAMES | OTHER_NAMES | {"header", ".header", "#header"}
+
 
+def named_labels(page: Page) -> list[int | None]:
+    """:func:`named_label` of each block."""
+    told: list[frozenset[str]] = []
+    for parent, own in zip(page.parents, page.names, strict=True):
+        above = told[parent] if parent >= 0 else frozenset()
+        told.append(above | TELLING.intersection(own) if not TELLING.isdisjoint(own) else above)
+    return [named_label(told[at]) if at >= 0 else None for at in page.at]
 
-def features(page: list[Measured], start: int = 0, stop: int | None = None) -> np.ndarray:
-    """Inputs of a page's blocks, or of those from ``start`` to ``stop``; positions are those in the whole page."""
-    own = page[start:stop]
-    x = np.zeros((len(own), INPUTS), np.float32)
-    for k, (names, measured, linked) in enumerate(own):
-        for n in names:
-            x[k, crc32(n.encode()) % PATHS] = 1
-        x[k, PATHS : PATHS + WORDS] = measured[:WORDS]
-        x[k, PATHS + WORDS :] = (measured[WORDS], linked, measured[WORDS + 1], (start + k) / len(page), "li" in names, names[-1:] == ("p",))
+
+def measures(texts: Sequence[str]) -> np.ndarray:
+    """What the whole texts of blocks say, a row each: the bag of hashed words, their number (as a logarithm) and the share of stops."""
+    words = [t.encode().split(b" ") for t in texts]
+    n = np.array([len(w) for w in words], np.int64)
+    cells = np.fromiter(map(crc32, chain.from_iterable(words)), np.int64, n.sum()) % WORDS
+    x = np.zeros((len(texts), WORDS + 2), np.float32)
+    x[:, :WORDS] = np.bincount(np.repeat(np.arange(len(n)), n) * WORDS + cells, minlength=x[:, :WORDS].size).reshape(-1, WORDS)
+    # a long block's bag is the mean of bags of 64 words
+    x[:, :WORDS] /= (np.sqrt(np.minimum(n, 64)) * np.maximum(1, n / 64))[:, None]
+    x[:, WORDS] = np.log1p(n) / 4
+    x[:, WORDS + 1] = np.minimum(1, np.array([sum(map(t.count, ".,;:!?")) for t in texts], np.int64) / n)
     return x
 
 
+@lru_cache(1 << 16)
+def _cells(names: tuple[str, ...]) -> int:
+    """The names as set bits of a number."""
+    return reduce(or_, (1 << crc32(n.encode()) % PATHS for n in names), 0)
+
+
+def _within(page: Page | layouts.Layout, words: np.ndarray) -> np.ndarray:
+    """What the containers say of each block, from the whole page; ``words``: words of each block.
+
+    A block's scope is the nearest container that makes a part of a page.  The largest scope is the
+    one with most words outside links.
+    """
+    n, nodes = len(page.at), len(page.names)
+    scope, up, depth = [nodes] * (nodes + 1), [nodes] * (nodes + 1), [0] * (nodes + 1)  # the last stands for no container
+    for k, parent in enumerate(page.parents):
+        up[k], depth[k] = scope[parent], depth[parent] + 1  # those of -1 are the last
+        scope[k] = k if page.names[k][0] in SCOPES else up[k]
+    at, link = np.array(scope)[np.array(page.at, np.int64)], np.array(page.links, np.float64)
+    direct, linked, count = (np.bincount(at, x, nodes + 1) for x in (words, words * link, None))
+    below = direct.tolist()
+    for k in range(nodes - 1, -1, -1):
+        if scope[k] == k:
+            below[up[k]] += below[k]
+    below[nodes], total = float(words.sum()), max(1.0, float(words.sum()))
+    best = int(np.argmax(direct - linked))
+    inside, beside = [False] * nodes + [best == nodes], [False] * nodes + [up[best] == nodes]
+    for k, parent in enumerate(page.parents):
+        inside[k], beside[k] = k == best or inside[parent], k == up[best] or beside[parent]
+    own, k, below, up = np.flatnonzero(at == best), np.arange(n), np.array(below), np.array(up)
+    first, last = (own[0], own[-1]) if len(own) else (0, n)
+    return np.stack(
+        [
+            direct[at] / total, below[at] / total, linked[at] / np.maximum(1, direct[at]), np.log1p(count[at]) / 4,
+            at == best, np.array(inside)[at], np.array(beside)[at], k < first, k > last, np.concatenate([[0], at[1:] == at[:-1]])[:n],
+            np.minimum(np.array(depth)[at], 32) / 8, below[at] / np.maximum(1, below[up[at]]), words / total,
+        ],
+        axis=1,
+    )
+
+
+class Inputs:
+    """The network's inputs for a page's blocks, made a few thousand rows at a time."""
+
+    def __init__(self, page: Page | layouts.Layout, measured: np.ndarray):
+        """``measured``: :func:`measures` of each block."""
+        n = len(page.at)
+        self.measured, self.at = measured, np.array(page.at, np.int64)
+        on, listed = [0] * (len(page.names) + 1), [False] * (len(page.names) + 1)  # the last: no container
+        for k, parent in enumerate(page.parents):
+            on[k], listed[k] = on[parent] | _cells(page.names[k]), listed[parent] or page.names[k][0] == "li"
+        self.on = np.frombuffer(b"".join(x.to_bytes(PATHS // 8, "little") for x in on), np.uint8).reshape(-1, PATHS // 8)
+        words = np.expm1(4 * measured[:, WORDS].astype(np.float64))
+        para = np.array([k >= 0 and page.names[k][0] == "p" for k in page.at], bool)
+        own = [measured[:, WORDS], np.array(page.links, np.float32), measured[:, WORDS + 1], np.arange(n) / max(n, 1), np.array(listed)[self.at], para]
+        self.measures = np.concatenate([np.stack(own, axis=1), _within(page, words)], axis=1).astype(np.float32)
+
+    def __len__(self) -> int:
+        return len(self.at)
+
+    def rows(self, start: int, stop: int) -> np.ndarray:
+        return np.concatenate([np.unpackbits(self.on[self.at[start:stop]], axis=1, bitorder="little"), self.measured[start:stop, :WORDS], self.measures[start:stop]], axis=1, dtype=np.float32)
+
+    def parts(self) -> Iterator[np.ndarray]:
+        for k in range(0, len(self), PART):
+            yield self.rows(k, k + PART)
+
+
 class BiLSTM:
-    """Two LSTMs over a page's blocks, one from each end, and a logistic output for each block."""
+    """Two LSTMs over a page's blocks, one from each end, and a logistic output for each block.
+
+    Arrays of both have a leading axis of two; the second LSTM's run against time.
+    """
 
     def __init__(self, seed: int = 17):
         rng = np.random.default_rng(seed)
-        init = lambda *shape: (rng.normal(0, 1, shape) / np.sqrt(shape[0])).astype(np.float32)
-        self.params = {"out": init(2 * HIDDEN), "out_bias": np.zeros(1, np.float32)}
-        for way in "fb":
-            bias = np.zeros(4 * HIDDEN, np.float32)
-            bias[HIDDEN : 2 * HIDDEN] = 1  # remember, to begin with
-            self.params |= {f"in_{way}": 0.5 * init(INPUTS, 4 * HIDDEN), f"rec_{way}": init(HIDDEN, 4 * HIDDEN), f"bias_{way}": bias}
-
-    def _run(self, x: np.ndarray, mask: np.ndarray, way: str) -> tuple[np.ndarray, list]:
-        """Hidden states (time, page, HIDDEN) and what the way back needs; padding keeps the state."""
-        p, (steps, n, _) = self.params, x.shape
-        pre = x @ p[f"in_{way}"] + p[f"bias_{way}"]
-        h = c = np.zeros((n, HIDDEN), np.float32)
-        out, kept = np.zeros((steps, n, HIDDEN), np.float32), []
-        for t in range(steps) if way == "f" else range(steps - 1, -1, -1):
-            a = pre[t] + h @ p[f"rec_{way}"]
-            s = sigmoid(a[:, : 3 * HIDDEN])
-            i, f, o, g = s[:, :HIDDEN], s[:, HIDDEN : 2 * HIDDEN], s[:, 2 * HIDDEN :], np.tanh(a[:, 3 * HIDDEN :])
-            m = mask[t][:, None]
-            new_c = m * (f * c + i * g) + (1 - m) * c
+        init = lambda *shape: (rng.normal(0, 1, shape) / np.sqrt(shape[-2])).astype(np.float32)
+        bias = np.zeros((2, 1, 4 * HIDDEN), np.float32)
+        bias[:, :, HIDDEN : 2 * HIDDEN] = 1  # remember, to begin with
+        self.params = {
+            "out": init(2, HIDDEN, 1) / np.float32(np.sqrt(2)), "out_bias": np.zeros(1, np.float32),
+            "in": 0.5 * init(2, INPUTS, 4 * HIDDEN), "rec": init(2, HIDDEN, 4 * HIDDEN), "bias": bias,
+        }
+
+    def _project(self, x: np.ndarray) -> np.ndarray:
+        """Blocks (block, INPUTS) to (2, block, 4 * HIDDEN)."""
+        return x @ self.params["in"] + self.params["bias"]
+
+    def _run(self, pre: np.ndarray, mask: np.ndarray, keep: bool = False) -> tuple[np.ndarray, list]:
+        """Hidden states (2, time, page, HIDDEN) from projected inputs (2, time, page, 4 * HIDDEN) and,
+        if asked to ``keep`` it, what the way back needs; padding keeps the state."""
+        (_, steps, n, _), rec = pre.shape, self.params["rec"]
+        h = c = np.zeros((2, n, HIDDEN), np.float32)
+        out, kept = np.zeros((2, steps, n, HIDDEN), np.float32), []
+        for t in range(steps):
+            u = steps - 1 - t
+            a = np.stack([pre[0, t], pre[1, u]]) + h @ rec
+            a = np.tanh(a * GATES)
+            s = 0.5 * a[..., : 3 * HIDDEN] + np.float32(0.5)  # sigmoids
+            i, f, o, g = s[..., :HIDDEN], s[..., HIDDEN : 2 * HIDDEN], s[..., 2 * HIDDEN :], a[..., 3 * HIDDEN :]
+            m = np.stack([mask[t], mask[u]])[:, :, None]
+            new_c = c + m * (f * c + i * g - c)
             tc = np.tanh(new_c)
-            new_h = m * (o * tc) + (1 - m) * h
-            kept.append((t, h, c, i, f, o, g, tc, m))
+            new_h = h + m * (o * tc - h)
+            if keep:
+                kept.append((t, u, h, c, i, f, o, g, tc, m))
             h, c = new_h, new_c
-            out[t] = h
+            out[0, t], out[1, u] = h
         return out, kept
 
-    def _back(self, x: np.ndarray, dout: np.ndarray, kept: list, way: str, grads: dict) -> None:
-        p = self.params
-        da_all = np.zeros((*x.shape[:2], 4 * HIDDEN), np.float32)
-        drec = np.zeros_like(p[f"rec_{way}"])
-        dh_next = dc_next = np.zeros(dout.shape[1:], np.float32)
-        for t, h, c, i, f, o, g, tc, m in reversed(kept):
-            dh = dout[t] + dh_next
+    def _back(self, x: np.ndarray, dout: np.ndarray, kept: list) -> dict[str, np.ndarray]:
+        rec = self.params["rec"]
+        da_all, drec = np.zeros((2, *x.shape[:2], 4 * HIDDEN), np.float32), np.zeros_like(rec)
+        dh_next = dc_next = np.zeros((2, x.shape[1], HIDDEN), np.float32)
+        for t, u, h, c, i, f, o, g, tc, m in reversed(kept):
+            dh = np.stack([dout[0, t], dout[1, u]]) + dh_next
             dc = dc_next + m * dh * o * (1 - tc**2)
             own = m * dc
-            da = np.concatenate([own * g * i * (1 - i), own * c * f * (1 - f), m * dh * tc * o * (1 - o), own * i * (1 - g**2)], axis=1)
-            da_all[t] = da
-            drec += h.T @ da
-            dh_next = da @ p[f"rec_{way}"].T + (1 - m) * dh
+            da = np.concatenate([own * g * i * (1 - i), own * c * f * (1 - f), m * dh * tc * o * (1 - o), own * i * (1 - g**2)], axis=2)
+            da_all[0, t], da_all[1, u] = da
+            drec += h.transpose(0, 2, 1) @ da
+            dh_next = da @ rec.transpose(0, 2, 1) + (1 - m) * dh
             dc_next = own * f + (1 - m) * dc
-        flat = da_all.reshape(-1, 4 * HIDDEN)
-        grads |= {f"in_{way}": x.reshape(-1, INPUTS).T @ flat, f"rec_{way}": drec, f"bias_{way}": flat.sum(axis=0)}
+        flat = da_all.reshape(2, -1, 4 * HIDDEN)
+        return {"in": x.reshape(-1, INPUTS).T @ flat, "rec": drec, "bias": flat.sum(axis=1, keepdims=True)}
+
+    def _score(self, states: np.ndarray) -> np.ndarray:
+        """Probabilities (time, page) from the states of both."""
+        return sigmoid((states @ self.params["out"][:, None]).sum(axis=0)[..., 0] + self.params["out_bias"])
 
     @staticmethod
     def _pad(pages: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-        x = np.zeros((max(map(len, pages)), len(pages), INPUTS), np.float32)
-        mask = np.zeros(x.shape[:2], np.float32)
+        """Arrays (..., block, values) of pages as (..., block, page, values), and which blocks there are."""
+        longest = max(p.shape[-2] for p in pages)
+        x = np.zeros((*pages[0].shape[:-2], longest, len(pages), pages[0].shape[-1]), np.float32)
+        mask = np.zeros((longest, len(pages)), np.float32)
         for k, page in enumerate(pages):
-            x[: len(page), k], mask[: len(page), k] = page, 1
+            x[..., : page.shape[-2], k, :], mask[: page.shape[-2], k] = page, 1
         return x, mask
 
-    def probabilities(self, pages: list[np.ndarray]) -> list[np.ndarray]:
+    def probabilities(self, pages: list[Inputs]) -> list[np.ndarray]:
         """Each page's block probabilities; pages of like length go together."""
         found: list[np.ndarray] = [np.zeros(0, np.float32)] * len(pages)
         order, group = sorted((k for k in range(len(pages)) if len(pages[k])), key=lambda k: len(pages[k])), []
@@ -269,127 +396,136 @@ class BiLSTM:
             group.append(k)
             longest = len(pages[order[place + 1]]) if place + 1 < len(order) else None
             if longest is None or longest * (len(group) + 1) > GROUP_BLOCKS:
-                x, mask = self._pad([pages[k] for k in group])
-                both = np.concatenate([self._run(x, mask, way)[0] for way in "fb"], axis=2)
-                prob = sigmoid(both @ self.params["out"] + self.params["out_bias"])
+                pre, mask = self._pad([np.concatenate([self._project(x) for x in pages[k2].parts()], axis=1) for k2 in group])
+                prob = self._score(self._run(pre, mask)[0])
                 for place_in, k2 in enumerate(group):
                     found[k2] = prob[: len(pages[k2]), place_in]
                 group = []
         return found
 
-    def train(self, pages: list[tuple[list[Measured], int]], labels: list[np.ndarray], epochs: int = 6, batch: int = 24, rate: float = 5e-3, seed: int = 19) -> None:
-        """``pages``: a page and the block at which a run of it begins; ``labels`` of the run: 1, 0, or NaN where unknown."""
+    def train(self, runs: list[np.ndarray], labels: list[np.ndarray], epochs: int = EPOCHS, batch: int = 24, rate: float = 5e-3, seed: int = 19) -> None:
+        """``runs``: inputs of consecutive blocks; ``labels`` of each: 1, 0, or NaN where unknown."""
         rng, p, adam = np.random.default_rng(seed), self.params, Adam(self.params, rate)
-        for _ in range(epochs):
-            order = rng.permutation(len(pages))
-            for k in range(0, len(order), batch):
-                at = order[k : k + batch]
-                x, mask = self._pad([features(pages[d][0], pages[d][1], pages[d][1] + len(labels[d])) for d in at])
+        sizes = np.array([len(r) for r in runs])
+        for epoch in range(epochs):
+            adam.rate = rate * (1 - epoch / epochs) ** 0.5
+            order = np.argsort(sizes * rng.uniform(0.7, 1.4, len(runs)))  # runs of like length go together
+            groups = [order[k : k + batch] for k in range(0, len(runs), batch)]
+            for k in rng.permutation(len(groups)):
+                x, mask = self._pad([runs[d] for d in groups[k]])
                 y = np.full(mask.shape, np.nan, np.float32)
-                for place, d in enumerate(at):
+                for place, d in enumerate(groups[k]):
                     y[: len(labels[d]), place] = labels[d]
-                runs = {way: self._run(x, mask, way) for way in "fb"}
-                both = np.concatenate([runs[way][0] for way in "fb"], axis=2)
+                pre = self._project(x.reshape(-1, INPUTS)).reshape(2, *mask.shape, 4 * HIDDEN)
+                states, kept = self._run(pre, mask, keep=True)
                 known = ~np.isnan(y)
-                d = np.where(known, sigmoid(both @ p["out"] + p["out_bias"]) - np.nan_to_num(y), 0) / max(1, known.sum())
-                d = d.astype(np.float32)
-                grads = {"out": np.einsum("tnh,tn->h", both, d), "out_bias": d.sum(keepdims=True)[0]}
-                dboth = d[:, :, None] * p["out"]
-                self._back(x, dboth[:, :, :HIDDEN], runs["f"][1], "f", grads)
-                self._back(x, dboth[:, :, HIDDEN:], runs["b"][1], "b", grads)
-                adam.step(grads)
-
-
-#: Containers that article text may stand in, and what may stand around or in it, by their names.
-CONTENT = ("article", "main", "div .content", "div #content", "div .post", "section .entry .content", "div .article .body", "div .story", "main article", "div .text", "article .post")
-BEFORE = ("header", "header h1", "div .header", "nav ul li", "div .menu ul li", "div .breadcrumb", "div .cookie .notice", "div .cookie .banner p", "form .search label", "div #header p", "header nav ul li", "div .notice p", "div .login form label", "div #nav")
-INSIDE = ("div .ad", "aside .related ul li", "div .share", "div .advert p", "form .newsletter label", "div .sponsored p", "aside p", "div .promo p", "div .notice", "aside")
-AFTER = ("footer", "footer p", "section .comments p", "div .comments div .comment p", "div #comments p", "ul .comments li", "aside .sidebar p", "div .sidebar ul li", "div .sidebar p", "section #comments article .comment p", "form .comment label", "div .footer p", "div #footer", "div .related ul li", "div .comment .reply p", "aside h3", "section .comments h2")
-
-
-def vary(page: list[tuple[Measured, int]], words: list[str], rng: Random) -> list[tuple[Measured, int]]:
-    """A labelled page with its content container renamed and other parts put in."""
-    to = tuple(rng.choice(CONTENT).split())
-    base = ("html", "body")
-
-    def other(kinds: tuple[str, ...], inside: tuple[str, ...] = ()) -> list[tuple[Measured, int]]:
-        names, n = tuple(rng.choice(kinds).split()), rng.choice((1, 1, 2, 3, 5))
-        long = rng.random() < 0.5
-        made = []
-        for _ in range(n):
-            text = " ".join(rng.choice(words) for _ in range(rng.randint(6, 60) if long else rng.randint(1, 6)))
-            made.append(((base + inside + names, measures(text), 1.0 if "li" in names and rng.random() < 0.7 else 0.0), 0))
-        return made
-
-    kept = [(((base + to + (b[0][-1:] if b[0][-1:] in (("p",), ("h1",), ("h2",), ("li",), ("blockquote",)) else ()), b[1], b[2]), 1) if label else (b, 0)) for b, label in page]
-    kept = [x for x in kept if x[1] or rng.random() < 0.6]
-    ones = [k for k, x in enumerate(kept) if x[1]]
-    first, last = (ones[0], ones[-1] + 1) if ones else (0, len(kept))
-    middle = kept[first:last]
-    for _ in range(rng.choice((0, 0, 1, 2))):
-        at = rng.randint(0, len(middle))
-        middle[at:at] = other(INSIDE, to)
-    made = kept[:first]
-    for _ in range(rng.choice((0, 1, 2))):
-        made += other(BEFORE)
-    made += middle
-    for _ in range(rng.choice((0, 1, 2, 3))):
-        made += other(AFTER, to if rng.random() < 0.3 else ())
-    return made + kept[last:]
-
-
-def _training_pages(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    kind = pa.schema([("order", pa.int64()), ("names", pa.list_(pa.string())), ("heads", pa.list_(pa.string())), ("measured", pa.list_(pa.float32())), ("links", pa.list_(pa.float32()))])
+                d = (np.where(known, self._score(states) - np.nan_to_num(y), 0) / max(1, known.sum())).astype(np.float32)
+                grads = {"out": np.einsum("wtnh,tn->wh", states, d)[..., None], "out_bias": d.sum(keepdims=True)[0]}
+                adam.step(grads | self._back(x, d[:, :, None] * p["out"].transpose(0, 2, 1)[:, None], kept))
+
+
+def disguised(page: Page, rng: Random) -> Page:
+    """The page with its telling names changed for others."""
+    to: dict[str, str] = {}
+
+    def other(name: str, tag: bool) -> str:
+        if name not in to:
+            invented = "".join(rng.choice(layouts.SYLLABLES) for _ in range(rng.randint(1, 4)))
+            to[name] = rng.choice(("div", "div", "section")) if tag else name[0] + invented
+        return to[name]
+
+    names = [tuple(other(n, k == 0) if n in TELLING or k and rng.random() < 0.3 else n for k, n in enumerate(own)) for own in page.names]
+    return Page(page.parents, names, page.at, page.texts, page.links)
+
+
+def _training_pages(batches: Iterator[pa.RecordBatch], most_blocks: int) -> Iterator[pa.RecordBatch]:
+    kind = pa.schema(
+        [("order", pa.int64()), ("parents", pa.list_(pa.int32())), ("names", pa.list_(pa.string())), ("at", pa.list_(pa.int32())),
+         ("heads", pa.list_(pa.string())), ("measured", pa.list_(pa.float32())), ("links", pa.list_(pa.float32()))]
+    )
     for batch in batches:
-        rows = []
-        for order, page in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-            found = blocks(page)
-            heads = [" ".join(b[1].split(" ", HEAD)[:HEAD]) for b in found]
-            measured = np.concatenate([measures(b[1]) for b in found] or [np.zeros(0, np.float32)])
-            rows.append({"order": order, "names": [" ".join(b[0]) for b in found], "heads": heads, "measured": measured, "links": [b[2] for b in found]})
-        yield pa.RecordBatch.from_pylist(rows, kind)
+        for order, whole in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            page = read(whole)
+            if not 0 < len(page.at) <= most_blocks or len(page.names) > 4 * most_blocks:
+                continue
+            heads = [" ".join(t.split(" ", HEAD)[:HEAD]) for t in page.texts]
+            measured = measures(page.texts).ravel()
+            row = {"order": order, "parents": page.parents, "names": [" ".join(n) for n in page.names], "at": page.at, "heads": heads, "measured": measured, "links": page.links}
+            yield pa.RecordBatch.from_pylist([row], kind)
 
 
-def fit(pages: DataFrame, key: str = "page_id", source: str = "html", train_pages: int = TRAIN_PAGES) -> BiLSTM | None:
-    """A labeller learned from about ``train_pages`` pages, read whole; None if no page names its parts.
+SAMPLE = "order long, parents array<int>, names array<string>, at array<int>, heads array<string>, measured array<float>, links array<float>"
+
+
+def fit(pages: DataFrame, key: str = "page_id", source: str = "html", train_pages: int = TRAIN_PAGES, most_blocks: int = MOST_BLOCKS) -> BiLSTM:
+    """A labeller learned from about ``train_pages`` pages of at most ``most_blocks`` blocks, and from invented layouts.
 
     Executors measure the blocks; of their text only the first ``HEAD`` words reach the driver.
+    Pages that don't name their parts lend their words to invented layouts; of a table without any
+    text, invented words are learned from.
     """
     n = pages.count()
-    order = F.pmod(F.xxhash64(F.lit(23), F.col(key)), F.lit(1_000_000))
+    order = F.pmod(F.xxhash64(F.lit(23), F.col(key), F.col(source)), F.lit(1_000_000))
     sample = pages.where(F.col(source).isNotNull() & (order < int(2 * train_pages / max(n, 1) * 1_000_000) + 1))
-    rows = sample.select(order.cast("long").alias("order"), F.col(source)).mapInArrow(_training_pages, "order long, names array<string>, heads array<string>, measured array<float>, links array<float>")
-    found = sorted(rows.limit(8 * train_pages).collect(), key=lambda r: (r["order"], r["heads"], r["measured"]))[:train_pages]
-    labelled, heads = [], []
-    for r in found:
-        measured = np.array(r["measured"], np.float32).reshape(-1, WORDS + 2)
-        page = [((tuple(n.split(" ")) if n else (), t, link), named_label(tuple(n.split(" ")))) for n, t, link in zip(r["names"], measured, r["links"], strict=True)]
-        if {x[1] for x in page} >= {0, 1}:
-            labelled.append(page)
-            heads += r["heads"]
-    if not labelled:
-        return None
-    rng, xs, ys = Random(29), [], []
-    words = [w for head in heads for w in head.split(" ")][:VOCABULARY]
-    for page in labelled:
-        sure = [x for x in page if x[1] is not None]
-        for made in [page, *(vary(sure, words, rng) for _ in range(COPIES))]:
-            whole, labels = [b for b, _ in made], np.array([np.nan if label is None else label for _, label in made], np.float32)
-            for start in range(0, len(whole), RUN):
-                xs.append((whole, start))
-                ys.append(labels[start : start + RUN])
+    rows = sample.select(order.cast("long").alias("order"), F.col(source)).mapInArrow(lambda batches: _training_pages(batches, most_blocks), SAMPLE)
+    return learned(sorted(rows.limit(8 * train_pages).collect(), key=lambda r: (r["order"], r["heads"], r["measured"]))[:train_pages])
+
+
+def learned(sample: Sequence[Mapping]) -> BiLSTM:
+    """A labeller of the sampled pages, as :func:`_training_pages` measures them."""
+    named, words = [], []
+    for r in sample:
+        page = Page(r["parents"], [tuple(n.split(" ")) for n in r["names"]], r["at"], [], r["links"])
+        measured, labels = np.array(r["measured"], np.float32).reshape(-1, WORDS + 2), named_labels(page)
+        words += [w for head in r["heads"] for w in head.split(" ")]
+        if {0, 1} <= set(labels):
+            named.append((page, measured, labels))
+    rng = Random(29)
+    words = rng.sample(words, min(len(words), VOCABULARY)) or ["".join(rng.choice(layouts.SYLLABLES) for _ in range(rng.randint(1, 4))) for _ in range(1_000)]
+    runs, ys = [], []
+
+    def learn(page: Page | layouts.Layout, measured: np.ndarray, labels: list[float | None]) -> None:
+        x, y = Inputs(page, measured).rows(0, len(labels)), np.array([np.nan if label is None else label for label in labels], np.float32)
+        for start in range(0, len(y), RUN):
+            runs.append(x[start : start + RUN])
+            ys.append(y[start : start + RUN])
+
+    def invent(body: list[tuple[str, np.ndarray]] | None) -> None:
+        made = layouts.layout(rng, measures, words, body)
+        learn(made, made.measures(), made.labels)
+
+    for page, measured, labels in named:
+        learn(page, measured, labels)
+        learn(disguised(page, rng), measured, labels)
+        body = [(own if (own := page.names[at][0] if at >= 0 else "p") in ("h1", "h2", "h3", "p") else "p", m) for at, m, label in zip(page.at, measured, labels, strict=True) if label == 1]
+        invent(body)
+    for _ in range(max(LAYOUTS - len(named), LAYOUTS // 2)):
+        invent(None)
     net = BiLSTM()
-    net.train(xs, ys)
+    net.train(runs, ys)
     return net
 
 
-def main_text(pages: DataFrame, net: BiLSTM | None, source: str = "html", name: str = "text") -> DataFrame:
+def _grouped(texts: list[str | None]) -> Iterator[list[str | None]]:
+    """Pages in groups of at most 128, and of about ``GROUP_CHARS`` characters."""
+    group, size = [], 0
+    for t in texts:
+        group.append(t)
+        size += len(t or "")
+        if len(group) == 128 or size > GROUP_CHARS:
+            yield group
+            group, size = [], 0
+    if group:
+        yield group
+
+
+def main_text(pages: DataFrame, net: BiLSTM, source: str = "html", name: str = "text") -> DataFrame:
     """The rows of ``pages`` with a string ``name``: the blocks labelled as article text, joined by newlines.
 
-    Null and empty pages, and pages of which no block is kept, give the empty string.  Without a
-    labeller every block is kept.  Pages are read whole and one by one: repeated rows alike, an
-    empty table gives an empty table, other columns stay as they are; a column ``name`` is
-    replaced.  No shuffle.
+    Null and empty pages, and pages of which no block is kept, give the empty string.  Pages are
+    read whole and one by one, in time and memory proportional to their length: repeated rows
+    alike, an empty table gives an empty table, other columns stay as they are; a column ``name``
+    is replaced.  No shuffle.
     """
     pages = pages.drop(name)
     place, shared = pages.columns.index(source), pages.sparkSession.sparkContext.broadcast(net)
@@ -398,11 +534,10 @@ def main_text(pages: DataFrame, net: BiLSTM | None, source: str = "html", name:
         own = shared.value
         for batch in batches:
             texts: list[str] = []
-            whole = batch.column(place).to_pylist()
-            for k in range(0, len(whole), 128):
-                read = [blocks(p) for p in whole[k : k + 128]]
-                kept = own.probabilities([features([(n, measures(t), link) for n, t, link in page]) for page in read]) if own is not None else [np.ones(len(b)) for b in read]
-                texts += ["\n".join(b[1] for b, p in zip(page, prob, strict=True) if p >= 0.5) for page, prob in zip(read, kept, strict=True)]
+            for group in _grouped(batch.column(place).to_pylist()):
+                seen = [read(p) for p in group]
+                kept = own.probabilities([Inputs(p, measures(p.texts)) for p in seen])
+                texts += ["\n".join(t for t, q in zip(page.texts, prob, strict=True) if q >= 0.5) for page, prob in zip(seen, kept, strict=True)]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.string())], [*batch.schema.names, name])
 
     return pages.mapInArrow(add, T.StructType([*pages.schema.fields, T.StructField(name, T.StringType())]))
