@@ -317,7 +317,25 @@ def test_chat_of_turns_with_the_same_number(spark):
     table = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
     found = [tuple(r) for r in chat.render(table).collect()]
     assert {r[0] for r in found} == brute_maximal(rows)
+    assert_sql(rows, found)
+
+
+def test_chat_of_one_large_conversation(spark):
+    """Null or shared turn numbers: parts of 64 turns all the same, dealt to many blocks."""
+    rows = [(None, None, "user", f"nameless {k}") for k in range(500)] + [(1, 3, None, f"other {k}") for k in range(300)] + [(2, 3, None, f"other {k}") for k in range(100, 300)]
+    rows += [(3, None, "user", f"text {k}") for k in range(500)]
+    table = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    found = [tuple(r) for r in chat.render(table.repartition(5)).collect()]
+    n_blocks = chat._blocks(table).select("block").distinct().count()
+    spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert n_blocks > 1
+    assert {r[0] for r in found} == brute_maximal(rows) == {None, 1, 2, 3} and all(r[2] <= chat.PART for r in found)
+    assert_sql(rows, found)
+
+
+def assert_sql(rows, found):
     con = duckdb.connect()
     con.execute("CREATE TABLE conversations (conv_id BIGINT, turn BIGINT, role VARCHAR, text VARCHAR)")
     con.executemany("INSERT INTO conversations VALUES (?, ?, ?, ?)", rows)
-    assert sorted(con.execute(queries.OP4_SQL).fetchall()) == sorted(found)
+    assert sorted(con.execute(queries.OP4_SQL).fetchall(), key=str) == sorted(found, key=str)
