@@ -1,6 +1,7 @@
 """Row-wise operators: token counts, licences, quality rules, decontamination."""
 
 import hashlib
+import os
 import random
 import re
 from collections import Counter
@@ -41,6 +42,27 @@ def test_token_counts_equal_the_library(spark, docs):
     assert token_counts.token_counts(docs.limit(0), path).count() == 0
 
 
+def test_long_texts_are_counted_in_groups(monkeypatch):
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    counter, library = token_counts._Counter(path, token_counts.prove_whole_tokens(path)), token_counts.tokenizer(path)
+    monkeypatch.setattr(token_counts, "LONG", 10)
+    for group in (1, 7, 1 << 16):
+        monkeypatch.setattr(token_counts, "GROUP", group)
+        for text in [t for t in TEXTS if t and t is not LONG] + ["  tail   \n\n of  spaces  <|endoftext|> é unheardofword" * 40]:
+            assert counter(text) == len(library.encode(text, add_special_tokens=False).ids), text
+
+
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.01"), reason="needs the test tables")
+def test_token_counts_of_all_documents(spark):
+    ship(spark)
+    library = token_counts.tokenizer(public_tokenizers.path("byte_bpe_50k.json"))
+    texts = {r["doc_id"]: r["text"] or "" for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text").collect()}
+    found = queries.op1_token_counts(spark, "/root/testdata/sf0.01").collect()
+    assert {r["doc_id"]: (r["n_bytes"], r["n_tokens"], r["over_limit"]) for r in found} == {
+        k: (len(t.encode()), n := len(library.encode(t, add_special_tokens=False).ids), n > 512) for k, t in texts.items()
+    }
+
+
 def test_whole_tokens_are_proved(spark):
     whole = token_counts.prove_whole_tokens(public_tokenizers.path("byte_bpe_50k.json"))
     library = token_counts.tokenizer(public_tokenizers.path("byte_bpe_50k.json"))

@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import zlib
 from collections.abc import Iterator
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -27,17 +28,31 @@ PAIRS, ENCODED, ATTENDED = 128, 32, 16
 FEATURES = 256 + PAIRS + 3
 #: Bytes of text that are encoded at once.
 GROUP_BYTES = 1 << 21
+#: Passages that are measured at once.
+GROUP = 1_024
 
 
 def encode(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
-    """Features of all passages, and each text's number of passages (1 for an empty text)."""
+    """Features of all passages, and each text's number of passages (1 for an empty text).
+
+    Passages are measured ``GROUP`` at a time, so beside texts and features memory holds little.
+    """
     raws = [(t or "").encode() for t in texts]
     counts = np.array([max(1, -(-len(r) // PASSAGE)) for r in raws])
-    pieces = [r[k : k + PASSAGE] for r in raws for k in range(0, max(1, len(r)), PASSAGE)]
+    x, at = np.zeros((counts.sum(), FEATURES), np.float32), 0
+    pieces = (r[k : k + PASSAGE] for r in raws for k in range(0, max(1, len(r)), PASSAGE))
+    while group := list(islice(pieces, GROUP)):
+        _measure(group, x[at : at + len(group)])
+        at += len(group)
+    x[:, -1] = np.repeat(np.log(counts), counts)
+    return x, counts
+
+
+def _measure(pieces: list[bytes], x: np.ndarray) -> None:
+    """Puts what passages say by themselves into their rows of ``x``."""
     sizes = np.array([len(p) for p in pieces])
     flat = np.frombuffer(b"".join(pieces), np.uint8).astype(np.int64)
     owner = np.repeat(np.arange(len(pieces)), sizes)
-    x = np.zeros((len(pieces), FEATURES), np.float32)
     if len(flat):
         per = np.maximum(sizes, 1)[:, None]
         x[:, :256] = np.sqrt(np.bincount(owner * 256 + flat, minlength=len(pieces) * 256).reshape(-1, 256) / per)
@@ -46,8 +61,6 @@ def encode(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         x[:, 256 : 256 + PAIRS] = np.sqrt(np.bincount((owner[:-1] * PAIRS + pair)[same], minlength=len(pieces) * PAIRS).reshape(-1, PAIRS) / per)
     x[:, -3] = np.log1p(sizes) / 8
     x[:, -2] = [len(zlib.compress(p, 1)) / (len(p) + 64) for p in pieces]
-    x[:, -1] = np.repeat(np.log(counts), counts)
-    return x, counts
 
 
 class AttentionMIL:

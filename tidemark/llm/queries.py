@@ -16,7 +16,7 @@ def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return licenses.licenses(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return licenses.licenses(spread(table(spark, sf_dir, "documents").select("doc_id", "text")))
 
 
 def _quoted(x: str) -> str:
@@ -59,11 +59,11 @@ p AS (SELECT conv_id, count(*) OVER w AS k, count(*) OVER (PARTITION BY conv_id)
              string_agg(concat_ws(chr(1), coalesce(turn::VARCHAR, chr(2)), coalesce(role, chr(2)), coalesce(text, chr(2))), chr(3)) OVER w AS prefix
       FROM t WINDOW w AS (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role NULLS FIRST, text NULLS FIRST ROWS UNBOUNDED PRECEDING)),
 kept AS (SELECT min(conv_id) AS conv_id FROM p WHERE k = n AND prefix NOT IN (SELECT prefix FROM p WHERE k < n) GROUP BY prefix),
-shown AS (SELECT conv_id, coalesce(turn // 64, -1)::BIGINT AS part, turn, coalesce(role, 'unknown') AS role, coalesce(text, '') AS text
-          FROM t WHERE conv_id IN (SELECT conv_id FROM kept))
-SELECT conv_id, part, count(*)::BIGINT AS n_turns,
-       string_agg('<|im_start|>' || replace(role, '<|', '< |') || chr(10) || replace(text, '<|', '< |') || '<|im_end|>' || chr(10), ''
-                  ORDER BY turn NULLS FIRST, role, text) AS text
+shown AS (SELECT conv_id, k, coalesce(role, 'unknown') AS role, coalesce(text, '') AS text
+          FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role NULLS FIRST, text NULLS FIRST) AS k FROM t)
+          WHERE conv_id IN (SELECT conv_id FROM kept) OR conv_id IS NULL AND EXISTS (SELECT 1 FROM kept WHERE conv_id IS NULL))
+SELECT conv_id, ((k - 1) // 64)::BIGINT AS part, count(*)::BIGINT AS n_turns,
+       string_agg('<|im_start|>' || replace(role, '<|', '< |') || chr(10) || replace(text, '<|', '< |') || '<|im_end|>' || chr(10), '' ORDER BY k) AS text
 FROM shown GROUP BY conv_id, part
 """
 
@@ -74,7 +74,7 @@ def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    ledger = quality_rules.rule_ledger(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    ledger = quality_rules.rule_ledger(spread(table(spark, sf_dir, "documents").select("doc_id", "text")))
     bits = F.col("ledger.fail_bits")
     return ledger.select(
         "doc_id",
@@ -113,7 +113,7 @@ FROM b
 
 
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    mixed = mixing.mix(table(spark, sf_dir, "documents").select("doc_id", "text", "source"), columns=["doc_id"])
+    mixed = mixing.mix(spread(table(spark, sf_dir, "documents").select("doc_id", "text", "source")), columns=["doc_id"])
     return mixed.select("doc_id", "mixed.*")
 
 

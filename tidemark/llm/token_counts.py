@@ -11,6 +11,7 @@ from __future__ import annotations
 import os
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import chain, islice
 
 import public_tokenizers
 import pyarrow as pa
@@ -25,6 +26,8 @@ PRE_TOKEN = public_tokenizers.PATTERN.replace(r"[^\s\p{L}\p{N}]", r"[^\p{White_S
 STABLE = regex.compile(r"[\x00-ɏ‐-‧]*+")
 #: Distinct merged strings that a task remembers before it starts anew.
 REMEMBERED = 800_000
+#: A text of this many characters is counted in groups of GROUP pre-tokens, for memory's sake.
+LONG, GROUP = 1 << 20, 1 << 16
 
 
 @lru_cache(maxsize=4)
@@ -58,21 +61,26 @@ def prove_whole_tokens(path: str) -> list[str]:
 class _Counter:
     def __init__(self, path: str, whole: list[str]):
         self.own, self.whole = tokenizer(path), whole
-        self.find = regex.compile(PRE_TOKEN).findall
+        self.find, self.each = regex.compile(PRE_TOKEN).findall, regex.compile(PRE_TOKEN).finditer
         added = sorted((t.content for t in self.own.get_added_tokens_decoder().values()), key=len, reverse=True)
         self.split = regex.compile("|".join(map(regex.escape, added))).split if added else lambda text: [text]
         self.size = dict.fromkeys(whole, 1)
 
-    def pre_tokens(self, text: str) -> list[str]:
-        if text.isascii() or STABLE.fullmatch(text):
-            return self.find(text)
-        return [text[a:b] for _, (a, b) in self.own.pre_tokenizer.pre_tokenize_str(text)]
+    def pre_tokens(self, text: str) -> Iterator[list[str]]:
+        """The pre-tokens of a text: at once, or of a long one in groups."""
+        if not text.isascii() and not STABLE.fullmatch(text):
+            yield [text[a:b] for _, (a, b) in self.own.pre_tokenizer.pre_tokenize_str(text)]
+        elif len(text) < LONG:
+            yield self.find(text)
+        else:
+            found = self.each(text)
+            while group := [m[0] for m in islice(found, GROUP)]:
+                yield group
 
     def __call__(self, text: str) -> int:
         parts = self.split(text)
         total = len(parts) - 1
-        for part in parts:
-            pre = self.pre_tokens(part)
+        for pre in chain.from_iterable(map(self.pre_tokens, parts)):
             sizes = list(map(self.size.get, pre))
             if None in sizes:
                 rest = list({p for p, n in zip(pre, sizes, strict=True) if n is None})

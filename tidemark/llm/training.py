@@ -6,8 +6,8 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Distinct labels that a model may have.
-MOST_LABELS = 1_000
+#: Rows of a training sample, about, whatever the number of labels; and labels whose counts are broadcast.
+MOST_ROWS, FEW_LABELS = 200_000, 10_000
 _GRAIN = 1_000_000
 
 
@@ -37,17 +37,19 @@ def softmax(x: np.ndarray) -> np.ndarray:
     return e / e.sum(axis=-1, keepdims=True)
 
 
-def bounded_sample(rows: DataFrame, key: str, label: str, per_label: int, seed: int = 1) -> DataFrame:
+def bounded_sample(rows: DataFrame, key: str, label: str, per_label: int, seed: int = 1, most: int = MOST_ROWS) -> DataFrame:
     """About ``2 * per_label`` rows of each non-null label at most, chosen by a hash of ``key``.
 
-    One pass counts the labels; the sample is then a filter, so it has the same rows on every run.
-    The hash is returned as ``order``: its ``per_label`` smallest make the final sample.
+    Of more labels than ``most / (2 * per_label)`` each has fewer rows, so ``most`` bounds the
+    sample.  One pass counts the labels; the sample is then a filter, so it has the same rows on
+    every run.  The hash is returned as ``order``: its ``per_label`` smallest make the final sample.
     """
-    counts = rows.where(F.col(label).isNotNull()).groupBy(label).agg(F.count("*").alias("n")).limit(MOST_LABELS + 1).collect()
-    if len(counts) > MOST_LABELS:
-        raise ValueError(f"over {MOST_LABELS} labels")
+    counts = rows.where(F.col(label).isNotNull()).groupBy(F.col(label).alias("__label")).agg(F.count("*").alias("__n"))
+    n_labels = counts.count()
+    wanted = min(2 * per_label, most / max(1, n_labels))
+    # few enough labels to be sent to every task, or else a join that Spark plans
+    counts = F.broadcast(counts) if n_labels <= FEW_LABELS else counts
     order = F.pmod(F.xxhash64(F.lit(seed), F.col(key)), F.lit(_GRAIN))
-    most = F.lit(0)
-    for r in counts:
-        most = F.when(F.col(label) == r[0], F.lit(min(_GRAIN, int(2 * per_label / r["n"] * _GRAIN) + 1))).otherwise(most)
-    return rows.where(F.col(key).isNotNull() & F.col(label).isNotNull() & (order < most)).withColumn("order", order)
+    known = rows.where(F.col(key).isNotNull() & F.col(label).isNotNull()).withColumn("order", order)
+    least = F.least(F.lit(float(_GRAIN)), F.floor(F.lit(wanted * _GRAIN) / F.col("__n")) + 1)
+    return known.join(counts, F.col(label) == F.col("__label")).where(F.col("order") < least).drop("__label", "__n")
