@@ -50,6 +50,12 @@ def shared_folder(spark: SparkSession) -> str:
     return tempfile.mkdtemp(prefix="spark-")
 
 
+def remove(spark: SparkSession, path: str) -> None:
+    """Deletes a folder, wherever Spark's file systems keep it."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
 def whole_row(df: DataFrame) -> Column:
     """All columns of ``df`` as one struct, so that no other name can clash with theirs."""
     return F.struct(*(F.col(f"`{c}`") for c in df.columns))
