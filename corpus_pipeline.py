@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.llm import decontaminate, language_id, mixing, quality_rules, simhash
-from tidemark.llm.common import remainder, shared_folder, table, whole_row
+from tidemark.llm.common import remainder, remove, shared_folder, table, whole_row
 
 #: Languages whose score is below this are too uncertain to keep.
 LEAST_SCORE = 0.3
@@ -27,12 +27,13 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in a language the network knows; it learns from three quarters of those it gets."""
+    """Documents in a language the network knows; it learns from three quarters of those it gets.
+
+    Where none of these has a label, no language is known, so no document stays.
+    """
     learn = F.coalesce(remainder(F.col("doc_id"), 4) != 2, F.lit(False))
     net = language_id.fit(docs.where(learn).select("doc_id", "lang", "text"))
     found = language_id.identify(docs.select(whole_row(docs).alias("row"), "text"), net)
-    if net is None:  # nothing to judge by
-        return docs
     return found.where(language_id.accepted(F.col("lang_pred"), F.col("lang_score"), LEAST_SCORE)).select("row.*")
 
 
@@ -59,10 +60,15 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The stages applied to ``documents``, each written under a new folder and read again."""
+    """The stages applied to ``documents``, each written under a new folder and read again.
+
+    A stage's table is deleted once the next one is written; the last stays, as its rows are the result.
+    """
     docs, base = table(spark, sf_dir, "documents"), f"{shared_folder(spark).rstrip('/')}/pipeline-{uuid.uuid4().hex}"
     for k, (_, stage) in enumerate(STAGES):
         path = f"{base}/{k}.parquet"
         stage(spark, docs, sf_dir).write.parquet(path)
         docs = spark.read.parquet(path)
+        if k:
+            remove(spark, f"{base}/{k - 1}.parquet")
     return docs
