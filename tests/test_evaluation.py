@@ -76,6 +76,20 @@ def test_value_clusters_wait_for_the_value(spark):
     assert [r["seq"] for r in found] == [2]
 
 
+@pytest.mark.parametrize("days", [0, 3])
+def test_actors_equal_brute_force(spark, days):
+    rng = np.random.default_rng(days)
+    start = day("2021-01-01")
+    rows = [(k, [None, "T", "U"][rng.choice(3, p=[0.1, 0.6, 0.3])], f"m{rng.integers(0, 5)}", start + timedelta(int(rng.integers(0, 25))), float(rng.integers(1, 9))) for k in range(300)]
+    table = spark.createDataFrame(rows, "seq long, ticker string, member string, filing_date date, value double")
+    exact, by_day = ({r["seq"]: (r["n_actors"], r["window_value"]) for r in f(table, days).collect()} for f in (events.distinct_actors, events.distinct_actors_by_day))
+    for seq, ticker, _, at, _ in rows:
+        near = [r for r in rows if r[1] == ticker and timedelta(0) <= at - r[3] <= timedelta(days)]
+        assert by_day[seq] == (len({r[2] for r in near}), sum(r[4] for r in near))
+        upto = [r for r in near if r[3] < at or r[0] <= seq]
+        assert exact[seq] == (len({r[2] for r in upto}), sum(r[4] for r in upto))
+
+
 def test_same_day_trades_count_in_order(spark):
     rows = [("a", 0, 1), ("b", 0, 1), ("c", 0, 1)]
     assert by(events.distinct_actors(trade_rows(spark, rows), 30), "seq", value="n_actors") == {0: 1, 1: 2, 2: 3}

@@ -76,6 +76,16 @@ def test_event_returns(spark):
     assert found["DEAD", days[5]] == pytest.approx(111 / 106 - 1)
 
 
+def test_every_event_and_pair_comes_back(spark):
+    days = weekdays("2021-01-04", 30)
+    prices, cal = price_frame(spark, {"A": [100.0 + k for k in range(30)]}), calendar_frame(spark, days)
+    rows = [("A", days[3]), ("A", days[3]), ("A", day("2030-01-01")), ("A", day("2030-01-01")), ("A", None)]
+    found = returns.event_returns(spark.createDataFrame(rows, "ticker string, date date"), prices, cal, 10).collect()
+    assert sorted(str((r["date"], r["ret"] is None)) for r in found) == sorted(str((d, d != days[3])) for _, d in rows)
+    pairs = spark.createDataFrame([(days[2], "A"), (days[2], "A")], "date date, ticker string")
+    assert returns.delisting_aware_returns(prices, pairs, cal, 5, pairs.limit(0)).count() == 2
+
+
 def test_excess_returns(spark):
     a, b = day("2021-01-29"), day("2021-02-26")
     rows = spark.createDataFrame([(a, "A", 0.10), (a, "B", 0.0), (a, "C", -0.10), (b, "A", 0.20), (b, "B", 0.10), (b, "C", 0.0)], "date date, ticker string, fwd_ret_raw double")

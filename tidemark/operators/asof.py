@@ -29,16 +29,17 @@ def last_known(history: DataFrame, probes: DataFrame, key: Sequence[str], values
 
 
 def at_points(history: DataFrame, rows: DataFrame, points: Mapping[str, str], value: str = "close_adj", key: str = "ticker", ts: str = "date") -> DataFrame:
-    """``rows`` with a column for each of ``points`` (name -> date column): ``value`` as of that date.
+    """``rows`` with a column for each of ``points`` (name -> date column): ``value`` as of that date, null at a null date.
 
-    All points go through one as-of pass.
+    All points go through one as-of pass.  Every row comes back as often as it is given.
     """
     each = F.explode(F.array(*(F.struct(F.lit(name).alias("point"), F.col(at).alias("at")) for name, at in points.items())))
     probes = rows.select(F.struct(*rows.columns).alias("__row"), F.col(key).alias("__key"), each.alias("__e")).select("__row", "__key", "__e.point", "__e.at")
-    past = history.select(F.col(key).alias("__key"), F.col(ts).alias("__when"), F.col(value).alias("__value"))
-    found = last_known(past, probes.where("at IS NOT NULL"), ["__key"], ["__value"], "__when", "at")
-    wide = found.groupBy("__key", "__row").agg(*(F.max(F.when(F.col("point") == name, F.col("__value"))).alias(name) for name in points))
-    return wide.select("__row.*", *points)
+    past = history.where(F.col(ts).isNotNull()).select(F.col(key).alias("__key"), F.col(ts).alias("__when"), F.col(value).alias("__value"))
+    found = last_known(past, probes, ["__key"], ["__value"], "__when", "at")
+    wide = found.groupBy("__key", "__row").agg(*(F.max(F.when(F.col("point") == name, F.col("__value"))).alias(name) for name in points), F.count(F.lit(1)).alias("__n"))
+    copies = F.explode(F.array_repeat(F.lit(0), (F.col("__n") / len(points)).cast("int")))
+    return wide.select("__row", *points, copies.alias("__copy")).select("__row.*", *points)
 
 
 def facts_wide(facts: DataFrame, tags: Sequence[str]) -> DataFrame:

@@ -10,28 +10,50 @@ def _days(column: str):
     return F.datediff(F.col(column), F.lit("1970-01-01").cast("date"))
 
 
+def _by_day(trades: DataFrame, days: int, on: str) -> tuple[DataFrame, DataFrame]:
+    """``trades`` with ``__day`` and ``__new`` (1 where the member wasn't among the ticker's actors), and
+    (ticker, day) rows with the actors and the value that the day begins with.
+
+    A member counts from a trade until ``days`` days have passed without another, so the number of
+    actors is a running sum of comings and goings.  Those are first summed by day: what is ordered
+    within a ticker has a row a day, however many trades there are.
+    """
+    own = Window.partitionBy("ticker", "member").orderBy("__day", "seq")
+    of = trades.withColumn("__day", _days(on))
+    gap = lambda x: F.coalesce(x, F.lit(days + 1)) > days
+    of = of.withColumns({"__new": gap(F.col("__day") - F.lag("__day").over(own)).cast("int"), "__gone": gap(F.lead("__day").over(own) - F.col("__day")).cast("int")})
+    came = of.groupBy("ticker", "__day").agg(F.sum("__new").alias("came"), F.sum("value").alias("value"))
+    left = of.groupBy("ticker", (F.col("__day") + days + 1).alias("__day")).agg(F.sum("__gone").alias("left"))
+    both = came.unionByName(left, allowMissingColumns=True).groupBy("ticker", "__day").agg(F.max("came").alias("came"), F.max("left").alias("left"), F.max("value").alias("value"))
+    w = Window.partitionBy("ticker").orderBy("__day")
+    before = w.rowsBetween(Window.unboundedPreceding, -1)
+    begun = F.coalesce(F.sum("came").over(before), F.lit(0)) - F.coalesce(F.sum("left").over(w.rowsBetween(Window.unboundedPreceding, 0)), F.lit(0))
+    daily = both.select("ticker", "__day", begun.alias("__begun"), F.sum("value").over(w.rangeBetween(-days, -1)).alias("__held"), F.col("came").alias("__came"), F.col("value").alias("__value"))
+    return of.drop("__gone"), daily.select(F.col("ticker").alias("__t"), F.col("__day").alias("__d"), "__begun", "__held", "__came", "__value")
+
+
+def _with_days(of: DataFrame, daily: DataFrame) -> DataFrame:
+    return of.join(daily, F.col("ticker").eqNullSafe(F.col("__t")) & F.col("__day").eqNullSafe(F.col("__d")))
+
+
 def distinct_actors(trades: DataFrame, days: int, on: str = "filing_date") -> DataFrame:
     """``trades`` (seq, ticker, member, ...) with ``n_actors`` and ``window_value`` of the ticker's last ``days`` days.
 
-    Row-exact: of a day's trades only those up to the row's ``seq`` count.  The window's rows are
-    those of a ticker within ``days`` days, so its size doesn't grow with history.
+    Row-exact: of a day's trades only those up to the row's ``seq`` count.  Trades are ordered
+    within their day only, so a ticker with a third of all trades is as many tasks as it has days.
     """
-    near = Window.partitionBy("ticker").orderBy("__day").rangeBetween(-days, 0)
-    held = F.collect_list(F.struct("__day", "seq", "member", "value")).over(near)
-    upto = F.filter(held, lambda x: (x["__day"] < F.col("__day")) | (x["seq"] <= F.col("seq")))
-    own = trades.withColumn("__day", _days(on)).withColumn("__held", upto)
-    return own.withColumns(
-        {
-            "n_actors": F.size(F.array_distinct(F.transform("__held", lambda x: x["member"]))),
-            "window_value": F.aggregate("__held", F.lit(0.0), lambda a, x: a + x["value"]),
-        }
-    ).drop("__day", "__held")
+    of, daily = _by_day(trades, days, on)
+    upto = Window.partitionBy("ticker", "__day").orderBy("seq").rangeBetween(Window.unboundedPreceding, 0)
+    counted = _with_days(of.withColumns({"__own": F.sum("__new").over(upto), "__sum": F.sum("value").over(upto)}), daily)
+    value = F.coalesce(F.col("__held"), F.lit(0.0)) + F.coalesce(F.col("__sum"), F.lit(0.0))
+    return counted.select(*trades.columns, (F.col("__begun") + F.col("__own")).cast("int").alias("n_actors"), value.alias("window_value"))
 
 
 def distinct_actors_by_day(trades: DataFrame, days: int, on: str = "filing_date") -> DataFrame:
-    """As :func:`distinct_actors`, with all of a day's trades counted: built-in window functions only."""
-    near = Window.partitionBy("ticker").orderBy(_days(on)).rangeBetween(-days, 0)
-    return trades.withColumns({"n_actors": F.size(F.collect_set("member").over(near)), "window_value": F.sum("value").over(near)})
+    """As :func:`distinct_actors`, with all of a day's trades counted."""
+    counted = _with_days(*_by_day(trades, days, on))
+    value = F.coalesce(F.col("__held"), F.lit(0.0)) + F.coalesce(F.col("__value"), F.lit(0.0))
+    return counted.select(*trades.columns, (F.col("__begun") + F.col("__came")).cast("int").alias("n_actors"), value.alias("window_value"))
 
 
 def clusters(counted: DataFrame, least: int, on: str = "filing_date") -> DataFrame:

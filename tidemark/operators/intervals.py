@@ -49,6 +49,13 @@ def in_universe_at(events: DataFrame, universe: DataFrame, on: str = "date") ->
 
 
 def first_in_range(events: DataFrame, marks: DataFrame, low: Column, high: Column, key: str = "ticker", on: str = "date", to: str = "matched") -> DataFrame:
-    """``events`` with the earliest mark of their key in (low, high]; events without one go."""
-    found = events.join(marks.select(F.col(key).alias("__k"), F.col(on).alias("__m")), (F.col(key) == F.col("__k")) & (F.col("__m") > low) & (F.col("__m") <= high))
-    return found.groupBy(*events.columns).agg(F.min("__m").alias(to))
+    """``events`` with the earliest mark of their key in (low, high]; events without one go.
+
+    Marks and events are unioned and one window per key, from the latest on, carries the next mark
+    back: linear work, where an equi-join with a range would pair every event with every mark.
+    """
+    asked = events.select(F.col(key).alias("__k"), low.alias("__at"), F.lit(0).alias("__mark"), F.lit(None).cast(marks.schema[on].dataType).alias("__m"), F.struct(*events.columns, high.alias("__high")).alias("__row"))
+    kinds = marks.where(F.col(on).isNotNull()).select(F.col(key).alias("__k"), F.col(on).alias("__at"), F.lit(1).alias("__mark"), F.col(on).alias("__m"))
+    later = Window.partitionBy("__k").orderBy(F.desc("__at"), "__mark").rowsBetween(Window.unboundedPreceding, 0)
+    found = asked.unionByName(kinds, allowMissingColumns=True).withColumn(to, F.last("__m", ignorenulls=True).over(later))
+    return found.where((F.col("__mark") == 0) & F.col("__k").isNotNull() & (F.col(to) <= F.col("__row.__high"))).select("__row.*", to).drop("__high")

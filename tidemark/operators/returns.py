@@ -74,14 +74,15 @@ def event_returns(events: DataFrame, prices: DataFrame, calendar: DataFrame, hor
 
     Null if entry or horizon lie outside the calendar, or the name has no price by the entry or
     has stopped trading before it.  Of a name that stops within the horizon, before the calendar's
-    last session, the terminal price counts.  Events of names without any price are left out.
+    last session, the terminal price counts.  Every event of a name with a price comes back, repeated
+    ones too; events of names without any price are left out.
     """
     last_session = calendar.agg(F.max("session").alias("last_session"))
     rows = cal.offset(cal.offset(events, calendar, lag, on=on, to="entry"), calendar, horizon, on="entry", to="__target")
     own = spans(prices).join(F.broadcast(last_session), F.col("last") <= F.col("last_session"))  # one row
     held = rows.join(own.select("ticker", "last", "last_price", (F.col("last") < F.col("last_session")).alias("ended")), "ticker", "left")
     found = held.join(prices.select("ticker").distinct(), "ticker", "left_semi")
-    found = at_points(prices, found.withColumn("__row", F.monotonically_increasing_id()), {"p0": "entry", "p1": "__target"})
+    found = at_points(prices, found, {"p0": "entry", "p1": "__target"})
     value = F.when(F.col("__target") <= F.col("last"), F.col("p1")).when(F.col("ended") & F.col("__target").isNotNull(), F.col("last_price"))
     known = F.when((F.col("p0") > 0) & (F.col("entry") <= F.col("last")), value / F.col("p0") - 1)
     return found.select(*events.columns, "entry", known.alias(to))

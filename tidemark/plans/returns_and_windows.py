@@ -44,10 +44,9 @@ TERMINAL = {
 }
 
 
-@query("R4", "SELECT date, ticker, r(fwd_ret_raw) AS fwd_ret_raw FROM term WHERE date >= DATE '2001-01-01'", TERMINAL)
+@query("R4", "SELECT date, ticker, r(fwd_ret_raw) AS fwd_ret_raw FROM term", TERMINAL)
 def r4(d: Data):
-    late = d.probes.where(F.col("date") >= F.lit("2001-01-01"))
-    return returns.delisting_aware_returns(d.weekly, late, d.calendar, HORIZON, d.liquidated)
+    return returns.delisting_aware_returns(d.weekly, d.probes, d.calendar, HORIZON, d.liquidated)
 
 
 @query("R5", "SELECT date, ticker, r(fwd_ret_raw) AS fwd_ret_raw FROM term", TERMINAL)
@@ -68,7 +67,7 @@ def r7(d: Data):
 # events of R8: order days of each supplier, snapped to the weekly calendar, held for a quarter
 EVENT_RETURNS = {
     "ev": "SELECT DISTINCT ticker, filed AS date FROM facts WHERE tag = '1-URGENT'",
-    "entries": "SELECT e.ticker, e.date, s.idx + 1 AS idx FROM ev e ASOF JOIN sess s ON e.date <= s.session",
+    "entries": "SELECT e.ticker, e.date, s.idx + 1 AS idx FROM ev e ASOF LEFT JOIN sess s ON e.date <= s.session",
     "evret": f"""SELECT e.ticker, e.date, a.session AS entry, CASE WHEN a.session <= s.last AND p0.close_adj > 0 AND t.session IS NOT NULL THEN
     (CASE WHEN t.session <= s.last THEN p1.close_adj WHEN s.last < (SELECT max(session) FROM sess) THEN s.last_price END) / p0.close_adj - 1 END AS ret
   FROM entries e LEFT JOIN sess a ON a.idx = e.idx LEFT JOIN sess t ON t.idx = e.idx + {QUARTER} JOIN spans s ON s.ticker = e.ticker
@@ -84,18 +83,18 @@ def event_table(d: Data):
 
 
 def event_returns(d: Data):
-    return returns.event_returns(event_table(d), d.weekly, d.calendar, QUARTER, lag=1).where("ret IS NOT NULL")
+    return returns.event_returns(event_table(d), d.weekly, d.calendar, QUARTER, lag=1)
 
 
 def adjusted_event_returns(d: Data):
     """Event returns less the benchmark's over the same sessions (computed once for each entry)."""
-    own = event_returns(d)
+    own = event_returns(d).where("ret IS NOT NULL")
     entries = own.select(F.col("entry").alias("date")).distinct().withColumn("ticker", F.lit("MKT"))
     market = returns.event_returns(entries, d.market, d.calendar, QUARTER, to="mkt").select(F.col("date").alias("entry"), "mkt")
     return own.join(market.where("mkt IS NOT NULL"), "entry").select("ticker", "date", "entry", (F.col("ret") - F.col("mkt")).alias("ret"))
 
 
-@query("R8", "SELECT ticker, date, entry, r(ret) AS ret FROM evret WHERE ret IS NOT NULL", EVENT_RETURNS)
+@query("R8", "SELECT ticker, date, entry, r(ret) AS ret FROM evret", EVENT_RETURNS)
 def r8(d: Data):
     return event_returns(d)
 
