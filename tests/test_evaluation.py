@@ -1,5 +1,6 @@
 """Statistics, portfolios, events and walk-forward evaluation: known signals and exact values."""
 
+import math
 from datetime import timedelta
 
 import numpy as np
@@ -43,6 +44,54 @@ def test_performance(spark):
     assert found["n"] == 5 and found["hit_rate"] == pytest.approx(0.6) and found["max_drawdown"] == pytest.approx(-0.01)
 
 
+def test_backtest_performance(spark):
+    rows = [(MONTHS[k], g, g - 0.001, 0.5) for k, g in enumerate((0.02, -0.01, 0.03))]
+    found = evalstats.backtest_performance(spark.createDataFrame(rows, "date date, gross double, net double, turnover double")).first()
+    assert found["avg_turnover"] == pytest.approx(0.5) and found["n"] == 3
+    assert found["total_cost_drag"] == pytest.approx(1.02 * 0.99 * 1.03 - 1.019 * 0.989 * 1.029)
+
+
+def test_p_values_of_t(spark):
+    """Against the density summed by Simpson's rule."""
+    rows = [(t, n) for t in (0.0, 0.3, 1.0, 2.5, 6.0) for n in (1, 2, 3, 4, 7, 30, 31)]
+    found = spark.createDataFrame(rows, "t double, n long").select("t", "n", expr.t_two_sided(F.col("t"), F.col("n")).alias("p")).collect()
+    for r in found:
+        n, x = r["n"], np.linspace(0, r["t"], 20_001)
+        y = math.exp(math.lgamma((n + 1) / 2) - math.lgamma(n / 2)) / math.sqrt(n * math.pi) * (1 + x * x / n) ** (-(n + 1) / 2)
+        inside = (y[0] + y[-1] + 4 * y[1:-1:2].sum() + 2 * y[2:-2:2].sum()) * (x[1] - x[0]) / 3
+        assert r["p"] == pytest.approx(1 - 2 * inside, abs=1e-9)
+
+
+def test_ranks_over_the_whole_table(spark):
+    rng = np.random.default_rng(7)
+    values = [None if rng.random() < 0.05 else float(rng.integers(0, 60)) for _ in range(700)]
+    table = spark.createDataFrame([(k, v) for k, v in enumerate(values)], "id long, x double").repartition(5)
+    found = {r["id"]: (r["x_rank"], r["x_place"]) for r in evalstats.overall_ranks(table, "x", buckets=16).collect()}
+    known = sorted(v for v in values if v is not None)
+    assert sorted(p for _, p in found.values()) == list(range(1, len(known) + 1)) and len(found) == len(known)
+    for k, v in enumerate(values):
+        if v is not None:
+            assert found[k][0] == known.index(v) + (known.count(v) + 1) / 2
+
+
+def test_persistence_summary(spark):
+    rng = np.random.default_rng(2)
+    p1 = rng.normal(0, 1, 41)
+    p2 = 0.4 * p1 + rng.normal(0, 1, 41)
+    found = evalstats.persistence_summary(spark.createDataFrame([(f"m{k}", float(a), float(b)) for k, (a, b) in enumerate(zip(p1, p2, strict=True))], "member string, p1 double, p2 double")).first()
+    rho, cut = np.corrcoef(p1.argsort().argsort(), p2.argsort().argsort())[0, 1], np.quantile(p1, 0.8)
+    assert found["n"] == 41 and found["rho"] == pytest.approx(rho) and 0 < found["p_value"] < 1 and found["n_top"] == (p1 >= cut).sum()
+    assert found["top_minus_rest"] == pytest.approx(p2[p1 >= cut].mean() - p2[p1 < cut].mean())
+
+
+def test_fold_summary(spark):
+    rows = [(1, 0.1), (1, 0.3), (2, -0.2), (3, 0.4), (3, 0.2)]
+    found = evalstats.fold_summary(spark.createDataFrame(rows, "fold int, ic double")).first()
+    means = np.array([0.2, -0.2, 0.3])
+    assert found["n_folds"] == 3 and found["mean_fold_ic"] == pytest.approx(means.mean()) and found["ic_ir"] == pytest.approx(means.mean() / means.std(ddof=1))
+    assert found["positive_folds"] == pytest.approx(2 / 3) and found["mean_ic"] == pytest.approx(0.16)
+
+
 def test_top_size_rounds_half_to_even(spark):
     sizes = spark.range(1, 400).select("id", expr.top_size(F.col("id"), 0.1).alias("k"))
     assert all(r["k"] == max(1, round(r["id"] * 0.1)) for r in sizes.collect())
@@ -155,6 +204,16 @@ def test_nested_ridge_and_trees(spark, folds_data):
     assert evalstats.ic_summary(evalstats.information_coefficients(predicted, "pred", "target")).first()["mean_ic"] > 0.3
 
 
+def test_nested_ridge_takes_the_first_candidate_where_nothing_tells(spark, folds_data):
+    panel, sessions, plan = folds_data
+    predicted, chosen = walkforward.nested_ridge(panel, ["f_signal"], "target", plan, sessions, (7.0, 1.0, 100.0), 63, 63, 2, 1200)
+    assert {(r["fold"], r["alpha"], r["inner_ic"]) for r in chosen.collect()} == {(k, 7.0, None) for k in {r["fold"] for r in plan.collect()}}
+    assert predicted.where("pred IS NULL").count() == 0 and predicted.count() > 0
+    # one feature: every penalty ranks alike, so all inner coefficients are equal and the first wins
+    _, chosen = walkforward.nested_ridge(panel, ["f_signal"], "target", plan, sessions, (100.0, 7.0), 63, 63, 2, 12)
+    assert {r["alpha"] for r in chosen.where("inner_ic IS NOT NULL").collect()} == {100.0}
+
+
 def test_grids_cover_every_fold_and_setting(spark, folds_data):
     panel, _, plan = folds_data
     features, alphas = ["f_signal", "f_noise"], (1.0, 1000.0)

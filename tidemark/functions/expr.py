@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, Window, WindowSpec
 from pyspark.sql import functions as F
 
@@ -30,6 +32,28 @@ def average_rank(x: Column, *group: str) -> Column:
     return F.when(x.isNotNull(), first + (ties - 1) / 2)
 
 
+def t_two_sided(t: Column, dof: Column) -> Column:
+    """Two-sided p-value of Student's t with a whole number of degrees of freedom: the finite series for even and odd ones."""
+    cos2, sin = dof / (dof + t * t), F.abs(t) / F.sqrt(dof + t * t)
+    odd = F.pmod(dof, F.lit(2))
+
+    def series(terms: Column) -> Column:
+        """1 + x1 + x1 x2 + ...: the ratio of the j-th term to the one before is cos2 (2j - 1) / 2j, or cos2 2j / (2j + 1)."""
+        start = F.struct(F.lit(1.0).alias("term"), F.lit(1.0).alias("sum"))
+
+        def add(a: Column, j: Column) -> Column:
+            term = a["term"] * cos2 * (2 * j - 1 + odd) / (2 * j + odd)
+            return F.struct(term.alias("term"), (a["sum"] + term).alias("sum"))
+
+        steps = F.when(terms > 0, F.sequence(F.lit(1).cast("long"), terms)).otherwise(F.array().cast("array<bigint>"))
+        return F.aggregate(steps, start, add, lambda a: a["sum"])
+
+    even_inside = sin * series(((dof - 2) / 2).cast("long"))
+    tail = F.when(dof > 1, sin * F.sqrt(cos2) * series(((dof - 3) / 2).cast("long"))).otherwise(F.lit(0.0))
+    odd_inside = (F.atan(F.abs(t) / F.sqrt(dof)) + tail) * 2 / math.pi
+    return F.greatest(F.lit(0.0), 1 - F.when(odd == 0, even_inside).otherwise(odd_inside))
+
+
 def percent_rank_of(x: Column, *group: str) -> Column:
     """Average rank over the group's non-null values."""
     return average_rank(x, *group) / F.count(x).over(Window.partitionBy(*group))

@@ -78,6 +78,15 @@ def performance(returns: DataFrame, x: str = "ret", *group: str, periods: float
     )
 
 
+def backtest_performance(result: DataFrame, *group: str, periods: float = 12.0) -> DataFrame:
+    """:func:`performance` of a backtest's net returns with ``avg_turnover`` and ``total_cost_drag``: what costs took of the final growth of 1."""
+    known = result.where(F.col("net").isNotNull())
+    grown = lambda x: F.product(1 + F.col(x))
+    costs = (known.groupBy(*group) if group else known).agg(F.avg("turnover").alias("avg_turnover"), (grown("gross") - grown("net")).alias("total_cost_drag"))
+    found = performance(known, "net", *group, periods=periods)
+    return found.join(costs, list(group)) if group else found.join(F.broadcast(costs))  # one row each
+
+
 def event_statistics(rows: DataFrame, x: str, *group: str, least: int = 1) -> DataFrame:
     """n, mean, median and one-sample t (null up to 2 values) of each group with ``least`` values."""
     c, std = F.col(x), F.stddev_samp(x)
@@ -120,11 +129,49 @@ def persistence(rows: DataFrame, first: Column, second: Column, member: str = "m
     return own.where((F.col("n") >= least) & (F.col("n1") >= least_each) & (F.col("n2") >= least_each))
 
 
-def persistence_summary(members: DataFrame) -> DataFrame:
-    """n, rank correlation of the two periods, and the second-period gap of the first period's top fifth to the rest."""
-    ranked = members.withColumn("__all", F.lit(0)).withColumns({"r1": X.average_rank(F.col("p1"), "__all"), "r2": X.average_rank(F.col("p2"), "__all"), "cut": F.percentile("p1", F.lit(0.8)).over(Window.partitionBy("__all"))})
+def overall_ranks(rows: DataFrame, *columns: str, buckets: int = 256) -> DataFrame:
+    """``rows`` with ``<c>_rank`` (ties averaged) and ``<c>_place`` (row number) of each column over the whole table.
+
+    Ranks are taken within ranges of values, whose limits are approximate quantiles (``buckets`` of
+    them), and raised by the sizes of the ranges below: no task orders the whole table.
+    """
+    for c in columns:
+        limits = rows.where(F.col(c).isNotNull()).agg(F.percentile_approx(F.col(c).cast("double"), F.array(*(F.lit(k / buckets) for k in range(1, buckets))), 10_000).alias("q")).head()["q"]
+        found = F.size(F.filter(F.array(*(F.lit(float(x)) for x in sorted(set(limits or ())))).cast("array<double>"), lambda x: x < F.col(c)))
+        own = rows.where(F.col(c).isNotNull()).withColumn("__bucket", found)
+        sizes = own.groupBy("__bucket").agg(F.count(F.lit(1)).alias("__n"))
+        below = sizes.select("__bucket", F.coalesce(F.sum("__n").over(Window.orderBy("__bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("__below"))
+        ranks = {f"{c}_rank": X.average_rank(F.col(c), "__bucket"), f"{c}_place": F.row_number().over(Window.partitionBy("__bucket").orderBy(c))}
+        rows = own.withColumns(ranks).join(F.broadcast(below), "__bucket")  # at most ``buckets`` rows
+        rows = rows.withColumns({name: F.col(name) + F.col("__below") for name in ranks}).drop("__bucket", "__below")
+    return rows
+
+
+def persistence_summary(members: DataFrame, share: float = 0.8) -> DataFrame:
+    """n, rank correlation of the two periods with its two-sided ``p_value``, and the second period of the
+    first period's top fifth (``n_top``, ``top_mean``) against the rest (``rest_mean``, ``top_minus_rest``)."""
+    ranked = overall_ranks(members, "p1", "p2")
+    size = members.where("p1 IS NOT NULL AND p2 IS NOT NULL").agg(((F.count(F.lit(1)) - 1) * share + 1).alias("__at"))
+    near = ranked.join(F.broadcast(size), F.abs(F.col("p1_place") - F.col("__at")) < 1).agg(
+        F.sum(F.col("p1") * (1 - F.abs(F.col("p1_place") - F.col("__at")))).alias("cut")
+    )  # the quantile lies between its two nearest values
     top = F.col("p1") >= F.col("cut")
-    return ranked.agg(F.count(F.lit(1)).alias("n"), F.corr("r1", "r2").alias("rho"), (F.avg(F.when(top, F.col("p2"))) - F.avg(F.when(~top, F.col("p2")))).alias("top_minus_rest"))
+    of = lambda cond: F.avg(F.when(cond, F.col("p2")))
+    found = ranked.join(F.broadcast(near)).agg(F.count(F.lit(1)).alias("n"), F.corr("p1_rank", "p2_rank").alias("rho"), F.sum(top.cast("long")).alias("n_top"), of(top).alias("top_mean"), of(~top).alias("rest_mean"))
+    t = F.col("rho") * F.sqrt((F.col("n") - 2) / (1 - F.col("rho") * F.col("rho")))
+    p = F.when((F.col("n") > 2) & (F.abs("rho") < 1), X.t_two_sided(t, F.col("n") - 2))
+    return found.select("n", "rho", p.alias("p_value"), "n_top", "top_mean", "rest_mean", (F.col("top_mean") - F.col("rest_mean")).alias("top_minus_rest"))
+
+
+def fold_summary(ics: DataFrame, *setting: str) -> DataFrame:
+    """Of per-date coefficients (fold, ic): n_folds, the mean and IR over folds of each fold's mean, the share of positive folds, and the mean over dates."""
+    each = ics.groupBy(*setting, "fold").agg(F.avg("ic").alias("fold_ic"))
+    pooled = (ics.groupBy(*setting) if setting else ics).agg(F.avg("ic").alias("mean_ic"))
+    std = F.stddev_samp("fold_ic")
+    of = (each.groupBy(*setting) if setting else each).agg(
+        F.count(F.lit(1)).alias("n_folds"), F.avg("fold_ic").alias("mean_fold_ic"), F.when(std > 0, F.avg("fold_ic") / std).alias("ic_ir"), F.avg((F.col("fold_ic") > 0).cast("double")).alias("positive_folds")
+    )
+    return of.join(pooled, list(setting)) if setting else of.join(F.broadcast(pooled))  # one row each
 
 
 def select_model(candidates: DataFrame) -> DataFrame:

@@ -113,6 +113,13 @@ def build(keys: DataFrame, raw: DataFrame, features: Sequence[str]) -> DataFrame
     return normalise(keys.select("date", "ticker").join(raw.select("date", "ticker", *features), ["date", "ticker"], "left"), features)
 
 
-def matrix(keys: DataFrame, families: Sequence[DataFrame]) -> DataFrame:
-    """All families side by side at the keys; joins on the same keys share one partitioning."""
-    return reduce(lambda left, right: left.join(right, ["date", "ticker"], "left"), families, keys.select("date", "ticker"))
+def z_scores(raw: DataFrame, features: Sequence[str], low: float = 0.01, high: float = 0.99) -> DataFrame:
+    """date, ticker and each feature's ``_z``: of the winsorised value within its date; one partitioning serves all."""
+    held = raw.select("date", "ticker", *(X.winsorised(F.col(f), low, high, "date").alias(f) for f in features))
+    return held.select("date", "ticker", *(X.zscore(F.col(f), "date").alias(f"{f}_z") for f in features))
+
+
+def matrix(keys: DataFrame, families: Sequence[DataFrame], kept: Sequence[Sequence[str]] = ()) -> DataFrame:
+    """All families side by side at the keys, with the ``kept`` columns of these; joins on the same keys share one partitioning."""
+    own = keys.select("date", "ticker", *(c for names in kept for c in names))
+    return reduce(lambda left, right: left.join(right, ["date", "ticker"], "left"), families, own)

@@ -7,11 +7,12 @@ in Spark, and every fold and penalty is a sum of dates and a small driver-side s
 from __future__ import annotations
 
 from collections.abc import Iterable, Sequence
+from concurrent.futures import ThreadPoolExecutor
 from functools import reduce
 
 import numpy as np
 from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.regression import GBTRegressor
+from pyspark.ml.regression import GBTRegressionModel, GBTRegressor
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -111,7 +112,8 @@ def ridge_grid(panel: DataFrame, features: Sequence[str], target: str, plan: Dat
 def nested_ridge(panel: DataFrame, features: Sequence[str], target: str, plan: DataFrame, calendar: DataFrame, alphas: Sequence[float], horizon: int, embargo: int, inner_folds: int = 3, inner_months: int = 24) -> tuple[DataFrame, DataFrame]:
     """Predictions and the chosen (fold, alpha, inner_ic): alpha is picked in inner folds of each outer training set.
 
-    All inner models are driver-side solves; their predictions are scored together in one pass.
+    All inner models are driver-side solves; their predictions are scored together in one pass.  Of
+    equal penalties the first given wins, and it is taken where no inner fold or no coefficient is.
     """
     rows, by_date = plan.collect(), _by_date(panel, features, target)
     spark, cells, inner_plans = panel.sparkSession, {}, []
@@ -124,8 +126,6 @@ def nested_ridge(panel: DataFrame, features: Sequence[str], target: str, plan: D
             if grams_in:
                 inner_plans += [(fold, k, d) for d in _members(inner, k, "test")]
                 cells |= {(fold, k, a): Ridge(sum(grams_in), len(features), a) for a in alphas}
-    if not cells:
-        raise ValueError("no inner folds: too few training dates")
     tests = spark.createDataFrame(inner_plans, "outer int, inner int, date date")
     scored = panel.join(F.broadcast(tests), "date")
     for a in alphas:
@@ -137,39 +137,64 @@ def nested_ridge(panel: DataFrame, features: Sequence[str], target: str, plan: D
     each = F.explode(F.array(*(F.struct(F.lit(float(a)).alias("alpha"), F.col(f"`__p{a}`").alias("pred")) for a in alphas)))
     long = scored.select("outer", "inner", "date", target, each.alias("e")).select("outer", "inner", "date", target, "e.*")
     ics = information_coefficients(long, "pred", target, ("outer", "inner", "date", "alpha"))
-    by_alpha = ics.groupBy("outer", "alpha").agg(F.avg("ic").alias("inner_ic"))
-    chosen = by_alpha.groupBy(F.col("outer").alias("fold")).agg(F.max(F.struct("inner_ic", F.col("alpha"))).alias("best")).select("fold", "best.alpha", "best.inner_ic")
+    by_alpha = {(r["outer"], r["alpha"]): r["inner_ic"] for r in ics.groupBy("outer", "alpha").agg(F.avg("ic").alias("inner_ic")).collect()}
+    picked = []
+    for fold in sorted({r["fold"] for r in rows if r["role"] == "train"}):
+        best, score = float(alphas[0]), None
+        for a in map(float, alphas):
+            ic = by_alpha.get((fold, a))
+            if ic is not None and (score is None or ic > score):
+                best, score = a, ic
+        picked.append((fold, best, score))
+    chosen = spark.createDataFrame(picked, "fold int, alpha double, inner_ic double")  # one row a fold
     models = {}
-    for r in chosen.collect():
-        own = [by_date[d] for d in _members(rows, r["fold"], "train") if d in by_date]
-        models[r["fold"]] = Ridge(sum(own), len(features), r["alpha"])
+    for fold, alpha, _ in picked:
+        own = [by_date[d] for d in _members(rows, fold, "train") if d in by_date]
+        if own:
+            models[fold] = Ridge(sum(own), len(features), alpha)
     return _predict(panel, models, plan, features, target), chosen
 
 
+def _assembled(panel: DataFrame, features: Sequence[str], target: str) -> DataFrame:
+    known = imputed(panel.where(F.col(target).isNotNull()), features)
+    return VectorAssembler(inputCols=list(features), outputCol="__x").transform(known).select("date", "ticker", target, "__x")
+
+
+def _boosted(rows: DataFrame, target: str, train: Sequence, depth: int, trees: int, rate: float, seed: int, least: int, subset: str) -> GBTRegressionModel:
+    model = GBTRegressor(featuresCol="__x", labelCol=target, predictionCol="pred", maxDepth=depth, maxIter=trees, stepSize=rate, subsamplingRate=0.8, seed=seed, minInstancesPerNode=least, featureSubsetStrategy=subset, maxBins=64)
+    return model.fit(rows.where(F.col("date").isin(list(train))))
+
+
 def boosted_trees(panel: DataFrame, features: Sequence[str], target: str, train: DataFrame, test: DataFrame, depth: int = 3, trees: int = 20, rate: float = 0.1, seed: int = 7, least: int = 1, subset: str = "all") -> DataFrame:
     """date, ticker, target, pred of gradient-boosted trees fitted on ``train`` dates, for ``test`` dates.
 
     ``least`` rows stand in each leaf; ``subset`` is the share of features tried at a node.
     """
-    rows = VectorAssembler(inputCols=list(features), outputCol="__x").transform(imputed(panel.where(F.col(target).isNotNull()), features))
-    model = GBTRegressor(featuresCol="__x", labelCol=target, predictionCol="pred", maxDepth=depth, maxIter=trees, stepSize=rate, subsamplingRate=0.8, seed=seed, minInstancesPerNode=least, featureSubsetStrategy=subset)
-    fitted = model.fit(rows.join(train.select("date"), "date", "left_semi"))
-    return fitted.transform(rows.join(test.select("date"), "date", "left_semi")).select("date", "ticker", target, "pred")
-
-
-def boosted_grid(panel: DataFrame, features: Sequence[str], target: str, plan: DataFrame, depths: Sequence[int], leasts: Sequence[int], trees: int = 20) -> DataFrame:
-    """fold, depth, least, date, ticker, target, pred: boosted trees of each fold and setting; one fit each."""
-    names = sorted(r["fold"] for r in plan.where("role = 'train'").select("fold").distinct().collect())
-    each = []
-    for fold in names:
-        train, test = (plan.where((F.col("fold") == fold) & (F.col("role") == role)) for role in ("train", "test"))
-        for depth in depths:
-            for least in leasts:
-                found = boosted_trees(panel, features, target, train, test, depth, trees, least=least, subset="0.7")
-                each.append(found.select(F.lit(fold).alias("fold"), F.lit(depth).alias("depth"), F.lit(least).alias("least"), "*"))
-    if not each:
+    rows = _assembled(panel, features, target)
+    dates = lambda t: [r["date"] for r in t.select("date").distinct().collect()]
+    fitted = _boosted(rows, target, dates(train), depth, trees, rate, seed, least, subset)
+    return fitted.transform(rows.where(F.col("date").isin(dates(test)))).select("date", "ticker", target, "pred")
+
+
+def boosted_grid(panel: DataFrame, features: Sequence[str], target: str, plan: DataFrame, depths: Sequence[int], leasts: Sequence[int], trees: int = 20, rate: float = 0.1, at_once: int = 8) -> DataFrame:
+    """fold, depth, least, date, ticker, target, pred: boosted trees of each fold and setting; one fit each.
+
+    Fits don't depend on each other, so ``at_once`` of them run side by side: a fit is many short
+    jobs, which alone leave most cores idle.  ``panel`` is read by every one; give it stored.
+    """
+    rows, dates = _assembled(panel, features, target), plan.collect()  # one short row a fold and date
+    cells = [(fold, depth, least) for fold in sorted({r["fold"] for r in dates if r["role"] == "train"}) for depth in depths for least in leasts]
+    if not cells:
         raise ValueError("no folds: too few training dates")
-    return reduce(DataFrame.unionByName, each)
+
+    def one(cell: tuple[int, int, int]) -> DataFrame:
+        fold, depth, least = cell
+        fitted = _boosted(rows, target, _members(dates, fold, "train"), depth, trees, rate, 7, least, "0.7")
+        found = fitted.transform(rows.where(F.col("date").isin(_members(dates, fold, "test"))))
+        return found.select(F.lit(fold).alias("fold"), F.lit(depth).alias("depth"), F.lit(least).alias("least"), "date", "ticker", target, "pred")
+
+    with ThreadPoolExecutor(at_once) as pool:
+        return reduce(DataFrame.unionByName, pool.map(one, cells))
 
 
 def fold_report(predictions: DataFrame, target: str, *setting: str) -> DataFrame:

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import clean
-from ..operators import asof, calendar, crosssec, events, intervals
+from ..operators import asof, calendar, crosssec, evalstats, events, intervals
 from ..session import scratch
 from ..sources import contracts, io
 from .base import QUARTER, YEAR, Data, query
@@ -138,21 +138,32 @@ def s12(d: Data):
     return joined.select(F.upper(F.trim(name)).alias("raw"), clean.symbol(name).alias("ticker"), F.col("r_name").alias("sector"), F.col("n_name").alias("sub_industry")).dropDuplicates(["ticker"])
 
 
-@query("S13", "SELECT 'signal' AS name, count(*) AS n_rows, 3 AS n_columns, 'date,signal,ticker' AS fields FROM mom")
+@query("S13", """SELECT 'momentum' AS family, count(*) AS n_rows, 'signal' AS feature_columns, 'signal_z,signal_rank' AS normalized_columns, 'signal: price a month ago over a year ago, less 1; missing: no row' AS specs,
+  (SELECT count(*) FROM panel) AS panel_rows, (SELECT count(DISTINCT ticker) FROM panel) AS panel_names, true AS dated FROM mom""")
 def s13(d: Data):
     root = scratch(d.spark)
-    io.put(d.momentum, root, "features", "signal")
-    stored = io.get(d.spark, root, "features", "signal")
-    io.put(io.provenance(stored, "signal"), root, "features", "signal_meta")
-    return io.get(d.spark, root, "features", "signal_meta")
+    io.put(d.momentum, root, "features", "momentum")
+    record = io.feature_record(io.get(d.spark, root, "features", "momentum"), "momentum", {"signal": "price a month ago over a year ago, less 1; missing: no row"}, d.panel, "panel")
+    io.put(record, root, "features", "momentum_meta")
+    stored = io.get(d.spark, root, "features", "momentum_meta")
+    dated = F.abs(F.unix_timestamp(F.current_timestamp()) - F.unix_timestamp("built")) < 86_400  # the time itself differs from run to run
+    return stored.select("family", "n_rows", "feature_columns", "normalized_columns", "specs", "panel_rows", "panel_names", dated.alias("dated"))
 
 
-@query("S14", "SELECT strategy, date, r(ret) AS ret FROM (SELECT 'equal' AS strategy, date, avg(ret) AS ret FROM hold GROUP BY date UNION ALL SELECT 'median', date, median(ret) FROM hold GROUP BY date)")
+@query("S14", f"""SELECT 'returns' AS part, 'equal' AS name, date, r(ret) AS value FROM (SELECT date, avg(ret) AS ret FROM hold GROUP BY date) UNION ALL SELECT 'returns', 'median', date, r(median(ret)) FROM hold GROUP BY date
+  UNION ALL SELECT 'ic', 'momentum', date, r(ic) FROM ics UNION ALL SELECT 'summary', 'mean_ic', NULL, r(avg(ic)) FROM ics UNION ALL SELECT 'meta', 'panel_rows', NULL, count(*) FROM panel UNION ALL SELECT 'meta', 'panel_names', NULL, count(DISTINCT ticker) FROM panel""")
 def s14(d: Data):
-    path = f"{scratch(d.spark)}/strategies.json"
-    by = lambda name, f: d.holding.groupBy("date").agg(f.alias("ret")).select(F.lit(name).alias("strategy"), "date", "ret")
-    by("equal", F.avg("ret")).union(by("median", F.median("ret"))).write.json(path)
-    return d.spark.read.schema("strategy string, date date, ret double").json(path)
+    by = lambda name, f: d.holding.groupBy("date").agg(f.alias("value")).select(F.lit(name).alias("name"), "date", "value")
+    ics = evalstats.information_coefficients(d.scored, "signal", "fwd_ret_raw")
+    metas = d.panel.agg(F.count(F.lit(1)).cast("double").alias("panel_rows"), F.countDistinct("ticker").cast("double").alias("panel_names"))
+    none = F.lit(None).cast("date")
+    parts = {
+        "returns": by("equal", F.avg("ret")).unionByName(by("median", F.median("ret"))),
+        "ic": ics.select(F.lit("momentum").alias("name"), "date", F.col("ic").alias("value")),
+        "summary": evalstats.ic_summary(ics).select(F.lit("mean_ic").alias("name"), none.alias("date"), F.col("mean_ic").alias("value")),
+        "meta": metas.unpivot([], ["panel_rows", "panel_names"], "name", "value").select("name", none.alias("date"), "value"),
+    }
+    return io.put_results(d.spark, scratch(d.spark), parts, "name string, date date, value double").select("part", "name", "date", "value")
 
 
 @query("S15", "SELECT 'hold' AS name, count(*) + 1 AS n_rows, count(*) AS n_now FROM hold")

@@ -81,6 +81,12 @@ def b4(d: Data):
     return book(d)
 
 
+@query("A4_costs", f"SELECT p.*, c.avg_turnover, c.log_cost_drag FROM ({performance_sql('booked', 'ret')}) p, (SELECT r(avg(turnover)) AS avg_turnover, r(ln(product(1 + gross) - product(1 + net))) AS log_cost_drag FROM bt) c", BOOK | {"booked": "SELECT date, net AS ret FROM bt"})
+def a4_costs(d: Data):
+    """The drag as a logarithm: on tables whose prices jump from week to week it has 27 digits."""
+    return evalstats.backtest_performance(book(d), periods=12.0).withColumn("log_cost_drag", F.ln("total_cost_drag")).drop("total_cost_drag")
+
+
 @query("B5", performance_sql("swept", "ret", "bps,"), BOOK | {"swept": "SELECT b.bps::DOUBLE AS bps, date, gross - b.bps / 10000 * 2 * turnover AS ret FROM bt, (VALUES (5.0), (10.0), (20.0)) AS b(bps)"})
 def b5(d: Data):
     return portfolio.cost_sweep(book(d), SWEEP)
@@ -244,8 +250,9 @@ FOLDS = {
 }
 
 
-def plan(d: Data) -> DataFrame:
-    return walkforward.folds(d.panel, d.calendar, HORIZON, EMBARGO, MIN_TRAIN, N_FOLDS)
+def plan(d: Data, rows: DataFrame | None = None) -> DataFrame:
+    """The folds of the panel's dates; ``rows``: a stored table that has them."""
+    return walkforward.folds(d.panel if rows is None else rows, d.calendar, HORIZON, EMBARGO, MIN_TRAIN, N_FOLDS)
 
 
 @query("M1", "SELECT fold::INTEGER AS fold, date, role FROM folds", FOLDS)
@@ -285,7 +292,8 @@ RIDGE = FEATURES | FOLDS | {
 
 @query("M3", "SELECT fold::INTEGER AS fold, date, ticker, r(y) AS excess_median, r(pred) AS pred FROM preds", RIDGE)
 def m3(d: Data):
-    return walkforward.evaluate_ridge(modelling(d), ["ret_3m"], "excess_median", plan(d), 10.0)
+    rows = modelling(d)
+    return walkforward.evaluate_ridge(rows, ["ret_3m"], "excess_median", plan(d, rows), 10.0)
 
 
 ALPHAS = (1.0, 10.0, 100.0, 1000.0)
@@ -318,7 +326,8 @@ GRID = FEATURES | FOLDS | ridge_grid_sql("folds")
 @query("M3_grid", "SELECT fold::INTEGER AS fold, alpha, date, ticker, r(y) AS excess_median, r(pred) AS pred FROM preds_g", GRID)
 def m3_grid(d: Data):
     """Ridges on all model features, with each penalty of the grid."""
-    return walkforward.ridge_grid(modelling(d), MODEL_FEATURES, "excess_median", plan(d), ALPHAS)
+    rows = modelling(d)
+    return walkforward.ridge_grid(rows, MODEL_FEATURES, "excess_median", plan(d, rows), ALPHAS)
 
 
 @query("M4")
@@ -327,7 +336,8 @@ def m4(d: Data):
 
     Depths 4 and 5 stand for 15 and 31 leaves.
     """
-    return walkforward.boosted_grid(modelling(d), MODEL_FEATURES, "excess_median", plan(d), (4, 5), (100, 300))
+    rows = modelling(d)
+    return walkforward.boosted_grid(rows, MODEL_FEATURES, "excess_median", plan(d, rows), (4, 5), (100, 300))
 
 
 @query("M5", f"""SELECT fold::INTEGER AS fold, {SUMMARY} FROM gics GROUP BY fold UNION ALL SELECT 0::INTEGER, {SUMMARY} FROM gics""", RIDGE | ic_sql("preds", "fold, date", "pred", "y"))
@@ -340,10 +350,22 @@ def m5_grid(d: Data):
     return walkforward.fold_report(m3_grid(d), "excess_median", "alpha")
 
 
+FOLD_ICS = "SELECT {setting} fold, avg(ic) AS fold_ic FROM gics GROUP BY {setting} fold"
+FOLD_COLUMNS = "count(*) AS n_folds, r(avg(fold_ic)) AS mean_fold_ic, CASE WHEN stddev_samp(fold_ic) > 0 THEN r(avg(fold_ic) / stddev_samp(fold_ic)) END AS ic_ir, r(avg(CASE WHEN fold_ic > 0 THEN 1.0 ELSE 0.0 END)) AS positive_folds"
+
+
+@query("M5_folds", f"SELECT alpha, {FOLD_COLUMNS}, r(any_value(mean_ic)) AS mean_ic FROM fold_ics JOIN (SELECT alpha, avg(ic) AS mean_ic FROM gics GROUP BY alpha) USING (alpha) GROUP BY alpha", GRID | ic_sql("preds_g", "alpha, fold, date", "pred", "y") | {"fold_ics": FOLD_ICS.format(setting="alpha,")})
+def m5_folds(d: Data):
+    """Means over folds and the share of positive ones, for each penalty."""
+    ics = evalstats.information_coefficients(m3_grid(d), "pred", "excess_median", ("alpha", "fold", "date"))
+    return evalstats.fold_summary(ics, "alpha")
+
+
 @query("M6")
 def m6(d: Data):
     """Nested tuning; the choice of a penalty is a chain of fits that SQL can't state in one query."""
-    _, chosen = walkforward.nested_ridge(modelling(d), MODEL_FEATURES, "excess_median", plan(d), d.calendar, (1.0, 10.0, 100.0, 1000.0), HORIZON, EMBARGO, inner_folds=2, inner_months=6)
+    rows = modelling(d)
+    _, chosen = walkforward.nested_ridge(rows, MODEL_FEATURES, "excess_median", plan(d, rows), d.calendar, (1.0, 10.0, 100.0, 1000.0), HORIZON, EMBARGO, inner_folds=2, inner_months=6)
     return chosen
 
 
@@ -380,15 +402,27 @@ def m7_grid(d: Data):
     return evalstats.ic_summary(evalstats.information_coefficients(predicted, "pred", "excess_median", ("alpha", "date")), "alpha")
 
 
-MATRIX_NAMES = (*features.MOMENTUM, *VALUE_NAMES[:3], *features.GROWTH[:2])
+# the matrix that models use: z columns of four families, and the context of the date
+Z_FAMILIES = {"momf": features.MOMENTUM, "valf": VALUE_NAMES, "qualf": QUALITY_NAMES, "growthf": features.GROWTH}
+Z_NAMES = tuple(f"{f}_z" for names in Z_FAMILIES.values() for f in names)
 
 
-@query("J2_matrix", "SELECT p.date, p.ticker, " + _columns_sql(MATRIX_NAMES) + " FROM panel p LEFT JOIN momf USING (date, ticker) LEFT JOIN valf USING (date, ticker) LEFT JOIN growthf USING (date, ticker)", FEATURES | VALUATION_SQL | GROWTH_SQL)
-def j2_matrix(d: Data):
-    families = [
-        features.momentum(d.weekly, d.panel, WINDOWS), features.valuation(d.weekly, d.facts, d.panel, d.sectors, VALUE_TAGS).select("date", "ticker", *VALUE_NAMES),
-        features.growth(d.facts, d.panel, d.calendar, GROWTH_TAGS, POINTS),
-    ]
-    return features.matrix(d.panel, families).select("date", "ticker", *MATRIX_NAMES)
+def z_sql(source: str, names: tuple[str, ...]) -> str:
+    """The z scores alone of :func:`norm_sql`."""
+    held = ", ".join(f"CASE WHEN {f} IS NOT NULL THEN greatest(quantile_cont({f}, 0.01) OVER d, least({f}, quantile_cont({f}, 0.99) OVER d)) END AS w_{f}" for f in names)
+    out = ", ".join(f"CASE WHEN stddev_samp(w_{f}) OVER d > 0 THEN (w_{f} - avg(w_{f}) OVER d) / stddev_samp(w_{f}) OVER d WHEN {f} IS NOT NULL AND stddev_samp(w_{f}) OVER d = 0 THEN 0.0 END AS {f}_z" for f in names)
+    return f"SELECT date, ticker, {out} FROM (SELECT *, {held} FROM {source} WINDOW d AS (PARTITION BY date)) WINDOW d AS (PARTITION BY date)"
 
 
+MATRIX_SQL = FEATURES | VALUATION_SQL | QUALITY_SQL | GROWTH_SQL | CONTEXT_SQL | {f"z_{source}": z_sql(source, names) for source, names in Z_FAMILIES.items()}
+
+
+@query("J2_matrix", f"SELECT date, ticker, sector_id, {_columns_sql((*CONTEXT_NAMES, *Z_NAMES))} FROM ctx " + " ".join(f"LEFT JOIN z_{source} USING (date, ticker)" for source in Z_FAMILIES), MATRIX_SQL)
+def j2_matrix(d: Data):
+    """50 z columns and five of context at the panel's keys."""
+    raw = [
+        (features.momentum(d.weekly, d.panel, WINDOWS), features.MOMENTUM), (features.valuation(d.weekly, d.facts, d.panel, d.sectors, VALUE_TAGS), VALUE_NAMES),
+        (features.quality(d.weekly, d.facts, d.panel, d.sectors, QUALITY_TAGS), QUALITY_NAMES), (features.growth(d.facts, d.panel, d.calendar, GROWTH_TAGS, POINTS), features.GROWTH),
+    ]
+    families = [features.z_scores(rows.select("date", "ticker", *names), names) for rows, names in raw]
+    return features.matrix(f5(d), families, [("sector_id", *CONTEXT_NAMES)]).select("date", "ticker", "sector_id", *CONTEXT_NAMES, *Z_NAMES)

@@ -118,9 +118,9 @@ def a9(d: Data):
     return returns.net_of_costs(adjusted_event_returns(d), "ret", [25, 30, 50, 100]).groupBy("bps").agg(F.count("*").alias("n"), F.avg("net").alias("mean_net"))
 
 
-A10_NAMES, A10_TARGETS = ("ret_1m", "vol_12m", "dvol_trend"), ("fwd_ret_raw", "excess_sector")
+A10_NAMES, A10_TARGETS = features.MOMENTUM, ("fwd_ret_raw", "excess_median", "excess_sector")
 REPORT = FEATURES | {
-    "wide_f": "SELECT p.date, p.ticker, fwd_ret_raw, excess_sector, ret_1m, vol_12m, dvol_trend FROM panel p LEFT JOIN mom_rows m USING (date, ticker)",
+    "wide_f": f"SELECT p.date, p.ticker, {', '.join((*A10_TARGETS, *A10_NAMES))} FROM panel p LEFT JOIN mom_rows m USING (date, ticker)",
     "long_f": " UNION ALL ".join(f"SELECT date, ticker, '{f}' AS feature, '{t}' AS target, {f} AS x, {t} AS y FROM wide_f" for f in A10_NAMES for t in A10_TARGETS),
 } | ic_sql("long_f", "feature, target, date", "x", "y")
 
@@ -215,8 +215,15 @@ def a20(d: Data):
     return persistence(d)
 
 
-@query("A20_summary", """SELECT count(*) AS n, r(corr(r1, r2)) AS rho, r(avg(CASE WHEN p1 >= cut THEN p2 END) - avg(CASE WHEN p1 < cut THEN p2 END)) AS top_minus_rest FROM (
-  SELECT *, rank() OVER (ORDER BY p1) AS r1, rank() OVER (ORDER BY p2) AS r2, (SELECT quantile_cont(p1, 0.8) FROM pers) AS cut FROM pers)""", PERSIST)
+# Student's t with a whole number of degrees of freedom: the finite series, its terms by the gamma function
+P_VALUE = """CASE WHEN n > 2 AND abs(rho) < 1 THEN r(greatest(0.0, 1 - CASE WHEN n % 2 = 0 THEN
+    sqrt(1 - c) * list_sum([pow(c, j) * exp(lgamma(j + 0.5) - lgamma(j + 1)) / sqrt(pi()) for j in range(0, n // 2 - 1)])
+  ELSE 2 / pi() * (atan(sqrt((1 - c) / c)) + CASE WHEN n > 3 THEN sqrt(c * (1 - c)) * list_sum([pow(c, j) * exp(lgamma(j + 1) - lgamma(j + 1.5)) * sqrt(pi()) / 2 for j in range(0, (n - 3) // 2)]) ELSE 0 END) END)) END"""
+
+
+@query("A20_summary", f"""SELECT n, r(rho) AS rho, {P_VALUE} AS p_value, n_top::BIGINT AS n_top, r(top) AS top_mean, r(rest) AS rest_mean, r(top - rest) AS top_minus_rest FROM (
+  SELECT count(*) AS n, corr(r1, r2) AS rho, 1 - pow(corr(r1, r2), 2) AS c, count(CASE WHEN p1 >= cut THEN 1 END) AS n_top, avg(CASE WHEN p1 >= cut THEN p2 END) AS top, avg(CASE WHEN p1 < cut THEN p2 END) AS rest FROM (
+  SELECT *, rank() OVER (ORDER BY p1) AS r1, rank() OVER (ORDER BY p2) AS r2, (SELECT quantile_cont(p1, 0.8) FROM pers) AS cut FROM pers))""", PERSIST)
 def a20_summary(d: Data):
     return evalstats.persistence_summary(persistence(d))
 
@@ -286,14 +293,26 @@ def candidates(d: Data):
     models = F.explode(F.array(*(F.struct(F.lit(m).alias("model"), F.col(m).alias("x")) for m in ("momentum", "volatility"))))
     goals = F.explode(F.array(*(F.struct(F.lit(t).alias("target"), F.col(t).alias("y")) for t in ("excess_median", "excess_sector"))))
     long = rows.select("date", "excess_median", "excess_sector", models.alias("m")).select("date", "m.*", goals.alias("g")).select("date", "model", "x", "g.*")
-    return evalstats.ic_summary(evalstats.information_coefficients(long, "x", "y", ("model", "target", "date")), "model", "target")
+    return evalstats.information_coefficients(long, "x", "y", ("model", "target", "date"))
+
+
+# the dates after two years, in four blocks: what a candidate is judged by
+A28 |= {
+    "judged": "SELECT ntile(4) OVER (ORDER BY date) AS fold, date FROM (SELECT DISTINCT date FROM panel) WHERE date >= (SELECT (min(date) + INTERVAL 24 MONTH)::DATE FROM panel)",
+    "by_fold": "SELECT model, target, fold, avg(ic) AS fold_ic FROM gics JOIN judged USING (date) GROUP BY ALL",
+    "pooled": "SELECT model, target, avg(ic) AS mean_ic FROM gics JOIN judged USING (date) GROUP BY ALL",
+}
 
 
-@query("A28", """SELECT model, target, r(round(ir, 6)) AS ic_ir, r(positive) AS positive_folds, r(mean_ic) AS mean_ic FROM (SELECT model, target, avg(ic) / stddev_samp(ic) AS ir, avg(CASE WHEN ic > 0 THEN 1.0 ELSE 0.0 END) AS positive, avg(ic) AS mean_ic FROM gics GROUP BY model, target)
+@query("A28", """SELECT model, target, r(ir) AS ic_ir, r(positive) AS positive_folds, r(mean_ic) AS mean_ic FROM (SELECT model, target, avg(fold_ic) / stddev_samp(fold_ic) AS ir, avg(CASE WHEN fold_ic > 0 THEN 1.0 ELSE 0.0 END) AS positive FROM by_fold GROUP BY model, target) JOIN pooled USING (model, target)
   ORDER BY round(ir, 3) DESC, positive DESC, round(mean_ic, 4) DESC, CASE WHEN target LIKE '%sector%' THEN 1 ELSE 0 END DESC, model LIMIT 1""", A28)
 def a28(d: Data):
-    rows = candidates(d).select("model", "target", F.col("ir").alias("ic_ir"), F.col("positive_share").alias("positive_folds"), "mean_ic")
-    return evalstats.select_model(rows)
+    """The choice among candidates by their folds: IR over folds, share of positive folds, mean over dates."""
+    dates = d.panel.select("date").distinct()
+    start = dates.agg(F.add_months(F.min("date"), 24).alias("start"))
+    blocks = dates.join(F.broadcast(start), F.col("date") >= F.col("start")).select("date", F.ntile(4).over(Window.orderBy("date")).alias("fold"))  # a row a date
+    found = evalstats.fold_summary(candidates(d).join(blocks, "date"), "model", "target")
+    return evalstats.select_model(found.select("model", "target", "ic_ir", "positive_folds", "mean_ic"))
 
 
 @query("A29", "SELECT event_type, count(*) AS n FROM events GROUP BY event_type ORDER BY n DESC, event_type LIMIT 1")

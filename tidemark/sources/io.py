@@ -91,6 +91,25 @@ def provenance(table: DataFrame, name: str) -> DataFrame:
     return table.agg(F.count(F.lit(1)).alias("n_rows")).select(F.lit(name).alias("name"), "n_rows", F.lit(len(table.columns)).alias("n_columns"), F.lit(",".join(sorted(table.columns))).alias("fields"))
 
 
+def feature_record(features: DataFrame, family: str, specs: Mapping[str, str], panel: DataFrame, panel_name: str) -> DataFrame:
+    """One row that says how a stored family of features was made: when, its columns and their specs (with
+    what is done where a value is missing), and the panel that its keys are from, with that one's rows and names."""
+    source = panel.agg(F.count(F.lit(1)).alias("panel_rows"), F.countDistinct("ticker").alias("panel_names"))
+    normal = ",".join(f"{c}{x}" for c in specs for x in ("_z", "_rank"))
+    own = features.agg(F.count(F.lit(1)).alias("n_rows")).select(
+        F.lit(family).alias("family"), F.current_timestamp().alias("built"), "n_rows", F.lit(",".join(specs)).alias("feature_columns"), F.lit(normal).alias("normalized_columns"),
+        F.lit("; ".join(f"{c}: {text}" for c, text in specs.items())).alias("specs"), F.lit(panel_name).alias("panel"),
+    )
+    return own.join(F.broadcast(source))  # one row each
+
+
+def put_results(spark: SparkSession, root: str, parts: Mapping[str, DataFrame], schema: str) -> DataFrame:
+    """Writes each part of a result as JSON lines in a folder of its own, and reads all of them back with their ``part``."""
+    for name, rows in parts.items():
+        rows.write.mode("overwrite").json(f"{root}/results/part={name}")
+    return spark.read.schema(f"{schema}, part string").json(f"{root}/results")
+
+
 def provenance_mismatch(recorded: DataFrame, actual: DataFrame) -> DataFrame:
     """Records whose row count isn't the table's."""
     now = actual.select("name", F.col("n_rows").alias("n_now"))
