@@ -143,7 +143,7 @@ def nested_ridge(panel: DataFrame, features: Sequence[str], target: str, plan: D
         best, score = float(alphas[0]), None
         for a in map(float, alphas):
             ic = by_alpha.get((fold, a))
-            if ic is not None and (score is None or ic > score):
+            if ic is not None and (score is None or ic > score + 1e-12):  # sums in another order differ by less
                 best, score = a, ic
         picked.append((fold, best, score))
     chosen = spark.createDataFrame(picked, "fold int, alpha double, inner_ic double")  # one row a fold
