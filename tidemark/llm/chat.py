@@ -84,7 +84,8 @@ def render(turns: DataFrame, template: str = "<|im_start|>{role}\n{text}<|im_end
     """
     light = _blocks(turns)
     kept = _maximal(light).withColumnRenamed("conv_id", "kept")
-    own = _numbered(light, "conv_id", "role", "text").join(kept, F.col("conv_id").eqNullSafe(F.col("kept")), "left_semi")
+    whole = light.join(kept, F.col("conv_id").eqNullSafe(F.col("kept")), "left_semi")  # all turns of what is kept, and of nothing else
+    own = _numbered(whole, "conv_id", "role", "text")
     before, _, rest = template.partition("{role}")
     middle, _, after = rest.partition("{text}")
     role, text = F.coalesce("role", F.lit("unknown")), F.coalesce("text", F.lit(""))
