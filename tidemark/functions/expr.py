@@ -32,6 +32,11 @@ def average_rank(x: Column, *group: str) -> Column:
     return F.when(x.isNotNull(), first + (ties - 1) / 2)
 
 
+def correlation(a: Column | str, b: Column | str) -> Column:
+    """Pearson's correlation as an aggregate; null where a side has one value only."""
+    return F.try_divide(F.covar_pop(a, b), F.stddev_pop(a) * F.stddev_pop(b))
+
+
 def t_two_sided(t: Column, dof: Column) -> Column:
     """Two-sided p-value of Student's t with a whole number of degrees of freedom: the finite series for even and odd ones."""
     cos2, sin = dof / (dof + t * t), F.abs(t) / F.sqrt(dof + t * t)

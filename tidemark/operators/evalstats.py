@@ -15,7 +15,7 @@ def information_coefficients(scored: DataFrame, signal: str, target: str, group:
     known = scored.where(F.col(signal).isNotNull() & F.col(target).isNotNull())
     ranked = known.select(*group, X.average_rank(F.col(signal), *group).alias("rs"), X.average_rank(F.col(target), *group).alias("rt"))
     found = ranked.groupBy(*group).agg(
-        F.corr("rs", "rt").alias("ic"), F.count(F.lit(1)).alias("n"), (F.min("rs") < F.max("rs")).alias("s"), (F.min("rt") < F.max("rt")).alias("t")
+        X.correlation("rs", "rt").alias("ic"), F.count(F.lit(1)).alias("n"), (F.min("rs") < F.max("rs")).alias("s"), (F.min("rt") < F.max("rt")).alias("t")
     )
     return found.where((F.col("n") >= least) & F.col("s") & F.col("t")).select(*group, "ic", "n")
 
@@ -50,7 +50,7 @@ def quantile_summary(by_bin: DataFrame, bins: int = 10) -> DataFrame:
     """top_minus_bottom and monotonicity (Spearman of bin and mean) of a quantile table."""
     ranked = by_bin.withColumn("__all", F.lit(0)).withColumn("r", X.average_rank(F.col("mean_ret"), "__all"))
     at = lambda k: F.max(F.when(F.col("bin") == k, F.col("mean_ret")))
-    return ranked.agg((at(bins - 1) - at(0)).alias("top_minus_bottom"), F.corr(F.col("bin").cast("double"), "r").alias("monotonicity"))
+    return ranked.agg((at(bins - 1) - at(0)).alias("top_minus_bottom"), X.correlation(F.col("bin").cast("double"), "r").alias("monotonicity"))
 
 
 def equity_curve(returns: DataFrame, x: str = "ret", *group: str) -> DataFrame:
@@ -157,8 +157,8 @@ def persistence_summary(members: DataFrame, share: float = 0.8) -> DataFrame:
     )  # the quantile lies between its two nearest values
     top = F.col("p1") >= F.col("cut")
     of = lambda cond: F.avg(F.when(cond, F.col("p2")))
-    found = ranked.join(F.broadcast(near)).agg(F.count(F.lit(1)).alias("n"), F.corr("p1_rank", "p2_rank").alias("rho"), F.sum(top.cast("long")).alias("n_top"), of(top).alias("top_mean"), of(~top).alias("rest_mean"))
-    t = F.col("rho") * F.sqrt((F.col("n") - 2) / (1 - F.col("rho") * F.col("rho")))
+    found = ranked.join(F.broadcast(near)).agg(F.count(F.lit(1)).alias("n"), X.correlation("p1_rank", "p2_rank").alias("rho"), F.sum(top.cast("long")).alias("n_top"), of(top).alias("top_mean"), of(~top).alias("rest_mean"))
+    t = F.col("rho") * F.sqrt(F.try_divide(F.col("n") - 2, 1 - F.col("rho") * F.col("rho")))
     p = F.when((F.col("n") > 2) & (F.abs("rho") < 1), X.t_two_sided(t, F.col("n") - 2))
     return found.select("n", "rho", p.alias("p_value"), "n_top", "top_mean", "rest_mean", (F.col("top_mean") - F.col("rest_mean")).alias("top_minus_rest"))
 
