@@ -6,8 +6,9 @@ import time
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
-from tidemark.llm import html_extract, language_id, quality_model, queries
+from tidemark.llm import html_extract, language_id, quality_model, queries, training
 from tidemark.session import ship
 
 SF = "/root/testdata/sf0.01"
@@ -42,6 +43,24 @@ def test_language_edges(spark):
     assert language_id.identify(docs.limit(0), net).count() == 0
 
 
+def test_a_key_that_holds_a_third_of_all_rows_brings_one_row_to_a_sample(spark):
+    rows = [(k, "en" if k % 2 else "fr", f"text {k}") for k in range(400)] + [(7, "en", f"copy {k}") for k in range(200)] + [(7, "fr", None), (None, "en", "x"), (9, None, "y")]
+    table = spark.createDataFrame(rows, "doc_id long, lang string, text string")
+    found = training.bounded_sample(table, "doc_id", "lang", 1_000).collect()  # all keys
+    assert len(found) == 401 and len({(r["doc_id"], r["lang"]) for r in found}) == 401
+    assert {r["lang"]: r["text"] for r in found if r["doc_id"] == 7} == {"en": "copy 0", "fr": None}
+    some = training.bounded_sample(table, "doc_id", "lang", 20).collect()
+    assert 0 < len(some) < 100 and len({(r["doc_id"], r["lang"]) for r in some}) == len(some)
+
+
+def test_texts_that_share_a_key_are_one_document_to_learn_from(spark):
+    docs = spark.createDataFrame([(k % 40 if k < 80 else 3, ("good calm text " if k % 2 else "### *** ### ") * (1 + k % 7)) for k in range(200)], "doc_id long, text string")
+    labels = spark.createDataFrame([(k, k % 2) for k in range(40)], "doc_id long, quality int")
+    once = docs.groupBy("doc_id").agg(F.min("text").alias("text"))
+    own, other = (quality_model.fit(d, labels) for d in (docs, once))
+    assert all(np.array_equal(own.params[name], other.params[name]) for name in own.params)
+
+
 @data
 def test_quality_held_out(spark):
     found = queries.op10_quality_classifier(spark, SF).toPandas()

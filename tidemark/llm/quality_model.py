@@ -128,14 +128,15 @@ def _training_features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordB
 def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", label: str = "quality", text: str = "text", train_docs: int = TRAIN_DOCS) -> AttentionMIL | None:
     """A model of label 1 against label 0; None unless both occur among ``labels`` of ``docs``.
 
-    The sample is drawn from the labels alone, is bounded, and is then joined to the texts.
+    The sample is drawn from the labels alone, is bounded, and is then joined to the texts; of
+    texts that share a key the smallest counts.
     """
     sample = bounded_sample(labels.where(F.col(label).isin(0, 1)), key, label, train_docs)
     chosen = sample.select(F.col(key), F.col(label).cast("int").alias("label"), F.col("order").cast("long").alias("order")).limit(8 * train_docs).collect()
     if len({r["label"] for r in chosen}) < 2:
         return None
     table = docs.sparkSession.createDataFrame([tuple(r) for r in chosen], f"{key} {docs.schema[key].dataType.simpleString()}, label int, order long")
-    joined = docs.select(key, text).join(F.broadcast(table), key)
+    joined = docs.select(key, text).join(F.broadcast(table), key).groupBy(key, "label", "order").agg(F.min(text).alias(text))
     found = joined.select("order", "label", text).mapInArrow(_training_features, "order long, label int, n long, x binary").toPandas()
     found = found.sort_values(["label", "order", "x"])
     found = found[found.groupby("label").cumcount() < train_docs]

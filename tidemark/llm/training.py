@@ -43,6 +43,8 @@ def bounded_sample(rows: DataFrame, key: str, label: str, per_label: int, seed:
     Of more labels than ``most / (2 * per_label)`` each has fewer rows, so ``most`` bounds the
     sample.  One pass counts the labels; the sample is then a filter, so it has the same rows on
     every run.  The hash is returned as ``order``: its ``per_label`` smallest make the final sample.
+    Rows that share key and label are one row, with the smallest value of each other column, so a
+    key that holds a third of all rows brings no more than any other.
     """
     counts = rows.where(F.col(label).isNotNull()).groupBy(F.col(label).alias("__label")).agg(F.count("*").alias("__n"))
     n_labels = counts.count()
@@ -52,4 +54,5 @@ def bounded_sample(rows: DataFrame, key: str, label: str, per_label: int, seed:
     order = F.pmod(F.xxhash64(F.lit(seed), F.col(key)), F.lit(_GRAIN))
     known = rows.where(F.col(key).isNotNull() & F.col(label).isNotNull()).withColumn("order", order)
     least = F.least(F.lit(float(_GRAIN)), F.floor(F.lit(wanted * _GRAIN) / F.col("__n")) + 1)
-    return known.join(counts, F.col(label) == F.col("__label")).where(F.col("order") < least).drop("__label", "__n")
+    sample = known.join(counts, F.col(label) == F.col("__label")).where(F.col("order") < least)
+    return sample.groupBy(key, label, "order").agg(F.count("*").alias("__n"), *(F.min(c).alias(c) for c in rows.columns if c not in (key, label))).drop("__n")
