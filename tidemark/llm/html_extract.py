@@ -461,13 +461,14 @@ def fit(pages: DataFrame, key: str = "page_id", source: str = "html", train_page
     """A labeller learned from about ``train_pages`` pages of at most ``most_blocks`` blocks, and from invented layouts.
 
     Executors measure the blocks; of their text only the first ``HEAD`` words reach the driver.
+    Repeated pages are learned from once.
     Pages that don't name their parts lend their words to invented layouts; of a table without any
     text, invented words are learned from.
     """
     n = pages.count()
     order = F.pmod(F.xxhash64(F.lit(23), F.col(key), F.col(source)), F.lit(1_000_000))
     sample = pages.where(F.col(source).isNotNull() & (order < int(2 * train_pages / max(n, 1) * 1_000_000) + 1))
-    rows = sample.select(order.cast("long").alias("order"), F.col(source)).mapInArrow(lambda batches: _training_pages(batches, most_blocks), SAMPLE)
+    rows = sample.select(order.cast("long").alias("order"), F.col(source)).distinct().mapInArrow(lambda batches: _training_pages(batches, most_blocks), SAMPLE)
     return learned(sorted(rows.limit(8 * train_pages).collect(), key=lambda r: (r["order"], r["heads"], r["measured"]))[:train_pages])
 
 
