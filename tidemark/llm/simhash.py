@@ -280,7 +280,7 @@ def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id") ->
     """
     marked = checkpointed(with_fingerprint(docs.select(F.col(key), F.col(text)), text).select(key, "fp"))
     classes = checkpointed(near_duplicate_classes(marked, key))
-    return marked.join(classes.select("fp", "component_id"), "fp").select(key, "fp", "component_id")
+    return looked_up(marked, "fp", key, classes.select("fp", "component_id")).select(key, "fp", "component_id")
 
 
 def one_of_each(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
