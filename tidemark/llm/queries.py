@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontaminate, html_extract, language_id, licenses, mixing, quality_model, quality_rules, simhash, token_counts
+from . import chat, decontaminate, html_extract, language_id, licenses, merkle, mixing, quality_model, quality_rules, simhash, token_counts, topk
 from .common import remainder, spread, table
 
 
@@ -152,6 +152,66 @@ def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
+def op11_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = spread(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"))
+    return topk.top_k(vectors, F.col("vec_id") % 50 == 0)
+
+
+OP11_SQL = """
+WITH v AS MATERIALIZED (SELECT row_number() OVER () AS row, vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS ints FROM embeddings
+                        WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x::DOUBLE))) = 0),
+s AS (SELECT q.row, q.vec_id AS query_id, c.vec_id, CASE WHEN len(c.ints) > 0 THEN list_inner_product(q.ints, c.ints) ELSE 0 END::BIGINT AS score
+      FROM v q JOIN v c ON q.row <> c.row WHERE q.vec_id % 50 = 0),
+r AS (SELECT *, row_number() OVER (PARTITION BY row ORDER BY score DESC, vec_id NULLS LAST)::INTEGER AS rank FROM s)
+SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5
+"""
+
+
+def _crc32_sql(text: str) -> str:
+    """CRC-32 of an ASCII text: each character is mixed in, then shifted out bit by bit."""
+    steps = f"flatten(list_transform(string_split({text}, ''), lambda c: [ascii(c)::BIGINT, -1, -1, -1, -1, -1, -1, -1, -1]))"
+    step = "CASE WHEN s >= 0 THEN xor(a, s) WHEN a % 2 = 1 THEN xor(a // 2, 3988292384) ELSE a // 2 END"
+    return f"xor(list_reduce(list_concat([4294967295::BIGINT], {steps}), lambda a, s: {step}), 4294967295)"
+
+
+def op12_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.manifest(spread(table(spark, sf_dir, "documents").select("doc_id", "source", "lang", "n_chars", "text")))
+
+
+def _record_sql(fields: tuple[str, ...]) -> str:
+    return "sha256(concat(" + ", ".join(f"CASE WHEN {f} IS NULL THEN '-' ELSE strlen({f}::VARCHAR) || ':' || {f}::VARCHAR END" for f in fields) + "))"
+
+
+OP12_SQL = f"""
+WITH RECURSIVE l AS MATERIALIZED (
+  SELECT row_number() OVER () AS row, doc_id, source, {_record_sql(("doc_id", "source", "lang", "n_chars", "text"))} AS leaf,
+         {_record_sql(("doc_id", "source", "lang", "n_chars", f"(CASE WHEN {_crc32_sql('doc_id::VARCHAR')} % 2 = 0 THEN replace(text, chr(10), '') ELSE text END)"))} AS start
+  FROM documents),
+i AS MATERIALIZED (SELECT *, dense_rank() OVER (ORDER BY source NULLS FIRST) - 1 AS tree, row_number() OVER (PARTITION BY source ORDER BY doc_id NULLS FIRST, leaf, row) - 1 AS no, count(*) OVER (PARTITION BY source) AS n FROM l),
+low(tree, level, no, digest, n) AS (
+  SELECT tree, 0, no, leaf, n FROM i UNION ALL
+  SELECT tree, level + 1, no // 3, sha256(string_agg(digest, '' ORDER BY no)), (n + 2) // 3 FROM low WHERE n > 1 GROUP BY tree, level, no // 3, n),
+sub AS (SELECT tree, digest FROM low WHERE n = 1),
+high(level, no, digest, n) AS (
+  SELECT 0, tree, digest, (SELECT count(*) FROM sub) FROM sub UNION ALL
+  SELECT level + 1, no // 3, sha256(string_agg(digest, '' ORDER BY no)), (n + 2) // 3 FROM high WHERE n > 1 GROUP BY level, no // 3, n),
+climb(row, tree, level, no, folded, proof) AS (
+  SELECT row, tree, 0, no, start, '' FROM i UNION ALL
+  SELECT c.row, c.tree, c.level + 1, c.no // 3, sha256(string_agg(CASE WHEN u.no = c.no THEN c.folded ELSE u.digest END, '' ORDER BY u.no)),
+         c.proof || coalesce(string_agg(u.digest, '' ORDER BY u.no) FILTER (u.no <> c.no), '')
+  FROM climb c JOIN low u ON u.tree = c.tree AND u.level = c.level AND u.no // 3 = c.no // 3 WHERE u.n > 1 GROUP BY c.row, c.tree, c.level, c.no, c.folded, c.proof),
+up AS (SELECT row, tree, arg_max(folded, level) AS folded, arg_max(proof, level) AS proof FROM climb GROUP BY row, tree),
+rise(row, level, no, folded, proof) AS (
+  SELECT row, 0, tree, folded, proof FROM up UNION ALL
+  SELECT c.row, c.level + 1, c.no // 3, sha256(string_agg(CASE WHEN u.no = c.no THEN c.folded ELSE u.digest END, '' ORDER BY u.no)),
+         c.proof || coalesce(string_agg(u.digest, '' ORDER BY u.no) FILTER (u.no <> c.no), '')
+  FROM rise c JOIN high u ON u.level = c.level AND u.no // 3 = c.no // 3 WHERE u.n > 1 GROUP BY c.row, c.level, c.no, c.folded, c.proof),
+done AS (SELECT row, arg_max(folded, level) AS folded, arg_max(proof, level) AS proof FROM rise GROUP BY row)
+SELECT doc_id, leaf, sub.digest AS subroot, r.digest AS root, sha256(proof) AS proof_sha256, folded AS folded_root, folded = r.digest AS verified
+FROM i JOIN done USING (row) JOIN sub USING (tree), (SELECT digest FROM high WHERE n = 1) r
+"""
+
+
 QUERIES = {
     "op1_token_counts": op1_token_counts,
     "op2_license_scan": op2_license_scan,
@@ -163,6 +223,8 @@ QUERIES = {
     "op8_html_extraction": op8_html_extraction,
     "op9_decontamination": op9_decontamination,
     "op10_quality_classifier": op10_quality_classifier,
+    "op11_topk": op11_topk,
+    "op12_merkle": op12_merkle,
 }
 
 ORACLE_SQL = {
@@ -170,4 +232,6 @@ ORACLE_SQL = {
     "op4_chat_format": OP4_SQL,
     "op6_quality_rules": OP6_SQL,
     "op9_decontamination": OP9_SQL,
+    "op11_topk": OP11_SQL,
+    "op12_merkle": OP12_SQL,
 }
