@@ -28,7 +28,6 @@ FEW_SOURCES = 100_000
 TOP = 100
 
 _WIDTH = 3**HOP
-_NONE = F.lit(b"").cast("binary")
 _FIELDS = ("doc_id", "source", "lang", "n_chars", "text")
 
 
@@ -37,9 +36,13 @@ def digest_of(text: Column) -> Column:
     return F.unhex(F.sha2(text, 256))
 
 
+def _none() -> Column:
+    return F.lit(b"").cast("binary")
+
+
 def joined(*digests: Column) -> Column:
     """The digest of digests put side by side as hexadecimal text; null ones are left out."""
-    return digest_of(F.lower(F.hex(F.concat(*(F.coalesce(d, _NONE) for d in digests)))))
+    return digest_of(F.lower(F.hex(F.concat(*(F.coalesce(d, _none()) for d in digests)))))
 
 
 def hexadecimal(digest: Column) -> Column:
@@ -134,7 +137,7 @@ WITH RECURSIVE climb(g, nth, step, at, pos, folded, siblings) AS (
     SELECT c.g, c.nth, n.next_step, n.next_at, n.next_pos,
            aggregate(n.levels, named_struct('i', c.pos, 'h', c.folded, 's', x''), (a, v) -> named_struct(
              'i', CAST(a.i div 3 AS INT), 'h', unhex(sha2(lower(hex(concat({_FOLDED}))), 256)), 's', concat(a.s, {_OTHERS}))) AS up
-    FROM climb c JOIN {{nodes}} n ON n.step = c.step AND n.at = c.at AND n.block = c.g div {BLOCK}))
+    FROM climb c JOIN {{nodes}} n ON n.step = c.step AND n.at = c.at AND n.block = c.g div {{block}}))
 SELECT g, nth, folded, siblings FROM climb LIMIT ALL
 """
 
@@ -191,10 +194,10 @@ def manifest(docs: DataFrame) -> DataFrame:
         nodes = parts[0]
         for more in parts[1:]:
             nodes = nodes.unionByName(more)
-        steps = spark.sql(CLIMB, leaves=begin, nodes=checkpointed(nodes))
+        steps = spark.sql(CLIMB, leaves=begin, nodes=checkpointed(nodes), block=BLOCK)
     else:  # at most one leaf in all
-        steps = begin.select("g", F.lit(0).alias("nth"), F.col("start").alias("folded"), _NONE.alias("siblings"))
-    passed = F.aggregate(F.sort_array(F.collect_list(F.struct("nth", "siblings"))), _NONE, lambda a, x: F.concat(a, x["siblings"]))
+        steps = begin.select("g", F.lit(0).alias("nth"), F.col("start").alias("folded"), _none().alias("siblings"))
+    passed = F.aggregate(F.sort_array(F.collect_list(F.struct("nth", "siblings"))), _none(), lambda a, x: F.concat(a, x["siblings"]))
     climbed = steps.groupBy("g").agg(F.max_by("folded", "nth").alias("folded"), F.sha2(hexadecimal(passed), 256).alias("proof_sha256"))
     named = _by_source(leaves.select("g", "doc_id", "leaf", F.col("source_no").alias("tree")), subroots.select("tree", F.col("digest").alias("subroot")), "tree", n_sources)
     root = F.lit(found["root"] if found else None).cast("string")

@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontaminate, html_extract, language_id, licenses, merkle, mixing, quality_model, quality_rules, simhash, token_counts, topk
+from . import chat, decontaminate, html_extract, language_id, licenses, merkle, mixing, periods, quality_model, quality_rules, simhash, token_counts, topk
 from .common import remainder, spread, table
 
 
@@ -212,6 +212,32 @@ FROM i JOIN done USING (row) JOIN sub USING (tree), (SELECT digest FROM high WHE
 """
 
 
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = spread(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return periods.periodic_runs(docs, alter=True).select("doc_id", "runs.*")
+
+
+# stretches of equal words q places apart; a longer period over the same words is a multiple of a smaller run's
+OP13_SQL = f"""
+WITH d AS MATERIALIZED (SELECT row_number() OVER () AS row, doc_id, coalesce({_crc32_sql("doc_id::VARCHAR")}, 1) AS h, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS words FROM documents),
+s AS (SELECT *, len(words) AS n, CASE WHEN h % 10 = 0 AND len(words) > 0 THEN (h // 10) % len(words) ELSE len(words) END AS a FROM d),
+t AS (SELECT *, 1 + (n - a) // (3 + (h // 10) % 8) AS p FROM s),
+w AS MATERIALIZED (SELECT row, n, i, words[1 + CASE WHEN i >= a THEN a + (i - a) % p ELSE i END] AS word FROM (SELECT *, unnest(range(n)) AS i FROM t)),
+eq AS (SELECT x.row, y.i - x.i AS q, x.i FROM w x JOIN w y ON x.row = y.row AND x.word = y.word AND y.i > x.i AND 4 * (y.i - x.i) <= x.n),
+stretch AS (SELECT row, q, min(i) AS start, count(*) + q AS length FROM (SELECT *, i - row_number() OVER (PARTITION BY row, q ORDER BY i) AS island FROM eq) GROUP BY row, q, island),
+long AS MATERIALIZED (SELECT * FROM stretch WHERE length >= greatest(6, 4 * q)),
+deep AS (SELECT * FROM stretch WHERE length >= 4 * q),
+runs AS MATERIALIZED (SELECT * FROM long l WHERE NOT EXISTS (SELECT 1 FROM deep s WHERE s.row = l.row AND s.q < l.q AND s.start <= l.start AND s.start + s.length >= l.start + l.length)),
+best AS (SELECT DISTINCT ON (row) * FROM runs ORDER BY row, length DESC, start, q),
+listed AS (SELECT row, count(*) AS n_runs, string_agg(start || ',' || length || ',' || q || chr(10), '' ORDER BY start, q) AS lines FROM runs GROUP BY row),
+gone AS (SELECT DISTINCT row, i FROM (SELECT row, unnest(range(start + q, start + length)) AS i FROM runs)),
+left_ AS (SELECT row, string_agg(word, ' ' ORDER BY i) AS kept FROM w ANTI JOIN gone USING (row, i) GROUP BY row)
+SELECT doc_id, coalesce(n_runs, 0)::BIGINT AS n_runs, start::BIGINT AS start, length::BIGINT AS length, q::BIGINT AS period, (1000 * length // q)::BIGINT AS exponent_milli,
+       sha256(coalesce(lines, '')) AS runs_sha256, sha256(coalesce(kept, '')) AS collapsed_sha256
+FROM d LEFT JOIN listed USING (row) LEFT JOIN best USING (row) LEFT JOIN left_ USING (row)
+"""
+
+
 QUERIES = {
     "op1_token_counts": op1_token_counts,
     "op2_license_scan": op2_license_scan,
@@ -225,6 +251,7 @@ QUERIES = {
     "op10_quality_classifier": op10_quality_classifier,
     "op11_topk": op11_topk,
     "op12_merkle": op12_merkle,
+    "op13_periodic_runs": op13_periodic_runs,
 }
 
 ORACLE_SQL = {
@@ -234,4 +261,5 @@ ORACLE_SQL = {
     "op9_decontamination": OP9_SQL,
     "op11_topk": OP11_SQL,
     "op12_merkle": OP12_SQL,
+    "op13_periodic_runs": OP13_SQL,
 }
