@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -43,7 +44,7 @@ def owner_class(x: Column) -> Column:
     own = F.upper(F.trim(x))
     return (
         F.when(own.isNull() | own.isin("", "SELF", "--"), "self").when(own.contains("SPOUSE") | (own == "SP"), "spouse")
-        .when(own.contains("DEPENDENT") | own.contains("CHILD") | (own == "DC"), "dependent").when(own.contains("JOINT") | (own == "JT"), "joint").otherwise("self")
+        .when(own.contains("DEPEND") | own.contains("CHILD") | (own == "DC"), "dependent").when(own.contains("JOINT") | (own == "JT"), "joint").otherwise("self")
     )
 
 
@@ -56,19 +57,25 @@ def lag_days(later: str, earlier: str) -> Column:
     return F.datediff(F.col(later), F.col(earlier))
 
 
-def clean_disclosures(rows: DataFrame, most_days: int = 730) -> tuple[DataFrame, DataFrame]:
-    """Rows with a symbol, both dates and a lag of 0..``most_days``, and one row of the counts dropped by each reason.
+def clean_disclosures(rows: DataFrame, common: DataFrame, most_days: int = 730) -> tuple[DataFrame, DataFrame]:
+    """Rows with both dates, a symbol among the ``ticker`` of ``common`` equities and a lag of 0..``most_days``,
+    and one row of the counts of each reason to drop.
 
-    The first reason that holds is the one that counts.
+    Each of no_date, no_symbol and not_common (a symbol that is none of a common equity) counts on its
+    own, so a row may count several times; bad_lag counts rows that nothing else drops.
     """
     own = rows.withColumns({"ticker": symbol(F.col("ticker")), "transaction_date": F.try_to_date(F.col("transaction_date").cast("string")), "filing_date": F.try_to_date(F.col("filing_date").cast("string"))})
-    reason = (
-        F.when(F.col("ticker").isNull() | F.col("ticker").isin(*NO_SYMBOL), "no_symbol").when(F.col("transaction_date").isNull() | F.col("filing_date").isNull(), "no_date")
-        .when(~lag_days("filing_date", "transaction_date").between(0, most_days), "bad_lag")
-    )
-    flagged = own.withColumn("__why", reason)
-    counts = flagged.agg(F.count(F.lit(1)).alias("n_in"), *(F.sum(F.when(F.col("__why") == r, 1).otherwise(0)).alias(r) for r in ("no_symbol", "no_date", "bad_lag")), F.sum(F.when(F.col("__why").isNull(), 1).otherwise(0)).alias("n_out"))
-    return flagged.where("__why IS NULL").drop("__why"), counts
+    known = common.select(symbol(F.col("ticker")).alias("ticker")).distinct().withColumn("__common", F.lit(True))
+    own = own.join(known, "ticker", "left").select(*rows.columns, "__common")
+    blank = F.col("ticker").isNull() | F.col("ticker").isin(*NO_SYMBOL)
+    undated = F.col("transaction_date").isNull() | F.col("filing_date").isNull()
+    other = ~blank & F.col("__common").isNull()
+    late = ~(blank | undated | other) & ~lag_days("filing_date", "transaction_date").between(0, most_days)
+    reasons = {"no_date": undated, "no_symbol": blank, "not_common": other, "bad_lag": late}
+    flagged = own.withColumns({f"__{name}": F.coalesce(cond, F.lit(False)) for name, cond in reasons.items()})
+    kept = ~reduce(lambda a, b: a | b, (F.col(f"__{name}") for name in reasons))
+    counts = flagged.agg(F.count(F.lit(1)).alias("n_in"), *(F.count_if(F.col(f"__{name}")).alias(name) for name in reasons), F.count_if(kept).alias("n_out"))
+    return flagged.where(kept).select(*rows.columns), counts
 
 
 def period(year: Column, ranges: Sequence[tuple[str, int, int]]) -> Column:

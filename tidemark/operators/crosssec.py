@@ -90,10 +90,19 @@ def top_fraction(scored: DataFrame, fraction: float = 0.1, signal: str = "signal
     return ranked.where("place <= size").select("date", "ticker", (F.lit(1.0) / F.col("size")).alias("weight"))
 
 
-def sector_codes(sector: DataFrame) -> DataFrame:
-    """sector, sector_id: 0, 1, ... in order of name."""
-    names = sector.where(F.col("sector").isNotNull()).select("sector").distinct()
-    return names.select("sector", (F.dense_rank().over(Window.orderBy("sector")) - 1).alias("sector_id"))
+#: The name of the sector of those that have none.
+NO_SECTOR = "Unknown"
+
+
+def sector_codes(names: DataFrame, sector: DataFrame) -> DataFrame:
+    """ticker, sector, sector_id of the tickers of ``names``: 0, 1, ... in order of their sectors' names.
+
+    A missing or empty sector is one of its own, with a name and a code like any other.
+    """
+    own = names.select("ticker").distinct().join(sector, "ticker", "left")
+    own = own.select("ticker", F.coalesce(F.nullif("sector", F.lit("")), F.lit(NO_SECTOR)).alias("sector"))
+    codes = own.select("sector").distinct().select("sector", (F.dense_rank().over(Window.orderBy("sector")) - 1).alias("sector_id"))
+    return own.join(codes, "sector")
 
 
 def first_per_group(rows: DataFrame, group: str, order: Sequence[str], per: int, most: int) -> DataFrame:

@@ -121,10 +121,13 @@ def jaccard(a: DataFrame, b: DataFrame) -> DataFrame:
 
 
 def persistence(rows: DataFrame, first: Column, second: Column, member: str = "member", x: str = "ret", least: int = 25, least_each: int = 10) -> DataFrame:
-    """Per-member means in two periods, of members with enough rows in all and in each."""
+    """Per-member means in two periods, of members with enough rows in all and enough returns in each period.
+
+    ``n`` counts all rows of a member, with a return or without and of any period; ``n1`` and ``n2`` count returns.
+    """
     v = F.col(x)
-    own = rows.where(v.isNotNull()).groupBy(member).agg(
-        F.count(v).alias("n"), F.count(F.when(first, v)).alias("n1"), F.count(F.when(second, v)).alias("n2"), F.avg(F.when(first, v)).alias("p1"), F.avg(F.when(second, v)).alias("p2")
+    own = rows.groupBy(member).agg(
+        F.count(F.lit(1)).alias("n"), F.count(F.when(first, v)).alias("n1"), F.count(F.when(second, v)).alias("n2"), F.avg(F.when(first, v)).alias("p1"), F.avg(F.when(second, v)).alias("p2")
     )
     return own.where((F.col("n") >= least) & (F.col("n1") >= least_each) & (F.col("n2") >= least_each))
 
@@ -147,8 +150,8 @@ def overall_ranks(rows: DataFrame, *columns: str, buckets: int = 256) -> DataFra
     return rows
 
 
-def persistence_summary(members: DataFrame, share: float = 0.8) -> DataFrame:
-    """n, rank correlation of the two periods with its two-sided ``p_value``, and the second period of the
+def persistence_summary(members: DataFrame, share: float = 0.8, least: int = 5) -> DataFrame:
+    """Only n where there are fewer than ``least`` members; else n, rank correlation of the two periods with its two-sided ``p_value``, and the second period of the
     first period's top fifth (``n_top``, ``top_mean``) against the rest (``rest_mean``, ``top_minus_rest``)."""
     ranked = overall_ranks(members, "p1", "p2")
     size = members.where("p1 IS NOT NULL AND p2 IS NOT NULL").agg(((F.count(F.lit(1)) - 1) * share + 1).alias("__at"))
@@ -160,7 +163,8 @@ def persistence_summary(members: DataFrame, share: float = 0.8) -> DataFrame:
     found = ranked.join(F.broadcast(near)).agg(F.count(F.lit(1)).alias("n"), X.correlation("p1_rank", "p2_rank").alias("rho"), F.sum(top.cast("long")).alias("n_top"), of(top).alias("top_mean"), of(~top).alias("rest_mean"))
     t = F.col("rho") * F.sqrt(F.try_divide(F.col("n") - 2, 1 - F.col("rho") * F.col("rho")))
     p = F.when((F.col("n") > 2) & (F.abs("rho") < 1), X.t_two_sided(t, F.col("n") - 2))
-    return found.select("n", "rho", p.alias("p_value"), "n_top", "top_mean", "rest_mean", (F.col("top_mean") - F.col("rest_mean")).alias("top_minus_rest"))
+    own = {"rho": F.col("rho"), "p_value": p, "n_top": F.col("n_top"), "top_mean": F.col("top_mean"), "rest_mean": F.col("rest_mean"), "top_minus_rest": F.col("top_mean") - F.col("rest_mean")}
+    return found.select("n", *(F.when(F.col("n") >= least, c).alias(name) for name, c in own.items()))
 
 
 def fold_summary(ics: DataFrame, *setting: str) -> DataFrame:

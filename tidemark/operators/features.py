@@ -17,6 +17,8 @@ from .returns import trailing_return
 MOMENTUM = ("ret_1m", "ret_3m", "ret_6m", "ret_12_1", "vol_6m", "vol_12m", "dist_52w_high", "dvol_trend")
 VALUATION = ("earnings_yield", "sales_yield", "ev_ebitda", "book_to_price")
 QUALITY = ("roe", "roic", "roa", "gross_margin", "op_margin", "net_margin", "ebitda_margin", "debt_to_equity", "current_ratio", "interest_coverage", "fcf_yield", "fcf_margin")
+#: Quality levels that are also given relative to the sector.
+SECTOR_QUALITY = ("roe", "roic", "roa", "gross_margin", "op_margin", "net_margin", "debt_to_equity", "fcf_yield", "fcf_margin")
 GROWTH = ("rev_yoy", "eps_yoy", "gp_yoy", "fcf_yoy", "rev_accel", "eps_accel", "net_margin_trend", "gross_margin_trend")
 
 
@@ -54,11 +56,14 @@ def _at_price(prices: DataFrame, keys: DataFrame) -> DataFrame:
 
 
 def valuation(prices: DataFrame, facts: DataFrame, keys: DataFrame, sector: DataFrame, tags: Mapping[str, str], window: int = 60, least: int = 24) -> DataFrame:
-    """The valuation family; ``tags`` names the fact tags of eps, sps, bvps, shares, debt, cash and ebitda."""
+    """The valuation family; ``tags`` names the fact tags of eps, sps, bvps, shares, debt, cash and ebitda.
+
+    What isn't known stays unknown: without debt or cash there is no enterprise value.
+    """
     known = facts_asof(facts, _at_price(prices, keys), sorted(set(tags.values())))
     v = lambda name: F.col(f"`{tags[name]}`")
     p = F.col("price")
-    value = p * v("shares") + F.coalesce(v("debt"), F.lit(0.0)) - F.coalesce(v("cash"), F.lit(0.0))
+    value = p * v("shares") + v("debt") - v("cash")
     rows = known.select(
         "date", "ticker",
         F.when((v("eps") > 0) & (p > 0), v("eps") / p).alias("earnings_yield"), F.when((v("sps") > 0) & (p > 0), v("sps") / p).alias("sales_yield"),
@@ -69,7 +74,7 @@ def valuation(prices: DataFrame, facts: DataFrame, keys: DataFrame, sector: Data
 
 
 def quality(prices: DataFrame, facts: DataFrame, keys: DataFrame, sector: DataFrame, tags: Mapping[str, str], window: int = 60, least: int = 24) -> DataFrame:
-    """The quality family: twelve levels, the first nine relative to the sector, and margin stability."""
+    """The quality family: twelve levels, nine of them also relative to the sector, and margin stability."""
     known = facts_asof(facts, _at_price(prices, keys), sorted(set(tags.values())))
     v = lambda name: F.col(f"`{tags[name]}`")
     positive = F.when(v("equity") > 0, F.lit(True))
@@ -79,7 +84,7 @@ def quality(prices: DataFrame, facts: DataFrame, keys: DataFrame, sector: DataFr
         "interest_coverage": X.ratio(v("ebit"), v("intexp")), "fcf_yield": F.when(F.col("price") > 0, v("fcfps") / F.col("price")), "fcf_margin": X.ratio(v("fcf"), v("revenue")),
     }
     rows = known.select("date", "ticker", *(levels[n].alias(n) for n in QUALITY))
-    relative = less_sector_median(rows.join(sector, "ticker", "left"), QUALITY[:9]).drop("sector")
+    relative = less_sector_median(rows.join(sector, "ticker", "left"), SECTOR_QUALITY).drop("sector")
     return relative.withColumn("net_margin_stability", X.rolling_std(F.col("net_margin"), window, "ticker", least=least))
 
 
@@ -103,9 +108,9 @@ def context(keys: DataFrame, macro: DataFrame, benchmark: DataFrame, calendar: D
     levels = levels.select("date", *(F.col(f"`{s}`").alias(n) for n, s in series.items()))
     moved = cal.offset(dates, calendar, -lookback, to="was").withColumn("ticker", F.lit("MKT"))
     ends = at_points(benchmark, moved, {"p1": "date", "p0": "was"}).select("date", F.when(F.col("p0") > 0, F.col("p1") / F.col("p0") - 1).alias("mkt_ret"))
-    coded = sector.join(sector_codes(sector), "sector").select("ticker", "sector_id")
+    coded = sector_codes(keys, sector).select("ticker", "sector_id")
     rows = keys.select("date", "ticker").join(levels, "date", "left").join(ends, "date", "left").join(coded, "ticker", "left")
-    return rows.select("date", "ticker", F.coalesce("sector_id", F.lit(-1)).alias("sector_id"), *series, "mkt_ret")
+    return rows.select("date", "ticker", "sector_id", *series, "mkt_ret")
 
 
 def build(keys: DataFrame, raw: DataFrame, features: Sequence[str]) -> DataFrame:

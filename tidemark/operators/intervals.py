@@ -6,18 +6,20 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import calendar as cal
+from .segments import sum_before
 
 
 def membership_intervals(log: DataFrame) -> DataFrame:
     """ticker, start, end of a log (ticker, ts, seq, date, action); [start, end), null for open ends.
 
-    Repeated additions count once; a removal without an addition leaves the start open.
+    Repeated additions count once; a removal without an addition leaves the start open.  Removals are
+    counted day by day, so no task orders the whole log of a ticker.
     """
     log = log.where(F.col("action").isin("added", "removed"))
-    before = Window.partitionBy("ticker").orderBy("ts", "seq").rowsBetween(Window.unboundedPreceding, -1)
-    island = F.coalesce(F.sum(F.when(F.col("action") == "removed", 1).otherwise(0)).over(before), F.lit(0))
+    removed = F.when(F.col("action") == "removed", 1).otherwise(0)
+    log = sum_before(log.withColumn("__day", F.to_date("ts")), ["ticker"], "__day", ["ts", "seq"], removed, "island")
     of = lambda action: F.min(F.when(F.col("action") == action, F.col("date")))
-    return log.withColumn("island", island).groupBy("ticker", "island").agg(of("added").alias("start"), of("removed").alias("end")).select("ticker", "start", "end")
+    return log.groupBy("ticker", "island").agg(of("added").alias("start"), of("removed").alias("end")).select("ticker", "start", "end")
 
 
 def inside(date: Column, start: Column, end: Column) -> Column:

@@ -166,7 +166,7 @@ CTES = {
     "intervals": """SELECT ticker, min(CASE WHEN action = 'added' THEN date END) AS start, min(CASE WHEN action = 'removed' THEN date END) AS "end" FROM (
   SELECT *, coalesce(sum(CASE WHEN action = 'removed' THEN 1 ELSE 0 END) OVER (PARTITION BY ticker ORDER BY ts, seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS island
   FROM log WHERE action <> 'current') GROUP BY ticker, island""",
-    "trades": "SELECT event_id AS seq, json_extract_string(props, '$.k') AS ticker, user_id::VARCHAR AS member, ts::DATE AS filing_date, value FROM events WHERE event_type = 'purchase'",
+    "trades": "SELECT event_id AS seq, json_extract_string(props, '$.k') AS ticker, user_id::VARCHAR AS member, ts::DATE AS filing_date, value, user_id % 4 = 0 AS officer FROM events WHERE event_type = 'purchase'",
     "ann": "SELECT json_extract_string(props, '$.k') AS ticker, ts::DATE AS date, array_to_string(regexp_extract_all(user_id::VARCHAR, '[0-9]'), '|') AS eventcodes FROM events WHERE event_type = 'view'",
     "macro": "SELECT o_orderstatus AS series_id, o_orderdate::DATE AS date, sum(o_totalprice::DECIMAL(15,2))::DOUBLE / count(*) AS value, o_orderstatus <> 'F' AS is_realtime FROM orders GROUP BY ALL",
     "elig": f"""SELECT date, ticker, close_raw, dollar_vol, coalesce(close_raw >= {MIN_PRICE} AND dollar_vol >= {MIN_DOLLAR_VOLUME}, false) AS eligible FROM (

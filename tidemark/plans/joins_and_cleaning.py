@@ -236,12 +236,12 @@ def p8(d: Data):
     return d.table("events").select("event_id", clean.trade_side(kind).alias("side"))
 
 
-OWNERS = ("SP", " spouse ", "DC", "Dependent Child", "JT", "joint", "self", "--", "", "unknown")
+OWNERS = ("SP", " spouse ", "DC", "Dependent Child", "JT", "joint", "self", "--", "", "unknown", "Depend.")
 
 
-@query("P9", "SELECT event_id, list_value('spouse', 'spouse', 'dependent', 'dependent', 'joint', 'joint', 'self', 'self', 'self', 'self')[event_id % 10 + 1] AS owner FROM events")
+@query("P9", "SELECT event_id, list_value('spouse', 'spouse', 'dependent', 'dependent', 'joint', 'joint', 'self', 'self', 'self', 'self', 'dependent')[event_id % 11 + 1] AS owner FROM events")
 def p9(d: Data):
-    raw = F.element_at(F.array(*map(F.lit, OWNERS)), (F.col("event_id") % 10 + 1).cast("int"))
+    raw = F.element_at(F.array(*map(F.lit, OWNERS)), (F.col("event_id") % 11 + 1).cast("int"))
     return d.table("events").select("event_id", clean.owner_class(raw).alias("owner"))
 
 
@@ -264,11 +264,16 @@ def disclosed(d: Data) -> DataFrame:
     )
 
 
-@query("P11", """SELECT count(*) AS n_in, sum(CASE WHEN trim(ticker) = '--' THEN 1 ELSE 0 END)::BIGINT AS no_symbol, sum(CASE WHEN trim(ticker) <> '--' AND td IS NULL THEN 1 ELSE 0 END)::BIGINT AS no_date,
-  sum(CASE WHEN trim(ticker) <> '--' AND td IS NOT NULL AND fd - td NOT BETWEEN 0 AND 730 THEN 1 ELSE 0 END)::BIGINT AS bad_lag,
-  sum(CASE WHEN trim(ticker) <> '--' AND td IS NOT NULL AND fd - td BETWEEN 0 AND 730 THEN 1 ELSE 0 END)::BIGINT AS n_out FROM disclosed""", {"disclosed": DISCLOSED})
+COMMON = "SELECT s_suppkey::VARCHAR AS ticker FROM supplier WHERE s_suppkey % 3 > 0"
+
+
+@query("P11", """SELECT count(*) AS n_in, count_if(td IS NULL)::BIGINT AS no_date, count_if(blank)::BIGINT AS no_symbol, count_if(NOT blank AND NOT common)::BIGINT AS not_common,
+  count_if(NOT blank AND common AND td IS NOT NULL AND fd - td NOT BETWEEN 0 AND 730)::BIGINT AS bad_lag, count_if(NOT blank AND common AND td IS NOT NULL AND fd - td BETWEEN 0 AND 730)::BIGINT AS n_out
+  FROM (SELECT *, trim(ticker) = '--' AS blank, ticker IN (SELECT ticker FROM common) AS common FROM disclosed)""", {"disclosed": DISCLOSED, "common": COMMON})
 def p11(d: Data):
-    return clean.clean_disclosures(disclosed(d))[1]
+    """Two suppliers of three stand for common equities."""
+    common = d.table("supplier").where(F.col("s_suppkey") % 3 > 0).select(F.col("s_suppkey").cast("string").alias("ticker"))
+    return clean.clean_disclosures(disclosed(d), common)[1]
 
 
 @query("P12", "SELECT ticker, date, eventcodes FROM ann WHERE list_contains(string_split(eventcodes, '|'), '2')")

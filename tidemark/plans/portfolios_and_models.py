@@ -148,7 +148,7 @@ def _v(tags: dict[str, str], name: str) -> str:
 KEPT = {k: v.replace("FROM probes p", "FROM panel p") for k, v in WIDE.items()}
 VALUATION_SQL = KEPT | {
     "val": "SELECT k.date, k.ticker, CASE WHEN t1 > 0 AND p > 0 THEN t1 / p END AS earnings_yield, CASE WHEN t2 > 0 AND p > 0 THEN t2 / p END AS sales_yield, "
-    "CASE WHEN t2 > 0 AND t1 > 0 THEN (p * t1 + coalesce(t4, 0) - coalesce(t5, 0)) / t2 END AS ev_ebitda, CASE WHEN t3 > 0 AND p > 0 THEN t3 / p END AS book_to_price, s.sector "
+    "CASE WHEN t2 > 0 AND t1 > 0 THEN (p * t1 + t4 - t5) / t2 END AS ev_ebitda, CASE WHEN t3 > 0 AND p > 0 THEN t3 / p END AS book_to_price, s.sector "
     "FROM (SELECT k.*, x.close_raw AS p FROM kept k JOIN pw x USING (date, ticker)) k LEFT JOIN sector s USING (ticker)",
     "valf": "SELECT date, ticker, "
     + ", ".join(f"{m}, CASE WHEN sector IS NOT NULL THEN {m} - median({m}) OVER (PARTITION BY date, sector) END AS {m}_sectrel, CASE WHEN count({m}) OVER h >= 24 AND stddev_samp({m}) OVER h > 0 THEN ({m} - avg({m}) OVER h) / stddev_samp({m}) OVER h END AS {m}_hist" for m in features.VALUATION)
@@ -189,10 +189,10 @@ QUALITY_LEVELS = {
 }
 QUALITY_SQL = KEPT | {
     "qual": "SELECT k.date, k.ticker, " + ", ".join(f"{QUALITY_LEVELS[n]} AS {n}" for n in features.QUALITY) + ", s.sector FROM (SELECT k.*, x.close_raw AS p FROM kept k JOIN pw x USING (date, ticker)) k LEFT JOIN sector s USING (ticker)",
-    "qualf": "SELECT date, ticker, " + ", ".join(features.QUALITY) + ", " + ", ".join(f"CASE WHEN sector IS NOT NULL THEN {m} - median({m}) OVER (PARTITION BY date, sector) END AS {m}_sectrel" for m in features.QUALITY[:9])
+    "qualf": "SELECT date, ticker, " + ", ".join(features.QUALITY) + ", " + ", ".join(f"CASE WHEN sector IS NOT NULL THEN {m} - median({m}) OVER (PARTITION BY date, sector) END AS {m}_sectrel" for m in features.SECTOR_QUALITY)
     + ", CASE WHEN count(net_margin) OVER h >= 24 THEN stddev_samp(net_margin) OVER h END AS net_margin_stability FROM qual WINDOW h AS (PARTITION BY ticker ORDER BY date ROWS 59 PRECEDING)",
 }
-QUALITY_NAMES = (*features.QUALITY, *(f"{m}_sectrel" for m in features.QUALITY[:9]), "net_margin_stability")
+QUALITY_NAMES = (*features.QUALITY, *(f"{m}_sectrel" for m in features.SECTOR_QUALITY), "net_margin_stability")
 
 
 @query("F3", "SELECT date, ticker, " + _columns_sql(QUALITY_NAMES) + " FROM qualf", QUALITY_SQL)
@@ -225,8 +225,8 @@ def f4(d: Data):
 
 CONTEXT_SERIES = {"term_spread": "F", "credit_spread": "O", "vix": "P"}
 CONTEXT_SQL = {
-    "ctx": "SELECT p.date, p.ticker, coalesce(c.sector_id, -1) AS sector_id, " + ", ".join(f"m{s}.value AS {n}" for n, s in CONTEXT_SERIES.items()) + ", q.mkt_ret FROM panel p LEFT JOIN sector s USING (ticker) "
-    "LEFT JOIN (SELECT sector, (dense_rank() OVER (ORDER BY sector) - 1)::INTEGER AS sector_id FROM (SELECT DISTINCT sector FROM sector)) c ON c.sector = s.sector "
+    "ctx": "SELECT p.date, p.ticker, c.sector_id, " + ", ".join(f"m{s}.value AS {n}" for n, s in CONTEXT_SERIES.items()) + ", q.mkt_ret FROM panel p "
+    "LEFT JOIN (SELECT ticker, (dense_rank() OVER (ORDER BY coalesce(nullif(sector, ''), 'Unknown')) - 1)::INTEGER AS sector_id FROM (SELECT DISTINCT ticker FROM panel) LEFT JOIN sector USING (ticker)) c USING (ticker) "
     + " ".join(f"ASOF LEFT JOIN (SELECT date AS d2, value FROM macro WHERE series_id = '{s}') m{s} ON m{s}.d2 <= p.date" for s in CONTEXT_SERIES.values())
     + f""" LEFT JOIN (SELECT a.session AS date, q1.close_adj / q0.close_adj - 1 AS mkt_ret FROM sess a JOIN sess b ON b.idx = a.idx - {QUARTER} ASOF JOIN mkt q1 ON q1.date <= a.session ASOF JOIN mkt q0 ON q0.date <= b.session) q ON q.date = p.date""",
 }

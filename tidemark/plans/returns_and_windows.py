@@ -244,7 +244,7 @@ def w14(d: Data):
 
 
 CLUSTERS = {
-    "seen": """SELECT t.seq, t.ticker, t.member, t.filing_date, count(DISTINCT o.member) AS n_actors, sum(o.value) AS window_value FROM trades t
+    "seen": """SELECT t.seq, t.ticker, t.member, t.filing_date, count(DISTINCT o.member) AS n_actors, sum(o.value) AS window_value, bool_or(o.officer) AS any_officer FROM trades t
   JOIN trades o ON o.ticker = t.ticker AND o.filing_date >= t.filing_date - 3 AND (o.filing_date < t.filing_date OR o.filing_date = t.filing_date AND o.seq <= t.seq) GROUP BY ALL""",
     "flagged": "SELECT *, n_actors >= 3 AS active, n_actors >= 3 AND coalesce(lag(n_actors) OVER (PARTITION BY ticker ORDER BY filing_date, seq), 0) < 3 AS is_event FROM seen",
     "episodes": "SELECT *, sum(CASE WHEN n_actors < 2 THEN 1 ELSE 0 END) OVER (PARTITION BY ticker ORDER BY filing_date, seq ROWS UNBOUNDED PRECEDING) AS episode FROM seen",
@@ -262,11 +262,11 @@ def w15_by_day(d: Data):
     return events.distinct_actors_by_day(d.trades, 3).select("seq", "ticker", "n_actors")
 
 
-@query("W16", """SELECT seq, ticker, member, filing_date, n_actors::INTEGER AS n_actors, r(window_value) AS window_value FROM (
+@query("W16", """SELECT seq, ticker, member, filing_date, n_actors::INTEGER AS n_actors, r(window_value) AS window_value, any_officer FROM (
   SELECT *, row_number() OVER (PARTITION BY ticker, episode ORDER BY filing_date, seq) AS place FROM episodes WHERE n_actors >= 2 AND round(window_value, 6) >= 100) WHERE place = 1""", CLUSTERS)
 def w16(d: Data):
-    counted = events.distinct_actors(d.trades, 3).withColumn("window_value", F.round("window_value", 6))
-    return events.value_clusters(counted, 2, 100.0).select("seq", "ticker", "member", "filing_date", "n_actors", "window_value")
+    counted = events.distinct_actors(d.trades, 3, flag="officer").withColumn("window_value", F.round("window_value", 6))
+    return events.value_clusters(counted, 2, 100.0).select("seq", "ticker", "member", "filing_date", "n_actors", "window_value", "any_officer")
 
 
 SURPRISES = {
@@ -327,7 +327,10 @@ def l4(d: Data):
     return crosssec.first_per_group(d.sectors, "sector", ["ticker"], 4, 18).select("sector", "ticker")
 
 
-@query("C1", "SELECT s.ticker, coalesce(c.sector_id, -1) AS sector_id FROM sector s LEFT JOIN (SELECT sector, (dense_rank() OVER (ORDER BY sector) - 1)::INTEGER AS sector_id FROM (SELECT DISTINCT sector FROM sector)) c USING (sector)")
+@query("C1", """SELECT ticker, (dense_rank() OVER (ORDER BY CASE WHEN sector IS NULL OR sector = '' THEN 'Unknown' ELSE sector END) - 1)::INTEGER AS sector_id
+  FROM (SELECT DISTINCT ticker FROM probes) LEFT JOIN (SELECT ticker, CASE WHEN ticker::BIGINT % 7 = 0 THEN '' ELSE sector END AS sector FROM sector WHERE ticker::BIGINT % 5 <> 0) USING (ticker)""")
 def c1(d: Data):
-    codes = crosssec.sector_codes(d.sectors)
-    return d.sectors.join(codes, "sector", "left").select("ticker", F.coalesce("sector_id", F.lit(-1)).alias("sector_id"))
+    """Every fifth name without a sector, every seventh with an empty one."""
+    key = F.col("ticker").cast("long")
+    known = d.sectors.where(key % 5 != 0).withColumn("sector", F.when(key % 7 == 0, "").otherwise(F.col("sector")))
+    return crosssec.sector_codes(d.probes, known).select("ticker", "sector_id")

@@ -7,8 +7,10 @@ from pyspark.sql import functions as F
 
 from ..functions import clean
 from ..operators import asof, evalstats, events, features, intervals, portfolio, returns
+from ..session import scratch
+from ..sources import io
 from .base import PERIODS, Data, query
-from .returns_and_windows import EVENT_RETURNS, FEATURES, SURPRISES, TOP, WINDOWS, adjusted_event_returns, quarters
+from .returns_and_windows import EVENT_RETURNS, FEATURES, SURPRISES, TOP, WINDOWS, adjusted_event_returns, event_returns, quarters
 
 SUMMARY = """count(ic) AS n_dates, r(avg(ic)) AS mean_ic, r(stddev_samp(ic)) AS std_ic, CASE WHEN stddev_samp(ic) > 0 THEN r(avg(ic) / stddev_samp(ic)) END AS ir,
   CASE WHEN stddev_samp(ic) > 0 THEN r(avg(ic) / (stddev_samp(ic) / sqrt(count(ic)))) END AS t_stat, r(avg(CASE WHEN ic > 0 THEN 1.0 ELSE 0.0 END)) AS positive_share"""
@@ -200,13 +202,14 @@ def a19_summary(d: Data):
 
 
 PERSIST = EVENT_RETURNS | {
-    "pers": """SELECT ticker AS member, count(ret) AS n, count(CASE WHEN year(date) <= 1997 THEN ret END) AS n1, count(CASE WHEN year(date) >= 1998 THEN ret END) AS n2,
-  avg(CASE WHEN year(date) <= 1997 THEN ret END) AS p1, avg(CASE WHEN year(date) >= 1998 THEN ret END) AS p2 FROM adj GROUP BY ticker HAVING n >= 25 AND n1 >= 10 AND n2 >= 10""",
+    "pers": """SELECT ticker AS member, count(*) AS n, count(CASE WHEN year(date) <= 1997 THEN ret END) AS n1, count(CASE WHEN year(date) >= 1998 THEN ret END) AS n2,
+  avg(CASE WHEN year(date) <= 1997 THEN ret END) AS p1, avg(CASE WHEN year(date) >= 1998 THEN ret END) AS p2 FROM (SELECT e.ticker, e.date, a.ret FROM evret e LEFT JOIN adj a USING (ticker, date)) GROUP BY ticker HAVING n >= 25 AND n1 >= 10 AND n2 >= 10""",
 }
 
 
 def persistence(d: Data):
-    rows = adjusted_event_returns(d).withColumnRenamed("ticker", "member")
+    every = event_returns(d).select("ticker", "date")
+    rows = every.join(adjusted_event_returns(d), ["ticker", "date"], "left").withColumnRenamed("ticker", "member")
     return evalstats.persistence(rows, F.year("date") <= 1997, F.year("date") >= 1998)
 
 
@@ -221,11 +224,15 @@ P_VALUE = """CASE WHEN n > 2 AND abs(rho) < 1 THEN r(greatest(0.0, 1 - CASE WHEN
   ELSE 2 / pi() * (atan(sqrt((1 - c) / c)) + CASE WHEN n > 3 THEN sqrt(c * (1 - c)) * list_sum([pow(c, j) * exp(lgamma(j + 1) - lgamma(j + 1.5)) * sqrt(pi()) / 2 for j in range(0, (n - 3) // 2)]) ELSE 0 END) END)) END"""
 
 
-@query("A20_summary", f"""SELECT n, r(rho) AS rho, {P_VALUE} AS p_value, n_top::BIGINT AS n_top, r(top) AS top_mean, r(rest) AS rest_mean, r(top - rest) AS top_minus_rest FROM (
+@query("A20_summary", f"""SELECT n, CASE WHEN n >= 5 THEN r(rho) END AS rho, CASE WHEN n >= 5 THEN {P_VALUE} END AS p_value, CASE WHEN n >= 5 THEN n_top::BIGINT END AS n_top,
+  CASE WHEN n >= 5 THEN r(top) END AS top_mean, CASE WHEN n >= 5 THEN r(rest) END AS rest_mean, CASE WHEN n >= 5 THEN r(top - rest) END AS top_minus_rest FROM (
   SELECT count(*) AS n, corr(r1, r2) AS rho, 1 - pow(corr(r1, r2), 2) AS c, count(CASE WHEN p1 >= cut THEN 1 END) AS n_top, avg(CASE WHEN p1 >= cut THEN p2 END) AS top, avg(CASE WHEN p1 < cut THEN p2 END) AS rest FROM (
   SELECT *, rank() OVER (ORDER BY p1) AS r1, rank() OVER (ORDER BY p2) AS r2, (SELECT quantile_cont(p1, 0.8) FROM pers) AS cut FROM pers))""", PERSIST)
 def a20_summary(d: Data):
-    return evalstats.persistence_summary(persistence(d))
+    """Members are stored once: limits, ranks and the summary read them again."""
+    root = scratch(d.spark)
+    io.put(persistence(d), root, "results", "members")
+    return evalstats.persistence_summary(io.get(d.spark, root, "results", "members"))
 
 
 DELAYED = EVENT_RETURNS | {

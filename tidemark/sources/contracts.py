@@ -71,13 +71,13 @@ def membership_log(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def trades(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """seq, ticker, member, filing_date, value: purchases of an item by a user."""
+    """seq, ticker, member, filing_date, value, officer: purchases of an item by a user; every fourth user is an officer."""
     return (
         table(spark, sf_dir, "events")
         .where(F.col("event_type") == "purchase")
         .select(
             F.col("event_id").alias("seq"), F.get_json_object("props", "$.k").alias("ticker"), F.col("user_id").cast("string").alias("member"),
-            F.col("ts").cast("date").alias("filing_date"), "value",
+            F.col("ts").cast("date").alias("filing_date"), "value", (F.col("user_id") % 4 == 0).alias("officer"),
         )
     )
 
