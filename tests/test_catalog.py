@@ -62,3 +62,17 @@ def test_nothing_else_imports_the_training_data_package():
     for p in root.rglob("*.py"):
         if "llm" not in p.relative_to(root).parts:
             assert ".llm" not in p.read_text() and "import llm" not in p.read_text(), p
+
+
+@pytest.mark.skipif(not os.path.isdir(SF), reason="needs the test tables")
+def test_plans_over_bucketed_contracts(spark):
+    """Nothing is exchanged by ticker for the matrix, and no dates meet intervals in a cartesian product, with hardly a side small enough to broadcast by size."""
+    was = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "16k")
+    try:
+        plans = {n: catalog.QUERIES[n](spark, SF)._jdf.queryExecution().executedPlan().toString() for n in ("J2_matrix", "M1", "R1", "R10", "J8_log", "J10")}
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", was)
+    assert not any("CartesianProduct" in p for p in plans.values())
+    assert "Exchange hashpartitioning(ticker" not in plans["J2_matrix"] and plans["J2_matrix"].count("Exchange hashpartitioning(date") == 1
+    assert plans["M1"].count("Exchange ") < 30

@@ -16,16 +16,30 @@ from pyspark.sql import functions as F
 from . import calendar as cal
 
 
-def last_known(history: DataFrame, probes: DataFrame, key: Sequence[str], values: Sequence[str], history_ts: str, probe_ts: str) -> DataFrame:
-    """``probes`` with the last non-null ``values`` of their ``key`` at ``history_ts <= probe_ts``.
+def timeline(history: DataFrame, probes: DataFrame, key: Sequence[str], values: Sequence[str], history_ts: str, probe_ts: str) -> DataFrame:
+    """Histories and probes in one table, by time ``__ts``; a history's row comes before a probe of its time.
 
-    ``history`` has one row for each key and time (aggregate it first where it has more).
+    Stored in buckets of its key, it serves any number of as-of passes without an exchange.
     """
     old = history.select(*key, F.col(history_ts).alias("__ts"), F.lit(0).alias("__probe"), *values, *(F.lit(None).cast(f.dataType).alias(f.name) for f in probes.schema if f.name not in key))
     new = probes.select(*key, F.col(probe_ts).alias("__ts"), F.lit(1).alias("__probe"), *(F.lit(None).cast(history.schema[v].dataType).alias(v) for v in values), *(c for c in probes.columns if c not in key))
+    return old.unionByName(new).select("__ts", "__probe", *probes.columns, *values)
+
+
+def carried(line: DataFrame, key: Sequence[str], values: Sequence[str]) -> DataFrame:
+    """The probes of a :func:`timeline` with the last non-null ``values`` up to them."""
     w = Window.partitionBy(*key).orderBy("__ts", "__probe").rowsBetween(Window.unboundedPreceding, 0)
-    carried = old.unionByName(new).select("__probe", *probes.columns, *(F.last(v, ignorenulls=True).over(w).alias(v) for v in values))
-    return carried.where("__probe = 1").select(*probes.columns, *values)
+    kept = [c for c in line.columns if c not in ("__ts", "__probe", *values)]
+    found = line.select("__probe", *kept, *(F.last(v, ignorenulls=True).over(w).alias(v) for v in values))
+    return found.where("__probe = 1").select(*kept, *values)
+
+
+def last_known(history: DataFrame, probes: DataFrame, key: Sequence[str], values: Sequence[str], history_ts: str, probe_ts: str) -> DataFrame:
+    """``probes`` with the last non-null ``values`` of their ``key`` at ``history_ts <= probe_ts``.
+
+    ``history`` has one row for each key and time (aggregate it first where it has more).
+    """
+    return carried(timeline(history, probes, key, values, history_ts, probe_ts), key, values).select(*probes.columns, *values)
 
 
 def at_points(history: DataFrame, rows: DataFrame, points: Mapping[str, str], value: str = "close_adj", key: str = "ticker", ts: str = "date") -> DataFrame:

@@ -10,6 +10,18 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
+#: Up to so many rows a table of dates is broadcast: three centuries of sessions.
+FEW_DATES = 100_000
+
+
+def small(dates: DataFrame, like: DataFrame | None = None, most: int = FEW_DATES) -> DataFrame:
+    """``dates`` marked for broadcast if it has at most ``most`` rows.
+
+    Counted is ``like`` where it is given: a stored table with at least as many rows.
+    """
+    return F.broadcast(dates) if (dates if like is None else like).count() <= most else dates
+
+
 def sessions(prices: DataFrame) -> DataFrame:
     """``session`` and ``session_idx`` (from 1) of every date that has a price."""
     days = prices.select(F.col("date").alias("session")).distinct()

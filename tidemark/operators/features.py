@@ -2,15 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import expr as X
 from . import calendar as cal
-from .asof import at_points, facts_asof, facts_at_offsets, series_asof
+from .asof import at_points, carried, facts_asof, facts_at_offsets, series_asof
 from .crosssec import less_sector_median, normalise, own_history_z, sector_codes
 from .returns import trailing_return
 
@@ -55,20 +55,45 @@ def _at_price(prices: DataFrame, keys: DataFrame) -> DataFrame:
     return keys.select("date", "ticker").join(prices.select("date", "ticker", F.col("close_raw").alias("price")), ["date", "ticker"], "left")
 
 
-def valuation(prices: DataFrame, facts: DataFrame, keys: DataFrame, sector: DataFrame, tags: Mapping[str, str], window: int = 60, least: int = 24) -> DataFrame:
-    """The valuation family; ``tags`` names the fact tags of eps, sps, bvps, shares, debt, cash and ebitda.
+Known = Callable[..., Column]
 
-    What isn't known stays unknown: without debt or cash there is no enterprise value.
-    """
-    known = facts_asof(facts, _at_price(prices, keys), sorted(set(tags.values())))
-    v = lambda name: F.col(f"`{tags[name]}`")
-    p = F.col("price")
-    value = p * v("shares") + v("debt") - v("cash")
-    rows = known.select(
-        "date", "ticker",
-        F.when((v("eps") > 0) & (p > 0), v("eps") / p).alias("earnings_yield"), F.when((v("sps") > 0) & (p > 0), v("sps") / p).alias("sales_yield"),
-        F.when((v("ebitda") > 0) & (v("shares") > 0), value / v("ebitda")).alias("ev_ebitda"), F.when((v("bvps") > 0) & (p > 0), v("bvps") / p).alias("book_to_price"),
+
+def valuation_levels(v: Known, price: Column) -> dict[str, Column]:
+    """Of ``v(name)``, a fact by its name; what isn't known stays unknown: without debt or cash there is no enterprise value."""
+    value = price * v("shares") + v("debt") - v("cash")
+    return {
+        "earnings_yield": F.when((v("eps") > 0) & (price > 0), v("eps") / price), "sales_yield": F.when((v("sps") > 0) & (price > 0), v("sps") / price),
+        "ev_ebitda": F.when((v("ebitda") > 0) & (v("shares") > 0), value / v("ebitda")), "book_to_price": F.when((v("bvps") > 0) & (price > 0), v("bvps") / price),
+    }
+
+
+def quality_levels(v: Known, price: Column) -> dict[str, Column]:
+    positive = F.when(v("equity") > 0, F.lit(True))
+    return {
+        "roe": F.when(positive, v("roe")), "roic": v("roic"), "roa": v("roa"), "gross_margin": v("gross_margin"), "op_margin": X.ratio(v("opinc"), v("revenue")),
+        "net_margin": v("net_margin"), "ebitda_margin": v("ebitda_margin"), "debt_to_equity": F.when(positive, v("de")), "current_ratio": v("current_ratio"),
+        "interest_coverage": X.ratio(v("ebit"), v("intexp")), "fcf_yield": F.when(price > 0, v("fcfps") / price), "fcf_margin": X.ratio(v("fcf"), v("revenue")),
+    }
+
+
+def growth_levels(v: Known) -> dict[str, Column]:
+    """Of ``v(name, point)`` at the points now, q (a quarter before), y (a year) and yq (both)."""
+    yoy = lambda name: X.growth(v(name, "now"), v(name, "y"))
+    before = lambda name: X.growth(v(name, "q"), v(name, "yq"))
+    return (
+        {f"{n}_yoy": yoy(n) for n in ("rev", "eps", "gp", "fcf")} | {f"{n}_accel": yoy(n) - before(n) for n in ("rev", "eps")}
+        | {f"{n}_trend": v(n, "now") - v(n, "y") for n in ("net_margin", "gross_margin")}
     )
+
+
+def _named(columns: Mapping[str, Column]) -> list[Column]:
+    return [c.alias(n) for n, c in columns.items()]
+
+
+def valuation(prices: DataFrame, facts: DataFrame, keys: DataFrame, sector: DataFrame, tags: Mapping[str, str], window: int = 60, least: int = 24) -> DataFrame:
+    """The valuation family; ``tags`` names the fact tags of eps, sps, bvps, shares, debt, cash and ebitda."""
+    known = facts_asof(facts, _at_price(prices, keys), sorted(set(tags.values())))
+    rows = known.select("date", "ticker", *_named(valuation_levels(lambda name: F.col(f"`{tags[name]}`"), F.col("price"))))
     relative = less_sector_median(rows.join(sector, "ticker", "left"), VALUATION).drop("sector")
     return own_history_z(relative, VALUATION, window, least)
 
@@ -76,14 +101,7 @@ def valuation(prices: DataFrame, facts: DataFrame, keys: DataFrame, sector: Data
 def quality(prices: DataFrame, facts: DataFrame, keys: DataFrame, sector: DataFrame, tags: Mapping[str, str], window: int = 60, least: int = 24) -> DataFrame:
     """The quality family: twelve levels, nine of them also relative to the sector, and margin stability."""
     known = facts_asof(facts, _at_price(prices, keys), sorted(set(tags.values())))
-    v = lambda name: F.col(f"`{tags[name]}`")
-    positive = F.when(v("equity") > 0, F.lit(True))
-    levels = {
-        "roe": F.when(positive, v("roe")), "roic": v("roic"), "roa": v("roa"), "gross_margin": v("gross_margin"), "op_margin": X.ratio(v("opinc"), v("revenue")),
-        "net_margin": v("net_margin"), "ebitda_margin": v("ebitda_margin"), "debt_to_equity": F.when(positive, v("de")), "current_ratio": v("current_ratio"),
-        "interest_coverage": X.ratio(v("ebit"), v("intexp")), "fcf_yield": F.when(F.col("price") > 0, v("fcfps") / F.col("price")), "fcf_margin": X.ratio(v("fcf"), v("revenue")),
-    }
-    rows = known.select("date", "ticker", *(levels[n].alias(n) for n in QUALITY))
+    rows = known.select("date", "ticker", *_named(quality_levels(lambda name: F.col(f"`{tags[name]}`"), F.col("price"))))
     relative = less_sector_median(rows.join(sector, "ticker", "left"), SECTOR_QUALITY).drop("sector")
     return relative.withColumn("net_margin_stability", X.rolling_std(F.col("net_margin"), window, "ticker", least=least))
 
@@ -92,25 +110,52 @@ def growth(facts: DataFrame, keys: DataFrame, calendar: DataFrame, tags: Mapping
     """The fundamental momentum family: growth over a year, its change over a quarter, margin trends."""
     at = dict(offsets or {"now": 0, "q": -63, "y": -252, "yq": -315})
     known = facts_at_offsets(facts, keys.select("date", "ticker"), sorted(set(tags.values())), calendar, at)
-    v = lambda name, point: F.col(f"`{tags[name]}_{point}`")
-    yoy = lambda name: X.growth(v(name, "now"), v(name, "y"))
-    before = lambda name: X.growth(v(name, "q"), v(name, "yq"))
-    return known.select(
-        "date", "ticker", *(yoy(n).alias(f"{n}_yoy") for n in ("rev", "eps", "gp", "fcf")), *((yoy(n) - before(n)).alias(f"{n}_accel") for n in ("rev", "eps")),
-        *((v(n, "now") - v(n, "y")).alias(f"{n}_trend") for n in ("net_margin", "gross_margin")),
-    )
+    return known.select("date", "ticker", *_named(growth_levels(lambda name, point: F.col(f"`{tags[name]}_{point}`"))))
+
+
+def by_ticker(prices: DataFrame, line: DataFrame, keys: DataFrame, sector: DataFrame, tags: Mapping[str, Mapping[str, str]], windows: Mapping[str, int] | None = None, window: int = 60, least: int = 24) -> DataFrame:
+    """What the four families take from a ticker's own rows, at the keys: all but what is relative to the sector.
+
+    ``line`` is the timeline of facts and keys at all points (columns date and point); ``tags`` has the
+    tags of ``valuation``, ``quality`` and ``growth``.  All sides stand by ticker and are joined
+    there: over tables in buckets of tickers nothing is exchanged.
+    """
+    every = sorted({t for names in tags.values() for t in names.values()})
+    passed = carried(line, ["ticker"], every)
+    points = ("now", "q", "y", "yq")
+    known = passed.groupBy("ticker", "date").agg(*(F.max(F.when(F.col("point") == p, F.col(f"`{t}`"))).alias(f"{t}_{p}") for t in every for p in points))
+    moved = momentum_columns(prices, windows).select("ticker", "date", F.col("close_raw").alias("price"), *MOMENTUM)
+    rows = keys.select("ticker", "date").join(moved, ["ticker", "date"], "left").join(known, ["ticker", "date"], "left").join(sector, "ticker", "left")
+
+    def of(family: str) -> Known:
+        return lambda name, point="now": F.col(f"`{tags[family][name]}_{point}`")
+
+    levels = valuation_levels(of("valuation"), F.col("price")) | quality_levels(of("quality"), F.col("price")) | growth_levels(of("growth"))
+    rows = rows.select("ticker", "date", "sector", *MOMENTUM, *_named(levels))
+    rows = own_history_z(rows, VALUATION, window, least)
+    return rows.withColumn("net_margin_stability", X.rolling_std(F.col("net_margin"), window, "ticker", least=least))
+
+
+def by_date(rows: DataFrame) -> DataFrame:
+    """The rows of :func:`by_ticker`, dealt by date once, with what is relative to the sector; windows by date add no exchange."""
+    return less_sector_median(rows.repartition("date"), (*VALUATION, *SECTOR_QUALITY))
 
 
 def context(keys: DataFrame, macro: DataFrame, benchmark: DataFrame, calendar: DataFrame, sector: DataFrame, series: Mapping[str, str], lookback: int = 63) -> DataFrame:
     """The context family: sector code, macro values and the trailing benchmark return, the same for all names of a date."""
-    dates = keys.select("date").distinct()
+    of_date = date_context(keys.select("date").distinct(), macro, benchmark, calendar, series, lookback)
+    coded = sector_codes(keys, sector).select("ticker", "sector_id")
+    rows = keys.select("date", "ticker").join(of_date, "date", "left").join(coded, "ticker", "left")
+    return rows.select("date", "ticker", "sector_id", *series, "mkt_ret")
+
+
+def date_context(dates: DataFrame, macro: DataFrame, benchmark: DataFrame, calendar: DataFrame, series: Mapping[str, str], lookback: int = 63) -> DataFrame:
+    """date, the last value of each series, and the benchmark's return over ``lookback`` sessions."""
     levels = series_asof(macro, dates, sorted(set(series.values())))
     levels = levels.select("date", *(F.col(f"`{s}`").alias(n) for n, s in series.items()))
     moved = cal.offset(dates, calendar, -lookback, to="was").withColumn("ticker", F.lit("MKT"))
     ends = at_points(benchmark, moved, {"p1": "date", "p0": "was"}).select("date", F.when(F.col("p0") > 0, F.col("p1") / F.col("p0") - 1).alias("mkt_ret"))
-    coded = sector_codes(keys, sector).select("ticker", "sector_id")
-    rows = keys.select("date", "ticker").join(levels, "date", "left").join(ends, "date", "left").join(coded, "ticker", "left")
-    return rows.select("date", "ticker", "sector_id", *series, "mkt_ret")
+    return dates.join(levels, "date", "left").join(ends, "date", "left")
 
 
 def build(keys: DataFrame, raw: DataFrame, features: Sequence[str]) -> DataFrame:
@@ -118,10 +163,10 @@ def build(keys: DataFrame, raw: DataFrame, features: Sequence[str]) -> DataFrame
     return normalise(keys.select("date", "ticker").join(raw.select("date", "ticker", *features), ["date", "ticker"], "left"), features)
 
 
-def z_scores(raw: DataFrame, features: Sequence[str], low: float = 0.01, high: float = 0.99) -> DataFrame:
-    """date, ticker and each feature's ``_z``: of the winsorised value within its date; one partitioning serves all."""
-    held = raw.select("date", "ticker", *(X.winsorised(F.col(f), low, high, "date").alias(f) for f in features))
-    return held.select("date", "ticker", *(X.zscore(F.col(f), "date").alias(f"{f}_z") for f in features))
+def z_scores(raw: DataFrame, features: Sequence[str], low: float = 0.01, high: float = 0.99, kept: Sequence[str] = ()) -> DataFrame:
+    """date, ticker, the ``kept`` columns and each feature's ``_z``: of the winsorised value within its date; one partitioning serves all."""
+    held = raw.select("date", "ticker", *kept, *(X.winsorised(F.col(f), low, high, "date").alias(f) for f in features))
+    return held.select("date", "ticker", *kept, *(X.zscore(F.col(f), "date").alias(f"{f}_z") for f in features))
 
 
 def matrix(keys: DataFrame, families: Sequence[DataFrame], kept: Sequence[Sequence[str]] = ()) -> DataFrame:

@@ -29,7 +29,7 @@ def inside(date: Column, start: Column, end: Column) -> Column:
 
 def members_on(intervals: DataFrame, dates: DataFrame) -> DataFrame:
     """date, ticker for every date of the (small) date table and every member on it."""
-    return dates.join(intervals, inside(dates["date"], intervals["start"], intervals["end"])).select("date", "ticker").distinct()
+    return intervals.join(cal.small(dates), inside(dates["date"], intervals["start"], intervals["end"])).select("date", "ticker").distinct()
 
 
 def not_members(rows: DataFrame, intervals: DataFrame) -> DataFrame:
@@ -46,7 +46,7 @@ def in_universe_at(events: DataFrame, universe: DataFrame, on: str = "date") ->
     """
     spans = cal.next_dates(universe.select("date").distinct()).select(F.col("date").alias("__u"), F.col("next_date").alias("__n"))
     at = events.select(on).distinct()
-    days = at.join(spans, (spans["__u"] <= at[on]) & (spans["__n"].isNull() | (at[on] < spans["__n"]))).select(on, "__u")
+    days = at.join(cal.small(spans), (spans["__u"] <= at[on]) & (spans["__n"].isNull() | (at[on] < spans["__n"]))).select(on, "__u")
     return events.join(days, on).join(universe.select(F.col("date").alias("__u"), "ticker"), ["__u", "ticker"], "left_semi").drop("__u")
 
 

@@ -15,10 +15,10 @@ def spans(prices: DataFrame) -> DataFrame:
     return own.groupBy("ticker").agg(F.min("date").alias("first"), F.max("date").alias("last"), F.max_by("close_adj", "date").alias("last_price"))
 
 
-def _held(prices: DataFrame, dates: DataFrame) -> DataFrame:
-    """Every ticker with every date of a small date table at which it has a price history."""
+def _held(prices: DataFrame, dates: DataFrame, like: DataFrame | None = None) -> DataFrame:
+    """Every ticker with every date of a small date table (of at most the rows of ``like``) at which it has a price history."""
     own = spans(prices)
-    return own.join(dates, (own["first"] <= dates["date"]) & (dates["date"] <= own["last"]))
+    return own.join(cal.small(dates, like), (own["first"] <= dates["date"]) & (dates["date"] <= own["last"]))
 
 
 def _simple(found: DataFrame, to: str) -> DataFrame:
@@ -28,7 +28,7 @@ def _simple(found: DataFrame, to: str) -> DataFrame:
 def forward_returns(prices: DataFrame, dates: DataFrame, calendar: DataFrame, horizon: int, to: str = "fwd_ret_raw") -> DataFrame:
     """date, ticker and the return from each date over ``horizon`` sessions; no row unless realised."""
     targets = cal.offset(dates, calendar, horizon)
-    pairs = _held(prices, targets).where("target <= last").select("ticker", "date", "target")
+    pairs = _held(prices, targets, dates).where("target <= last").select("ticker", "date", "target")
     return _simple(at_points(prices, pairs, {"p0": "date", "p1": "target"}), to)
 
 
@@ -95,7 +95,7 @@ def momentum_12_1(prices: DataFrame, dates: DataFrame, calendar: DataFrame, skip
     """
     moved = cal.offset(cal.offset(dates, calendar, -form, to="far"), calendar, -skip, to="near").where("far IS NOT NULL AND near IS NOT NULL")
     own = spans(prices)
-    pairs = own.join(moved, own["first"] <= moved["far"]).select("ticker", "date", "far", "near")
+    pairs = own.join(cal.small(moved, dates), own["first"] <= moved["far"]).select("ticker", "date", "far", "near")
     found = at_points(prices, pairs, {"p0": "far", "p1": "near"})
     return _simple(found, to)
 

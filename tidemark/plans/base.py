@@ -12,13 +12,16 @@ from functools import cached_property
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import calendar, crosssec, intervals, returns
+from ..operators import asof, calendar, crosssec, features, intervals, returns
 from ..session import scratch
 from ..sources import contracts, io
 
 HORIZON, YEAR, QUARTER, MONTH = 13, 52, 13, 4
 MIN_PRICE, MIN_DOLLAR_VOLUME, WINDOW = 1_000.0, 75_000.0, 20
 PERIODS = 12.0
+CONTEXT_SERIES = {"term_spread": "F", "credit_spread": "O", "vix": "P"}
+#: Points at which facts are read, in sessions from a date.
+POINTS = {"now": 0, "q": -QUARTER, "y": -YEAR, "yq": -YEAR - QUARTER}
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -34,32 +37,50 @@ def rounded(df: DataFrame) -> DataFrame:
     return df.select(*(r(F.col(f"`{n}`")).alias(n) if t == "double" else F.col(f"`{n}`") for n, t in df.dtypes))
 
 
-#: (application, folder, contract) -> where its table is staged.
-_staged: dict[tuple[str, str, str], str] = {}
+#: (application, folder, contract) -> where its table is staged: the folder, and the catalog's name of a bucketed one.
+_staged: dict[tuple[str, str, str], tuple[str, str | None]] = {}
+
+
+def forget(spark: SparkSession) -> None:
+    """Drops this session's bucketed contracts from the catalog."""
+    for key in [k for k in _staged if k[0] == spark.sparkContext.applicationId]:
+        name = _staged.pop(key)[1]
+        if name is not None:
+            spark.sql(f"DROP TABLE IF EXISTS {name}")
 
 
 class Data:
     """The contracts over one folder of tables.
 
-    Prices, the calendar and facts are read many times by most queries, so each is built once a
-    session, as a table in the shared folder, and read from there.
+    Prices, the calendar, facts and the panel are read many times by most queries, so each is built
+    once a session, as a table in the shared folder, and read from there.  Those with a ticker are
+    in buckets of it, so windows by ticker and joins by ticker (and date) take no exchange.  The
+    joins need Spark to accept one of two join keys as a partitioning, which is set here.
     """
 
     def __init__(self, spark: SparkSession, sf_dir: str):
         self.spark, self.dir = spark, sf_dir
+        spark.conf.set("spark.sql.requireAllClusterKeysForCoPartition", "false")
 
     def table(self, name: str) -> DataFrame:
         return contracts.table(self.spark, self.dir, name)
 
-    def _table(self, name: str, build: Callable[[], DataFrame]) -> DataFrame:
+    def _table(self, name: str, build: Callable[[], DataFrame], by: str | None = None) -> DataFrame:
+        """A contract, staged on first use; in buckets of ``by``, as many as shuffles have partitions."""
         key = (self.spark.sparkContext.applicationId, self.dir, name)
-        if key not in _staged or not io.exists(self.spark, _staged[key]):
-            _staged[key] = io.put(build(), scratch(self.spark), "contracts", name)
-        return self.spark.read.parquet(_staged[key])
+        if key not in _staged or not io.exists(self.spark, _staged[key][0]):
+            rows, root = build(), scratch(self.spark)
+            if by is None:
+                _staged[key] = io.put(rows, root, "contracts", name), None
+            else:
+                table = io.put_bucketed(rows, root, "contracts", name, by, int(self.spark.conf.get("spark.sql.shuffle.partitions")))
+                _staged[key] = f"{root}/contracts/{name}", table
+        path, table = _staged[key]
+        return self.spark.read.parquet(path) if table is None else self.spark.table(table)
 
     @cached_property
     def weekly(self) -> DataFrame:
-        return self._table("weekly", lambda: contracts.prices(self.spark, self.dir).sortWithinPartitions("ticker", "date"))
+        return self._table("weekly", lambda: contracts.prices(self.spark, self.dir), "ticker")
 
     @cached_property
     def daily(self) -> DataFrame:
@@ -79,11 +100,11 @@ class Data:
 
     @cached_property
     def sectors(self) -> DataFrame:
-        return contracts.sectors(self.spark, self.dir)
+        return self._table("sectors", lambda: contracts.sectors(self.spark, self.dir), "ticker")
 
     @cached_property
     def facts(self) -> DataFrame:
-        return self._table("facts", lambda: contracts.facts(self.spark, self.dir).sortWithinPartitions("ticker", "filed"))
+        return self._table("facts", lambda: contracts.facts(self.spark, self.dir), "ticker")
 
     @cached_property
     def log(self) -> DataFrame:
@@ -107,7 +128,29 @@ class Data:
 
     @cached_property
     def panel(self) -> DataFrame:
-        return crosssec.panel(self.weekly, self.rebalances, self.calendar, self.sectors, HORIZON, MIN_PRICE, MIN_DOLLAR_VOLUME)
+        """Its first join decides by what the labels are dealt; it is staged in buckets of tickers."""
+        build = lambda: crosssec.panel(self.weekly, self.rebalances, self.calendar, self.sectors, HORIZON, MIN_PRICE, MIN_DOLLAR_VOLUME)
+        return self._table("panel", build, "ticker")
+
+    @cached_property
+    def points(self) -> DataFrame:
+        """date, point, at: each rebalance date, and a quarter, a year, and both before it."""
+        moved = self.rebalances
+        for name, n in POINTS.items():
+            moved = calendar.offset(moved, self.calendar, n, to=name)
+        return self._table("points", lambda: moved.unpivot("date", list(POINTS), "point", "at").where("at IS NOT NULL"))
+
+    @cached_property
+    def timeline(self) -> DataFrame:
+        """Facts by filing day and the panel's keys at all points, in order: what as-of passes over the panel read."""
+        asked = self.panel.select("ticker", "date").join(calendar.small(self.points), "date")
+        build = lambda: asof.timeline(asof.facts_wide(self.facts, contracts.TAGS), asked, ["ticker"], list(contracts.TAGS), "filed", "at")
+        return self._table("timeline", build, "ticker")
+
+    @cached_property
+    def date_context(self) -> DataFrame:
+        dates = self.panel.select("date").distinct()
+        return self._table("context", lambda: features.date_context(dates, self.macro, self.market, self.calendar, CONTEXT_SERIES, QUARTER))
 
     @cached_property
     def momentum(self) -> DataFrame:

@@ -5,10 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..operators import crosssec, evalstats, features, portfolio, walkforward
+from ..operators import calendar, crosssec, evalstats, features, portfolio, walkforward
 from ..session import scratch
 from ..sources import contracts, io
-from .base import HORIZON, QUARTER, YEAR, Data, query
+from .base import CONTEXT_SERIES, HORIZON, POINTS, QUARTER, Data, query
 from .joins_and_cleaning import WIDE
 from .returns_and_windows import FEATURES, TOP, WINDOWS
 from .statistics import SUMMARY, ic_sql, performance_sql
@@ -200,9 +200,6 @@ def f3(d: Data):
     return features.quality(d.weekly, d.facts, d.panel, d.sectors, QUALITY_TAGS).select("date", "ticker", *QUALITY_NAMES)
 
 
-POINTS = {"now": 0, "q": -QUARTER, "y": -YEAR, "yq": -YEAR - QUARTER}
-
-
 def _yoy(name: str, new: str, old: str) -> str:
     c = _v(GROWTH_TAGS, name)
     return f"CASE WHEN {c}_{old} > 0 THEN {c}_{new} / {c}_{old} - 1 END"
@@ -223,7 +220,6 @@ def f4(d: Data):
     return features.growth(d.facts, d.panel, d.calendar, GROWTH_TAGS, POINTS)
 
 
-CONTEXT_SERIES = {"term_spread": "F", "credit_spread": "O", "vix": "P"}
 CONTEXT_SQL = {
     "ctx": "SELECT p.date, p.ticker, c.sector_id, " + ", ".join(f"m{s}.value AS {n}" for n, s in CONTEXT_SERIES.items()) + ", q.mkt_ret FROM panel p "
     "LEFT JOIN (SELECT ticker, (dense_rank() OVER (ORDER BY coalesce(nullif(sector, ''), 'Unknown')) - 1)::INTEGER AS sector_id FROM (SELECT DISTINCT ticker FROM panel) LEFT JOIN sector USING (ticker)) c USING (ticker) "
@@ -420,9 +416,22 @@ MATRIX_SQL = FEATURES | VALUATION_SQL | QUALITY_SQL | GROWTH_SQL | CONTEXT_SQL |
 @query("J2_matrix", f"SELECT date, ticker, sector_id, {_columns_sql((*CONTEXT_NAMES, *Z_NAMES))} FROM ctx " + " ".join(f"LEFT JOIN z_{source} USING (date, ticker)" for source in Z_FAMILIES), MATRIX_SQL)
 def j2_matrix(d: Data):
     """50 z columns and five of context at the panel's keys."""
-    raw = [
-        (features.momentum(d.weekly, d.panel, WINDOWS), features.MOMENTUM), (features.valuation(d.weekly, d.facts, d.panel, d.sectors, VALUE_TAGS), VALUE_NAMES),
-        (features.quality(d.weekly, d.facts, d.panel, d.sectors, QUALITY_TAGS), QUALITY_NAMES), (features.growth(d.facts, d.panel, d.calendar, GROWTH_TAGS, POINTS), features.GROWTH),
-    ]
-    families = [features.z_scores(rows.select("date", "ticker", *names), names) for rows, names in raw]
-    return features.matrix(f5(d), families, [("sector_id", *CONTEXT_NAMES)]).select("date", "ticker", "sector_id", *CONTEXT_NAMES, *Z_NAMES)
+    return matrix_rows(d)
+
+
+MATRIX_TAGS = {"valuation": VALUE_TAGS, "quality": QUALITY_TAGS, "growth": GROWTH_TAGS}
+RAW_NAMES = tuple(f for names in Z_FAMILIES.values() for f in names)
+
+
+def raw_rows(d: Data) -> DataFrame:
+    """The raw features of all families at the panel's keys: by ticker over the bucketed contracts, then dealt by date once."""
+    return features.by_date(features.by_ticker(d.weekly, d.timeline, d.panel, d.sectors, MATRIX_TAGS, WINDOWS))
+
+
+def matrix_rows(d: Data) -> DataFrame:
+    """z columns by date, then the date's context and the sector's code: two small tables."""
+    scored = features.z_scores(raw_rows(d), RAW_NAMES, kept=["sector"])
+    codes = crosssec.sector_codes(d.panel, d.sectors).select(F.col("sector").alias("__name"), "sector_id").distinct()
+    named = F.coalesce(F.nullif("sector", F.lit("")), F.lit(crosssec.NO_SECTOR))
+    known = scored.join(calendar.small(d.date_context), "date", "left").join(calendar.small(codes), named == F.col("__name"), "left")
+    return known.select("date", "ticker", "sector_id", *CONTEXT_NAMES, *Z_NAMES)
