@@ -188,7 +188,7 @@ def test_ridge_solves_its_objective(spark, folds_data):
     panel, _, _ = folds_data
     features = ["f_noise", "f_signal"]
     rows = panel.where(F.col("date") <= MONTHS[11])
-    gram = sum(np.array(r["gram"]) for r in walkforward.grams(rows, features, "target").collect())
+    gram = sum(np.array(r["gram"]) for r in walkforward.grams(rows, features, ["target"]).collect())
     model = walkforward.Ridge(gram, 2, 5.0)
     x, y = (np.array(rows.select(*c).collect(), float) for c in (features, ["target"]))
     x, y = x - x.mean(0), y[:, 0] - y.mean()

@@ -1,54 +1,87 @@
 """Purged, embargoed walk-forward evaluation.
 
 Ridge regressions are solved from Gram matrices: each date's sums of products are aggregated once
-in Spark, and every fold and penalty is a sum of dates and a small driver-side solve.
+in Spark, every fold is a sum of dates, and all folds, penalties and targets are solved in one
+Arrow step.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Sequence
+from collections.abc import Iterable, Iterator, Sequence
 from concurrent.futures import ThreadPoolExecutor
 from functools import reduce
 
 import numpy as np
+import pandas as pd
+import pyarrow as pa
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.regression import GBTRegressionModel, GBTRegressor
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import scratch
+from ..sources import io
 from . import calendar as cal
 from .evalstats import ic_summary, information_coefficients
 
 
-def folds(dates: DataFrame, calendar: DataFrame, horizon: int, embargo: int, min_train_months: int = 36, n_folds: int = 6, rolling_months: int | None = None) -> DataFrame:
+def folds(dates: DataFrame, calendar: DataFrame, horizon: int, embargo: int, min_train_months: int = 36, n_folds: int = 6, rolling_months: int | None = None, within: Sequence[str] = ()) -> DataFrame:
     """fold (from 1), date, role: test blocks of the dates after the training floor, and their training dates.
 
-    A training date's label must end by the test block's start less the embargo.
+    A training date's label must end by the test block's start less the embargo.  ``within``: columns
+    of ``dates`` each of whose values has folds of its own.
     """
-    every = dates.select("date").distinct()
-    floor = every.agg(F.add_months(F.min("date"), min_train_months).alias("floor"))
-    pool = every.join(F.broadcast(floor), F.col("date") >= F.col("floor")).select("date")
-    tests = pool.select(F.ntile(n_folds).over(Window.orderBy("date")).alias("fold"), "date")
-    starts = cal.offset(tests.groupBy("fold").agg(F.min("date").alias("start")), calendar, -embargo, on="start", to="cutoff")
+    by = list(within)
+    every = dates.select(*by, "date").distinct()
+    both = lambda a, b: a.join(F.broadcast(b), by) if by else a.join(F.broadcast(b))  # noqa: E731  (a row for each value of ``within``)
+    floor = every.groupBy(*by).agg(F.add_months(F.min("date"), min_train_months).alias("floor"))
+    pool = both(every, floor).where(F.col("date") >= F.col("floor")).select(*by, "date")
+    tests = pool.select(*by, F.ntile(n_folds).over(Window.partitionBy(*by).orderBy("date")).alias("fold"), "date")
+    starts = cal.offset(tests.groupBy(*by, "fold").agg(F.min("date").alias("start")), calendar, -embargo, on="start", to="cutoff")
     ends = cal.offset(every, calendar, horizon, to="label_end")
-    train = ends.join(F.broadcast(starts), (F.col("date") < F.col("start")) & (F.col("label_end") <= F.col("cutoff")))
+    train = both(ends, starts).where((F.col("date") < F.col("start")) & (F.col("label_end") <= F.col("cutoff")))
     if rolling_months is not None:
         train = train.where(F.col("date") >= F.add_months("start", -rolling_months))
-    train = train.select("fold", "date")
-    held = tests.join(train.select("fold").distinct(), "fold", "left_semi")
+    train = train.select(*by, "fold", "date")
+    held = tests.join(train.select(*by, "fold").distinct(), [*by, "fold"], "left_semi")
     return train.withColumn("role", F.lit("train")).unionByName(held.withColumn("role", F.lit("test")))
 
 
+def stored(rows: DataFrame) -> DataFrame:
+    """``rows`` written to the shared folder and read from there: tables of fits and choices are read several times."""
+    root = scratch(rows.sparkSession)
+    io.put(rows, root, "results", "stored")
+    return io.get(rows.sparkSession, root, "results", "stored")
+
+
 def imputed(rows: DataFrame, features: Sequence[str]) -> DataFrame:
     return rows.fillna(0.0, subset=list(features))
 
 
-def grams(rows: DataFrame, features: Sequence[str], target: str) -> DataFrame:
-    """Per date, the sums of products of (1, features, target), as one row of ``size * (size + 1) / 2`` numbers."""
-    cols = [F.lit(1.0), *(F.coalesce(F.col(f).cast("double"), F.lit(0.0)) for f in features), F.col(target).cast("double")]
-    known = rows.where(F.col(target).isNotNull())
-    pairs = [(i, j) for i in range(len(cols)) for j in range(i + 1)]
-    return known.groupBy("date").agg(F.array(*(F.sum(cols[i] * cols[j]) for i, j in pairs)).alias("gram"))
+def grams(rows: DataFrame, features: Sequence[str], targets: Sequence[str]) -> DataFrame:
+    """date, target, gram: sums of products of (1, features, target) over rows whose target is known, as a lower triangle.
+
+    A date has a row for each batch that holds some of it; they add up.
+    """
+    size, low = len(features) + 2, np.tril_indices(len(features) + 2)
+
+    def multiply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            days, x = batch.column(0), np.asarray(batch.column(1).flatten(), float).reshape(batch.num_rows, len(features))
+            coded = days.dictionary_encode()
+            codes, out = np.asarray(coded.indices), ([], [], [])
+            for k, t in enumerate(targets):
+                y = np.asarray(batch.column(2 + k).cast(pa.float64()), float)
+                for c in np.unique(codes[~np.isnan(y)]):
+                    own = (codes == c) & ~np.isnan(y)
+                    m = np.empty((int(own.sum()), size))
+                    m[:, 0], m[:, 1:-1], m[:, -1] = 1, x[own], y[own]
+                    for column, value in zip(out, (coded.dictionary[int(c)], t, (m.T @ m)[low]), strict=True):
+                        column.append(value)
+            yield pa.RecordBatch.from_arrays([pa.array(out[0], days.type), pa.array(out[1], pa.string()), pa.array(out[2], pa.list_(pa.float64()))], ["date", "target", "gram"])
+
+    x = F.array(*(F.coalesce(F.col(f).cast("double"), F.lit(0.0)) for f in features))
+    return rows.where("date IS NOT NULL").select("date", x.alias("x"), *(F.col(t).cast("double").alias(t) for t in targets)).mapInArrow(multiply, "date date, target string, gram array<double>")
 
 
 class Ridge:
@@ -70,89 +103,117 @@ class Ridge:
         return sum(terms, F.lit(self.intercept))
 
 
-def _by_date(rows: DataFrame, features: Sequence[str], target: str) -> dict:
-    """The Gram rows by date; one short row for each rebalance date."""
-    return {r["date"]: np.array(r["gram"]) for r in grams(rows, features, target).collect()}
+def _solved(n_features: int):
+    """Batches of (a triangle of sums, penalty) as weights, the intercept first; null where a system has no solution."""
 
+    @F.pandas_udf("array<double>")
+    def solve(gram: pd.Series, alpha: pd.Series) -> pd.Series:
+        def one(sums, penalty):
+            try:
+                model = Ridge(np.asarray(sums, float), n_features, float(penalty))
+            except np.linalg.LinAlgError:
+                return None
+            return [model.intercept, *model.weights.tolist()]
 
-def _members(plan: Iterable, fold: int, role: str) -> list:
-    return sorted(r["date"] for r in plan if r["fold"] == fold and r["role"] == role)
+        return pd.Series([one(g, a) for g, a in zip(gram, alpha, strict=True)], dtype=object)
 
+    return solve
 
-def _predict(panel: DataFrame, models: dict[int, Ridge], plan: DataFrame, features: Sequence[str], target: str) -> DataFrame:
-    test = panel.join(F.broadcast(plan.where("role = 'test'").select("date", "fold")), "date")
-    pred = F.lit(None).cast("double")
-    for fold, model in models.items():
-        pred = F.when(F.col("fold") == fold, model.predict(features)).otherwise(pred)
-    return test.select("fold", "date", "ticker", F.col(target), pred.alias("pred"))
 
+def fit_ridges(panel: DataFrame, features: Sequence[str], targets: Sequence[str], cells: DataFrame, alphas: Sequence[float]) -> DataFrame:
+    """The keys of ``cells``, target, alpha and ``weights`` (intercept first) of one ridge for each cell, target and penalty.
 
-def evaluate_ridge(panel: DataFrame, features: Sequence[str], target: str, plan: DataFrame, alpha: float) -> DataFrame:
-    """fold, date, ticker, target, pred: out-of-sample predictions of one ridge for each fold."""
-    rows, by_date = plan.collect(), _by_date(panel, features, target)
-    models = {}
-    for fold in sorted({r["fold"] for r in rows}):
-        own = [by_date[d] for d in _members(rows, fold, "train") if d in by_date]
-        if own:
-            models[fold] = Ridge(sum(own), len(features), alpha)
-    return _predict(panel, models, plan, features, target)
+    ``cells`` has its keys and the training dates of each (a small table).  The sums of products of a
+    date are aggregated once, joined to all cells that train on it and added up in Spark; all
+    systems are then solved in one Arrow step, a row each.
+    """
+    keys = [c for c in cells.columns if c != "date"]
+    each = grams(panel, features, targets).select("date", "target", F.posexplode("gram").alias("at", "part"))
+    by_date = each.groupBy("date", "target", "at").agg(F.sum("part").alias("part"))
+    sums = by_date.join(F.broadcast(cells.distinct()), "date").groupBy(*keys, "target", "at").agg(F.sum("part").alias("part"))
+    whole = sums.groupBy(*keys, "target").agg(F.transform(F.sort_array(F.collect_list(F.struct("at", "part"))), lambda x: x["part"]).alias("gram"))
+    asked = whole.select("*", F.explode(F.array(*(F.lit(float(a)) for a in alphas))).alias("alpha"))
+    return asked.select(*keys, "target", "alpha", _solved(len(features))(F.col("gram"), F.col("alpha")).alias("weights")).where("weights IS NOT NULL")
+
+
+def predict_ridges(panel: DataFrame, features: Sequence[str], targets: Sequence[str], tests: DataFrame, weights: DataFrame) -> DataFrame:
+    """The keys of ``tests`` (keys, date), target, alpha, date, ticker, ``actual`` and ``pred`` of the test dates of each cell.
+
+    Test dates and weights are small tables (a row a cell and date, a row a cell, target and penalty).
+    """
+    keys = [c for c in tests.columns if c != "date"]
+    x = [F.coalesce(F.col(f).cast("double"), F.lit(0.0)) for f in features]
+    own = panel.select("date", "ticker", F.struct(*(F.col(t).cast("double").alias(t) for t in targets)).alias("__y"), F.array(*x).alias("__x")).join(F.broadcast(tests), "date")
+    pred = F.aggregate(F.arrays_zip(F.col("__x"), F.slice("weights", 2, len(features)).alias("w")), F.get("weights", F.lit(0)), lambda a, e: a + e["__x"] * e["w"])
+    actual = F.coalesce(*(F.when(F.col("target") == t, F.col("__y")[t]) for t in targets))
+    return own.join(F.broadcast(weights), keys).select(*keys, "target", "alpha", "date", "ticker", actual.alias("actual"), pred.alias("pred"))
 
 
 def ridge_grid(panel: DataFrame, features: Sequence[str], target: str, plan: DataFrame, alphas: Sequence[float]) -> DataFrame:
     """fold, date, ticker, target, pred, alpha: out-of-sample predictions of one ridge for each fold and penalty."""
-    rows, by_date = plan.collect(), _by_date(panel, features, target)
-    sums = {fold: sum(by_date[d] for d in _members(rows, fold, "train") if d in by_date) for fold in {r["fold"] for r in rows}}
-    each = [
-        _predict(panel, {fold: Ridge(own, len(features), a) for fold, own in sums.items() if np.ndim(own)}, plan, features, target).withColumn("alpha", F.lit(float(a)))
-        for a in alphas
-    ]
-    return reduce(DataFrame.unionByName, each)
+    weights = fit_ridges(panel, features, [target], plan.where("role = 'train'").select("fold", "date"), alphas)
+    found = predict_ridges(panel, features, [target], plan.where("role = 'test'").select("fold", "date"), weights)
+    return found.select("fold", "date", "ticker", F.col("actual").alias(target), "pred", "alpha")
 
 
-def nested_ridge(panel: DataFrame, features: Sequence[str], target: str, plan: DataFrame, calendar: DataFrame, alphas: Sequence[float], horizon: int, embargo: int, inner_folds: int = 3, inner_months: int = 24) -> tuple[DataFrame, DataFrame]:
-    """Predictions and the chosen (fold, alpha, inner_ic): alpha is picked in inner folds of each outer training set.
+def evaluate_ridge(panel: DataFrame, features: Sequence[str], target: str, plan: DataFrame, alpha: float) -> DataFrame:
+    """fold, date, ticker, target, pred: out-of-sample predictions of one ridge for each fold."""
+    return ridge_grid(panel, features, target, plan, [alpha]).drop("alpha")
 
-    All inner models are driver-side solves; their predictions are scored together in one pass.  Of
-    equal penalties the first given wins, and it is taken where no inner fold or no coefficient is.
+
+def inner_plan(plan: DataFrame, calendar: DataFrame, horizon: int, embargo: int, inner_folds: int = 3, inner_months: int = 24) -> DataFrame:
+    """outer, inner, date, role: folds within the training dates of each fold of ``plan``; none where they are too few."""
+    train = plan.where("role = 'train'").select(F.col("fold").alias("outer"), "date")
+    enough = train.groupBy("outer").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > inner_folds).select("outer")
+    inner = folds(train.join(enough, "outer", "left_semi"), calendar, horizon, embargo, inner_months, inner_folds, within=["outer"])
+    return inner.withColumnRenamed("fold", "inner")
+
+
+def chosen_settings(scored: DataFrame, outers: DataFrame, settings: Sequence[str], order: DataFrame) -> DataFrame:
+    """target, fold, the ``settings`` of highest mean inner coefficient, ``inner_ic``.
+
+    ``scored`` has per-date coefficients (target, outer, settings, ic), ``outers`` the (target, outer)
+    to choose for, ``order`` the candidates with their ``place``.  Of equal ones (up to the twelfth
+    digit: sums in another order differ by less) the first candidate wins; it is taken where no
+    coefficient is.
+    """
+    means = scored.groupBy("target", "outer", *settings).agg(F.avg("ic").alias("inner_ic"))
+    each = outers.crossJoin(F.broadcast(order)).join(means, ["target", "outer", *settings], "left")  # rows: folds times candidates
+    w = Window.partitionBy("target", "outer").orderBy(F.round("inner_ic", 12).desc_nulls_last(), "place")
+    best = each.withColumn("__n", F.row_number().over(w)).where("__n = 1")
+    return best.select("target", F.col("outer").alias("fold"), *settings, "inner_ic")
+
+
+def nested_ridges(panel: DataFrame, features: Sequence[str], targets: Sequence[str], plan: DataFrame, calendar: DataFrame, alphas: Sequence[float], horizon: int, embargo: int, inner_folds: int = 3, inner_months: int = 24) -> tuple[DataFrame, DataFrame]:
+    """Predictions (target, fold, date, ticker, actual, pred) and the chosen (target, fold, alpha, inner_ic).
+
+    The penalty of a fold is picked in inner folds of its training set.  Outer and inner cells of
+    all targets and penalties are one table of fits, solved together, and inner predictions are
+    scored in one pass.
     """
-    rows, by_date = plan.collect(), _by_date(panel, features, target)
-    spark, cells, inner_plans = panel.sparkSession, {}, []
-    for fold in sorted({r["fold"] for r in rows}):
-        train = _members(rows, fold, "train")
-        own = spark.createDataFrame([(d,) for d in train], "date date")
-        inner = folds(own, calendar, horizon, embargo, inner_months, inner_folds).collect() if len(train) > inner_folds else []
-        for k in sorted({r["fold"] for r in inner}):
-            grams_in = [by_date[d] for d in _members(inner, k, "train") if d in by_date]
-            if grams_in:
-                inner_plans += [(fold, k, d) for d in _members(inner, k, "test")]
-                cells |= {(fold, k, a): Ridge(sum(grams_in), len(features), a) for a in alphas}
-    tests = spark.createDataFrame(inner_plans, "outer int, inner int, date date")
-    scored = panel.join(F.broadcast(tests), "date")
-    for a in alphas:
-        pred = F.lit(None).cast("double")
-        for (fold, k, own_alpha), model in cells.items():
-            if own_alpha == a:
-                pred = F.when((F.col("outer") == fold) & (F.col("inner") == k), model.predict(features)).otherwise(pred)
-        scored = scored.withColumn(f"__p{a}", pred)
-    each = F.explode(F.array(*(F.struct(F.lit(float(a)).alias("alpha"), F.col(f"`__p{a}`").alias("pred")) for a in alphas)))
-    long = scored.select("outer", "inner", "date", target, each.alias("e")).select("outer", "inner", "date", target, "e.*")
-    ics = information_coefficients(long, "pred", target, ("outer", "inner", "date", "alpha"))
-    by_alpha = {(r["outer"], r["alpha"]): r["inner_ic"] for r in ics.groupBy("outer", "alpha").agg(F.avg("ic").alias("inner_ic")).collect()}
-    picked = []
-    for fold in sorted({r["fold"] for r in rows if r["role"] == "train"}):
-        best, score = float(alphas[0]), None
-        for a in map(float, alphas):
-            ic = by_alpha.get((fold, a))
-            if ic is not None and (score is None or ic > score + 1e-12):  # sums in another order differ by less
-                best, score = a, ic
-        picked.append((fold, best, score))
-    chosen = spark.createDataFrame(picked, "fold int, alpha double, inner_ic double")  # one row a fold
-    models = {}
-    for fold, alpha, _ in picked:
-        own = [by_date[d] for d in _members(rows, fold, "train") if d in by_date]
-        if own:
-            models[fold] = Ridge(sum(own), len(features), alpha)
-    return _predict(panel, models, plan, features, target), chosen
+    inner = inner_plan(plan, calendar, horizon, embargo, inner_folds, inner_months)
+    outer = plan.select(F.col("fold").alias("outer"), F.lit(0).alias("inner"), "date", "role")  # an outer fold is inner cell 0
+    cells = inner.select("outer", "inner", "date", "role").unionByName(outer)
+    of = lambda role: cells.where(F.col("role") == role).select("outer", "inner", "date")
+    weights = stored(fit_ridges(panel, features, targets, of("train"), alphas))
+    tried = predict_ridges(panel, features, targets, of("test").where("inner > 0"), weights.where("inner > 0"))
+    scored = information_coefficients(tried, "pred", "actual", ("target", "outer", "inner", "alpha", "date"))
+    order = panel.sparkSession.createDataFrame([(float(a), k) for k, a in enumerate(alphas)], "alpha double, place int")
+    outers = weights.where("inner = 0").select("target", "outer").distinct()
+    chosen = stored(chosen_settings(scored, outers, ["alpha"], order))
+    final = weights.where("inner = 0").join(F.broadcast(chosen.select("target", F.col("fold").alias("outer"), "alpha")), ["target", "outer", "alpha"])
+    found = predict_ridges(panel, features, targets, of("test").where("inner = 0"), final)
+    return found.select("target", F.col("outer").alias("fold"), "date", "ticker", "actual", "pred"), chosen
+
+
+def nested_ridge(panel: DataFrame, features: Sequence[str], target: str, plan: DataFrame, calendar: DataFrame, alphas: Sequence[float], horizon: int, embargo: int, inner_folds: int = 3, inner_months: int = 24) -> tuple[DataFrame, DataFrame]:
+    """:func:`nested_ridges` of one target: (fold, date, ticker, target, pred) and (fold, alpha, inner_ic)."""
+    found, chosen = nested_ridges(panel, features, [target], plan, calendar, alphas, horizon, embargo, inner_folds, inner_months)
+    return found.select("fold", "date", "ticker", F.col("actual").alias(target), "pred"), chosen.drop("target")
+
+
+def _members(plan: Iterable, fold: int, role: str) -> list:
+    return sorted(r["date"] for r in plan if r["fold"] == fold and r["role"] == role)
 
 
 def _assembled(panel: DataFrame, features: Sequence[str], target: str) -> DataFrame:

@@ -240,17 +240,18 @@ CTES = {
 
 def sql(body: str, extra: dict[str, str] | None = None) -> str:
     """``body`` with every named table it needs, directly or through others, as WITH clauses."""
-    known, order = {**CTES, **(extra or {})}, []
+    known, order, open_ = {**CTES, **(extra or {})}, [], set()
 
     def need(text: str) -> None:
         for name in known:
-            if name not in order and re.search(rf"\b(?:FROM|JOIN|,)\s+\(?\s*{name}\b", text):
+            if name not in order and name not in open_ and re.search(rf"\b(?:FROM|JOIN|,)\s+\(?\s*{name}\b", text):
+                open_.add(name)  # a recursive one names itself
                 need(known[name])
                 if name not in order:
                     order.append(name)
 
     need(body)
-    return ("WITH " + ",\n".join(f"{n} AS ({known[n]})" for n in order) + "\n" if order else "") + body
+    return ("WITH RECURSIVE " + ",\n".join(f"{n} AS ({known[n]})" for n in order) + "\n" if order else "") + body
 
 
 def query(key: str, oracle: str | None = None, extra: dict[str, str] | None = None):

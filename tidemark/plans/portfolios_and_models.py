@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -357,14 +359,6 @@ def m5_folds(d: Data):
     return evalstats.fold_summary(ics, "alpha")
 
 
-@query("M6")
-def m6(d: Data):
-    """Nested tuning; the choice of a penalty is a chain of fits that SQL can't state in one query."""
-    rows = modelling(d)
-    _, chosen = walkforward.nested_ridge(rows, MODEL_FEATURES, "excess_median", plan(d, rows), d.calendar, (1.0, 10.0, 100.0, 1000.0), HORIZON, EMBARGO, inner_folds=2, inner_months=6)
-    return chosen
-
-
 HOLDOUT = RIDGE | {
     "fit_h": "SELECT (sxy - sx * sy / n) / (sxx - sx * sx / n + 10) AS w, sy / n - (sxy - sx * sy / n) / (sxx - sx * sx / n + 10) * sx / n AS b FROM (SELECT count(*) AS n, sum(x) AS sx, sum(y) AS sy, sum(x * x) AS sxx, sum(x * y) AS sxy FROM rows_m WHERE date <= DATE '1999-06-30')",
     "pred_h": "SELECT date, ticker, y, b + w * x AS pred FROM rows_m, fit_h WHERE date >= DATE '2000-01-01'",
@@ -435,3 +429,84 @@ def matrix_rows(d: Data) -> DataFrame:
     named = F.coalesce(F.nullif("sector", F.lit("")), F.lit(crosssec.NO_SECTOR))
     known = scored.join(calendar.small(d.date_context), "date", "left").join(calendar.small(codes), named == F.col("__name"), "left")
     return known.select("date", "ticker", "sector_id", *CONTEXT_NAMES, *Z_NAMES)
+
+
+# --- models on the whole matrix ----------------------------------------------------------------
+
+TARGETS = ("excess_median", "excess_sector")
+INNER_FOLDS, INNER_MONTHS = 2, 6
+
+
+def model_matrix(d: Data) -> DataFrame:
+    """The matrix with both targets, stored once a session: folds and models read it again and again."""
+    build = lambda: matrix_rows(d).join(d.panel.select("date", "ticker", "fwd_ret_raw", *TARGETS), ["date", "ticker"])
+    return d._table("matrix", build)
+
+
+NESTED = {
+    "otrain": "SELECT fold AS o, date FROM folds WHERE role = 'train' AND fold IN (SELECT fold FROM folds WHERE role = 'train' GROUP BY fold HAVING count(*) > " + f"{INNER_FOLDS})",
+    "ipool": f"SELECT o, ntile({INNER_FOLDS}) OVER (PARTITION BY o ORDER BY date) AS k, date FROM otrain JOIN (SELECT o, (min(date) + INTERVAL {INNER_MONTHS} MONTH)::DATE AS low FROM otrain GROUP BY o) USING (o) WHERE date >= low",
+    "istarts": f"SELECT f.*, b.session AS cutoff FROM (SELECT o, k, min(date) AS start FROM ipool GROUP BY o, k) f JOIN sess a ON a.session = f.start LEFT JOIN sess b ON b.idx = a.idx - {EMBARGO}",
+    "itrain": f"SELECT s.o, s.k, e.date FROM otrain e JOIN sess a ON a.session = e.date JOIN sess b ON b.idx = a.idx + {HORIZON} JOIN istarts s ON s.o = e.o AND e.date < s.start AND b.session <= s.cutoff",
+    "cells": """SELECT o, k, date, 'train' AS role FROM itrain UNION ALL SELECT o, k, date, 'test' FROM ipool WHERE (o, k) IN (SELECT (o, k) FROM itrain)
+  UNION ALL SELECT fold, 0, date, role FROM folds""",
+}
+
+
+def long_ridge_sql(cells: str, alphas: tuple[float, ...]) -> dict[str, str]:
+    """CTEs up to ``lpreds`` (target, o, k, alpha, date, ticker, y, pred): ridges of any number of features, in long form.
+
+    One recursive step eliminates one feature from the centred systems of all cells, targets and penalties.
+    """
+    size = len(Z_NAMES)
+    xs = ", ".join(f"coalesce({z}, 0)" for z in Z_NAMES)
+    cell = "target, o, k, alpha"
+    return {
+        "lrows": " UNION ALL ".join(f"SELECT '{t}' AS target, p.date, p.ticker, p.{t} AS y, [{xs}] AS xs FROM panel p " + " ".join(f"LEFT JOIN z_{x} USING (date, ticker)" for x in Z_FAMILIES) for t in TARGETS),
+        "lvec": "SELECT target, date, list_concat([1.0], xs, [y]) AS v FROM lrows WHERE y IS NOT NULL",
+        "lgram": f"SELECT target, date, i, j, sum(v[i + 1] * v[j + 1]) AS s FROM lvec, range({size + 2}) a(i), range({size + 2}) b(j) WHERE i <= j GROUP BY ALL",
+        "lsums": f"SELECT target, o, k, i, j, sum(s) AS s FROM lgram JOIN {cells} USING (date) WHERE role = 'train' GROUP BY ALL",
+        "lfirst": "SELECT target, o, k, j, s, max(CASE WHEN j = 0 THEN s END) OVER (PARTITION BY target, o, k) AS n FROM lsums WHERE i = 0",
+        "lpairs": "SELECT * FROM lsums UNION ALL SELECT target, o, k, j, i, s FROM lsums WHERE i <> j",
+        "lsystem": f"SELECT p.target, p.o, p.k, alpha, p.i, p.j, p.s - a.s * b.s / a.n + CASE WHEN p.i = p.j THEN alpha ELSE 0 END AS v FROM lpairs p JOIN lfirst a ON (a.target, a.o, a.k, a.j) = (p.target, p.o, p.k, p.i) "
+        f"JOIN lfirst b ON (b.target, b.o, b.k, b.j) = (p.target, p.o, p.k, p.j), (SELECT unnest({list(alphas)})::DOUBLE AS alpha) WHERE p.i BETWEEN 1 AND {size} AND p.j > 0",
+        "lelim": f"""SELECT {cell}, 0 AS step, i, j, v FROM lsystem UNION ALL
+  SELECT {cell}, step + 1, i, j, CASE WHEN i = step + 1 THEN v / corner ELSE v - side / corner * head END FROM (
+    SELECT *, max(CASE WHEN i = step + 1 AND j = step + 1 THEN v END) OVER (PARTITION BY {cell}) AS corner, max(CASE WHEN j = step + 1 THEN v END) OVER (PARTITION BY {cell}, i) AS side,
+           max(CASE WHEN i = step + 1 THEN v END) OVER (PARTITION BY {cell}, j) AS head FROM lelim WHERE step < {size}) WHERE j > step + 1""",
+        "lweights": f"SELECT {cell}, i, v AS w FROM lelim WHERE step = {size}",
+        "lbase": f"SELECT w.target, w.o, w.k, w.alpha, any_value(y.s) / any_value(y.n) - sum(w.w * f.s / f.n) AS b, list(w.w ORDER BY w.i) AS ws FROM lweights w JOIN lfirst f ON (f.target, f.o, f.k, f.j) = (w.target, w.o, w.k, w.i) "
+        f"JOIN lfirst y ON (y.target, y.o, y.k, y.j) = (w.target, w.o, w.k, {size + 1}) GROUP BY w.target, w.o, w.k, w.alpha",
+        "lpreds": f"SELECT {cell}, date, ticker, y, b + list_inner_product(xs, ws) AS pred FROM lrows JOIN (SELECT * FROM {cells} WHERE role = 'test') USING (date) JOIN lbase USING (target, o, k)",
+    }
+
+
+M6_SQL = MATRIX_SQL | FOLDS | NESTED | long_ridge_sql("cells", ALPHAS) | {
+    "tried": "SELECT * FROM lpreds WHERE k > 0",
+} | ic_sql("tried", "target, o, k, alpha, date", "pred", "y") | {
+    "inner_ics": "SELECT target, o, alpha, avg(ic) AS inner_ic FROM gics GROUP BY ALL",
+    "chosen": "SELECT DISTINCT ON (target, o) target, o, alpha, inner_ic FROM (SELECT DISTINCT target, o, alpha FROM lbase WHERE k = 0) LEFT JOIN inner_ics USING (target, o, alpha) ORDER BY target, o, round(inner_ic, 12) DESC NULLS LAST, alpha",
+    "nested": "SELECT target, o AS fold, date, ticker, y, pred FROM lpreds JOIN chosen USING (target, o, alpha) WHERE k = 0",
+}
+
+
+def nested(d: Data) -> tuple[DataFrame, DataFrame]:
+    rows = model_matrix(d)
+    return walkforward.nested_ridges(rows, Z_NAMES, TARGETS, plan(d, rows), d.calendar, ALPHAS, HORIZON, EMBARGO, INNER_FOLDS, INNER_MONTHS)
+
+
+@query("M6", "SELECT target, o::INTEGER AS fold, alpha, r(inner_ic) AS inner_ic FROM chosen", M6_SQL)
+def m6(d: Data):
+    """Nested tuning of ridges on all 50 z columns, for both targets."""
+    return nested(d)[1]
+
+
+def renamed(sqls: dict[str, str], *names: str) -> dict[str, str]:
+    """CTEs with ``_b`` behind some names, so that two of a kind can stand in one query."""
+    return {f"{k}_b" if k in names else k: re.sub(rf"\b({'|'.join(names)})\b", r"\1_b", v) for k, v in sqls.items()}
+
+
+@query("M6_folds", f"SELECT target, fold::INTEGER AS fold, {SUMMARY} FROM gics_b GROUP BY target, fold UNION ALL SELECT target, 0::INTEGER, {SUMMARY} FROM gics_b GROUP BY target", M6_SQL | renamed(ic_sql("nested", "target, fold, date", "pred", "y"), "rk", "gics"))
+def m6_folds(d: Data):
+    """What the nested ridges are worth out of sample, by target and fold."""
+    return walkforward.fold_report(nested(d)[0].withColumnRenamed("actual", "y"), "y", "target")
