@@ -339,3 +339,19 @@ def assert_sql(rows, found):
     con.execute("CREATE TABLE conversations (conv_id BIGINT, turn BIGINT, role VARCHAR, text VARCHAR)")
     con.executemany("INSERT INTO conversations VALUES (?, ?, ?, ?)", rows)
     assert sorted(con.execute(queries.OP4_SQL).fetchall(), key=str) == sorted(found, key=str)
+
+
+def test_rows_without_id_meet_in_many_tasks(spark):
+    """A third of all rows has neither id nor text: what answers them comes from many tasks."""
+    rows = [(None, None)] * 1_000 + [(k, f"text number {k} of its own with words {k * k} and {k % 7}") for k in range(2_000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(8)
+    was = spark.conf.get("spark.sql.shuffle.partitions"), spark.conf.get("spark.sql.adaptive.enabled")
+    spark.conf.set("spark.sql.shuffle.partitions", "16")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        found = simhash.near_duplicates(docs)
+        sizes = [r["count"] for r in found.where("doc_id IS NULL").groupBy(F.spark_partition_id()).count().collect()]
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", was[0])
+        spark.conf.set("spark.sql.adaptive.enabled", was[1])
+    assert sum(sizes) == 1_000 and len(sizes) > 8 and max(sizes) < 250

@@ -9,6 +9,7 @@ from collections import Counter
 import duckdb
 import public_tokenizers
 import pytest
+from pyspark.sql import functions as F
 
 from tidemark.llm import decontaminate, licenses, quality_rules, queries, token_counts
 from tidemark.session import ship
@@ -211,3 +212,37 @@ def test_shards_hold_a_bounded_number_of_rows(spark):
     docs = spark.createDataFrame([(1, "here is one shared window"), (1, "here is one shared window"), (2, "nothing")], "doc_id long, text string")
     found = decontaminate.contamination(docs, spark.createDataFrame(items, "item_id long, text string"), shard_windows=9).collect()
     assert sorted((r["doc_id"], r["hits"]["n_items"]) for r in found) == [(1, 40), (1, 40), (2, 0)]
+
+
+def _docs(spark, texts):
+    return spark.createDataFrame([(k, t, "x", 1) for k, t in enumerate(texts)], "doc_id long, text string, digest string, line_no int").repartition(4)
+
+
+def test_known_licences_are_found_however_they_are_wrapped(spark):
+    import textwrap
+
+    given = [(name, text) for name, text in licenses.KNOWN if 300 < len(text) < 2_500] + [(n, t) for n, t in licenses._standard() if len(t) > 10_000][:3]
+    rows = []
+    for at, (name, text) in enumerate(given):
+        widths = range(40, 121) if at < 6 else (44, 61, 72, 97, 120)
+        for width in widths if len(text) < 2_500 else (50, 76):
+            wrapped = "\n\n".join("\n".join(textwrap.wrap(p, width, break_long_words=False)) for p in text.split("\n\n"))
+            rows += [(name, wrapped), (name, "\n".join(f" * {line}" for line in wrapped.split("\n")))]
+    found = licenses.licenses(_docs(spark, [t for _, t in rows])).where("scope = 'text'").groupBy("doc_id").agg(F.collect_set("license_id").alias("ids")).collect()
+    by_row = {r["doc_id"]: r["ids"] for r in found}
+    assert [k for k, (name, _) in enumerate(rows) if name not in by_row.get(k, ())] == []
+
+
+def test_terms_behind_a_copyright_statement_on_its_line(spark):
+    mit = next(text for name, text in licenses.LISTED if name == "MIT" and len(text) > 500)
+    body = mit[mit.index("Permission") :].replace("\n", " ")
+    heads = ("Copyright (c) 2020 Jane Doe. ", "Copyright 2019 Foo Inc. All rights reserved. ", "© 2001 A. Owner & Co. ", "(c) 2011-2013 The X Authors.  ")
+    found = licenses.licenses(_docs(spark, [h + body for h in heads] + ["Copyright 2019 Foo Inc. and others\n" + body, "Copyright (c) 2020 Jane Doe permission " + body])).where("scope = 'text'").collect()
+    assert sorted((r["doc_id"], r["license_id"]) for r in found) == [(k, "MIT") for k in range(5)]
+
+
+def test_licence_scan_of_empty_and_repeated_rows(spark):
+    mit = next(text for name, text in licenses.LISTED if name == "MIT" and len(text) > 500)
+    assert licenses.licenses(_docs(spark, ["x"]).limit(0)).count() == 0
+    twice = licenses.licenses(spark.createDataFrame([(1, mit, "e"), (1, mit, "e"), (2, None, "e")], "doc_id long, text string, e string")).where("scope = 'text'").collect()
+    assert [(r["doc_id"], r["line_no"], r["license_id"]) for r in twice] == [(1, 0, "MIT")] * 2

@@ -14,7 +14,8 @@ SALTS = 64
 def looked_up(rows: DataFrame, on: str, by: str, table: DataFrame, how: str = "inner", salts: int = SALTS) -> DataFrame:
     """``rows`` joined on ``on`` with ``table``, which has one row for each value of it (``how="left"``: or none).
 
-    Each value is asked for once by every one of ``salts`` groups of rows (dealt by ``by``), so the
+    Each value is asked for once by every one of ``salts`` groups of rows (dealt by ``by``, which should
+    differ from row to row, and not be null), so the
     rows of a value that most of them share meet in as many tasks, never in one.
     """
     salted = rows.withColumn("__salt", F.pmod(F.xxhash64(by), F.lit(salts)))

@@ -1,7 +1,7 @@
 """Licence scans by canonical digests, in DataFrame expressions only.
 
-A text is made canonical (case, copyright lines, equivalent spellings, punctuation and white
-space), digested, and hash-joined to the digests of known licence texts and notices, which go
+A text is made canonical (case, copyright statements, punctuation and white space, equivalent
+spellings), digested, and hash-joined to the digests of known licence texts and notices, which go
 through the same expression.  Looked up are whole documents and every line of them, each as an
 entire text.  The known table is a fixed list of some two hundred rows, so its digests are broadcast and
 no document is shuffled.
@@ -19,16 +19,15 @@ from pyspark.sql import functions as F
 
 from .common import let
 
-# Spellings that mean the same in a licence, in their order of application.
-SPELLINGS = (
-    ("licence", "license"), ("sub-license", "sublicense"), ("sub license", "sublicense"), ("non-infringement", "noninfringement"),
-    ("non-commercial", "noncommercial"), ("acknowledgement", "acknowledgment"), ("favour", "favor"), ("whilst", "while"),
-    ("per cent", "percent"), ("https://", "http://"), ("copyright holder", "copyright owner"), ("©", "(c)"),
+# Spellings that mean the same in a licence, of single words and of several.
+WORDS = (("licence", "license"), ("acknowledgement", "acknowledgment"), ("favour", "favor"), ("whilst", "while"), ("https", "http"))
+PHRASES = (
+    ("sub license", "sublicense"), ("non infringement", "noninfringement"), ("non commercial", "noncommercial"), ("per cent", "percent"),
+    ("copyright holder", "copyright owner"), ("all rights reserved", ""),
 )
-#: A line that states a copyright: it opens with the word or sign and has the sign or a year.
-COPYRIGHT_LINE = r"(?m)^[^\p{L}\p{N}(\n]*(?:copyright|\(c\))[^\n]*(?:\(c\)|[0-9]{4})[^\n]*$"
-RIGHTS_LINE = r"(?m)^[^\p{L}\p{N}\n]*all rights reserved[^\p{L}\p{N}\n]*$"
-NOT_WORD = r"[^\p{L}\p{N}]+"
+#: A line that states a copyright: it opens with the word or sign and has the sign or a year.  What stands
+#: behind a full stop in it and begins with a capital is no longer part of the statement.
+COPYRIGHT = r"""(?im)^[^\p{L}\p{N}(\n]*(?:copyright|\(c\))[^\n]*?(?:\(c\)|[0-9]{4})[^\n]*?(?:[\p{L}\p{N}>)]{2}\.[ \t]+((?-i:[\p{Lu}"]))|$)"""
 NOT_WORD_OR_BREAK = r"[^\p{L}\p{N}\n]+"
 
 _AS_IS = (
@@ -130,41 +129,57 @@ def _variants(name: str, text: str) -> Iterator[tuple[str, str]]:
 KNOWN = tuple(dict.fromkeys(v for name, text in (*LISTED, *_standard()) for v in _variants(name, text)))
 
 
-def _words(text: Column) -> Column:
-    """The words of every line in lower case and common spelling, without copyright lines."""
-    spelt = reduce(lambda t, pair: F.replace(t, F.lit(pair[0]), F.lit(pair[1])), SPELLINGS, F.lower(text))
-    plain = F.regexp_replace(F.regexp_replace(spelt, COPYRIGHT_LINE, ""), RIGHTS_LINE, "")
-    return F.regexp_replace(plain, NOT_WORD_OR_BREAK, " ")
+def _replaced(text: Column, pairs: tuple[tuple[str, str], ...]) -> Column:
+    return reduce(lambda t, pair: F.replace(t, F.lit(pair[0]), F.lit(pair[1])), pairs, text)
+
+
+def _words(text: Column, stated: bool = False) -> Column:
+    """The words of every line in lower case and common spelling, without copyright statements (``stated``: with them)."""
+    signed = F.replace(text, F.lit("©"), F.lit("(c)"))
+    kept = signed if stated else F.regexp_replace(signed, COPYRIGHT, "$1")
+    return _replaced(F.regexp_replace(F.lower(kept), NOT_WORD_OR_BREAK, " "), WORDS)
+
+
+def _spelt(words: Column) -> Column:
+    """Phrases in common spelling, which no line break may part any more."""
+    return F.regexp_replace(_replaced(words, PHRASES), " +", " ")
 
 
 def _joined(words: Column) -> Column:
-    return F.trim(F.regexp_replace(words, "[ \n]+", " "))
+    """All lines as one, then the phrases: however a text is wrapped, it reads alike."""
+    return F.trim(_spelt(F.regexp_replace(words, "[ \n]+", " ")))
 
 
-def canonical(text: Column) -> Column:
-    """The words of a text in lower case and common spelling, without copyright lines."""
-    return _joined(_words(text))
+def canonical(text: Column, stated: bool = False) -> Column:
+    """The words of a text in lower case and common spelling, without copyright statements (``stated``: with them)."""
+    return _joined(_words(text, stated))
 
 
 def licenses(docs: DataFrame, text: str = "text", key: str = "doc_id", known: tuple[tuple[str, str], ...] = KNOWN) -> DataFrame:
     """One row of ``key``, ``scope``, ``line_no`` and ``license_id`` for each entire text found.
 
     ``scope`` is ``text`` for a whole document (``line_no`` 0) or ``line`` for a line of one,
-    numbered from 1.  Null, empty and merely punctuated texts match nothing.  Repeated rows are
+    numbered from 1.  A whole document is looked up without the lines that state copyrights and with
+    them, since a statement that was wrapped can't be told from text.  Null, empty and merely punctuated texts match nothing.  Repeated rows are
     found once each; a licence listed in two spellings counts once, and a text that stands for
     several licences (the GPL alone or with later versions) gives a row for each.  Other columns are not read,
     and an empty table gives an empty table.
     """
     spark = docs.sparkSession
-    table = spark.createDataFrame(list(known), "license_id string, known string")
-    table = table.select("license_id", F.sha2(canonical(F.col("known")), 256).alias("digest")).distinct()
+    given = spark.createDataFrame(list(known), "license_id string, known string")
+    digests = lambda stated: F.sha2(canonical(F.col("known"), stated), 256)
+    table = given.select("license_id", F.explode(F.array(digests(False), digests(True))).alias("digest"))
+    table = table.groupBy("digest").agg(F.sort_array(F.collect_set("license_id")).alias("ids"))  # some hundred rows
 
     def entire(words: Column) -> Column:
         """The canonical whole text and lines: what is done to every character is done once."""
-        lines = F.transform(F.split(words, "\n"), lambda x, i: F.struct((i + 1).alias("line_no"), F.trim(x).alias("entire")))
-        return F.concat(F.array(F.struct(F.lit(0).alias("line_no"), _joined(words).alias("entire"))), lines)
+        lines = F.transform(F.split(_spelt(words), "\n"), lambda x, i: F.struct((i + 1).alias("line_no"), F.trim(x).alias("entire"), F.lit(None).cast("string").alias("stated")))
+        stated = _joined(_words(F.col(text), stated=True))
+        return F.concat(F.array(F.struct(F.lit(0).alias("line_no"), _joined(words).alias("entire"), stated.alias("stated"))), lines)
 
     each = docs.where(F.col(text).isNotNull()).select(F.col(key), F.explode(let(_words(F.col(text)), entire)).alias("e"))
-    each = each.select(key, F.col("e.line_no").cast("long").alias("line_no"), F.sha2("e.entire", 256).alias("digest"))
+    each = each.select(key, F.col("e.line_no").cast("long").alias("line_no"), F.sha2("e.entire", 256).alias("digest"), F.sha2("e.stated", 256).alias("whole"))
     scope = F.when(F.col("line_no") == 0, "text").otherwise("line")
-    return each.join(F.broadcast(table), "digest").select(key, scope.alias("scope"), "line_no", "license_id")
+    found = each.join(F.broadcast(table), "digest", "left").join(F.broadcast(table.select(F.col("digest").alias("whole"), F.col("ids").alias("more"))), "whole", "left")
+    none = F.array().cast("array<string>")
+    return found.select(key, scope.alias("scope"), "line_no", F.explode(F.array_union(F.coalesce("ids", none), F.coalesce("more", none))).alias("license_id"))

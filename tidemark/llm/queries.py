@@ -23,21 +23,31 @@ def _quoted(x: str) -> str:
     return "'" + x.replace("'", "''") + "'"
 
 
-def _canonical_sql(text: str) -> str:
-    spelt = f"lower({text})"
-    for a, b in licenses.SPELLINGS:
-        spelt = f"replace({spelt}, {_quoted(a)}, {_quoted(b)})"
-    for pattern, to in ((licenses.COPYRIGHT_LINE, ""), (licenses.RIGHTS_LINE, ""), (licenses.NOT_WORD, " ")):
-        spelt = f"regexp_replace({spelt}, {_quoted(pattern)}, {_quoted(to)}, 'g')"
-    return f"trim({spelt})"
+def _replaced_sql(text: str, pairs: tuple[tuple[str, str], ...]) -> str:
+    for a, b in pairs:
+        text = f"replace({text}, {_quoted(a)}, {_quoted(b)})"
+    return text
+
+
+def _words_sql(text: str, stated: bool = False) -> str:
+    signed = f"replace({text}, '©', '(c)')"
+    kept = signed if stated else f"regexp_replace({signed}, {_quoted(licenses.COPYRIGHT)}, '\\1', 'g')"
+    return _replaced_sql(f"regexp_replace(lower({kept}), {_quoted(licenses.NOT_WORD_OR_BREAK)}, ' ', 'g')", licenses.WORDS)
+
+
+def _canonical_sql(words: str) -> str:
+    spelt = _replaced_sql(f"regexp_replace({words}, '[ \\n]+', ' ', 'g')", licenses.PHRASES)
+    return f"trim(regexp_replace({spelt}, ' +', ' ', 'g'))"
 
 
 OP2_SQL = f"""
-WITH known AS (SELECT DISTINCT license_id, sha256({_canonical_sql("entire")}) AS digest
+WITH known AS (SELECT DISTINCT license_id, sha256(unnest([{_canonical_sql(_words_sql("entire"))}, {_canonical_sql(_words_sql("entire", True))}])) AS digest
                FROM (VALUES {", ".join(f"({_quoted(a)}, {_quoted(b)})" for a, b in licenses.KNOWN)}) AS v(license_id, entire)),
-lines AS (SELECT doc_id, 'line' AS scope, unnest(range(1, len(string_split(text, chr(10))) + 1)) AS line_no, unnest(string_split(text, chr(10))) AS entire FROM documents),
-entire AS (SELECT doc_id, 'text' AS scope, 0::BIGINT AS line_no, text AS entire FROM documents WHERE text IS NOT NULL UNION ALL SELECT * FROM lines)
-SELECT doc_id, scope, line_no::BIGINT AS line_no, license_id FROM (SELECT *, sha256({_canonical_sql("entire")}) AS digest FROM entire) JOIN known USING (digest)
+d AS MATERIALIZED (SELECT row_number() OVER () AS row, doc_id, {_words_sql("text")} AS words, {_words_sql("text", True)} AS stated FROM documents WHERE text IS NOT NULL),
+entire AS (SELECT row, doc_id, 'text' AS scope, 0::BIGINT AS line_no, words FROM d UNION ALL SELECT row, doc_id, 'text', 0, stated FROM d
+           UNION ALL SELECT row, doc_id, 'line', unnest(range(1, len(string_split(words, chr(10))) + 1)), unnest(string_split(words, chr(10))) FROM d)
+SELECT doc_id, scope, line_no::BIGINT AS line_no, license_id FROM (
+  SELECT DISTINCT row, doc_id, scope, line_no, license_id FROM (SELECT *, sha256({_canonical_sql("words")}) AS digest FROM entire) JOIN known USING (digest))
 """
 
 

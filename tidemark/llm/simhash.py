@@ -278,9 +278,10 @@ def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id") ->
     but don't name them; a component of such rows alone has a null ``component_id``.  An empty
     table gives an empty table; other columns are not read.
     """
-    marked = checkpointed(with_fingerprint(docs.select(F.col(key), F.col(text)), text).select(key, "fp"))
+    marked = with_fingerprint(docs.select(F.col(key), F.col(text)), text).select(key, "fp")
+    marked = checkpointed(marked.withColumn("__place", F.monotonically_increasing_id()))  # deals rows out, whatever their keys
     classes = checkpointed(near_duplicate_classes(marked, key))
-    return looked_up(marked, "fp", key, classes.select("fp", "component_id")).select(key, "fp", "component_id")
+    return looked_up(marked, "fp", "__place", classes.select("fp", "component_id")).select(key, "fp", "component_id")
 
 
 def one_of_each(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
