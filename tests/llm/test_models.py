@@ -258,6 +258,49 @@ def test_layouts_whose_names_were_never_seen(spark, labeller):
     assert right / n > 0.95 and whole / 200 > 0.6
 
 
+STORY = """<html><body><nav><ul><li><a href=1>Home</a></li><li><a href=2>News</a></li></ul></nav><article class="story"><h1>A title of some words</h1><p>{0}</p>{1}<p>{0}</p></article>
+<footer>Copyright 2020 the site</footer></body></html>"""
+SAID = "The quick brown fox jumped over the lazy dog while the river went on, and nobody minded. " * 2
+OF_THE_ARTICLE = (
+    "<table><tr><th>Year</th><th>Sales</th></tr>" + "".join(f"<tr><td>{1990 + k}</td><td>{k * 137}</td></tr>" for k in range(5)) + "</table>",
+    "<dl><dt>Term one</dt><dd>The meaning of the term, in words.</dd><dt>Two</dt><dd>Other meaning</dd></dl>",
+    "<figure><img src=x><figcaption>A view of the town in spring</figcaption></figure>",
+    "<ul><li><a href=1>First link of the story</a></li><li><a href=2>Second link</a></li></ul>",
+)
+NOT_OF_IT = (
+    '<div class="comments"><p>I think that this is a great article, thanks for writing it.</p><p>Nice one!</p></div>', '<div class="ad">Buy now the best of shoes for you</div>',
+    '<div class="related"><h3>Related</h3><ul><li><a href=3>Another story here</a></li></ul></div>', '<ul class="menu"><li><a href=1>One</a></li><li><a href=2>Two</a></li></ul>',
+)
+
+
+@data
+@pytest.mark.parametrize(("part", "stays"), [(p, True) for p in OF_THE_ARTICLE] + [(p, False) for p in NOT_OF_IT])
+def test_parts_inside_an_article(spark, labeller, part, stays):
+    table = spark.createDataFrame([(1, STORY.format(SAID, part))], "page_id long, html string")
+    own = [b[1] for b in html_extract.blocks(part)]
+    assert html_extract.main_text(table, labeller).first()["text"].split("\n") == ["A title of some words", SAID.strip(), *(own if stays else ()), SAID.strip()]
+
+
+def test_the_network_equals_a_plain_forward_pass():
+    """Both directions step by step, one page at a time, with gates written out."""
+    rng, net = np.random.default_rng(4), html_extract.BiLSTM()
+    pages = [html_extract.read("".join(f"<{t}>{' '.join(['w'] * int(rng.integers(1, 40)))}</{t}>" for t in rng.choice(["p", "li", "h2", "td"], n))) for n in (1, 5, 17)]
+    given = [html_extract.Inputs(p, html_extract.measures(p.texts)) for p in pages]
+    logistic = lambda a: 1 / (1 + np.exp(-a.astype(np.float64)))
+    size = html_extract.HIDDEN
+    for own, found in zip(given, net.probabilities(given), strict=True):
+        x, total = own.rows(0, len(own)), np.zeros(len(own))
+        for side in (0, 1):
+            h = c = np.zeros(size)
+            for t in range(len(x)) if side == 0 else reversed(range(len(x))):
+                a = x[t] @ net.params["in"][side] + net.params["bias"][side, 0] + h @ net.params["rec"][side]
+                i, f, o, g = logistic(a[:size]), logistic(a[size : 2 * size]), logistic(a[2 * size : 3 * size]), np.tanh(a[3 * size :])
+                c = f * c + i * g
+                h = o * np.tanh(c)
+                total[t] += (h @ net.params["out"][side])[0]
+        assert np.allclose(found, logistic(total + net.params["out_bias"][0]), atol=1e-5)
+
+
 def test_pages_that_name_no_part(spark):
     """Without an example to learn from the network still judges: nothing is kept for want of a labeller."""
     rng = random.Random(3)

@@ -68,6 +68,8 @@ INPUTS, HIDDEN = PATHS + WORDS + MEASURES, 16
 GATES = np.repeat(np.array([0.5, 0.5, 0.5, 1.0], np.float32), HIDDEN)
 #: Pages to learn from (about), the most blocks that one of them may have, and invented layouts (half as many at least).
 TRAIN_PAGES, MOST_BLOCKS, LAYOUTS, EPOCHS = 240, 4_000, 1_500, 10
+#: What a step keeps of the running mean of the weights.
+AVERAGED = np.float32(0.99)
 #: Blocks that are learned from in one run; longer pages are dealt to several runs.
 RUN = 400
 #: Words at the start of a block, and of all pages, that invented blocks are made of.
@@ -235,6 +237,18 @@ def named_labels(page: Page) -> list[int | None]:
     return [named_label(told[at]) if at >= 0 else None for at in page.at]
 
 
+def put_in(page: Page) -> list[bool]:
+    """Whether each block stands in a part that is named for something else (comments, adverts, menus ...) inside a named article.
+
+    Names of elements around the article, and of the article's own, don't count: they say what a page has, not what a block is.
+    """
+    state: list[int] = []  # 1: in an article, 2: in something else inside it
+    for parent, own in zip(page.parents, page.names, strict=True):
+        up = state[parent] if parent >= 0 else 0
+        state.append(2 if up == 2 or up == 1 and not OTHER_NAMES.isdisjoint(own) else 1 if not MAIN_NAMES.isdisjoint(own) else up)
+    return [at >= 0 and state[at] == 2 for at in page.at]
+
+
 def measures(texts: Sequence[str]) -> np.ndarray:
     """What the whole texts of blocks say, a row each: the bag of hashed words, their number (as a logarithm) and the share of stops."""
     words = [t.encode().split(b" ") for t in texts]
@@ -407,6 +421,7 @@ class BiLSTM:
         """``runs``: inputs of consecutive blocks; ``labels`` of each: 1, 0, or NaN where unknown."""
         rng, p, adam = np.random.default_rng(seed), self.params, Adam(self.params, rate)
         sizes = np.array([len(r) for r in runs])
+        mean = {name: value.copy() for name, value in p.items()}  # of late steps: what the last of them happened to learn weighs little
         for epoch in range(epochs):
             adam.rate = rate * (1 - epoch / epochs) ** 0.5
             order = np.argsort(sizes * rng.uniform(0.7, 1.4, len(runs)))  # runs of like length go together
@@ -422,6 +437,10 @@ class BiLSTM:
                 d = (np.where(known, self._score(states) - np.nan_to_num(y), 0) / max(1, known.sum())).astype(np.float32)
                 grads = {"out": np.einsum("wtnh,tn->wh", states, d)[..., None], "out_bias": d.sum(keepdims=True)[0]}
                 adam.step(grads | self._back(x, d[:, :, None] * p["out"].transpose(0, 2, 1)[:, None], kept))
+                for name, value in p.items():
+                    mean[name] += (value - mean[name]) * (1 - AVERAGED)
+        for name, value in mean.items():
+            p[name][...] = value
 
 
 def disguised(page: Page, rng: Random) -> Page:
@@ -438,7 +457,7 @@ def disguised(page: Page, rng: Random) -> Page:
     return Page(page.parents, names, page.at, page.texts, page.links)
 
 
-def _training_pages(batches: Iterator[pa.RecordBatch], most_blocks: int) -> Iterator[pa.RecordBatch]:
+def _training_pages(batches: Iterator[pa.RecordBatch], most_blocks: int, head: int) -> Iterator[pa.RecordBatch]:
     kind = pa.schema(
         [("order", pa.int64()), ("parents", pa.list_(pa.int32())), ("names", pa.list_(pa.string())), ("at", pa.list_(pa.int32())),
          ("heads", pa.list_(pa.string())), ("measured", pa.list_(pa.float32())), ("links", pa.list_(pa.float32()))]
@@ -448,7 +467,7 @@ def _training_pages(batches: Iterator[pa.RecordBatch], most_blocks: int) -> Iter
             page = read(whole)
             if not 0 < len(page.at) <= most_blocks or len(page.names) > 4 * most_blocks:
                 continue
-            heads = [" ".join(t.split(" ", HEAD)[:HEAD]) for t in page.texts]
+            heads = [" ".join(t.split(" ", head)[:head]) for t in page.texts]
             measured = measures(page.texts).ravel()
             row = {"order": order, "parents": page.parents, "names": [" ".join(n) for n in page.names], "at": page.at, "heads": heads, "measured": measured, "links": page.links}
             yield pa.RecordBatch.from_pylist([row], kind)
@@ -457,10 +476,11 @@ def _training_pages(batches: Iterator[pa.RecordBatch], most_blocks: int) -> Iter
 SAMPLE = "order long, parents array<int>, names array<string>, at array<int>, heads array<string>, measured array<float>, links array<float>"
 
 
-def fit(pages: DataFrame, key: str = "page_id", source: str = "html", train_pages: int = TRAIN_PAGES, most_blocks: int = MOST_BLOCKS) -> BiLSTM:
-    """A labeller learned from about ``train_pages`` pages of at most ``most_blocks`` blocks, and from invented layouts.
+def fit(pages: DataFrame, key: str = "page_id", source: str = "html", train_pages: int = TRAIN_PAGES, most_blocks: int = MOST_BLOCKS, head: int = HEAD, vocabulary: int = VOCABULARY, invented: int = LAYOUTS) -> BiLSTM:
+    """A labeller learned from about ``train_pages`` pages of at most ``most_blocks`` blocks, and from ``invented`` layouts.
 
-    Executors measure the blocks; of their text only the first ``HEAD`` words reach the driver.
+    Executors measure the blocks; of their text only the first ``head`` words reach the driver, and
+    invented blocks are made of ``vocabulary`` of these.  All bounds are of learning alone.
     Repeated pages are learned from once.
     Pages that don't name their parts lend their words to invented layouts; of a table without any
     text, invented words are learned from.
@@ -468,11 +488,12 @@ def fit(pages: DataFrame, key: str = "page_id", source: str = "html", train_page
     n = pages.count()
     order = F.pmod(F.xxhash64(F.lit(23), F.col(key), F.col(source)), F.lit(1_000_000))
     sample = pages.where(F.col(source).isNotNull() & (order < int(2 * train_pages / max(n, 1) * 1_000_000) + 1))
-    rows = sample.select(order.cast("long").alias("order"), F.col(source)).distinct().mapInArrow(lambda batches: _training_pages(batches, most_blocks), SAMPLE)
-    return learned(sorted(rows.limit(8 * train_pages).collect(), key=lambda r: (r["order"], r["heads"], r["measured"]))[:train_pages])
+    rows = sample.select(order.cast("long").alias("order"), F.col(source)).distinct().mapInArrow(lambda batches: _training_pages(batches, most_blocks, head), SAMPLE)
+    first = rows.orderBy("order").limit(2 * train_pages).collect()
+    return learned(sorted(first, key=lambda r: (r["order"], r["heads"], r["measured"]))[:train_pages], vocabulary, invented)
 
 
-def learned(sample: Sequence[Mapping]) -> BiLSTM:
+def learned(sample: Sequence[Mapping], vocabulary: int = VOCABULARY, invented: int = LAYOUTS) -> BiLSTM:
     """A labeller of the sampled pages, as :func:`_training_pages` measures them."""
     named, words = [], []
     for r in sample:
@@ -482,7 +503,7 @@ def learned(sample: Sequence[Mapping]) -> BiLSTM:
         if {0, 1} <= set(labels):
             named.append((page, measured, labels))
     rng = Random(29)
-    words = rng.sample(words, min(len(words), VOCABULARY)) or ["".join(rng.choice(layouts.SYLLABLES) for _ in range(rng.randint(1, 4))) for _ in range(1_000)]
+    words = rng.sample(words, min(len(words), vocabulary)) or ["".join(rng.choice(layouts.SYLLABLES) for _ in range(rng.randint(1, 4))) for _ in range(1_000)]
     runs, ys = [], []
 
     def learn(page: Page | layouts.Layout, measured: np.ndarray, labels: list[float | None]) -> None:
@@ -500,7 +521,7 @@ def learned(sample: Sequence[Mapping]) -> BiLSTM:
         learn(disguised(page, rng), measured, labels)
         body = [(own if (own := page.names[at][0] if at >= 0 else "p") in ("h1", "h2", "h3", "p") else "p", m) for at, m, label in zip(page.at, measured, labels, strict=True) if label == 1]
         invent(body)
-    for _ in range(max(LAYOUTS - len(named), LAYOUTS // 2)):
+    for _ in range(max(invented - len(named), invented // 2)):
         invent(None)
     net = BiLSTM()
     net.train(runs, ys)
@@ -523,6 +544,9 @@ def _grouped(texts: list[str | None]) -> Iterator[list[str | None]]:
 def main_text(pages: DataFrame, net: BiLSTM, source: str = "html", name: str = "text") -> DataFrame:
     """The rows of ``pages`` with a string ``name``: the blocks labelled as article text, joined by newlines.
 
+    Of a part that is named for something else inside a named article, no block is kept, however
+    much it reads like the article.
+
     Null and empty pages, and pages of which no block is kept, give the empty string.  Pages are
     read whole and one by one, in time and memory proportional to their length: repeated rows
     alike, an empty table gives an empty table, other columns stay as they are; a column ``name``
@@ -538,7 +562,7 @@ def main_text(pages: DataFrame, net: BiLSTM, source: str = "html", name: str = "
             for group in _grouped(batch.column(place).to_pylist()):
                 seen = [read(p) for p in group]
                 kept = own.probabilities([Inputs(p, measures(p.texts)) for p in seen])
-                texts += ["\n".join(t for t, q in zip(page.texts, prob, strict=True) if q >= 0.5) for page, prob in zip(seen, kept, strict=True)]
+                texts += ["\n".join(t for t, q, out in zip(page.texts, prob, put_in(page), strict=True) if q >= 0.5 and not out) for page, prob in zip(seen, kept, strict=True)]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.string())], [*batch.schema.names, name])
 
     return pages.mapInArrow(add, T.StructType([*pages.schema.fields, T.StructField(name, T.StringType())]))

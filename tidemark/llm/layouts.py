@@ -194,6 +194,33 @@ class Layout:
             made.append(("p", self.text(max(3, long // 8), 2 * long, 0.12)))
         return made
 
+    def data(self, own: int) -> None:
+        """A table, a list of terms, a figure, or a list of links that belong to the article."""
+        kind = self.rng.choice(("table", "table", "table", "terms", "figure", "links"))
+        if kind == "table":
+            table = self.open(own, "table")
+            if self.maybe(0.3):
+                self.put(self.open(table, "caption"), self.text(2, 12), 1)
+            inner = self.open(table, "tbody") if self.maybe(0.4) else table
+            columns, longest, para = self.rng.randint(2, 5), self.rng.choice((2, 4, 12)), self.maybe(0.1)
+            for k in range(self.rng.randint(2, 9)):
+                row = self.open(inner, "tr")
+                for _ in range(columns):
+                    cell = self.open(row, "th" if k == 0 and longest < 12 else "td")
+                    text = str(self.rng.randint(0, 99_999)) if self.maybe(0.3) else self.text(1, longest)
+                    self.put(self.open(cell, "p") if para else cell, text, 1, self.rng.choice((0.0, 0.0, 0.0, 0.0, 1.0)))
+        elif kind == "terms":
+            listed = self.open(own, "dl")
+            for _ in range(self.rng.randint(2, 6)):
+                self.put(self.open(listed, "dt"), self.text(1, 4), 1)
+                self.put(self.open(listed, "dd"), self.text(2, 30, 0.1), 1)
+        elif kind == "figure":
+            self.put(self.open(self.open(own, "figure"), "figcaption"), self.text(3, 25, 0.08), 1)
+        else:
+            listed = self.open(own, self.rng.choice(("ul", "ol")))
+            for _ in range(self.rng.randint(2, 6)):
+                self.put(self.open(listed, "li"), self.text(1, 9), 1, 1.0)
+
     def article(self, up: int, body: Sequence[tuple[str, str | np.ndarray]]) -> None:
         """The article's blocks, with lists, quotes and subheads among them, and strange parts put in."""
         at = self.part(up, "content")
@@ -218,6 +245,8 @@ class Layout:
             elif self.maybe(0.06):
                 quote = self.open(own, self.rng.choice(("blockquote", "pre", "figcaption")))
                 self.put(self.open(quote, "p") if self.names[quote][0] == "blockquote" and self.maybe(0.6) else quote, self.text(4, 40, 0.1), 1)
+            elif self.maybe(0.05):
+                self.data(own)
             if self.rng.random() < strange:
                 self.rng.choice((self.ad, self.ad, self.related, self.share, self.news))(own)
         if self.maybe(0.15):
