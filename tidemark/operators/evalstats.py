@@ -21,13 +21,16 @@ def information_coefficients(scored: DataFrame, signal: str, target: str, group:
 
 
 def ic_summary(ics: DataFrame, *group: str) -> DataFrame:
-    """n, mean_ic, std_ic, ir, t_stat and positive share; std, ir and t are null for one date."""
+    """n, mean_ic, std_ic, ir, t_stat and positive share; std, ir and t are null for one date.
+
+    A coefficient within rounding of zero isn't positive.
+    """
     std = F.stddev_samp("ic")
     of = ics.groupBy(*group) if group else ics
     return of.agg(
         F.count("ic").alias("n_dates"), F.avg("ic").alias("mean_ic"), std.alias("std_ic"),
         F.when(std > 0, F.avg("ic") / std).alias("ir"), F.when(std > 0, F.avg("ic") / (std / F.sqrt(F.count("ic")))).alias("t_stat"),
-        F.avg(F.when(F.col("ic") > 0, 1.0).otherwise(0.0)).alias("positive_share"),
+        F.avg(F.when(F.col("ic") > 1e-12, 1.0).otherwise(0.0)).alias("positive_share"),
     )
 
 

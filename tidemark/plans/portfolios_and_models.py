@@ -7,25 +7,25 @@ import re
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..operators import calendar, crosssec, evalstats, features, portfolio, walkforward
+from ..operators import calendar, crosssec, evalstats, features, holdout, portfolio, returns, walkforward
 from ..session import scratch
 from ..sources import contracts, io
 from .base import CONTEXT_SERIES, HORIZON, POINTS, QUARTER, Data, query
 from .joins_and_cleaning import WIDE
-from .returns_and_windows import FEATURES, TOP, WINDOWS
-from .statistics import SUMMARY, ic_sql, performance_sql
+from .returns_and_windows import FEATURES, TERMINAL, TOP, WINDOWS
+from .statistics import SUMMARY, bins_sql, ic_sql, performance_sql
 
 BPS = 6.0
 SWEEP = [5.0, 10.0, 20.0]
 
 
-def drift_sql(weights: str, suffix: str = "") -> dict[str, str]:
-    """CTEs of a weights table's gross, drifted, traded and backtest rows."""
+def drift_sql(weights: str, suffix: str = "", hold: str = "hold") -> dict[str, str]:
+    """CTEs of a weights table's gross, drifted, traded and backtest rows, under the holding returns ``hold``."""
     return {
-        f"gross{suffix}": f"SELECT date, sum(weight * coalesce(ret, 0)) AS gross FROM {weights} LEFT JOIN hold USING (date, ticker) GROUP BY date",
+        f"gross{suffix}": f"SELECT date, sum(weight * coalesce(ret, 0)) AS gross FROM {weights} LEFT JOIN {hold} USING (date, ticker) GROUP BY date",
         f"wd{suffix}": f"SELECT date AS was, lead(date) OVER (ORDER BY date) AS date FROM (SELECT DISTINCT date FROM {weights})",
         f"prior{suffix}": f"""SELECT date, ticker, CASE WHEN sum(w) OVER (PARTITION BY date) > 0 THEN w / sum(w) OVER (PARTITION BY date) ELSE w END AS prior FROM (
-  SELECT d.date, p.ticker, p.weight * (1 + coalesce(h.ret, 0)) AS w FROM {weights} p JOIN wd{suffix} d ON d.was = p.date AND d.date IS NOT NULL LEFT JOIN hold h ON h.date = d.date AND h.ticker = p.ticker)""",
+  SELECT d.date, p.ticker, p.weight * (1 + coalesce(h.ret, 0)) AS w FROM {weights} p JOIN wd{suffix} d ON d.was = p.date AND d.date IS NOT NULL LEFT JOIN {hold} h ON h.date = d.date AND h.ticker = p.ticker)""",
         f"traded{suffix}": f"SELECT date, sum(abs(coalesce(weight, 0) - coalesce(prior, 0))) AS traded FROM {weights} w FULL JOIN prior{suffix} p USING (date, ticker) GROUP BY date",
         f"bt{suffix}": f"SELECT date, gross, gross - {BPS} / 10000 * traded AS net, traded / 2 AS turnover, {BPS} / 10000 * traded AS cost FROM gross{suffix} JOIN traded{suffix} USING (date)",
     }
@@ -453,7 +453,7 @@ NESTED = {
 }
 
 
-def long_ridge_sql(cells: str, alphas: tuple[float, ...]) -> dict[str, str]:
+def long_ridge_sql(cells: str, alphas: tuple[float, ...], targets: tuple[str, ...] = TARGETS) -> dict[str, str]:
     """CTEs up to ``lpreds`` (target, o, k, alpha, date, ticker, y, pred): ridges of any number of features, in long form.
 
     One recursive step eliminates one feature from the centred systems of all cells, targets and penalties.
@@ -462,7 +462,7 @@ def long_ridge_sql(cells: str, alphas: tuple[float, ...]) -> dict[str, str]:
     xs = ", ".join(f"coalesce({z}, 0)" for z in Z_NAMES)
     cell = "target, o, k, alpha"
     return {
-        "lrows": " UNION ALL ".join(f"SELECT '{t}' AS target, p.date, p.ticker, p.{t} AS y, [{xs}] AS xs FROM panel p " + " ".join(f"LEFT JOIN z_{x} USING (date, ticker)" for x in Z_FAMILIES) for t in TARGETS),
+        "lrows": " UNION ALL ".join(f"SELECT '{t}' AS target, p.date, p.ticker, p.{t} AS y, [{xs}] AS xs FROM panel p " + " ".join(f"LEFT JOIN z_{x} USING (date, ticker)" for x in Z_FAMILIES) for t in targets),
         "lvec": "SELECT target, date, list_concat([1.0], xs, [y]) AS v FROM lrows WHERE y IS NOT NULL",
         "lgram": f"SELECT target, date, i, j, sum(v[i + 1] * v[j + 1]) AS s FROM lvec, range({size + 2}) a(i), range({size + 2}) b(j) WHERE i <= j GROUP BY ALL",
         "lsums": f"SELECT target, o, k, i, j, sum(s) AS s FROM lgram JOIN {cells} USING (date) WHERE role = 'train' GROUP BY ALL",
@@ -481,11 +481,11 @@ def long_ridge_sql(cells: str, alphas: tuple[float, ...]) -> dict[str, str]:
     }
 
 
-M6_SQL = MATRIX_SQL | FOLDS | NESTED | long_ridge_sql("cells", ALPHAS) | {
-    "tried": "SELECT * FROM lpreds WHERE k > 0",
-} | ic_sql("tried", "target, o, k, alpha, date", "pred", "y") | {
+CHOICE = {"tried": "SELECT * FROM lpreds WHERE k > 0"} | ic_sql("tried", "target, o, k, alpha, date", "pred", "y") | {
     "inner_ics": "SELECT target, o, alpha, avg(ic) AS inner_ic FROM gics GROUP BY ALL",
-    "chosen": "SELECT DISTINCT ON (target, o) target, o, alpha, inner_ic FROM (SELECT DISTINCT target, o, alpha FROM lbase WHERE k = 0) LEFT JOIN inner_ics USING (target, o, alpha) ORDER BY target, o, round(inner_ic, 12) DESC NULLS LAST, alpha",
+    "chosen": "SELECT DISTINCT ON (target, o) target, o, alpha, inner_ic FROM (SELECT DISTINCT target, o, alpha FROM lbase WHERE k = 0 AND o > 0) LEFT JOIN inner_ics USING (target, o, alpha) ORDER BY target, o, round(inner_ic, 12) DESC NULLS LAST, alpha",
+}
+M6_SQL = MATRIX_SQL | FOLDS | NESTED | long_ridge_sql("cells", ALPHAS) | CHOICE | {
     "nested": "SELECT target, o AS fold, date, ticker, y, pred FROM lpreds JOIN chosen USING (target, o, alpha) WHERE k = 0",
 }
 
@@ -501,12 +501,90 @@ def m6(d: Data):
     return nested(d)[1]
 
 
-def renamed(sqls: dict[str, str], *names: str) -> dict[str, str]:
-    """CTEs with ``_b`` behind some names, so that two of a kind can stand in one query."""
-    return {f"{k}_b" if k in names else k: re.sub(rf"\b({'|'.join(names)})\b", r"\1_b", v) for k, v in sqls.items()}
+def renamed(sqls: dict[str, str], *names: str, suffix: str = "_b") -> dict[str, str]:
+    """CTEs with a suffix behind some names, so that two of a kind can stand in one query."""
+    return {f"{k}{suffix}" if k in names else k: re.sub(rf"\b({'|'.join(names)})\b", rf"\1{suffix}", v) for k, v in sqls.items()}
 
 
 @query("M6_folds", f"SELECT target, fold::INTEGER AS fold, {SUMMARY} FROM gics_b GROUP BY target, fold UNION ALL SELECT target, 0::INTEGER, {SUMMARY} FROM gics_b GROUP BY target", M6_SQL | renamed(ic_sql("nested", "target, fold, date", "pred", "y"), "rk", "gics"))
 def m6_folds(d: Data):
     """What the nested ridges are worth out of sample, by target and fold."""
     return walkforward.fold_report(nested(d)[0].withColumnRenamed("actual", "y"), "y", "target")
+
+
+# --- the hold-out report -----------------------------------------------------------------------
+
+DEV_END, HOLD_START = "1999-06-30", "2000-01-01"
+FROZEN_TARGET = TARGETS[0]
+
+
+def listed_sql(part: str, source: str, names: str, key: str = "") -> str:
+    """part, name, value of the columns ``names`` of a CTE; ``key`` stands before the column's name."""
+    of = lambda n: f"{key} || ' {n}'" if key else f"'{n}'"
+    return " UNION ALL ".join(f"SELECT '{part}' AS part, {of(n)} AS name, r({n}) AS value FROM {source}" for n in names.split())
+
+
+def window_sql(source: str) -> str:
+    return f"SELECT strftime(min(date), '%Y%m%d')::DOUBLE AS first, strftime(max(date), '%Y%m%d')::DOUBLE AS last, count(DISTINCT date) AS n_dates FROM {source}"
+
+
+IC_NAMES = "n_dates mean_ic std_ic ir t_stat positive_share"
+PERFORMANCE_NAMES = "n cagr ann_vol sharpe sortino max_drawdown hit_rate"
+REPORT_SQL = MATRIX_SQL | TERMINAL | FOLDS | NESTED | {
+    "every": f"SELECT DISTINCT date FROM panel WHERE date <= DATE '{DEV_END}'",
+    "cells_h": f"""SELECT * FROM cells UNION ALL SELECT -1, 0, date, CASE WHEN date <= DATE '{DEV_END}' THEN 'train' ELSE 'test' END
+  FROM (SELECT DISTINCT date FROM panel WHERE date <= DATE '{DEV_END}' OR date >= DATE '{HOLD_START}')""",
+} | long_ridge_sql("cells_h", ALPHAS, (FROZEN_TARGET,)) | CHOICE | {
+    "modal": "SELECT alpha FROM chosen GROUP BY alpha ORDER BY count(*) DESC, alpha DESC LIMIT 1",
+    "pred_h": "SELECT date, ticker, y, pred FROM lpreds WHERE o = -1 AND alpha = (SELECT alpha FROM modal) AND y IS NOT NULL",
+    "val_h": "SELECT date, pred, z_valf.earnings_yield_z AS x FROM pred_h JOIN z_valf USING (date, ticker)",
+    "sig_h": "SELECT date, ticker, pred AS signal FROM pred_h",
+} | renamed({k: v.replace("FROM mom ", "FROM sig_h ") for k, v in TOP.items()}, "sized", "top", "bottom", suffix="_m") | {
+    "legs_m": """SELECT date, l.m AS long, s.m AS short FROM (SELECT date, avg(ret) AS m FROM top_m LEFT JOIN term_hold USING (date, ticker) GROUP BY date) l
+  JOIN (SELECT date, avg(ret) AS m FROM bottom_m LEFT JOIN term_hold USING (date, ticker) GROUP BY date) s USING (date)""",
+    "mkt_hold": "SELECT h.date, 'MKT' AS ticker, q1.close_adj / q0.close_adj - 1 AS ret FROM (SELECT * FROM rebn WHERE next_date IS NOT NULL) h ASOF JOIN mkt q0 ON q0.date <= h.date ASOF JOIN mkt q1 ON q1.date <= h.next_date",
+    "w_m": "SELECT * FROM top_m WHERE date IN (SELECT date FROM term_hold)",
+    "w_e": f"SELECT date, ticker, 1.0 / count(*) OVER (PARTITION BY date) AS weight FROM panel WHERE date >= DATE '{HOLD_START}' AND date IN (SELECT date FROM term_hold)",
+    "w_b": "SELECT date, ticker, 1.0 AS weight FROM mkt_hold",
+} | drift_sql("w_m", "_m", "term_hold") | drift_sql("w_e", "_e", "term_hold") | drift_sql("w_b", "_k", "mkt_hold") | {
+    "runs": "SELECT 'model' AS strategy, * FROM bt_m UNION ALL SELECT 'equal', * FROM bt_e UNION ALL SELECT 'market', * FROM bt_k",
+    "common_r": "SELECT * FROM runs WHERE date IN (SELECT date FROM runs GROUP BY date HAVING count(DISTINCT strategy) = 3)",
+    "net_r": "SELECT strategy, date, net AS ret FROM common_r",
+    "perf_r": performance_sql("net_r", "ret", "strategy,"),
+    "cost_r": """SELECT strategy, avg(turnover) AS avg_turnover, CASE WHEN product(1 + gross) > product(1 + net) THEN ln(greatest(product(1 + gross) - product(1 + net), 1e-300)) END AS log_cost_drag
+  FROM common_r GROUP BY strategy""",
+    "window_r": window_sql("pred_h"), "common_w": window_sql("common_r"),
+} | renamed(ic_sql("pred_h", "date", "pred", "y"), "rk", "gics", suffix="_h") | renamed(ic_sql("val_h", "date", "pred", "x", 1), "rk", "gics", suffix="_v") | bins_sql("pred_h", "pred", "y", "date", 10) | {
+    "ic_r": f"SELECT {SUMMARY} FROM gics_h",
+    "year_r": f"SELECT year(date) AS year, {SUMMARY} FROM gics_h GROUP BY 1",
+    "spread_r": """SELECT max(CASE WHEN bin = 9 THEN mean_ret END) - max(CASE WHEN bin = 0 THEN mean_ret END) AS top_minus_bottom, corr(bin, rk) AS monotonicity
+  FROM (SELECT *, rank() OVER (ORDER BY mean_ret) AS rk FROM bymean)""",
+    "along_r": "SELECT count(*) AS n_dates, avg(ic) AS mean_corr FROM gics_v",
+    "legs_r": "SELECT avg(long) AS long_mean, avg(short) AS short_mean, avg(long - short) AS mean_spread, CASE WHEN stddev_samp(long - short) > 0 THEN avg(long - short) / stddev_samp(long - short) * sqrt(12.0) END AS sharpe FROM legs_m",
+}
+REPORT = " UNION ALL ".join([
+    listed_sql("pick", "chosen", "alpha", "(o::INTEGER)"), listed_sql("frozen", "modal", "alpha"), listed_sql("window", "window_r", "first last n_dates"), listed_sql("ic", "ic_r", IC_NAMES),
+    listed_sql("year", "year_r", IC_NAMES, "year"), listed_sql("decile", "bymean", "mean_ret n_groups", "(bin::INTEGER)"), listed_sql("decile", "spread_r", "top_minus_bottom monotonicity"),
+    listed_sql("exposure", "along_r", "n_dates mean_corr"), listed_sql("legs", "legs_r", "long_mean short_mean mean_spread sharpe"),
+    listed_sql("backtest", "perf_r", PERFORMANCE_NAMES, "strategy"), listed_sql("backtest", "cost_r", "avg_turnover log_cost_drag", "strategy"), listed_sql("common", "common_w", "first last n_dates"),
+])
+
+
+@query("M7_report", REPORT, REPORT_SQL)
+def m7_report(d: Data):
+    """The whole report on the hold-out, of the ridge on 50 z columns whose penalty the folds up to mid-1999 pick most often.
+
+    What costs took is a logarithm, as in ``A4_costs``.
+    """
+    rows = model_matrix(d)
+    dev, held = F.col("date") <= F.lit(DEV_END), F.col("date") >= F.lit(HOLD_START)
+    known = rows.where(dev)
+    picks = walkforward.nested_ridges(known, Z_NAMES, [FROZEN_TARGET], plan(d, known), d.calendar, ALPHAS, HORIZON, EMBARGO, INNER_FOLDS, INNER_MONTHS)[1]
+    predicted = walkforward.stored(holdout.frozen_ridge(rows, Z_NAMES, FROZEN_TARGET, picks, dev, held))
+    holding = returns.delisting_aware_holding_returns(d.weekly, d.rebalances, d.liquidated)
+    market = returns.holding_returns(d.market, d.rebalances)
+    found = holdout.report(predicted, rows.withColumn("exposure", F.col("earnings_yield_z")), rows.where(held), holding, market, BPS)
+    drag = F.col("name").endswith("total_cost_drag")
+    found = found.withColumns({"value": F.when(drag, F.when(F.col("value") > 0, F.ln("value"))).otherwise(F.col("value")), "name": F.regexp_replace("name", "total_cost_drag$", "log_cost_drag")})
+    chosen = holdout.listed("pick", picks.select("fold", "alpha"), "fold").unionByName(holdout.listed("frozen", predicted.select("alpha").distinct()))
+    return chosen.unionByName(found)

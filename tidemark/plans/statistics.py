@@ -13,7 +13,7 @@ from .base import PERIODS, Data, query
 from .returns_and_windows import EVENT_RETURNS, FEATURES, SURPRISES, TOP, WINDOWS, adjusted_event_returns, event_returns, quarters
 
 SUMMARY = """count(ic) AS n_dates, r(avg(ic)) AS mean_ic, r(stddev_samp(ic)) AS std_ic, CASE WHEN stddev_samp(ic) > 0 THEN r(avg(ic) / stddev_samp(ic)) END AS ir,
-  CASE WHEN stddev_samp(ic) > 0 THEN r(avg(ic) / (stddev_samp(ic) / sqrt(count(ic)))) END AS t_stat, r(avg(CASE WHEN ic > 0 THEN 1.0 ELSE 0.0 END)) AS positive_share"""
+  CASE WHEN stddev_samp(ic) > 0 THEN r(avg(ic) / (stddev_samp(ic) / sqrt(count(ic)))) END AS t_stat, r(avg(CASE WHEN ic > 1e-12 THEN 1.0 ELSE 0.0 END)) AS positive_share"""
 STAT = "count({x}) AS n, r(avg({x})) AS mean, r(median({x})) AS median, CASE WHEN count({x}) > 2 AND stddev_samp({x}) > 0 THEN r(avg({x}) / (stddev_samp({x}) / sqrt(count({x})))) END AS t_stat"
 
 
