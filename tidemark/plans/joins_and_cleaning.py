@@ -55,6 +55,18 @@ def s3_untyped(d: Data):
     return io.csv_to_parquet(d.spark, f"{root}/events.csv", f"{root}/events.parquet", T.StructType().add("event_id", "long").add("value", "double"))
 
 
+@query("S3_rejects", """SELECT p_partkey, p_brand, p_size, NULL::VARCHAR AS line FROM part WHERE p_partkey % 10 > 1
+  UNION ALL SELECT NULL, NULL, NULL, p_partkey || ',' || p_brand || ',' || CASE WHEN p_partkey % 10 = 0 THEN 'about ' || p_size ELSE '"' || p_size || ',' || p_size || '"' END FROM part WHERE p_partkey % 10 <= 1""")
+def s3_rejects(d: Data):
+    """Typed rows beside the lines that don't fit: here a fifth, with a size in words or two sizes in one."""
+    root, part = scratch(d.spark), d.table("part").select("p_partkey", "p_brand", "p_size")
+    kind, size = F.col("p_partkey") % 10, F.col("p_size").cast("string")
+    told = F.when(kind == 0, F.concat(F.lit("about "), size)).when(kind == 1, F.concat_ws(",", size, size)).otherwise(size)
+    part.select("p_partkey", "p_brand", told.alias("p_size")).write.csv(f"{root}/part.csv", header=True)
+    rows, rejects = io.csv_and_rejects(d.spark, f"{root}/part.csv", f"{root}/part", part.schema)
+    return rows.withColumn("line", F.lit(None).cast("string")).unionByName(rejects, allowMissingColumns=True)
+
+
 @query("S4", "SELECT s_suppkey, s_name, s_acctbal FROM supplier")
 def s4(d: Data):
     root, own = scratch(d.spark), d.table("supplier").select("s_suppkey", "s_name", "s_acctbal")
@@ -64,22 +76,25 @@ def s4(d: Data):
 
 @query("S5", "SELECT ticker, ticker::BIGINT AS cik, tag, r(value) AS value, period_end, filed, 'SO' AS form, year(filed)::INTEGER AS fy, 'FY' AS fp, 'USD' AS unit FROM facts")
 def s5(d: Data):
-    """Facts as nested documents, one a ticker, written as JSON and read back into long rows."""
+    """Facts as nested documents, one a ticker and year of filing, written as JSON and read back into long rows."""
     entry = F.struct(
         F.col("period_end").cast("string").alias("end"), F.col("value").alias("val"), F.lit(None).cast("string").alias("accn"), F.year("filed").alias("fy"),
         F.lit("FY").alias("fp"), F.lit("SO").alias("form"), F.col("filed").cast("string").alias("filed"),
     )
-    tags = d.facts.groupBy("ticker", "tag").agg(F.create_map(F.lit("USD"), F.collect_list(entry)).alias("units"))
-    body = tags.select("ticker", "tag", F.struct(F.col("tag").alias("label"), "units").alias("body"))
-    docs = body.groupBy("ticker").agg(F.create_map(F.lit("own"), F.map_from_entries(F.collect_list(F.struct("tag", "body")))).alias("facts"))
+    year = F.year("filed").alias("year")
+    tags = d.facts.groupBy("ticker", year, "tag").agg(F.create_map(F.lit("USD"), F.collect_list(entry)).alias("units"))
+    body = tags.select("ticker", "year", "tag", F.struct(F.col("tag").alias("label"), "units").alias("body"))
+    docs = body.groupBy("ticker", "year").agg(F.create_map(F.lit("own"), F.map_from_entries(F.collect_list(F.struct("tag", "body")))).alias("facts"))
     path = f"{scratch(d.spark)}/facts.json"
     docs.select(F.col("ticker").cast("long").alias("cik"), "ticker", "facts").write.json(path)
     return io.facts_json(d.spark.read.schema(io.FACTS_JSON).json(path))
 
 
 def _filer_documents(d: Data) -> DataFrame:
+    """A document a filer and year of filing."""
     trade = F.struct(F.col("seq").alias("id"), "ticker", "filing_date", "value")
-    return d.trades.groupBy(F.struct(F.col("member").alias("name")).alias("filer")).agg(F.collect_list(trade).alias("trades"))
+    each = d.trades.groupBy(F.struct(F.col("member").alias("name")).alias("filer"), F.year("filing_date").alias("year")).agg(F.collect_list(trade).alias("trades"))
+    return each.drop("year")
 
 
 @query("S6", "SELECT member AS filer_name, seq AS id, ticker, filing_date::VARCHAR AS filing_date, r(value) AS value FROM trades")

@@ -56,6 +56,19 @@ def csv_to_parquet(spark: SparkSession, source: str, target: str, schema: T.Stru
     return spark.read.parquet(target)
 
 
+def csv_and_rejects(spark: SparkSession, source: str, target: str, schema: T.StructType) -> tuple[DataFrame, DataFrame]:
+    """CSV with a header as typed ZSTD parquet, and the rejects: ``line`` of each row that doesn't fit.
+
+    A row with a value that isn't of its type, or with too many or too few of them, is rejected
+    whole; all others are typed.  The file is read once: both parts are written side by side.
+    """
+    line = T.StructField("__line", T.StringType())
+    read = spark.read.schema(T.StructType([*schema.fields, line])).csv(source, header=True, mode="PERMISSIVE", columnNameOfCorruptRecord=line.name)
+    read.withColumn("__rejected", F.col(line.name).isNotNull()).write.mode("overwrite").partitionBy("__rejected").option("compression", "zstd").parquet(target)
+    both = spark.read.schema(T.StructType([*schema.fields, line, T.StructField("__rejected", T.BooleanType())])).parquet(target)
+    return both.where("NOT __rejected").select(*schema.names), both.where("__rejected").select(F.col(line.name).alias("line"))
+
+
 FACT_ENTRY = "struct<end:string,val:double,accn:string,fy:int,fp:string,form:string,filed:string>"
 FACTS_JSON = f"cik long, ticker string, facts map<string,map<string,struct<label:string,units:map<string,array<{FACT_ENTRY}>>>>>"
 
