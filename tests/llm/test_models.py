@@ -3,8 +3,10 @@
 import os
 import random
 import time
+import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -100,6 +102,73 @@ def test_attention_gradients():
     assert loss() < before / 4
 
 
+def test_the_byte_network_equals_a_plain_convolution():
+    """Every filter at every place of every window, byte by byte; texts as means over their windows, by bytes."""
+    net = language_id.ByteCNN(["a", "b", "c"])
+    texts = ["Short text", "Ünïcode wörds " * 30, "x" * 256, "many more words than one window holds " * 20]
+    p, wide = {k: v.astype(np.float64) for k, v in net.params.items()}, max(language_id.WIDTHS)
+    langs, scores = language_id.predict(net, texts)
+    for text, lang, score in zip(texts, langs, scores, strict=True):
+        raw, total, weight = text.lower().encode(), np.zeros(3), 0
+        for k in range(0, len(raw), language_id.WINDOW):
+            piece = raw[k : k + language_id.WINDOW]
+            padded = piece + bytes(language_id.WINDOW + wide - 1 - len(piece))
+            act = []
+            for f in range(language_id.FILTERS * len(language_id.WIDTHS)):
+                width = language_id.WIDTHS[f // language_id.FILTERS]
+                own = p["filters"][:, f].reshape(wide, -1)
+                places = (sum(own[j] @ p["embed"][padded[i + j]] for j in range(width)) for i in range(language_id.WINDOW))
+                act.append(max(0.0, max(places) + p["bias"][f]))
+            logits = np.array(act) @ p["out"] + p["out_bias"]
+            total += len(piece) * np.exp(logits) / np.exp(logits).sum()
+            weight += len(piece)
+        assert lang == "abc"[total.argmax()] and score == pytest.approx(total.max() / weight, abs=1e-4)
+
+
+def test_the_attention_model_equals_a_plain_forward_pass():
+    """One document and one passage at a time, from bytes to score."""
+    rng = np.random.default_rng(2)
+    mean, scale = rng.random(quality_model.FEATURES).astype(np.float32) / 10, rng.random(quality_model.FEATURES).astype(np.float32) + 0.5
+    model = quality_model.AttentionMIL(mean, scale)
+    texts = [None, "", "a few calm words", "Ünïcode " * 700, "### *** " * 1500]
+    p, logistic = {k: v.astype(np.float64) for k, v in model.params.items()}, lambda a: 1 / (1 + np.exp(-a))
+    for text, found in zip(texts, model.score(*quality_model.encode(texts)), strict=True):
+        raw = (text or "").encode()
+        pieces = [raw[k : k + quality_model.PASSAGE] for k in range(0, max(1, len(raw)), quality_model.PASSAGE)]
+        weights, hidden = [], []
+        for piece in pieces:
+            x = np.zeros(quality_model.FEATURES)
+            for b in piece:
+                x[b] += 1
+            for b, c in zip(piece, piece[1:]):
+                x[256 + (b * 31 + c) % quality_model.PAIRS] += 1
+            x[: 256 + quality_model.PAIRS] = np.sqrt(x[: 256 + quality_model.PAIRS] / max(1, len(piece)))
+            x[-3:] = np.log1p(len(piece)) / 8, len(zlib.compress(piece, 1)) / (len(piece) + 64), np.log(len(pieces))
+            h = np.tanh(np.clip((x - mean) / scale, -6, 6) @ p["enc"] + p["enc_bias"])
+            weights.append(np.exp((np.tanh(h @ p["tanh"]) * logistic(h @ p["gate"])) @ p["att"]))
+            hidden.append(h)
+        z = sum(w * h for w, h in zip(weights, hidden, strict=True)) / sum(weights)
+        assert found == pytest.approx(logistic(z @ p["out"] + p["out_bias"][0]), abs=1e-4)
+
+
+def test_bounds_of_learning_are_parameters_and_repeated_rows_score_alike(spark):
+    rows = [(k, ("good calm text " if k % 2 else "### *** ### ") * 900, "en" if k % 2 else "xx") for k in range(40)]
+    docs = spark.createDataFrame(rows + rows[:5], "doc_id long, text string, lang string")
+    labels = docs.select("doc_id", (F.col("doc_id") % 2).cast("int").alias("quality")).distinct()
+    for fit, of in ((lambda: language_id.fit(docs, train_docs=10, train_windows=1), language_id), (lambda: quality_model.fit(docs, labels, train_docs=10, train_passages=1), quality_model)):
+        model = fit()
+        found = (of.identify if of is language_id else of.score)(docs, model).collect()
+        name = "lang_score" if of is language_id else "score"
+        each = {}
+        for r in found:
+            each.setdefault(r["doc_id"], []).append(r[name])
+        assert len(found) == 45 and all(max(v) - min(v) < 1e-5 for v in each.values())
+    cut = list(language_id._training_windows(3)([pa.RecordBatch.from_pydict({"order": [1], "lang": ["en"], "text": ["w " * 2000]})]))
+    assert cut[0].num_rows == 3
+    one = list(quality_model._training_features(2)([pa.RecordBatch.from_pydict({"order": [1], "label": [1], "text": ["w " * 9000]})]))
+    assert one[0].column("n").to_pylist() == [2]
+
+
 PAGE = """<!DOCTYPE html><html><head><title>no</title><style>p{}</style><script>var a = "</p>";</script></head><body>
 <header><h2>Site name here</h2></header><nav><ul><li><a href="/a>b">Home</a></li><li><a href='/x'>About</a></li></ul></nav><div class="cookie-notice"><p>We use cookies to improve things.</p></div>
 <%s><h1>A fine &amp; plain   title</h1><p>First <b>bold</b> words

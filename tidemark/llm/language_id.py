@@ -21,7 +21,7 @@ from pyspark.sql import types as T
 from .training import Adam, bounded_sample, softmax
 
 WINDOW = 256
-#: Training documents of each language (about), and windows of each document, at most.
+#: Training documents of each language (about), and windows of each document, at most: defaults of :func:`fit`.
 TRAIN_DOCS, TRAIN_WINDOWS = 400, 4
 EMBED, WIDTHS, FILTERS = 8, (2, 3, 4), 16
 #: Windows that go through the network at once.
@@ -94,24 +94,29 @@ class ByteCNN:
                 adam.step(grads)
 
 
-def _training_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        rows = []
-        for order, lang, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-            cut = windows(text)
-            at = np.unique(np.linspace(0, len(cut) - 1, TRAIN_WINDOWS).astype(int)) if len(cut) else []
-            rows += [{"order": order, "lang": lang, "bytes": cut[k].tobytes()} for k in at]
-        yield pa.RecordBatch.from_pylist(rows, pa.schema([("order", pa.int64()), ("lang", pa.string()), ("bytes", pa.binary())]))
+def _training_windows(most: int):
+    """Batches of (order, language, text) as at most ``most`` windows of each text, spread over the whole of it."""
+
+    def cut_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = []
+            for order, lang, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                cut = windows(text)
+                at = np.unique(np.linspace(0, len(cut) - 1, most).astype(int)) if len(cut) else []
+                rows += [{"order": order, "lang": lang, "bytes": cut[k].tobytes()} for k in at]
+            yield pa.RecordBatch.from_pylist(rows, pa.schema([("order", pa.int64()), ("lang", pa.string()), ("bytes", pa.binary())]))
+
+    return cut_up
 
 
-def fit(labelled: DataFrame, key: str = "doc_id", lang: str = "lang", text: str = "text", train_docs: int = TRAIN_DOCS) -> ByteCNN | None:
-    """A network trained on ``labelled``; None without a labelled text."""
+def fit(labelled: DataFrame, key: str = "doc_id", lang: str = "lang", text: str = "text", train_docs: int = TRAIN_DOCS, train_windows: int = TRAIN_WINDOWS) -> ByteCNN | None:
+    """A network trained on about ``train_docs`` texts of each language in ``labelled``, ``train_windows`` of each at most; None without a labelled text."""
     rows = bounded_sample(labelled.where(F.length(text) > 0), key, lang, train_docs)
-    found = rows.select(F.col("order").cast("long"), F.col(lang), F.col(text)).mapInArrow(_training_windows, "order long, lang string, bytes binary").toPandas()
+    found = rows.select(F.col("order").cast("long"), F.col(lang), F.col(text)).mapInArrow(_training_windows(train_windows), "order long, lang string, bytes binary").toPandas()
     if found.empty:
         return None
     found = found.sort_values(["lang", "order", "bytes"])
-    found = found[found.groupby("lang").cumcount() < train_docs * TRAIN_WINDOWS]
+    found = found[found.groupby("lang").cumcount() < train_docs * train_windows]
     languages = sorted(found["lang"].unique())
     net = ByteCNN(languages)
     x = np.frombuffer(b"".join(found["bytes"]), np.uint8).reshape(-1, WINDOW)
@@ -148,8 +153,8 @@ def identify(docs: DataFrame, net: ByteCNN | None, text: str = "text") -> DataFr
     """The rows of ``docs`` with ``lang_pred`` and ``lang_score``.
 
     Null texts and texts without a letter are ``und`` with score 0, and so is everything if the
-    network had nothing to learn from.  Rows are judged one by one: repeated rows alike, an empty
-    table gives an empty table, other columns stay as they are; columns of the two names are
+    network had nothing to learn from.  Rows are judged one by one: repeated rows alike (to single
+    precision, as products of matrices round by what stands beside a row), an empty table gives an empty table, other columns stay as they are; columns of the two names are
     replaced.  No shuffle.
     """
     docs = docs.drop("lang_pred", "lang_score")

@@ -22,7 +22,7 @@ from pyspark.sql import types as T
 from .training import Adam, bounded_sample, sigmoid
 
 PASSAGE = 2_048
-#: Training documents of each label (about), and passages of each of them, at most.
+#: Training documents of each label (about), and passages of each of them, at most: defaults of :func:`fit`.
 TRAIN_DOCS, TRAIN_PASSAGES = 1_200, 32
 PAIRS, ENCODED, ATTENDED = 128, 32, 16
 FEATURES = 256 + PAIRS + 3
@@ -115,29 +115,35 @@ class AttentionMIL:
                 adam.step({k: g + (decay * p[k] if k in ("enc", "out") else 0) for k, g in grads.items()})
 
 
-def _training_features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        rows = []
-        for order, label, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-            x, _ = encode([text])
-            at = np.unique(np.linspace(0, len(x) - 1, TRAIN_PASSAGES).astype(int))
-            rows.append({"order": order, "label": label, "n": len(at), "x": x[at].tobytes()})
-        yield pa.RecordBatch.from_pylist(rows, pa.schema([("order", pa.int64()), ("label", pa.int32()), ("n", pa.int64()), ("x", pa.binary())]))
+def _training_features(most: int):
+    """Batches of (order, label, text) as features of at most ``most`` passages of each text, spread over the whole of it."""
+
+    def measured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = []
+            for order, label, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                x, _ = encode([text])
+                at = np.unique(np.linspace(0, len(x) - 1, most).astype(int))
+                rows.append({"order": order, "label": label, "n": len(at), "x": x[at].tobytes()})
+            yield pa.RecordBatch.from_pylist(rows, pa.schema([("order", pa.int64()), ("label", pa.int32()), ("n", pa.int64()), ("x", pa.binary())]))
+
+    return measured
 
 
-def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", label: str = "quality", text: str = "text", train_docs: int = TRAIN_DOCS) -> AttentionMIL | None:
+def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", label: str = "quality", text: str = "text", train_docs: int = TRAIN_DOCS, train_passages: int = TRAIN_PASSAGES) -> AttentionMIL | None:
     """A model of label 1 against label 0; None unless both occur among ``labels`` of ``docs``.
 
     The sample is drawn from the labels alone, is bounded, and is then joined to the texts; of
-    texts that share a key the smallest counts.
+    texts that share a key the smallest counts.  About ``train_docs`` documents of each label are
+    learned from, and at most ``train_passages`` passages of each.
     """
     sample = bounded_sample(labels.where(F.col(label).isin(0, 1)), key, label, train_docs)
-    chosen = sample.select(F.col(key), F.col(label).cast("int").alias("label"), F.col("order").cast("long").alias("order")).limit(8 * train_docs).collect()
+    chosen = sample.select(F.col(key), F.col(label).cast("int").alias("label"), F.col("order").cast("long").alias("order")).orderBy("order", key).limit(8 * train_docs).collect()
     if len({r["label"] for r in chosen}) < 2:
         return None
     table = docs.sparkSession.createDataFrame([tuple(r) for r in chosen], f"{key} {docs.schema[key].dataType.simpleString()}, label int, order long")
     joined = docs.select(key, text).join(F.broadcast(table), key).groupBy(key, "label", "order").agg(F.min(text).alias(text))
-    found = joined.select("order", "label", text).mapInArrow(_training_features, "order long, label int, n long, x binary").toPandas()
+    found = joined.select("order", "label", text).mapInArrow(_training_features(train_passages), "order long, label int, n long, x binary").toPandas()
     found = found.sort_values(["label", "order", "x"])
     found = found[found.groupby("label").cumcount() < train_docs]
     if found["label"].nunique() < 2:
@@ -152,7 +158,7 @@ def score(docs: DataFrame, model: AttentionMIL | None, text: str = "text", name:
     """The rows of ``docs`` with a double ``name``: how likely label 1 is.
 
     Null texts count as empty; an empty text is one empty passage.  Without a model every score is
-    0.5.  Rows are scored one by one: repeated rows alike, an empty table gives an empty table,
+    0.5.  Rows are scored one by one: repeated rows alike (to single precision), an empty table gives an empty table,
     other columns stay as they are; a column ``name`` is replaced.  No shuffle.
     """
     docs = docs.drop(name)
