@@ -6,7 +6,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidemark.functions import expr as X
-from tidemark.plans import base
+from tidemark.operators import crosssec
+from tidemark.plans import base, catalog
 from tidemark.sources import contracts
 
 SF = "/root/testdata/sf0.001"
@@ -47,3 +48,26 @@ def test_a_rank_sorts_its_group_once(spark):
     assert sorted((r["g"], r["rank"]) for r in ranked.where("x IS NOT NULL").collect()) == [("a", 1.0), ("a", 2.5), ("a", 2.5), ("b", 1.5), ("b", 1.5), ("b", 3.0)]
     assert ranked.where("x IS NULL").head()["rank"] is None
     assert ranked._jdf.queryExecution().executedPlan().toString().count("Sort [") == 1
+
+
+@pytest.mark.parametrize("n", [1, 7, 101, 1_999, 2_000, 2_001, 30_000])
+def test_tail_quantiles_are_exact(spark, n):
+    """Those of Spark's exact aggregate, with ties at the limits, one value only, and nulls."""
+    x = F.xxhash64("id") / 1e15
+    rows = spark.range(3 * n, numPartitions=5).select(
+        (F.col("id") % 3).alias("date"), x.alias("a"), F.floor(x / 2000).cast("double").alias("b"), F.lit(4.0).alias("c"), F.when(F.col("id") % 4 > 0, x).alias("d"), F.when(F.col("id") % 3 > 0, x).alias("e")
+    )
+    names = list("abcde")
+    found = {r["date"]: r for r in crosssec.tail_quantiles(rows, names).collect()}
+    want = rows.groupBy("date").agg(*(F.percentile(f, F.lit(q)).alias(f"{f}_{side}") for f in names for side, q in (("low", 0.01), ("high", 0.99)))).collect()
+    for r in want:
+        for f in names:
+            for c in (f"{f}_low", f"{f}_high"):
+                assert found[r["date"]][c] == (None if r[c] is None else pytest.approx(r[c], rel=1e-12, abs=1e-12)), (c, r["date"])
+
+
+@needs_tables
+def test_the_matrix_holds_no_values_of_a_date_for_its_scores(spark):
+    """No window and no exact quantile stands above the stored raw features."""
+    plan = catalog.QUERIES["J2_matrix"](spark, SF)._jdf.queryExecution().executedPlan().toString()
+    assert "windowspecdefinition(date" not in plan and "percentile" not in plan

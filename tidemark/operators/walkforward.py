@@ -144,7 +144,7 @@ def predict_ridges(panel: DataFrame, features: Sequence[str], targets: Sequence[
     keys = [c for c in tests.columns if c != "date"]
     x = [F.coalesce(F.col(f).cast("double"), F.lit(0.0)) for f in features]
     own = panel.select("date", "ticker", F.struct(*(F.col(t).cast("double").alias(t) for t in targets)).alias("__y"), F.array(*x).alias("__x")).join(F.broadcast(tests), "date")
-    pred = F.aggregate(F.arrays_zip(F.col("__x"), F.slice("weights", 2, len(features)).alias("w")), F.get("weights", F.lit(0)), lambda a, e: a + e["__x"] * e["w"])
+    pred = F.aggregate(F.zip_with("__x", F.slice("weights", 2, len(features)), lambda x, w: x * w), F.get("weights", F.lit(0)), lambda a, e: a + e)
     actual = F.coalesce(*(F.when(F.col("target") == t, F.col("__y")[t]) for t in targets))
     return own.join(F.broadcast(weights), keys).select(*keys, "target", "alpha", "date", "ticker", actual.alias("actual"), pred.alias("pred"))
 

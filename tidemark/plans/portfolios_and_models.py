@@ -423,8 +423,13 @@ def raw_rows(d: Data) -> DataFrame:
 
 
 def matrix_rows(d: Data) -> DataFrame:
-    """z columns by date, then the date's context and the sector's code: two small tables."""
-    scored = features.z_scores(raw_rows(d), RAW_NAMES, kept=["sector"])
+    """z columns by date, then the date's context and the sector's code: two small tables.
+
+    The raw features and their limits by date are stored: what is winsorised and scored reads them again.
+    """
+    raw = d._table("raw", lambda: raw_rows(d))
+    limits = d._table("limits", lambda: crosssec.tail_quantiles(raw, RAW_NAMES))
+    scored = features.z_scores(raw, limits, RAW_NAMES, kept=["sector"])
     codes = crosssec.sector_codes(d.panel, d.sectors).select(F.col("sector").alias("__name"), "sector_id").distinct()
     named = F.coalesce(F.nullif("sector", F.lit("")), F.lit(crosssec.NO_SECTOR))
     known = scored.join(calendar.small(d.date_context), "date", "left").join(calendar.small(codes), named == F.col("__name"), "left")
