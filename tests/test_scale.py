@@ -1,8 +1,10 @@
 """What a task holds doesn't grow with the tables."""
 
 import os
+import re
 
 import pytest
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tidemark.functions import expr as X
@@ -42,6 +44,43 @@ def test_no_sums_of_a_whole_split(spark, contract):
     assert max(k for k, x in enumerate(lines) if "Aggregate(" in x) < next(k for k, x in enumerate(lines) if "Exchange hashpartitioning(ticker" in x)
 
 
+def _plan(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+@needs_tables
+@pytest.mark.parametrize("contract", [contracts.prices, contracts.facts])
+def test_items_are_dealt_once_by_ticker(spark, contract):
+    """Dealt by ticker alone, items and what is made of them need no second exchange for windows and buckets by it."""
+    plan = _plan(contract(spark, SF, parts=7).withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("ticker"))))
+    assert len(re.findall(r"Exchange hashpartitioning\(ticker#\d+, 7\)", plan)) == plan.count("Exchange hashpartitioning(ticker") == 1
+
+
+@needs_tables
+def test_a_staged_contract_has_a_file_a_bucket(spark):
+    base.forget(spark)
+    d = base.Data(spark, SF)
+    for name, rows in (("weekly", d.weekly), ("facts", d.facts)):
+        files = os.listdir(base._staged[spark.sparkContext.applicationId, SF, name][0])
+        buckets = [m.group(1) for f in files if (m := re.fullmatch(r"part-.*_(\d{5})\.c000.*\.parquet", f))]
+        assert buckets and len(buckets) == len(set(buckets)) <= d.parts
+        assert "Exchange" not in _plan(rows.groupBy("ticker").count())
+
+
+@needs_tables
+def test_a_query_of_some_tags_stages_only_their_facts(spark):
+    base.forget(spark)
+    catalog.QUERIES["W17"](spark, SF)
+    names = {name for _, folder, name in base._staged if folder == SF}
+    assert "facts_1" in names and "facts" not in names
+    d = base.Data(spark, SF)
+    alone = d.facts_of("2-HIGH", "1-URGENT")
+    assert not d._is_staged("facts")
+    every = d.facts.where("tag IN ('1-URGENT', '2-HIGH')")
+    assert alone.count() == every.count() > 0 and alone.exceptAll(every).count() == 0
+    assert _plan(d.facts_of("1-URGENT")).count("contracts_facts_0") == 0  # read from all facts, once these are there
+
+
 def test_a_rank_sorts_its_group_once(spark):
     rows = spark.createDataFrame([("a", 2.0), ("a", 1.0), ("a", 2.0), ("a", None), ("b", 0.0), ("b", -0.0), ("b", float("nan"))], "g string, x double")
     ranked = rows.withColumn("rank", X.average_rank(F.col("x"), "g"))
