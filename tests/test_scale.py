@@ -81,6 +81,13 @@ def test_a_query_of_some_tags_stages_only_their_facts(spark):
     assert _plan(d.facts_of("1-URGENT")).count("contracts_facts_0") == 0  # read from all facts, once these are there
 
 
+@needs_tables
+@pytest.mark.parametrize("name,scans", [("A5", 1), ("A7", 2), ("A8", 2)])
+def test_the_benchmark_is_not_computed_from_the_events(spark, name, scans):
+    """Facts are read for the events (and the surprises), not once more for the benchmark's returns at their entries."""
+    assert _plan(catalog.QUERIES[name](spark, SF)).count("FileScan parquet spark_catalog.default.contracts_facts") == scans
+
+
 def test_a_rank_sorts_its_group_once(spark):
     rows = spark.createDataFrame([("a", 2.0), ("a", 1.0), ("a", 2.0), ("a", None), ("b", 0.0), ("b", -0.0), ("b", float("nan"))], "g string, x double")
     ranked = rows.withColumn("rank", X.average_rank(F.col("x"), "g"))
