@@ -16,10 +16,11 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.regression import GBTRegressionModel, GBTRegressor
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, Row, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from ..session import scratch
+from ..session import scratch, ship
 from ..sources import io
 from . import calendar as cal
 from .evalstats import ic_summary, information_coefficients
@@ -127,6 +128,7 @@ def fit_ridges(panel: DataFrame, features: Sequence[str], targets: Sequence[str]
     date are aggregated once, joined to all cells that train on it and added up in Spark; all
     systems are then solved in one Arrow step, a row each.
     """
+    ship(panel.sparkSession)  # the solves import this module
     keys = [c for c in cells.columns if c != "date"]
     each = grams(panel, features, targets).select("date", "target", F.posexplode("gram").alias("at", "part"))
     by_date = each.groupBy("date", "target", "at").agg(F.sum("part").alias("part"))
@@ -136,17 +138,68 @@ def fit_ridges(panel: DataFrame, features: Sequence[str], targets: Sequence[str]
     return asked.select(*keys, "target", "alpha", _solved(len(features))(F.col("gram"), F.col("alpha")).alias("weights")).where("weights IS NOT NULL")
 
 
+def _predicted(rows: DataFrame, features: Sequence[str], tests: DataFrame, fits: Sequence[Row]) -> DataFrame:
+    """``rows`` (with date) of the test dates of each cell, once for each of its fits: their columns but the ``features``, ``__fit`` (its place in ``fits``) and ``pred``.
+
+    A batch's rows of a cell meet all weights of the cell side by side, a feature at a time, so that
+    equal rows get equal predictions wherever they stand.  ``fits`` has a row a cell, target and
+    penalty, as ``tests`` has a row a cell and date.
+    """
+    keys = [c for c in tests.columns if c != "date"]
+    known = [n for n in rows.columns if n not in features]
+    weights: dict[tuple, list] = {}
+    for k, fit in enumerate(fits):
+        weights.setdefault(tuple(fit[c] for c in keys), []).append((k, fit["weights"]))
+    stacked = {cell: (np.array([k for k, _ in own], np.int32), np.array([w for _, w in own], float).T) for cell, own in weights.items()}
+    names, size = list(stacked), len(features)
+
+    def multiply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            cells, x = np.asarray(batch.column(0)), np.asarray(batch.column(1).flatten(), float).reshape(batch.num_rows, size)
+            for c in np.unique(cells):
+                at = np.flatnonzero(cells == c)
+                (places, w), of = stacked[names[c]], np.ascontiguousarray(x[at].T)
+                pred = np.repeat(w[0][:, None], len(at), axis=1)
+                for value, weight in zip(of, w[1:], strict=True):
+                    pred += weight[:, None] * value
+                each = pa.array(np.tile(at, len(places)))
+                yield pa.RecordBatch.from_arrays([*(batch.column(2 + k).take(each) for k in range(len(known))), pa.array(np.repeat(places, len(at))), pa.array(pred.ravel())], [*known, "__fit", "pred"])
+
+    spark = rows.sparkSession
+    cells = spark.createDataFrame([(*cell, k) for k, cell in enumerate(names)], T.StructType([*(tests.schema[c] for c in keys), T.StructField("__cell", T.IntegerType())]))
+    x = F.array(*(F.coalesce(F.col(f).cast("double"), F.lit(0.0)) for f in features))
+    asked = tests.join(F.broadcast(cells), keys).select("date", "__cell")
+    own = rows.join(F.broadcast(asked), "date").select("__cell", x.alias("__x"), *known)
+    schema = T.StructType([*(rows.schema[c] for c in known), T.StructField("__fit", T.IntegerType()), T.StructField("pred", T.DoubleType())])
+    return own.mapInArrow(multiply, schema)
+
+
+def _fits(spark: SparkSession, weights: DataFrame, fits: Sequence[Row]) -> DataFrame:
+    """``__fit`` with the keys, target and penalty of each of ``fits``: a small table."""
+    names = [c for c in weights.columns if c != "weights"]
+    return spark.createDataFrame([(k, *(fit[c] for c in names)) for k, fit in enumerate(fits)], T.StructType([T.StructField("__fit", T.IntegerType()), *(weights.schema[c] for c in names)]))
+
+
 def predict_ridges(panel: DataFrame, features: Sequence[str], targets: Sequence[str], tests: DataFrame, weights: DataFrame) -> DataFrame:
     """The keys of ``tests`` (keys, date), target, alpha, date, ticker, ``actual`` and ``pred`` of the test dates of each cell.
 
     Test dates and weights are small tables (a row a cell and date, a row a cell, target and penalty).
     """
-    keys = [c for c in tests.columns if c != "date"]
-    x = [F.coalesce(F.col(f).cast("double"), F.lit(0.0)) for f in features]
-    own = panel.select("date", "ticker", F.struct(*(F.col(t).cast("double").alias(t) for t in targets)).alias("__y"), F.array(*x).alias("__x")).join(F.broadcast(tests), "date")
-    pred = F.aggregate(F.zip_with("__x", F.slice("weights", 2, len(features)), lambda x, w: x * w), F.get("weights", F.lit(0)), lambda a, e: a + e)
+    keys, fits = [c for c in tests.columns if c != "date"], weights.collect()
+    own = panel.select("date", "ticker", F.struct(*(F.col(t).cast("double").alias(t) for t in targets)).alias("__y"), *features)
+    found = _predicted(own, features, tests, fits).join(F.broadcast(_fits(panel.sparkSession, weights, fits)), "__fit")
     actual = F.coalesce(*(F.when(F.col("target") == t, F.col("__y")[t]) for t in targets))
-    return own.join(F.broadcast(weights), keys).select(*keys, "target", "alpha", "date", "ticker", actual.alias("actual"), pred.alias("pred"))
+    return found.select(*keys, "target", "alpha", "date", "ticker", actual.alias("actual"), "pred")
+
+
+def score_ridges(panel: DataFrame, features: Sequence[str], targets: Sequence[str], tests: DataFrame, weights: DataFrame) -> DataFrame:
+    """The keys of ``tests``, target, alpha, date and ``ic``: the coefficients of :func:`predict_ridges`, for which only a fit's number, date and two values are dealt and sorted."""
+    keys, fits = [c for c in tests.columns if c != "date"], weights.collect()
+    own = panel.select("date", F.array(*(F.col(t).cast("double") for t in targets)).alias("__y"), *features)
+    place = F.array(*(F.lit(list(targets).index(fit["target"])) for fit in fits)).cast("array<int>")
+    found = _predicted(own, features, tests, fits).select("__fit", "date", "pred", F.get("__y", F.get(place, F.col("__fit"))).alias("actual"))
+    ics = information_coefficients(found, "pred", "actual", ("__fit", "date"))
+    return ics.join(F.broadcast(_fits(panel.sparkSession, weights, fits)), "__fit").select(*keys, "target", "alpha", "date", "ic")
 
 
 def ridge_grid(panel: DataFrame, features: Sequence[str], target: str, plan: DataFrame, alphas: Sequence[float]) -> DataFrame:
@@ -196,8 +249,7 @@ def nested_ridges(panel: DataFrame, features: Sequence[str], targets: Sequence[s
     cells = inner.select("outer", "inner", "date", "role").unionByName(outer)
     of = lambda role: cells.where(F.col("role") == role).select("outer", "inner", "date")
     weights = stored(fit_ridges(panel, features, targets, of("train"), alphas))
-    tried = predict_ridges(panel, features, targets, of("test").where("inner > 0"), weights.where("inner > 0"))
-    scored = information_coefficients(tried, "pred", "actual", ("target", "outer", "inner", "alpha", "date"))
+    scored = score_ridges(panel, features, targets, of("test").where("inner > 0"), weights.where("inner > 0"))
     order = panel.sparkSession.createDataFrame([(float(a), k) for k, a in enumerate(alphas)], "alpha double, place int")
     outers = weights.where("inner = 0").select("target", "outer").distinct()
     chosen = stored(chosen_settings(scored, outers, ["alpha"], order))

@@ -415,37 +415,37 @@ def j2_matrix(d: Data):
 
 MATRIX_TAGS = {"valuation": VALUE_TAGS, "quality": QUALITY_TAGS, "growth": GROWTH_TAGS}
 RAW_NAMES = tuple(f for names in Z_FAMILIES.values() for f in names)
+TARGETS = ("excess_median", "excess_sector")
+LABELS = ("fwd_ret_raw", *TARGETS)
 
 
 def raw_rows(d: Data) -> DataFrame:
-    """The raw features of all families at the panel's keys: by ticker over the bucketed contracts, then dealt by date once."""
-    return features.by_date(features.by_ticker(d.weekly, d.timeline, d.panel, d.sectors, MATRIX_TAGS, WINDOWS))
+    """The raw features of all families at the panel's keys, with its labels: by ticker over the bucketed contracts, then dealt by date once."""
+    return features.by_date(features.by_ticker(d.weekly, d.timeline, d.panel, d.sectors, MATRIX_TAGS, WINDOWS, kept=LABELS))
 
 
-def matrix_rows(d: Data) -> DataFrame:
-    """z columns by date, then the date's context and the sector's code: two small tables.
+def matrix_rows(d: Data, kept: tuple[str, ...] = ()) -> DataFrame:
+    """z columns by date, then the date's context and the sector's code: two small tables; with some of the labels.
 
     The raw features and their limits by date are stored: what is winsorised and scored reads them again.
     """
     raw = d._table("raw", lambda: raw_rows(d))
     limits = d._table("limits", lambda: crosssec.tail_quantiles(raw, RAW_NAMES))
-    scored = features.z_scores(raw, limits, RAW_NAMES, kept=["sector"])
+    scored = features.z_scores(raw, limits, RAW_NAMES, kept=["sector", *kept])
     codes = crosssec.sector_codes(d.panel, d.sectors).select(F.col("sector").alias("__name"), "sector_id").distinct()
     named = F.coalesce(F.nullif("sector", F.lit("")), F.lit(crosssec.NO_SECTOR))
     known = scored.join(calendar.small(d.date_context), "date", "left").join(calendar.small(codes), named == F.col("__name"), "left")
-    return known.select("date", "ticker", "sector_id", *CONTEXT_NAMES, *Z_NAMES)
+    return known.select("date", "ticker", "sector_id", *CONTEXT_NAMES, *Z_NAMES, *kept)
 
 
 # --- models on the whole matrix ----------------------------------------------------------------
 
-TARGETS = ("excess_median", "excess_sector")
 INNER_FOLDS, INNER_MONTHS = 2, 6
 
 
 def model_matrix(d: Data) -> DataFrame:
     """The matrix with both targets, stored once a session: folds and models read it again and again."""
-    build = lambda: matrix_rows(d).join(d.panel.select("date", "ticker", "fwd_ret_raw", *TARGETS), ["date", "ticker"])
-    return d._table("matrix", build)
+    return d._table("matrix", lambda: matrix_rows(d, LABELS))
 
 
 NESTED = {
